@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galewise.llm import decontamination, simhash, token_codes
+from galewise.llm import decontamination, licenses, quality, secrets, simhash, token_codes, toxicity
 from galewise.llm.common import read_table
 
 
@@ -12,6 +12,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_ranges", "items")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read_table(spark, sf_dir, "documents")).drop("notices")
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +40,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+    "op5_secrets": op5_secrets,
+    "op7_licenses": op7_licenses,
     "op8_token_codes": op8_token_codes,
     "op9_simhash": op9_simhash,
 }
