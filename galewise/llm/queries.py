@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galewise.llm import decontamination, licenses, quality, secrets, simhash, token_codes, toxicity
+from galewise.llm import decontamination, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity
 from galewise.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_ranges", "items")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read_table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read_table(spark, sf_dir, "documents")).drop("notices")
 
@@ -38,13 +46,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_quality_rules": op6_quality_rules,
     "op7_licenses": op7_licenses,
     "op8_token_codes": op8_token_codes,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE}
