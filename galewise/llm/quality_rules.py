@@ -35,9 +35,11 @@ WORDS = tuple(sorted({w for own in COMMON.values() for w in own}))
 CLASSES = ("lower", "upper", "digit", "space", "point", "sign", "other")
 SIGNS = "#*$%&|<>"
 WINDOW = 5
-#: Least words and characters of a text that is judged, and the distances from which it fails.
-LEAST_WORDS, LEAST_CHARS = 50, 200
-MOST_WORDS_DISTANCE, MOST_CLASS_DISTANCE = 0.40, 0.25
+#: Least words and characters of a text that is judged, and the distances from which it fails. The distance of words is taken
+#: beyond what a sample of so many words from the reference itself has: sqrt(cells / (8 ln 2 words)).
+LEAST_WORDS, LEAST_CHARS = 80, 200
+MOST_WORDS_DISTANCE, MOST_CLASS_DISTANCE = 0.12, 0.33
+SAMPLING = 12 / (8 * math.log(2))
 
 
 def _let(value: Column, body) -> Column:
@@ -153,6 +155,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     least = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else F.lit(None).cast("double")
     rows = rows.withColumn("words_distance", F.when(n_words >= least_words, least(by_word))).withColumn("class_distance", F.when(n_chars >= least_chars, least(by_class)))
     failed = (n_words < 10) | (100 * F.col("n_repeat_words") > 20 * n_words)
-    fits = (F.coalesce("words_distance", F.lit(0.0)) < most_words_distance) & (F.coalesce("class_distance", F.lit(0.0)) < most_class_distance)
+    fits = (F.coalesce(F.col("words_distance") - F.sqrt(F.lit(SAMPLING) / n_words), F.lit(0.0)) < most_words_distance) & (F.coalesce("class_distance", F.lit(0.0)) < most_class_distance)
     return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "words_distance", "class_distance", (~failed & fits).alias("kept"))
 

@@ -50,6 +50,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -61,5 +67,6 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE}
