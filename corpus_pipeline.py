@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from galewise.llm import decontamination, mixing, quality, sharding, simhash
 from galewise.llm.common import read_table, written
 
-#: Near-duplicates of the pipeline: shingles of five words, and as many differing bits as fingerprints of texts of a similarity
-#: of 0.8 or more differ by.
-SHINGLE, MAX_BITS = 5, 4
+#: Near-duplicates of the pipeline: shingles of five words; close in any of four fingerprints, where texts of a lower similarity than
+#: 0.8 seldom are.
+SHINGLE, MAX_BITS, LANES = 5, 4, 4
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs, words_per_shingle=SHINGLE, max_bits=MAX_BITS)
+    return simhash.deduplicated(docs, words_per_shingle=SHINGLE, max_bits=MAX_BITS, lanes=LANES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

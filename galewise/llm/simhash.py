@@ -52,24 +52,44 @@ def shingle_hashes(text: bytes, words_per_shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_per_shingle - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
-def fingerprint(text: bytes, words_per_shingle: int = SHINGLE) -> int:
-    """Bits set in over half the shingle hashes; no words give zero."""
-    hashes = shingle_hashes(text, words_per_shingle)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):  # bounded memory for texts of any length
-        ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+#: Sets the bits of each byte value, for sums of bits from counts of bytes.
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BYTE_PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(2048, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 20):  # bounded memory for texts of any length
+        counts += np.bincount((hashes[at : at + (1 << 20)].view(np.uint8).reshape(-1, 8) + _BYTE_PLACE).ravel(), minlength=2048)
+    ones = (counts.reshape(8, 256) @ _BITS_OF_BYTE).ravel()
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
-    """docs and a signed 64-bit column `name` with the fingerprint; a null text has no words."""
+def _remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of the same shingles that are independent of the first ones (a splitmix64 finish)."""
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(text: bytes, words_per_shingle: int = SHINGLE, lanes: int = 1) -> list[int]:
+    """Bits set in over half the shingle hashes, and the same for further independent hashes of the shingles; no words give zeros."""
+    hashes = shingle_hashes(text, words_per_shingle)
+    if not len(hashes):
+        return [0] * lanes
+    return [_majority(hashes if k == 0 else _remixed(hashes, k)) for k in range(lanes)]
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = SHINGLE, lanes: int = 1, name: str = "fp") -> DataFrame:
+    """docs and a signed 64-bit column for each lane's fingerprint, `name` and `name`1 and so on; a null text has no words."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    at, names = docs.columns.index(text_col), [f"{name}{k or ''}" for k in range(lanes)]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in names]])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.array([fingerprint(t, words_per_shingle) for t in texts_of(batch.column(at))], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, name])
+        prints = np.array([fingerprints(t, words_per_shingle, lanes) for t in texts_of(batch.column(at))], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(prints[:, k]) for k in range(lanes)]], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(per_batch(run), schema)
 
@@ -164,6 +184,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     """(hi, lo): a forest of links between distinct fingerprints `fp` that spans each component of the verified links which its
     task has seen. No link that could join two components is lost."""
     spark = prints.sparkSession
+    # dealt out anew: a few small partitions would each be exploded into all variants of very many fingerprints
+    prints = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
     rows = prints.select("fp", F.explode(variant_keys(F.col("fp"), max_bits)).alias("key"))
     hot, _ = written(_hot_variants(prints, max_bits, block), "hot-variants")
     n_hot = hot.count()
@@ -230,10 +252,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(fp, root) for the distinct fingerprints `fp`: the smallest fingerprint of its component."""
-    nodes = components(links(prints, max_bits, block))
-    return prints.join(nodes, prints.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, lanes: int = 1, name: str = "fp") -> DataFrame:
+    """(fp, root) for the distinct fingerprints `name` of the first lane: the smallest fingerprint of its component.
+
+    With further lanes, two documents link if their fingerprints are close in any lane: all lanes' fingerprints are nodes, and a
+    document's own are joined where any of them has a link. (Fingerprints of different lanes are close by chance alone, as those of
+    unrelated texts are.)"""
+    names = [f"{name}{k or ''}" for k in range(lanes)]
+    own = prints.select(F.col(name).alias("fp")).distinct()
+    if lanes == 1:
+        nodes = components(links(own, max_bits, block))
+    else:
+        every = prints.select(F.explode(F.array(*names)).alias("fp")).distinct()
+        found, _ = written(links(every, max_bits, block), "links")
+        tied = prints.select(F.col(name).alias("hi"), F.explode(F.array(*names[1:])).alias("lo")).distinct()
+        ends = found.select(F.col("hi").alias("lo")).union(found.select("lo")).distinct()
+        nodes = components(found.unionByName(tied.join(ends, "lo", "left_semi").select("hi", "lo")))
+    return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -245,19 +280,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own, _ = written(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words_per_shingle).select("doc_id", "fp"), "fingerprints")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots, _ = written(classes.join(fingerprint_roots(own.select("fp").distinct(), max_bits, block), "fp"), "classes")
+    roots, _ = written(classes.join(fingerprint_roots(own, max_bits, block), "fp"), "classes")
     named = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS, block: int = BLOCK, lanes: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate component: that with the smallest id (nulls last; of repeated ids the first as
-    written). The columns are those of docs."""
+    written). The columns are those of docs.
+
+    Documents link where their fingerprints are close in any of `lanes` independent lanes: one lane of 64 bits finds a half to two
+    thirds of the copies that differ in one word of thirty, and four find nearly all. Null and empty texts are copies of each other.
+    """
     keep = docs.columns
-    marked = with_fingerprints(docs, text_col, words_per_shingle, "_fp").withColumn("_row", F.monotonically_increasing_id())
+    marked = with_fingerprints(docs, text_col, words_per_shingle, lanes, "_fp").withColumn("_row", F.monotonically_increasing_id())
     own, _ = written(marked, "fingerprinted")  # written, so that row numbers stay as they are when a task is run again
     order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("row"))
     classes = own.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first"))
-    roots = fingerprint_roots(own.select(F.col("_fp").alias("fp")).distinct(), max_bits, block)
-    chosen = classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    roots = fingerprint_roots(own, max_bits, block, lanes, "_fp")
+    chosen, _ = written(classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")), "chosen")
     return own.join(chosen, "_row", "left_semi").select(*keep)
