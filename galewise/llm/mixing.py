@@ -3,7 +3,7 @@
 A document's rate is the number of copies it should give. Among all rates that meet each source's token target and
 stay within the cap, those of least entropy relative to taking every document once are exponential tilts,
 min(cap, exp(lambda * size / mean size)), with one multiplier a source. The multipliers solve a convex dual; each
-Newton step is an aggregate over the table of (source, size) cells, safeguarded by a bracket.
+Newton step sums over the table of (source, size) cells, safeguarded by a bracket.
 
 Rates are then rounded into copies. Documents of one source and size are alike to every constraint, so that rounding
 works on cells: systematically from the largest size down, which leaves a rest of less than a few large documents, and
@@ -28,7 +28,7 @@ CAP = 2.0
 #: Rows of a cell that are ranked together.
 BLOCK_ROWS = 2_000
 #: Newton steps in one job, most jobs, and the relative error at which the dual counts as solved.
-STEPS, ROUNDS, TOLERANCE = 4, 15, 1e-6
+STEPS, ROUNDS, TOLERANCE = 8, 10, 1e-6
 
 
 def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -55,42 +55,46 @@ def rate(cap: float) -> Column:
     return F.when(F.col("size") == 0, 1.0).when(F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)), cap).otherwise(tilt)
 
 
-def _step(state: DataFrame, cells: DataFrame, cap: float) -> DataFrame:
-    """One safeguarded Newton step of the dual for all sources."""
-    met = cells.select("key", "size", "n").join(state, "key").withColumn("z", F.col("size") * F.col("docs") / F.col("source_size")).withColumn("r", rate(cap))
-    tokens = F.col("n") * F.col("size") * F.col("r")
-    sums = met.groupBy("key", "source_size", "docs", "target", "lam", "lo", "hi").agg((F.sum(tokens) - F.first("target")).alias("f"), F.sum(F.when(F.col("r") < cap, tokens * F.col("z")).otherwise(0.0)).alias("g"))
-    lo = F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("lo"))
-    hi = F.when(F.col("f") < 0, F.col("hi")).otherwise(F.col("lam"))
+def _step(cells: DataFrame, cap: float) -> DataFrame:
+    """One safeguarded Newton step of the dual for all sources: sums over each source's cells, which stay where they are."""
+    every = W.partitionBy("key")
+    met = cells.withColumn("r", rate(cap)).withColumn("tokens", F.col("n") * F.col("size") * F.col("r"))
+    met = met.withColumn("f", F.sum("tokens").over(every) - F.col("target")).withColumn("g", F.sum(F.when(F.col("r") < cap, F.col("tokens") * F.col("z")).otherwise(0.0)).over(every))
+    met = met.withColumn("lo", F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") < 0, F.col("hi")).otherwise(F.col("lam")))
     newton = F.when(F.col("g") > 0, F.col("lam") - F.col("f") / F.col("g"))
-    inside = newton.isNotNull() & (newton > lo) & (newton < hi)
-    between = F.when(lo <= -1e9, 2 * hi - 1).when(hi >= 1e9, 2 * lo + 1).otherwise((lo + hi) / 2)
-    error = F.abs("f") / F.greatest("target", F.lit(1.0))
-    done = error <= TOLERANCE
-    return sums.select("key", "source_size", "docs", "target", F.when(done, F.col("lam")).when(inside, newton).otherwise(between).alias("lam"), lo.alias("lo"), hi.alias("hi"), error.alias("error"))
-
-
-def solved(aims: DataFrame, cells: DataFrame, cap: float = CAP) -> DataFrame:
-    """aims with the multipliers `lam`. Sources without words or with full targets need none."""
-    spark = aims.sparkSession
-    state, path = written(aims.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-1e12)).withColumn("hi", F.lit(1e12)).withColumn("error", F.lit(1.0)), "dual")
-    trivial = (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)))
+    inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
+    between = F.when(F.col("lo") <= -1e9, 2 * F.col("hi") - 1).when(F.col("hi") >= 1e9, 2 * F.col("lo") + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
+    error = F.when(_settled(cap), 0.0).otherwise(F.abs("f") / F.greatest("target", F.lit(1.0)))
+    return met.withColumn("error", error).withColumn("lam", F.when(F.col("error") <= TOLERANCE, F.col("lam")).when(inside, newton).otherwise(between)).select(cells.columns)
+
+
+def _settled(cap: float) -> Column:
+    """Sources without words or with full targets need no multiplier."""
+    return (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)))
+
+
+def solved(cells: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
+    """(key, size, n, source_size, target, z, lam): the cells with their sources' multipliers. Cells are dealt by source once; the steps of
+    a job follow each other without a shuffle. A source has no more cells than its documents have sizes."""
+    spark = cells.sparkSession
+    now = cells.select("key", "size", "n").join(aims, "key").withColumn("z", F.coalesce(F.col("size") * F.col("docs") / F.col("source_size"), F.lit(0.0))).drop("docs")
+    now = now.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-1e12)).withColumn("hi", F.lit(1e12)).withColumn("error", F.lit(1.0))
+    path = None
     for _ in range(ROUNDS):
-        now = state.filter(~trivial).drop("error")
         for _ in range(STEPS):
-            now = _step(now, cells, cap).drop("error") if _ < STEPS - 1 else _step(now, cells, cap)
-        now = now.select(state.columns).unionByName(state.filter(trivial).withColumn("error", F.lit(0.0)))
+            now = _step(now, cap)
         after, new = written(now, "dual")
-        drop_path(spark, path)
-        state, path = after, new
-        if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
+        if path:
+            drop_path(spark, path)
+        now, path = after, new
+        if (now.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
-    return state.drop("lo", "hi", "error")
+    return now.drop("lo", "hi", "error")
 
 
-def copies_of_cells(cells: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
-    """(key, size, n, k, source_size, target, rate): k copies for the n documents of a cell, at most cap times n."""
-    met = cells.select("key", "size", "n").join(aims, "key").withColumn("z", F.coalesce(F.col("size") * F.col("docs") / F.col("source_size"), F.lit(0.0))).withColumn("rate", rate(cap))
+def copies_of_cells(cells: DataFrame, cap: float = CAP) -> DataFrame:
+    """(key, size, n, k, source_size, target, rate): k copies for the n documents of a solved cell, at most cap times n."""
+    met = cells.withColumn("rate", rate(cap))
     met = met.withColumn("room", F.floor(F.col("n") * cap)).withColumn("due", F.col("n") * F.col("rate"))
     down = W.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, 0)
     so_far = F.sum("due").over(down)
@@ -114,8 +118,7 @@ def mixed_rows(docs: DataFrame, carry: bool, id_col: str = "doc_id", text_col: s
     )
     own, _ = written(own, "sized")  # written, so that row numbers stay as they are when a task is run again
     cells, _ = written(own.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "cells")
-    aims = solved(targets(cells, weights, share, cap), cells, cap)
-    plan, _ = written(copies_of_cells(cells, aims, cap), "copies")
+    plan, _ = written(copies_of_cells(solved(cells, targets(cells, weights, share, cap), cap), cap), "copies")
     blocks = max(1, -(-(cells.agg(F.sum("n")).first()[0] or 0) // block_rows))
     block = F.pmod(F.col("h"), F.lit(blocks)).cast("int").alias("block")
     before = W.partitionBy("key", "size").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
