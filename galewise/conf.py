@@ -1,0 +1,51 @@
+"""Settings of the engine as one frozen value; distances are metres."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+
+@dataclass(frozen=True)
+class Settings:
+    # fixed values: published defaults of the method
+    intensity_low: int = 100
+    intensity_high: int = 255
+    group_buffer: float = 25_000.0
+    avoid_buffer: float = 15_000.0
+    box_side: float = 250_000.0
+    box_buffer: float = 10_000.0
+    static_bounds_buffer: float = 50_000.0
+    vertex_buffer: float = 5_000.0
+    vertex_tolerance: float = 5_000.0
+    neighbours: int = 10
+    densify_step: float = 20_000.0
+    simplify_tolerance: float = 1e-9
+    smooth_tolerance: float = 25_000.0
+    most_smoothings: int = 300
+    least_gain: float = 1.0
+    velocity_kmh: float = 900.0
+    slot_minutes: int = 5
+    input_frames: int = 6
+    output_frames: int = 6
+    min_pixels: int = 9_000
+    image_size: int = 256
+    windows: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7)
+    forward_frames: int = 30
+    backward_frames: int = 5
+    lookback_slots: int = 10
+    alpha: float = 0.05
+    confidence: float = 0.95
+    shortest_length: float = 1_000.0
+    longest_length: float = 2_000_000.0
+    snap_distance: float = 10_000.0
+    canvas: tuple[int, int, int] = (800, 800, 50)
+    crop_borders: tuple[tuple[int, int, int, int], ...] = field(default=((3000, 4000, 2500, 3500), (4000, 5000, 1500, 2500), (4000, 5000, 2500, 3500), (5000, 6000, 1600, 2600)))
+    angle_ranges: tuple[tuple[int, int], ...] = field(default=((60, 120), (150, 210), (240, 300)))
+
+    @property
+    def step(self) -> float:
+        """Distance flown in one slot."""
+        return self.velocity_kmh * 1000 * self.slot_minutes / 60
+
+
+SETTINGS = Settings()

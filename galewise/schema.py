@@ -1,0 +1,12 @@
+"""Schemas of the engine's tables."""
+
+POINT = "struct<x:double,y:double>"
+LINE = f"array<{POINT}>"
+POLYGON = f"array<{LINE}>"
+SCENARIOS = "idx int, timestamp timestamp_ntz, ax double, ay double, bx double, by double"
+OBSTACLES = f"scene string, time_key string, obstacle_id int, geometry {POLYGON}, buffer {POLYGON}, convex {POLYGON}, concave {POLYGON}"
+FRAMES = "scene string, ts timestamp_ntz, rows int, cols int, band array<smallint>, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, crs int"
+PATH_RESULTS = f"strategy string, timestamp string, window_size int, direction string, path {LINE}, length double, success boolean, success_intermediate boolean"
+MASKED_PATH_RESULTS = f"{PATH_RESULTS}, prediction_mode string, is_pred_path_valid boolean"
+STATIC_RESULTS = f"timestamp string, strategy string, paths {LINE}, length double"
+HUMAN_RESULTS = f"timestamp string, obstacle_mode string, window_size int, strategy string, prediction_mode string, all_paths array<{LINE}>, path_valid boolean, experiment_duration_seconds double, timestamp_start timestamp, success boolean, total_waypoints int, total_distance_m double"
