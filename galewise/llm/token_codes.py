@@ -14,6 +14,7 @@ replaces what it wrote, on any file system. Bounded memory: a segment closes at
 
 Texts are split at white space, which the tokenizer drops and never joins over, so that a word's ids are the
 same wherever it stands; each worker keeps the ids of the words it has seen, up to a bound.
+A-Z are lower-cased before, as the tokenizer does.
 """
 
 from __future__ import annotations
@@ -23,22 +24,25 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galewise.llm.common import new_path, small_batches, texts_of
+from galewise.llm.common import LOWER, new_path, small_batches
 
 END_ID = 2
 MAGIC = b"GDAC"
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 20
+BATCH_BYTES = 8 << 20
 #: Words whose ids a worker keeps; a cache only, results do not depend on it.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 SCHEMA = "part int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -114,9 +118,13 @@ class WordIds:
     """Ids of texts through a tokenizer that drops white space, with the ids of the words seen so far."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words of letters, which need no normalizer and are cut at spaces alone
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -127,14 +135,31 @@ class WordIds:
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
+    def _forget_rare(self) -> None:
+        """Keep the words that were used most, half of the bound at most."""
+        names, n = list(self.places), len(self.places)
+        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: CACHED_WORDS // 2])
+        kept = kept[self.uses[kept] > 1]
+        ids, lengths, uses = self._gathered(kept), self.lengths[kept], self.uses[kept] // 2
+        self._forget()
+        self._keep([names[i] for i in kept.tolist()], ids, lengths)
+        self.uses[: len(kept)] = uses
+
+    def _gathered(self, places: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
     def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, first = len(ids), len(self.places)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while first + len(words) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
         self.flat[self.used : self.used + n] = ids
         self.lengths[first : first + len(words)] = lengths
         self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
@@ -142,46 +167,90 @@ class WordIds:
         self.places.update(zip(words, range(first, first + len(words)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
+        """Words in lower case that are not known. A letter a-z and the point or comma at the end are two pre-tokens, so that such a
+        word's ids are those of what stands before and of the sign."""
+        ended, whole = [], set()
+        for word in words:
+            if word[-1] in b".," and len(word) > 1 and 97 <= word[-2] <= 122:
+                ended.append(word)
+                whole.add(word[:-1])
+                whole.add(word[-1:])
+            else:
+                whole.add(word)
+        self._learn_whole(whole.difference(self.places))
+        if ended:
+            sign = np.array([self.places[w[-1:]] for w in ended], dtype=np.int64)
+            own = np.array([self.places[w[:-1]] for w in ended], dtype=np.int64)
+            both = np.stack([own, sign], axis=1).ravel()
+            self._keep(ended, self._gathered(both), self.lengths[own] + self.lengths[sign])
+
+    def _learn_whole(self, words: set[bytes]) -> None:
         plain, odd = [], []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            letters = text.isalpha() if text.isascii() else unicodedata.normalize("NFC", text).lower().isalpha()
-            (plain if letters else odd).append((word, text))
+            if word.isalpha():  # letters a-z alone
+                plain.append((word, word.decode()))
+                continue
+            # as the tokenizer's normalizer does: composed, and each character in lower case by itself (a sigma's depends on its place)
+            text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+            (plain if text.isalpha() else odd).append((word, text))
         # a word of letters alone is one pre-token, whose last id closes a word: many are told apart in one encoding
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
-            ids = np.array(self._encode([" ".join(x[1] for x in part)])[0], dtype=np.uint32)
+            ids = np.array(self.letters.encode_batch_fast([" ".join(x[1] for x in part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
+            if len(ends) == len(part) and ends[-1] == len(ids):
                 self._keep([x[0] for x in part], ids, np.diff(np.concatenate([[0], ends])))
             else:
                 odd += part
         if odd:
-            each = self._encode([x[1] for x in odd])
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([x[0].decode("utf-8", "replace") for x in odd], add_special_tokens=False)]
             self._keep([x[0] for x in odd], np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64))
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's closed by END_ID, and how many each text has."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts, each text's closed by END_ID, and how many each text has."""
         if len(self.places) > CACHED_WORDS:
-            self._forget()
-        split = [t.split() for t in texts]
-        n_words = np.array([len(x) for x in split], dtype=np.int64)
-        words = [w for x in split for w in x]
-        new = list(dict.fromkeys(w for w in words if w not in self.places))
-        if new:
-            self._learn(new)
-        places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths, starts = self.lengths[places], self.starts[places]
-        before = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
-        ids = self.flat[np.repeat(starts - before, lengths) + np.arange(total)]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
+            self._forget_rare()
+        words, n_words = split_words(texts)
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.places.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        if (new := np.flatnonzero(known < 0)).size:
+            self._learn([names[i] for i in new.tolist()])
+            known[new] = [self.places[names[i]] for i in new.tolist()]
+        places = known[np.asarray(coded.indices)] if len(names) else np.zeros(0, dtype=np.int64)
+        self.uses[: len(self.places)] += np.bincount(places, minlength=len(self.places))
+        sums = np.concatenate([[0], np.cumsum(self.lengths[places])])
         text_ends = sums[np.cumsum(n_words)]
         counts = np.diff(np.concatenate([[0], text_ends]))
-        return np.insert(ids, text_ends, END_ID), counts + 1
+        return np.insert(self._gathered(places), text_ends, END_ID), counts + 1
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words [^\\x20\\x09-\\x0D]+ of all texts as one binary array, and how many each text has. No Python object is made
+    for a word."""
+    column = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = (memoryview(data)[offsets[0] : offsets[-1]].tobytes() if data else b"").translate(LOWER)
+    offsets = offsets - offsets[0]
+    signs = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[signs], [False]])
+    begins = inside[1:] & ~inside[:-1]
+    ends = inside[:-1] & ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(signs))]  # a text's end also ends a word
+    cut = edges[inside[edges + 1] & inside[edges]]
+    begins[cut] = ends[cut] = True
+    starts = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) - starts
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    kept = signs[inside[1:-1]]
+    array = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(kept)])
+    return array, np.diff(np.searchsorted(starts, offsets))
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -195,6 +264,20 @@ def tokenizer_at(path: str) -> WordIds:
     return _tokenizers[path]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Names and texts of batches put together up to BATCH_BYTES: the more texts, the fewer words are looked up twice."""
+    names, texts, size = [], [], 0
+    for batch in batches:
+        names += batch.column(0).to_pylist()
+        texts.append(batch.column(1))
+        size += batch.column(1).nbytes
+        if size >= BATCH_BYTES:
+            yield names, pa.concat_arrays(texts)
+            names, texts, size = [], [], 0
+    if names:
+        yield names, pa.concat_arrays(texts)
+
+
 def write_codes(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize docs and write the file at `path`, in ascending id order.
 
@@ -216,10 +299,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "part_start", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            if not names:
-                continue
+        for names, texts in _joined(batches):
             ids, counts = encode(texts)
             held.append((names, ids, counts))
             size += len(ids)
