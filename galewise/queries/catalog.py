@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galewise.queries import statistics
+from galewise.queries import graphs, rasters, service, simulation, spatial, statistics, temporal, vectors
 
-MODULES = (statistics,)
+MODULES = (statistics, temporal, vectors, spatial, graphs, rasters, service, simulation)
 
 
 def all_queries() -> dict:
