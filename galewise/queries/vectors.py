@@ -13,24 +13,31 @@ from galewise.sources import tables as tb
 QUERIES, ORACLES, query = registry()
 SEG = f"with {tb.POINTS}, {tb.SEGMENTS}, dir as (select *, sqrt((bx - ax) * (bx - ax) + (yb - ay) * (yb - ay)) as d from segments)"
 PATH = f"with {tb.POINTS}, {tb.paths_sql()}"
-A, B = v.point(F.col("ax"), F.col("ay")), v.point(F.col("bx"), F.col("by"))
 CUM = f"""{PATH}, legs as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as d from path_points window w as (partition by path_id order by i)),
 cum as (select *, coalesce(sum(d) over (partition by path_id order by i rows unbounded preceding), 0) as s from legs)"""
 
 
+def _a():
+    return v.point(F.col("ax"), F.col("ay"))
+
+
+def _b():
+    return v.point(F.col("bx"), F.col("by"))
+
+
 def _paths(spark, sf_dir):
     return tb.paths(spark, sf_dir)
 
 
 @query(f"{SEG} select seg_id, round(case when d > 0 then (bx - ax) / d else 0 end, 6) as ux, round(case when d > 0 then (yb - ay) / d else 0 end, 6) as uy, round(d, 6) as d, d <= 200000 as near, round(degrees(atan2(yb - ay, bx - ax)), 6) as heading from dir")
 def unit_direction(spark, sf_dir):
-    u = v.unit_direction(A, B)
-    return rounded(tb.segments(spark, sf_dir).select("seg_id", u["x"].alias("ux"), u["y"].alias("uy"), v.distance(A, B).alias("d"), v.within(A, B, 200_000).alias("near"), v.heading(A, B).alias("heading")))
+    u = v.unit_direction(_a(), _b())
+    return rounded(tb.segments(spark, sf_dir).select("seg_id", u["x"].alias("ux"), u["y"].alias("uy"), v.distance(_a(), _b()).alias("d"), v.within(_a(), _b(), 200_000).alias("near"), v.heading(_a(), _b()).alias("heading")))
 
 
 @query(f"{SEG} select seg_id, round(bx + (bx - ax) / d * 25000, 4) as x, round(yb + (yb - ay) / d * 25000, 4) as y from dir")
 def shift_point(spark, sf_dir):
-    p = v.moved(B, v.unit_direction(A, B), 25_000)
+    p = v.moved(_b(), v.unit_direction(_a(), _b()), 25_000)
     return rounded(tb.segments(spark, sf_dir).select("seg_id", p["x"].alias("x"), p["y"].alias("y")), 4)
 
 
@@ -61,7 +68,7 @@ def direction_vector(spark, sf_dir):
 
 @query(f"{SEG}, n as (select *, greatest(1, ceil(d / 20000))::integer as n from dir) select seg_id, i::integer as i, round(ax + (bx - ax) * i / n, 4) as x, round(ay + (yb - ay) * i / n, 4) as y from n, lateral (select unnest(range(0, n + 1)) as i)")
 def interpolate(spark, sf_dir):
-    rows = tb.segments(spark, sf_dir).select("seg_id", F.posexplode(v.interpolated(A, B, 20_000)).alias("i", "p"))
+    rows = tb.segments(spark, sf_dir).select("seg_id", F.posexplode(v.interpolated(_a(), _b(), 20_000)).alias("i", "p"))
     return rounded(rows.select("seg_id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")), 4)
 
 
@@ -121,7 +128,7 @@ def _strategies(spark):
 
 def _ahead(spark, sf_dir):
     rows = tb.segments(spark, sf_dir).crossJoin(F.broadcast(_strategies(spark)))  # four rows
-    return rows.withColumn("p", A).withColumn("u", v.unit_direction(A, B))
+    return rows.withColumn("p", _a()).withColumn("u", v.unit_direction(_a(), _b()))
 
 
 @query(f"""{BOX}, c as (select *, ax + ux * f * 250000 - uy * l * 250000 as cx, ay + uy * f * 250000 + ux * l * 250000 as cy from u, st),
@@ -153,7 +160,7 @@ FIT = f"{SEG}, b as (select seg_id, least(ax, bx) - 1000 as x0, least(ay, yb) -
 
 def _canvas(spark, sf_dir):
     bounds = F.struct((F.least("ax", "bx") - 1000).alias("xmin"), (F.least("ay", "by") - 1000).alias("ymin"), (F.greatest("ax", "bx") + 1000).alias("xmax"), (F.greatest("ay", "by") + 1000).alias("ymax"))
-    return tb.segments(spark, sf_dir).withColumn("t", bx.canvas(bounds, 800, 800, 50)).withColumn("a", A)
+    return tb.segments(spark, sf_dir).withColumn("t", bx.canvas(bounds, 800, 800, 50)).withColumn("a", _a())
 
 
 @query(f"{FIT} select seg_id, round(k, 8) as scale, round(50 - x0 * k, 5) as offset_x, round(750 + y0 * k, 5) as offset_y, round(ax * k + 50 - x0 * k, 4) as px, round(750 + y0 * k - ay * k, 4) as py, ax as back_x from t")
