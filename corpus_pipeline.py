@@ -1,7 +1,8 @@
 """A training corpus out of `documents`: quality, near-duplicates, benchmark passages, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
-the next. All but the last return the columns of docs. Stages work on whatever their predecessor kept.
+the next. All but the last return the columns of docs. Stages work on whatever their predecessor kept. As docs are always a
+table that has been written, a stage first removes the scratch tables of those before it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from galewise.llm import decontamination, mixing, quality, sharding, simhash
-from galewise.llm.common import read_table, written
+from galewise.llm.common import drop_scratch, read_table, written
 
 #: Near-duplicates of the pipeline: shingles of five words; close in any of four fingerprints, where texts of a lower similarity than
 #: 0.8 seldom are.
@@ -18,26 +19,31 @@ SHINGLE, MAX_BITS, LANES = 5, 4, 4
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier's rejects go."""
+    drop_scratch(spark)
     return quality.selected(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    drop_scratch(spark)
     return simhash.deduplicated(docs, words_per_shingle=SHINGLE, max_bits=MAX_BITS, lanes=LANES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of the benchmark go."""
+    drop_scratch(spark)
     return decontamination.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or left out, so that sources meet their target weights."""
+    drop_scratch(spark)
     return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row gets its shard."""
+    drop_scratch(spark)
     return sharding.with_shards(docs)
 
 
@@ -59,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs, _ = written(docs, name)
+            docs, _ = written(docs, name, keep=True)
     return docs

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galewise.sources import shared
+from galewise.sources.shared import drop_path, new_path
+
+__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "native_word_count", "new_path", "per_batch", "read_table", "small_batches", "strings_of", "texts_of", "written"]
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A-Z to a-z; bytes outside [0-9a-z\x80-\xFF] to a space, so that split() gives the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -21,47 +23,26 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: Rows of an Arrow batch: long texts must not meet by the ten thousand in one worker.
 BATCH_ROWS = 512
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, one machine)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="galewise-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove_local, found)
-    return found.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/galewise/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back. A lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def written(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. A lost executor costs no recomputation. Unless it is
+    to be kept, drop_scratch removes it."""
+    out, path = shared.written(df, name)
+    if not keep:
+        _scratch.append(path)
+    return out, path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table of written() that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables of written() so far: for callers that know that whatever was planned on them has been written."""
+    while _scratch:
+        drop_path(spark, _scratch.pop())
 
 
 def small_batches(spark: SparkSession) -> None:

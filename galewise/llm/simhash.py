@@ -299,4 +299,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = own.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first"))
     roots = fingerprint_roots(own, max_bits, block, lanes, "_fp")
     chosen, _ = written(classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")), "chosen")
-    return own.join(chosen, "_row", "left_semi").select(*keep)
+    # one plan for all sizes: texts are shuffled once, never held against a table sent to all tasks
+    return own.join(chosen.hint("merge"), "_row", "left_semi").select(*keep)
