@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from galewise.llm import decontamination, mixing, quality, sharding, simhash
 from galewise.llm.common import drop_scratch, read_table, written
 
-#: Near-duplicates of the pipeline: shingles of five words; close in any of four fingerprints, where texts of a lower similarity than
-#: 0.8 seldom are.
-SHINGLE, MAX_BITS, LANES = 5, 4, 4
+#: Near-duplicates of the pipeline: shingles of five words, similar by about 0.8 or more.
+SHINGLE = 5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     drop_scratch(spark)
-    return simhash.deduplicated(docs, words_per_shingle=SHINGLE, max_bits=MAX_BITS, lanes=LANES)
+    return simhash.deduplicated(docs, words_per_shingle=SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galewise.sources import shared
 from galewise.sources.shared import drop_path, new_path
 
-__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "native_word_count", "new_path", "per_batch", "read_table", "small_batches", "strings_of", "texts_of", "written"]
+__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "small_batches", "strings_of", "texts_of", "written"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -26,6 +26,14 @@ BATCH_ROWS = 512
 _scratch: list[str] = []
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,6 @@ chain, each adding to the hits that the one before has found.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER_WORDS, per_batch, small_batches, texts_of
+from galewise.llm.common import LOWER_WORDS, fresh, per_batch, small_batches, texts_of
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to all tasks at once.
@@ -124,13 +123,16 @@ def _pieces(most: int):
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs and the columns _n_words long, _hit array<struct<start,end>> (ranges of hit words, disjoint and sorted), _items
-    array<string> (item ids as strings, sorted, distinct)."""
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """docs with the columns n_words long, hit array<struct<start,end>> (ranges of hit words, disjoint and sorted) and items
+    array<string> (item ids as strings, sorted, distinct), and the names that these have."""
+    names: list[str] = []
+    for name in ("_n_words", "_hit", "_items"):
+        names.append(fresh([*docs.columns, *names], name))
     spark = docs.sparkSession
     small_batches(spark)
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<struct<start:long,end:long>>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     at, n = docs.columns.index(text_col), len(docs.columns)
     for block in benchmark_blocks(benchmark, item_id_col, item_text_col, block_bytes):
         search = spark.sparkContext.broadcast(matchers([(r[0], (r[1] or "").encode()) for r in block.collect()]))  # a block's size is bounded by benchmark_blocks
@@ -149,7 +151,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
             return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(found, ranges), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
         out = out.mapInArrow(per_batch(run), out.schema)
-    return out
+    return out, names
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -160,15 +162,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of their own length. Items with equal texts are all reported. A null item id counts as the empty string. Repeated documents
     give repeated rows; columns besides those named are ignored.
     """
-    found = marked(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), benchmark, text_col, item_id_col, item_text_col, block_bytes)
-    n_hit = F.aggregate("_hit", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    joined = F.array_join("_items", ",")
-    return found.select(F.col(id_col), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("_hit").alias("hit_ranges"), F.col("_items").alias("items"))
+    found, (n_words, hit, items) = marked(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), benchmark, text_col, item_id_col, item_text_col, block_bytes)
+    n_hit = F.aggregate(hit, F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    joined = F.array_join(items, ",")
+    return found.select(F.col(id_col), F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col(hit).alias("hit_ranges"), F.col(items).alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated ones, with the same columns."""
-    return marked(docs, benchmark, text_col, item_id_col, item_text_col, block_bytes).filter(F.size("_hit") == 0).select(*docs.columns)
-
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
+    found, (_, hit, _) = marked(docs, benchmark, text_col, item_id_col, item_text_col, block_bytes)
+    return found.filter(F.size(hit) == 0).select(*docs.columns)

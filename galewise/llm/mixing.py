@@ -61,7 +61,7 @@ def _step(cells: DataFrame, cap: float) -> DataFrame:
     met = cells.withColumn("r", rate(cap)).withColumn("tokens", F.col("n") * F.col("size") * F.col("r"))
     met = met.withColumn("f", F.sum("tokens").over(every) - F.col("target")).withColumn("g", F.sum(F.when(F.col("r") < cap, F.col("tokens") * F.col("z")).otherwise(0.0)).over(every))
     met = met.withColumn("lo", F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") < 0, F.col("hi")).otherwise(F.col("lam")))
-    newton = F.when(F.col("g") > 0, F.col("lam") - F.col("f") / F.col("g"))
+    newton = F.when(F.col("g") > 0, F.col("lam") - F.try_divide("f", "g"))
     inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
     between = F.when(F.col("lo") <= -1e9, 2 * F.col("hi") - 1).when(F.col("hi") >= 1e9, 2 * F.col("lo") + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
     error = F.when(_settled(cap), 0.0).otherwise(F.abs("f") / F.greatest("target", F.lit(1.0)))
@@ -77,7 +77,7 @@ def solved(cells: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
     """(key, size, n, source_size, target, z, lam): the cells with their sources' multipliers. Cells are dealt by source once; the steps of
     a job follow each other without a shuffle. A source has no more cells than its documents have sizes."""
     spark = cells.sparkSession
-    now = cells.select("key", "size", "n").join(aims, "key").withColumn("z", F.coalesce(F.col("size") * F.col("docs") / F.col("source_size"), F.lit(0.0))).drop("docs")
+    now = cells.select("key", "size", "n").join(aims, "key").withColumn("z", F.coalesce(F.try_divide(F.col("size") * F.col("docs"), F.col("source_size")), F.lit(0.0))).drop("docs")
     now = now.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-1e12)).withColumn("hi", F.lit(1e12)).withColumn("error", F.lit(1.0))
     path = None
     for _ in range(ROUNDS):
@@ -105,7 +105,7 @@ def copies_of_cells(cells: DataFrame, cap: float = CAP) -> DataFrame:
     up = W.partitionBy("key").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
     met = met.withColumn("free", free)
     left = F.abs("rest") - F.coalesce(F.sum(F.col("free") * F.col("size")).over(up), F.lit(0))
-    more = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("free"), F.greatest(F.lit(0), F.floor(left / F.col("size") + 0.5))))
+    more = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("free"), F.greatest(F.lit(0), F.floor(F.try_divide(left, F.col("size")) + 0.5))))
     return met.select("key", "size", "n", (F.col("k") + F.signum("rest").cast("long") * more).cast("long").alias("k"), "source_size", "target", "rate")
 
 

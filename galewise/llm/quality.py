@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, per_batch, small_batches, texts_of
+from galewise.llm.common import LOWER, fresh, per_batch, small_batches, texts_of
 from galewise.llm.learning import Adam, Rows, held_out, labelled_sample, sigmoid
 
 #: Most labelled documents that the model is fitted on.
@@ -137,8 +137,11 @@ class _Scorer:
         return total / np.maximum(n, 1) + w[FEW] / (1 + n)
 
 
-def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: str = "text", score: str = "_expected", tail: str = "_tail") -> DataFrame:
-    """docs and the expected grade and tail probability of each row. Null and empty texts are judged by having no words."""
+def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with the expected grade and tail probability of each row, and the names of these columns. Null and empty texts are judged by
+    having no words."""
+    score = fresh(docs.columns, "_expected")
+    tail = fresh([*docs.columns, score], "_tail")
     small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(tail, T.DoubleType())])
@@ -149,7 +152,7 @@ def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: st
             expected, p = sent.value.judged(scorer(texts_of(batch.column(at))), at_least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(p)], names=[*batch.schema.names, score, tail])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), score, tail
 
 
 def graded(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_least: int = 1, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -159,11 +162,12 @@ def graded(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_le
     nothing is kept unless at_least is 0. Other columns are ignored.
     """
     model = fit(docs, labels, label_col, id_col, text_col, train_rows)
-    own = with_grades(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), model, at_least, text_col)
-    return own.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col("_expected").alias("expected_grade"), F.col("_tail").alias("p_selected"), (F.col("_tail") >= keep_from).alias("kept"))
+    own, score, tail = with_grades(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), model, at_least, text_col)
+    return own.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col(score).alias("expected_grade"), F.col(tail).alias("p_selected"), (F.col(tail) >= keep_from).alias("kept"))
 
 
 def selected(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_least: int = 1, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that the classifier keeps, with the same columns."""
     model = fit(docs, labels, label_col, id_col, text_col, train_rows)
-    return with_grades(docs, model, at_least, text_col).filter(F.col("_tail") >= keep_from).select(*docs.columns)
+    own, _, tail = with_grades(docs, model, at_least, text_col)
+    return own.filter(F.col(tail) >= keep_from).select(*docs.columns)

@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, drop_path, per_batch, small_batches, texts_of, written
+from galewise.llm.common import LOWER, drop_path, fresh, per_batch, small_batches, texts_of, written
 
 BITS = 64
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
+#: Lanes of the deduplicating stage besides fp, differing bits of fp up to which they may link, and the share of all lanes' bits that may
+#: differ: texts of a similarity of 0.8 differ in 0.15 of them, of 0.7 in 0.19, of 0.6 in 0.23.
+LANES, LANE_REACH, MOST_DIFFERENT = 4, 12, 0.17
 #: Fingerprints of one variant that a task compares at once.
 BLOCK = 4096
 #: Groups of over this many are searched by reach, smaller ones by all their pairs.
@@ -97,41 +100,49 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle
 def segments(max_bits: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of each segment."""
     n = max_bits // 2 + 1
+    if not 2 <= max_bits < BITS // 2:
+        raise ValueError("two differing bits at least: else there is one segment, which a key can't hold")
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def variant_keys(fp: F.Column, max_bits: int) -> F.Column:
-    """Array of the keys of all one-wildcard variants of all segments: hash-free, `segment, deleted bit, rest` packed in a long."""
+def variant_keys(fp: F.Column, max_bits: int, lane: int = 0) -> F.Column:
+    """Array of the keys of all one-wildcard variants of all segments: deleted bit, lane and rest packed in a long."""
     keys = []
-    for s, (low, width) in enumerate(segments(max_bits)):
+    for low, width in segments(max_bits):
         value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
             rest = F.shiftleft(F.shiftrightunsigned(value, bit + 1), bit).bitwiseOR(value.bitwiseAND(F.lit((1 << bit) - 1)))
-            keys.append(rest.bitwiseOR(F.lit((low + bit) << 56 if width <= 56 else 0)) if width <= 56 else F.xxhash64(F.lit(s), F.lit(bit), rest))
+            keys.append(rest.bitwiseOR(F.lit(((low + bit) << 56) + (lane << 48))))
     return F.array(*keys)
 
 
-def _hot_variants(prints: DataFrame, max_bits: int, block: int) -> DataFrame:
+def _hot_variants(prints: DataFrame, max_bits: int, block: int, index: list[str]) -> DataFrame:
     """Variant keys that may hold over `block` fingerprints, with a bound on how many: counted per whole segment value, of
     which a variant joins two, so that only a row for each segment is shuffled, and not one for each variant."""
     cut = segments(max_bits)
-    values = F.array(*[F.struct(F.lit(s).alias("s"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for s, (low, width) in enumerate(cut)])
-    crowded = prints.select(F.explode(values).alias("x")).groupBy("x.s", "x.v").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
-    spread = None
-    for s, (low, _) in enumerate(cut):
-        part = crowded.filter(F.col("s") == s).select(F.shiftleft("v", low).alias("fp"), "n")
-        at = sum(w for _, w in cut[:s])
-        part = part.select(F.explode(F.slice(variant_keys(F.col("fp"), max_bits), at + 1, cut[s][1])).alias("key"), "n")
-        spread = part if spread is None else spread.unionByName(part)
+    places = [(lane, s) for lane in range(len(index)) for s in range(len(cut))]
+
+    def value(lane: int, s: int) -> F.Column:
+        low, width = cut[s]
+        return F.struct(F.lit(lane).alias("lane"), F.lit(s).alias("s"), F.shiftrightunsigned(index[lane], low).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
+
+    values = F.array(*[value(lane, s) for lane, s in places])
+    crowded = prints.select(F.explode(values).alias("x")).groupBy("x.lane", "x.s", "x.v").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
+    keys = None
+    for lane, s in places:
+        own = F.slice(variant_keys(F.shiftleft("v", cut[s][0]), max_bits, lane), sum(w for _, w in cut[:s]) + 1, cut[s][1])
+        keys = F.when((F.col("lane") == lane) & (F.col("s") == s), own) if keys is None else keys.when((F.col("lane") == lane) & (F.col("s") == s), own)
+    spread = crowded.select(F.explode(keys).alias("key"), "n")
     return spread.groupBy("key").agg((F.sum("n") + block // 2).alias("n")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
 
 
 class _Forest:
-    """Union-find over fingerprints; the smallest is the root."""
+    """Union-find over fingerprints; keeps the links that joined two trees."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self.up
@@ -141,9 +152,10 @@ class _Forest:
         return x
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((max(a, b), min(a, b)))
 
 
 def _verified(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _Forest) -> None:
@@ -180,14 +192,18 @@ def _verified_crowd(side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _F
             left = left[~close]
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index: list[str] | None = None, reach: int | None = None) -> DataFrame:
     """(hi, lo): a forest of links between distinct fingerprints `fp` that spans each component of the verified links which its
-    task has seen. No link that could join two components is lost."""
+    task has seen. No link that could join two components is lost.
+
+    index: the columns whose segment variants bring fingerprints together (fp itself). reach: differing bits of fp up to which
+    such a meeting is a link (max_bits)."""
+    index, reach = index or ["fp"], max_bits if reach is None else reach
     spark = prints.sparkSession
     # dealt out anew: a few small partitions would each be exploded into all variants of very many fingerprints
     prints = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
-    rows = prints.select("fp", F.explode(variant_keys(F.col("fp"), max_bits)).alias("key"))
-    hot, _ = written(_hot_variants(prints, max_bits, block), "hot-variants")
+    rows = prints.select("fp", F.explode(F.concat(*[variant_keys(F.col(c), max_bits, k) for k, c in enumerate(index)])).alias("key"))
+    hot, _ = written(_hot_variants(prints, max_bits, block, index), "hot-variants")
     n_hot = hot.count()
     none = F.lit(0).cast("int")
     if n_hot:
@@ -214,12 +230,11 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
             end = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if end:
-                _verified(group[:end], side[:end], fps[:end], max_bits, forest)
+                _verified(group[:end], side[:end], fps[:end], reach, forest)
             kept = [x[end:] for x in now]
         if kept is not None and len(kept[0]):
-            _verified(np.zeros(len(kept[0]), dtype=np.int64), kept[4], kept[0], max_bits, forest)
-        found = [(x, forest.root(x)) for x in list(forest.up)]
-        found = [x for x in found if x[0] != x[1]]
+            _verified(np.zeros(len(kept[0]), dtype=np.int64), kept[4], kept[0], reach, forest)
+        found = forest.links
         for at in range(0, len(found), 50_000):
             part = found[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], names=["hi", "lo"])
@@ -252,22 +267,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, lanes: int = 1, name: str = "fp") -> DataFrame:
-    """(fp, root) for the distinct fingerprints `name` of the first lane: the smallest fingerprint of its component.
+def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(fp, root) for the distinct fingerprints `fp`: the smallest fingerprint of its component."""
+    own = prints.select("fp").distinct()
+    nodes = components(links(own, max_bits, block))
+    return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
-    With further lanes, two documents link if their fingerprints are close in any lane: all lanes' fingerprints are nodes, and a
-    document's own are joined where any of them has a link. (Fingerprints of different lanes are close by chance alone, as those of
-    unrelated texts are.)"""
-    names = [f"{name}{k or ''}" for k in range(lanes)]
-    own = prints.select(F.col(name).alias("fp")).distinct()
-    if lanes == 1:
-        nodes = components(links(own, max_bits, block))
-    else:
-        every = prints.select(F.explode(F.array(*names)).alias("fp")).distinct()
-        found, _ = written(links(every, max_bits, block), "links")
-        tied = prints.select(F.col(name).alias("hi"), F.explode(F.array(*names[1:])).alias("lo")).distinct()
-        ends = found.select(F.col("hi").alias("lo")).union(found.select("lo")).distinct()
-        nodes = components(found.unionByName(tied.join(ends, "lo", "left_semi").select("hi", "lo")))
+
+def lane_roots(prints: DataFrame, lanes: int, max_bits: int = MAX_BITS, block: int = BLOCK, reach: int = LANE_REACH, most: float = MOST_DIFFERENT) -> DataFrame:
+    """(fp, root) for the distinct fingerprints `fp` of rows with further lanes `fp1` and so on.
+
+    The lanes' segment variants bring fingerprints together, which are then compared twice: on fp, where they meet, and on all lanes'
+    bits, a share of `most` of which may differ. Of rows with equal fp one stands for all."""
+    names = [f"fp{k}" for k in range(1, lanes + 1)]
+    own, _ = written(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("x")).select("fp", "x.*"), "lanes")
+    met = links(own, max_bits, block, names, reach)
+    side = lambda end: own.select(F.col("fp").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names])
+    differ = sum((F.bit_count(F.col(f"hi_{n}").bitwiseXOR(F.col(f"lo_{n}"))) for n in names), F.lit(0))
+    verified = met.join(side("hi"), "hi").join(side("lo"), "lo").filter(differ <= int(most * BITS * lanes)).select("hi", "lo")
+    nodes = components(verified)
     return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -285,19 +303,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS, block: int = BLOCK, lanes: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
     """docs with one row of each near-duplicate component: that with the smallest id (nulls last; of repeated ids the first as
     written). The columns are those of docs.
 
-    Documents link where their fingerprints are close in any of `lanes` independent lanes: one lane of 64 bits finds a half to two
-    thirds of the copies that differ in one word of thirty, and four find nearly all. Null and empty texts are copies of each other.
+    Texts link at about a similarity of 0.8 of their shingles and more, as lane_roots judges it by independent lanes of
+    fingerprints. Null and empty texts are copies of each other.
     """
     keep = docs.columns
-    marked = with_fingerprints(docs, text_col, words_per_shingle, lanes, "_fp").withColumn("_row", F.monotonically_increasing_id())
+    fp, row = fresh([*keep, *[f"_fp{k}" for k in range(1, lanes + 1)]], "_fp"), fresh(keep, "_row")
+    while any(f"{fp}{k}" in keep for k in range(1, lanes + 1)):
+        fp = f"_{fp}"
+    marked = with_fingerprints(docs, text_col, words_per_shingle, lanes + 1, fp).withColumn(row, F.monotonically_increasing_id())
     own, _ = written(marked, "fingerprinted")  # written, so that row numbers stay as they are when a task is run again
-    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("row"))
-    classes = own.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first"))
-    roots = fingerprint_roots(own, max_bits, block, lanes, "_fp")
-    chosen, _ = written(classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")), "chosen")
+    prints = own.select(F.col(fp).alias("fp"), *[F.col(f"{fp}{k}").alias(f"fp{k}") for k in range(1, lanes + 1)])
+    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("row"))
+    classes = own.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"))
+    roots = lane_roots(prints, lanes, max_bits, block)
+    chosen, _ = written(classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "chosen")
     # one plan for all sizes: texts are shuffled once, never held against a table sent to all tasks
-    return own.join(chosen.hint("merge"), "_row", "left_semi").select(*keep)
+    return own.join(chosen.hint("merge"), row, "left_semi").select(*keep)

@@ -39,7 +39,8 @@ SIGNS = {
 _CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], dtype=np.int64)
 _SUSPECT = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(<€£¡*#%асеіорѕтухоαει]|.*([a-z])\1\1|(?:[a-z][.\-_*~/\\])+[a-z]$)")
 _EDGE = " .,;:?\"'()[]{}"
-_JUNK_END = re.compile(r"(?:[%&*#$]{2,}|!{2,})$")
+_JUNK_END = re.compile(r"(?:[%&*#$]{3,}|!{2,})$")
+_DOUBLE = re.compile(r"(.)\1")
 _CUT = ".-_*~/\\'`^"
 
 
@@ -93,8 +94,8 @@ def restore(word: str, model: CharModel) -> str:
         if "a" <= sign <= "z":
             ways = [(sign * times, 0.0)] if times <= 2 else [(sign, 0.5), (sign * 2, 1.0)]
         elif sign in SIGNS:
-            ways = [(letter * k, 0.4 + 0.3 * rank + (2.0 if k < times else 0.0)) for rank, letter in enumerate(SIGNS[sign]) for k in {1, min(times, 2)}]
-            ways.append(("", 6.0))
+            ways = [(letter * k, 0.4 + 0.3 * rank + (8.0 if k < times else 0.0)) for rank, letter in enumerate(SIGNS[sign]) for k in {1, min(times, 2)}]
+            ways.append(("", 12.0))
         else:
             ways = [("", 0.2 if sign in _CUT else 1.0)]
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -137,7 +138,8 @@ class Features:
         found = hashed(word)
         if _SUSPECT.match(word):
             clean = word.rstrip("!*#%$")
-            for text in {restore(word, self.model), restore(clean, self.model)}:
+            meant = {restore(word, self.model), restore(clean, self.model)}
+            for text in meant | {_DOUBLE.sub(r"\1", x) for x in meant}:
                 if len(text) > 2:
                     found += hashed(text)
         return tuple(x for x in found if self.only is None or x in self.only)
