@@ -166,7 +166,8 @@ def conover(results: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranked = rows.withColumn("rx", midrank(by, x)).withColumn("ry", midrank(by, y))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    # null where one side is constant
+    return ranked.groupBy(*by).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def mcnemar(results: DataFrame) -> DataFrame:
