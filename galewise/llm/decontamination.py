@@ -172,3 +172,20 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """docs without the contaminated ones, with the same columns."""
     found, (_, hit, _) = marked(docs, benchmark, text_col, item_id_col, item_text_col, block_bytes)
     return found.filter(F.size(hit) == 0).select(*docs.columns)
+
+
+_AZ, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The same in SQL: all windows of documents joined with those of items.
+ORACLE = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+items as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from (select *, least({WINDOW}, len(w)) as n from b where len(w) > 0) x, lateral (select unnest(range(1, len(w) - n + 2)) as i)),
+sizes as (select distinct n from items),
+places as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win from d, sizes, lateral (select unnest(range(1, len(w) - n + 2)) as i) where len(w) >= n),
+met as (select p.doc_id, p.i, p.n, x.item_id from places p join items x on p.n = x.n and p.win = x.win),
+hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from met) group by 1),
+own as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from met) group by 1)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join own using (doc_id)
+"""

@@ -69,4 +69,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op2_sharding": sharding.ORACLE}
