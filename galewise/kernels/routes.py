@@ -243,6 +243,7 @@ class Rules:
     tolerance: float = 5_000.0
     neighbours: int = 10
     tuner: str | None = None
+    correct: bool = False
 
 
 def corners(keys: list[Obstacles], rules: Rules) -> np.ndarray:
@@ -260,6 +261,22 @@ def outside(p: Point, o: Obstacles, vertices) -> Point:
     return p
 
 
+def corrected(segment: list[Point], rest: list[Point], now: Obstacles, after: Obstacles, vertices) -> tuple[list[Point], bool]:
+    """The segment, led out of an obstacle in which its end would stand at the next key: from its last point outside both keys' obstacles to
+    the first point outside of what is left of the path, or to the nearest free vertex. True where nothing was changed."""
+    both = Obstacles([*now.rings, *after.rings])
+    if not segment or after.holder(segment[-1]) is None:
+        return segment, True
+    free = [i for i, p in enumerate(segment) if both.holder(p) is None]
+    nearest = outside(segment[-1], both, vertices)
+    entry = segment[free[-1]] if free else nearest
+    target = next((p for p in rest if both.holder(p) is None), nearest)
+    way = seen_route([tuple(p) for p in np.asarray(vertices).reshape(-1, 2).tolist()], [now, after], entry, target)
+    if way is None:
+        return segment, True
+    return [*(segment[: free[-1] + 1] if free else [entry]), *way[1:]], False
+
+
 def take_step(flight: Flight, end: Point, keys: list[Obstacles], rules: Rules, master: Master, vertices) -> bool:
     """Plan over the window of keys that begins now, and fly one step. False where the run is over."""
     window = range(flight.t, min(flight.t + rules.window, len(keys)))
@@ -273,7 +290,12 @@ def take_step(flight: Flight, end: Point, keys: list[Obstacles], rules: Rules, m
         return False
     if rules.tuner:
         path = TUNERS[rules.tuner](path, keys, rules.step, flight.t)
-    done, _ = cut(path, rules.step)
+    done, rest = cut(path, rules.step)
+    if rules.correct and flight.t + 1 < len(keys) and done[-1] != aim:
+        led, same = corrected(done, rest, keys[flight.t], keys[flight.t + 1], vertices)
+        if not same:
+            done, _ = cut(led, rules.step)
+            flight.intermediate = False
     flight.segments.append(done if start == flight.position else [flight.position, *done])
     flight.position = end if aim != end and math.dist(done[-1], aim) < 1e-6 else done[-1]
     flight.t += 1

@@ -35,7 +35,7 @@ def experiments(scenarios: DataFrame, windows: tuple[int, ...], configs: tuple[s
 
 
 def fly(runs: DataFrame, scenes: DataFrame, rules: routes.Rules = routes.Rules(), masking: str | None = None, mode: str = "deterministic", side: float = 250_000.0) -> DataFrame:
-    """Results of all runs. config: master, greedy or smooth. With masking, only obstacles in the box ahead are known; mode predictive knows
+    """Results of all runs. config: master, greedy, smooth, or corrected (a step's end is led out of the next key's obstacles). With masking, only obstacles in the box ahead are known; mode predictive knows
     the current ones and takes them to stay. A run that fails with an error becomes a row with the error and no path."""
     met = runs.join(scenes, "scene").select("run_id", "scene", "window_size", "direction", "config", "sx", "sy", "ex", "ey", "keys")
     met = met.repartition(max(1, met.sparkSession.sparkContext.defaultParallelism * 4), "run_id")  # runs differ in cost by far
@@ -43,7 +43,7 @@ def fly(runs: DataFrame, scenes: DataFrame, rules: routes.Rules = routes.Rules()
     def one(row: dict) -> dict:
         out = {k: row[k] for k in ("run_id", "scene", "window_size", "direction", "config")} | {"path": [], "length": 0.0, "success": False, "success_intermediate": False, "is_pred_path_valid": None, "num_segments": 0, "error": None}
         keys = [routes.Obstacles([[(p["x"], p["y"]) for p in ring] for ring in rings]) for rings in row["keys"]]
-        own = routes.Rules(row["window_size"], rules.step, rules.buffer, rules.tolerance, rules.neighbours, None if row["config"] == "master" else row["config"])
+        own = routes.Rules(row["window_size"], rules.step, rules.buffer, rules.tolerance, rules.neighbours, row["config"] if row["config"] in routes.TUNERS else None, row["config"] == "corrected")
         start, end = (row["sx"], row["sy"]), (row["ex"], row["ey"])
         try:
             flight = routes.fly(start, end, keys, own) if masking is None else fly_masked(start, end, keys, own, masking, mode, side)

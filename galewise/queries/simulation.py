@@ -45,6 +45,12 @@ def fly_tuned(spark, sf_dir):
     return _flown(spark, sf_dir, configs=("greedy", "smooth"))
 
 
+@query()
+def fly_corrected(spark, sf_dir):
+    """Ends of steps are led out of obstacles that the next key brings."""
+    return _flown(spark, sf_dir, configs=("corrected",))
+
+
 @query()
 def fly_masked(spark, sf_dir):
     return _flown(spark, sf_dir, masking="wide")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galewise.operators import significance as sg
 from galewise.operators import statistics as st
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
@@ -193,3 +194,28 @@ def boxplot_stats(spark, sf_dir):
 def bootstrap_optimal(spark, sf_dir):
     """The first window whose bootstrap range overlaps the best one's; resampling has no SQL twin."""
     return st.first_overlapping(st.bootstrap_medians(tb.runs(spark, sf_dir), ["algorithm", "window_size"], 200))
+
+
+@query()
+def confidence_intervals(spark, sf_dir):
+    return rounded(sg.intervals(st.descriptive(tb.priced(spark, sf_dir))).select("algorithm", "mean", "ci_low", "ci_high"))
+
+
+@query()
+def paired_t_p(spark, sf_dir):
+    return rounded(sg.with_p(st.paired_t(st.deltas(tb.runs(spark, sf_dir))), "t", "t", "df").select("first", "second", "t", "p"))
+
+
+@query()
+def friedman_p(spark, sf_dir):
+    return rounded(sg.with_p(st.friedman(tb.runs(spark, sf_dir), KEY).withColumn("df", F.col("k") - 1), "chi2", "chi2", "df"))
+
+
+@query()
+def mcnemar_p(spark, sf_dir):
+    return rounded(sg.with_p(st.mcnemar(tb.runs(spark, sf_dir)).withColumn("df", F.lit(1)), "chi2", "statistic", "df"))
+
+
+@query()
+def normality_by_window(spark, sf_dir):
+    return rounded(sg.normality(st.residuals(tb.runs(spark, sf_dir)), ["algorithm", "window_size"], "residual"))

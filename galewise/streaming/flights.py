@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from galewise.kernels import routes
+from galewise.kernels.experiment import Experiment
 
 
 def hourly(observations: DataFrame, late: str = "50 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -45,3 +48,34 @@ def fly(frames: DataFrame, rules: routes.Rules = routes.Rules()) -> DataFrame:
         yield pd.DataFrame(out, columns=["run_id", "t", "x", "y", "done", "success"])
 
     return frames.groupBy("run_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+CLICKS = "experiment_id string, seq long, action string, x double, y double, ax double, ay double, bx double, by double"
+EXPERIMENT = "experiment_id string, seq long, t int, x double, y double, complete boolean, segments int, distance_m double"
+
+
+def experiments(clicks: DataFrame) -> DataFrame:
+    """A person's flights from a stream of actions (CLICKS, in order of seq for each experiment): a row for each confirmed segment. The state
+    is the actions' outcome, kept as text."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = _from_text(state.get[0]) if state.exists else None
+        out = []
+        for batch in batches:
+            for row in batch.sort_values("seq").itertuples(index=False):
+                now = now or Experiment((row.ax, row.ay), (row.bx, row.by)).started()
+                after = now.act(row.action, row.x, row.y)
+                if len(after.flown) > len(now.flown):
+                    out.append((key[0], row.seq, after.t, *after.position, after.complete, len(after.flown), sum(map(routes.length, after.flown))))
+                now = after
+        if now:
+            state.update((json.dumps(asdict(now)),))
+        yield pd.DataFrame(out, columns=["experiment_id", "seq", "t", "x", "y", "complete", "segments", "distance_m"])
+
+    return clicks.groupBy("experiment_id").applyInPandasWithState(step, EXPERIMENT, "text string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _from_text(text: str) -> Experiment:
+    raw = json.loads(text)
+    pair = lambda v: None if v is None else tuple(v)
+    return Experiment(**raw | {k: pair(raw[k]) for k in ("a", "b", "position", "heading", "layers")} | {"drawn": tuple(map(tuple, raw["drawn"])), "flown": tuple(tuple(map(tuple, s)) for s in raw["flown"])})
