@@ -41,7 +41,7 @@ class Rows:
 
     def __init__(self, features: np.ndarray, values: np.ndarray, lengths: np.ndarray, size: int) -> None:
         self.features, self.values, self.size = features, values, size
-        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.n = len(lengths)
 
     def times(self, w: np.ndarray) -> np.ndarray:

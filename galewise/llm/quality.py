@@ -103,14 +103,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [text_features(t) for t in texts_of(batch.column(0))]
-        columns = [batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))]
+        columns = [batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))]
         return pa.RecordBatch.from_arrays(columns, names=["label", "features", "rates"])
 
-    rows = labelled_sample(docs, labels, label_col, train_rows, id_col, text_col).mapInArrow(per_batch(run), "label int, features array<long>, rates array<double>").toArrow().combine_chunks()
-    column = lambda name: rows.column(name).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type)
-    lengths = np.asarray(column("features").value_lengths(), dtype=np.int64)
-    x = Rows(np.asarray(column("features").flatten()), np.asarray(column("rates").flatten()), lengths, SIZE)
-    return Ordinal.fit(x, np.asarray(column("label")))
+    rows = labelled_sample(docs, labels, label_col, train_rows, id_col, text_col).mapInArrow(per_batch(run), "label int, features array<int>, rates array<float>").toArrow().combine_chunks()
+    label, features, rates = (rows.column(name).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type) for name in ("label", "features", "rates"))
+    x = Rows(np.asarray(features.flatten()), np.asarray(rates.flatten()), np.asarray(features.value_lengths(), dtype=np.int64), SIZE)
+    y = np.asarray(label)
+    del rows, label, features, rates
+    model = Ordinal.fit(x, y)
+    pa.default_memory_pool().release_unused()  # the driver has more to do
+    return model
 
 
 class _Scorer:

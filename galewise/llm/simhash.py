@@ -106,34 +106,28 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def variant_keys(fp: F.Column, max_bits: int, lane: int = 0) -> F.Column:
-    """Array of the keys of all one-wildcard variants of all segments: deleted bit, lane and rest packed in a long."""
-    keys = []
-    for low, width in segments(max_bits):
-        value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        for bit in range(width):
-            rest = F.shiftleft(F.shiftrightunsigned(value, bit + 1), bit).bitwiseOR(value.bitwiseAND(F.lit((1 << bit) - 1)))
-            keys.append(rest.bitwiseOR(F.lit(((low + bit) << 56) + (lane << 48))))
-    return F.array(*keys)
+#: A variant's key: which bit is deleted, the lane, and the rest of the segment, in one long.
+_KEY = "shiftleft(shiftrightunsigned(v, b + 1), b) | (v & (shiftleft(1L, b) - 1)) | shiftleft(cast(low + b as bigint), 56) | shiftleft(cast(lane as bigint), 48)"
+
+
+def _segment_values(index: list[str], max_bits: int) -> F.Column:
+    """Array of the segments of the columns in index: lane, lowest bit, width and value."""
+    return F.array(*[
+        F.struct(F.lit(lane).alias("lane"), F.lit(low).alias("low"), F.lit(width).alias("width"), F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << width) - 1)).cast("long").alias("v"))
+        for lane, c in enumerate(index) for low, width in segments(max_bits)
+    ])
+
+
+def _variants(rows: DataFrame, keep: str) -> DataFrame:
+    """(keep, key) for all one-wildcard variants of rows (keep, lane, low, width, v)."""
+    return rows.select(keep, "lane", "low", "v", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("b")).select(keep, F.expr(_KEY).alias("key"))
 
 
 def _hot_variants(prints: DataFrame, max_bits: int, block: int, index: list[str]) -> DataFrame:
     """Variant keys that may hold over `block` fingerprints, with a bound on how many: counted per whole segment value, of
     which a variant joins two, so that only a row for each segment is shuffled, and not one for each variant."""
-    cut = segments(max_bits)
-    places = [(lane, s) for lane in range(len(index)) for s in range(len(cut))]
-
-    def value(lane: int, s: int) -> F.Column:
-        low, width = cut[s]
-        return F.struct(F.lit(lane).alias("lane"), F.lit(s).alias("s"), F.shiftrightunsigned(index[lane], low).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-
-    values = F.array(*[value(lane, s) for lane, s in places])
-    crowded = prints.select(F.explode(values).alias("x")).groupBy("x.lane", "x.s", "x.v").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
-    keys = None
-    for lane, s in places:
-        own = F.slice(variant_keys(F.shiftleft("v", cut[s][0]), max_bits, lane), sum(w for _, w in cut[:s]) + 1, cut[s][1])
-        keys = F.when((F.col("lane") == lane) & (F.col("s") == s), own) if keys is None else keys.when((F.col("lane") == lane) & (F.col("s") == s), own)
-    spread = crowded.select(F.explode(keys).alias("key"), "n")
+    values = prints.select(F.explode(_segment_values(index, max_bits)).alias("x")).groupBy("x.lane", "x.low", "x.width", "x.v").agg(F.count("*").alias("n"))
+    spread = _variants(values.filter(F.col("n") > block // 2), "n")
     return spread.groupBy("key").agg((F.sum("n") + block // 2).alias("n")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
 
 
@@ -202,7 +196,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index
     spark = prints.sparkSession
     # dealt out anew: a few small partitions would each be exploded into all variants of very many fingerprints
     prints = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
-    rows = prints.select("fp", F.explode(F.concat(*[variant_keys(F.col(c), max_bits, k) for k, c in enumerate(index)])).alias("key"))
+    rows = _variants(prints.select("fp", F.explode(_segment_values(index, max_bits)).alias("x")).select("fp", "x.*"), "fp")
     hot, _ = written(_hot_variants(prints, max_bits, block, index), "hot-variants")
     n_hot = hot.count()
     none = F.lit(0).cast("int")
