@@ -12,7 +12,7 @@ from galewise.queries.spatial import BASE, CROSS, GAP, MEETS
 from galewise.sources import tables as tb
 
 QUERIES, ORACLES, query = registry()
-KNN = """kd as (select p.id as qid, q.id, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) as d from points p join points q on p.id <> q.id where p.id < 120 and q.id < 120),
+KNN = """kd as (select p.id as qid, q.id, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) as d from points p join points q on p.id <> q.id),
 kk as (select * from kd qualify row_number() over (partition by qid order by d, id) <= 6), edges as (select least(qid, id) as i, greatest(qid, id) as j, min(d) as w from kk group by 1, 2)"""
 VALID = f"""{BASE}, {KNN}, e as (select i, j, w, a.x as ax, a.y as ay, b.x as bx, b.y as yb from edges join points a on a.id = i join points b on b.id = j),
 t as (select unnest(range(0, 5))::integer as t_idx), x as (select e.*, b.*, {CROSS} from e, boxes b), bad as (select distinct i, j, t_idx from x where {MEETS}),
@@ -21,7 +21,7 @@ VALID = VALID.replace("select i, j, w, t_idx from e, t anti join bad using (i, j
 
 
 def _edges(spark, sf_dir):
-    p = tb.points(spark, sf_dir).filter("id < 120")
+    p = tb.points(spark, sf_dir)
     return sp.knn_edges(p, 6, 40_000.0), p
 
 
@@ -54,8 +54,8 @@ def shared_edges(spark, sf_dir):
     return valid.filter("t_idx = 0").select("i", "j").intersect(valid.filter("t_idx = 1").select("i", "j"))
 
 
-@query(f"""with recursive points as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y from embeddings),
-boxes as (select id as obstacle_id, x - 9000 as xmin, y - 9000 as ymin, x + 9000 as xmax, y + 9000 as ymax from points where id % 10 = 0),
+@query(f"""with recursive points as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y, label from embeddings),
+boxes as (select id as obstacle_id, x - 9000 as xmin, y - 9000 as ymin, x + 9000 as xmax, y + 9000 as ymax from points where label = 0),
 near as (select a.obstacle_id as a, b.obstacle_id as b from boxes a join boxes b on a.obstacle_id <> b.obstacle_id and {GAP} <= 50000),
 reach(id, other) as (select obstacle_id, obstacle_id from boxes union select r.id, n.b from reach r join near n on r.other = n.a)
 select id, min(other) as grp from reach group by 1""")
@@ -65,28 +65,28 @@ def storm_groups(spark, sf_dir):
     return gr.groups(b.select(F.col("obstacle_id").alias("id")), sp.close_pairs(b, 50_000))
 
 
-PATHS = """with recursive points as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y from embeddings where vec_id < 120),
+PATHS = """with recursive points as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y, label from embeddings),
 kd as (select p.id as qid, q.id, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) as d from points p join points q on p.id <> q.id),
 kk as (select * from kd qualify row_number() over (partition by qid order by d, id) <= 6),
 edges as (select least(qid, id) as i, greatest(qid, id) as j, min(d) as w from kk group by 1, 2),
 arcs as (select i, j, w from edges union all select j, i, w from edges),
-sp(source, node, distance, hop) as (select id, id, 0.0::double, 0 from points where id % 40 = 0
- union all select source, node, min(distance) as distance, hop from (select s.source, a.j as node, s.distance + a.w as distance, s.hop + 1 as hop from sp s join arcs a on a.i = s.node where s.hop < 16) group by source, node, hop)
+sp(source, node, distance, hop) as (select id, id, 0.0::double, 0 from points where label = 1
+ union all select source, node, min(distance) as distance, hop from (select s.source, a.j as node, s.distance + a.w as distance, s.hop + 1 as hop from sp s join arcs a on a.i = s.node where s.hop < 80) group by source, node, hop)
 """
 
 
-@query(PATHS + "select source as source, node as target, round(min(distance), 4) as distance from sp group by 1, 2 having source <> node and node % 7 = 1")
+@query(PATHS + "select source as source, node as target, round(min(distance), 4) as distance from sp group by 1, 2 having source <> node and node in (select id from points where label = 2)")
 def shortest_distance(spark, sf_dir):
     edges, p = _edges(spark, sf_dir)
-    wanted = p.filter("id % 40 = 0").select(F.col("id").alias("source")).join(p.filter("id % 7 = 1").select(F.col("id").alias("target")), F.col("source") != F.col("target"))
+    wanted = p.filter("label = 1").select(F.col("id").alias("source")).join(p.filter("label = 2").select(F.col("id").alias("target")), F.col("source") != F.col("target"))
     found = gr.shortest_paths(edges.withColumn("graph_id", F.lit(0).cast("long")), wanted.withColumn("graph_id", F.lit(0).cast("long")))
     return rounded(found.filter("distance is not null").select("source", "target", "distance"), 4)
 
 
-@query(PATHS + "select source as source, node as node, round(min(distance), 4) as distance from sp where source = 0 group by 1, 2")
+@query(PATHS + "select source as source, node as node, round(min(distance), 4) as distance from sp group by 1, 2")
 def distances_from(spark, sf_dir):
     edges, p = _edges(spark, sf_dir)
-    return rounded(gr.distances_from(edges, p.filter("id = 0").select(F.col("id").alias("source"))), 4)
+    return rounded(gr.distances_from(edges, p.filter("label = 1").select(F.col("id").alias("source"))), 4)
 
 
 def _cells(spark, sf_dir):

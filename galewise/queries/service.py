@@ -37,18 +37,18 @@ def experiment_totals(spark, sf_dir):
     return rounded(p.select("experiment", waypoints.alias("total_waypoints"), total.alias("total_distance_m")), 3)
 
 
-@query("select distinct strftime(o_orderdate, '%Y_%m_%d') as scene, dense_rank() over (order by strftime(o_orderdate, '%Y_%m_%d')) as place from orders where strftime(o_orderdate, '%Y_%m') = '1995_03'")
+@query("select distinct strftime(o_orderdate, '%Y_%m_%d') as scene, dense_rank() over (order by strftime(o_orderdate, '%Y_%m_%d')) as place from orders")
 def list_scenes(spark, sf_dir):
-    rows = tb.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy_MM_dd").alias("scene")).filter(F.col("scene").startswith("1995_03")).distinct()
+    rows = tb.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy_MM_dd").alias("scene")).distinct()
     return rows.withColumn("place", F.row_number().over(W.orderBy("scene")).cast("long"))
 
 
-@query(f"""{BASE}, s as (select * from segments where seg_id % 100 = 0), b as (select seg_id, least(ax, bx) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x0, greatest(ax, bx) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x1, least(ay, yb) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y0, greatest(ay, yb) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y1 from s)
+@query(f"""{BASE}, s as (select * from segments), b as (select seg_id, least(ax, bx) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x0, greatest(ax, bx) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x1, least(ay, yb) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y0, greatest(ay, yb) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y1 from s)
 select seg_id, round(x0 - (x1 - x0) * 0.1, 3) as xmin, round(y0 - (y1 - y0) * 0.1, 3) as ymin, round(x1 + (x1 - x0) * 0.1, 3) as xmax, round(y1 + (y1 - y0) * 0.1, 3) as ymax from b""")
 def corridor_bounds(spark, sf_dir):
     """Bounds of an experiment without obstacles."""
     none = F.array().cast("array<struct<xmin:double,ymin:double,xmax:double,ymax:double>>")
-    s = tb.segments(spark, sf_dir).filter("seg_id % 100 = 0")
+    s = tb.segments(spark, sf_dir)
     return rounded(s.select("seg_id", bx.grown_bounds(none, v.point(F.col("ax"), F.col("ay")), v.point(F.col("bx"), F.col("by"))).alias("g")).select("seg_id", "g.*"), 3)
 
 

@@ -16,8 +16,8 @@ N_KEYS = 8
 
 
 def _scenes(spark, sf_dir):
-    """Scenes of fifty points; every fifth point stands for a storm of 30 km that drifts east by 10 km a key."""
-    p = tb.points(spark, sf_dir).withColumn("scene", F.floor(F.col("id") / 50).cast("string")).filter("id % 5 = 0")
+    """Scenes of fifty points; the storms among them are 30 km wide and drift east by 10 km a key."""
+    p = tb.points(spark, sf_dir).withColumn("scene", F.floor(F.col("id") / 50).cast("string")).filter(F.col("label") == tb.STORM)
     rows = p.select("scene", F.col("id").alias("obstacle_id"), "x", "y", F.explode(F.sequence(F.lit(0), F.lit(N_KEYS - 1))).alias("t_idx")).withColumn("x", F.col("x") + 10_000 * F.col("t_idx"))
     corner = lambda dx, dy: v.point(F.col("x") + dx, F.col("y") + dy)
     ring = F.array(corner(-15_000, -15_000), corner(15_000, -15_000), corner(15_000, 15_000), corner(-15_000, 15_000))
@@ -30,7 +30,7 @@ def _scenarios(spark, sf_dir):
 
 
 def _flown(spark, sf_dir, **kw):
-    runs = routing.experiments(_scenarios(spark, sf_dir).filter("cast(scene as int) < 3"), (1, 3), kw.pop("configs", ("master",)))
+    runs = routing.experiments(_scenarios(spark, sf_dir), (1, 3), kw.pop("configs", ("master",)))
     out = routing.fly(runs, _scenes(spark, sf_dir), **kw)
     return out.select("run_id", "success", "success_intermediate", "is_pred_path_valid", "num_segments", F.round("length", 3).alias("length"), "error")
 
@@ -67,7 +67,7 @@ def static_routes(spark, sf_dir):
     return routing.static_routes(pairs, _scenes(spark, sf_dir), routes.Rules()).select("scene", "name", F.size("path").alias("n"), F.round("length", 3).alias("length"))
 
 
-@query(f"with {tb.POINTS}, s as (select (id // 50)::varchar as scene, id from points where id % 5 = 0), m as (select * from (values (1), (3)) t(w)), d as (select * from (values ('A->B'), ('B->A')) t(direction)) select distinct scene || '|' || direction || '|' || w || '|master' as run_id, scene, direction, w as window_size from s, m, d")
+@query(f"with {tb.POINTS}, s as (select (id // 50)::varchar as scene, id from points), m as (select * from (values (1), (3)) t(w)), d as (select * from (values ('A->B'), ('B->A')) t(direction)) select distinct scene || '|' || direction || '|' || w || '|master' as run_id, scene, direction, w as window_size from s, m, d")
 def experiment_grid(spark, sf_dir):
     return routing.experiments(_scenarios(spark, sf_dir), (1, 3), ("master",)).select("run_id", "scene", "direction", "window_size")
 

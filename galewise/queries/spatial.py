@@ -33,7 +33,7 @@ def first_containing(spark, sf_dir):
     return sp.points_inside(tb.points(spark, sf_dir), tb.boxes(spark, sf_dir)).groupBy("id").agg(F.min("obstacle_id").alias("obstacle_id"))
 
 
-@query(f"{BASE} select id, x, y from points p where not exists (select 1 from boxes b where x between xmin and xmax and y between ymin and ymax)")
+@query(f"{BASE} select id, x, y, label from points p where not exists (select 1 from boxes b where x between xmin and xmax and y between ymin and ymax)")
 def outside_prohibited(spark, sf_dir):
     p = tb.points(spark, sf_dir)
     return p.join(sp.points_inside(p, tb.boxes(spark, sf_dir), closed=True).select("id").distinct(), "id", "left_anti")
@@ -78,35 +78,35 @@ def knn_edges(spark, sf_dir):
     return rounded(sp.knn_edges(tb.points(spark, sf_dir), 10, 40_000.0), 5)
 
 
-ANCHORS = f"{BASE}, q as (select id as qid, x, y from points where id % 25 = 3), d as (select qid, id, q.x as ax, q.y as ay, p.x as bx, p.y as yb, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) as d from q, points p), k as (select * from d qualify row_number() over (partition by qid order by d, id) <= 10), x as (select k.*, b.*, {CROSS} from k, boxes b where t_idx = 0), bad as (select distinct qid, id from x where {MEETS})"
+ANCHORS = f"{BASE}, q as (select id as qid, x, y from points where label = 1), d as (select qid, id, q.x as ax, q.y as ay, p.x as bx, p.y as yb, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) as d from q, points p), k as (select * from d qualify row_number() over (partition by qid order by d, id) <= 10), x as (select k.*, b.*, {CROSS} from k, boxes b where t_idx = 0), bad as (select distinct qid, id from x where {MEETS})"
 
 
 @query(f"{ANCHORS} select qid, id, round(d, 5) as d from k anti join bad using (qid, id)")
 def visible_anchors(spark, sf_dir):
     """The ten nearest points of each query, without those that an obstacle hides."""
     p = tb.points(spark, sf_dir)
-    q = p.filter("id % 25 = 3").select(F.col("id").alias("qid"), "x", "y")
+    q = p.filter("label = 1").select(F.col("id").alias("qid"), "x", "y")
     near = sp.nearest(q, p, 10, 40_000.0)
     seg = near.join(q.select("qid", F.col("x").alias("ax"), F.col("y").alias("ay")), "qid").join(p.select("id", F.col("x").alias("bx"), F.col("y").alias("by")), "id")
     return rounded(sp.valid_segments(seg, tb.boxes(spark, sf_dir).filter("t_idx = 0").drop("t_idx"), [], ["qid", "id"]).select("qid", "id", "d"), 5)
 
 
-VIS = f"{BASE}, vx as (select * from points where id < 60), d as (select a.id as i, b.id as j, a.x as ax, a.y as ay, b.x as bx, b.y as yb from vx a join vx b on a.id < b.id), x as (select d.*, b.*, {CROSS} from d, boxes b where t_idx = 1), bad as (select distinct i, j from x where {MEETS})"
+VIS = f"{BASE}, vx as (select * from points), d as (select a.id as i, b.id as j, a.x as ax, a.y as ay, b.x as bx, b.y as yb from vx a join vx b on a.id < b.id), x as (select d.*, b.*, {CROSS} from d, boxes b where t_idx = 1), bad as (select distinct i, j from x where {MEETS})"
 
 
 @query(f"{VIS} select i, j, round(sqrt((ax - bx) ** 2 + (ay - yb) ** 2), 5) as w from d anti join bad using (i, j)")
 def visibility_graph(spark, sf_dir):
-    p = tb.points(spark, sf_dir).filter("id < 60")
+    p = tb.points(spark, sf_dir)
     a, b = p.select(F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
     pairs = a.join(b, F.col("i") < F.col("j"))
     seen = sp.valid_segments(pairs, tb.boxes(spark, sf_dir).filter("t_idx = 1").drop("t_idx"), [], ["i", "j"])
     return rounded(seen.select("i", "j", v.distance(v.point(F.col("ax"), F.col("ay")), v.point(F.col("bx"), F.col("by"))).alias("w")), 5)
 
 
-@query(f"{BASE}, q as (select id as qid, x, y from points where id % 10 = 0), f as (select * from points p where not exists (select 1 from boxes b where p.x > xmin and p.x < xmax and p.y > ymin and p.y < ymax)) select qid, f.id, round(sqrt((q.x - f.x) ** 2 + (q.y - f.y) ** 2), 5) as d from q, f qualify row_number() over (partition by qid order by sqrt((q.x - f.x) ** 2 + (q.y - f.y) ** 2), f.id) = 1")
+@query(f"{BASE}, q as (select id as qid, x, y from points where label = 1), f as (select * from points p where not exists (select 1 from boxes b where p.x > xmin and p.x < xmax and p.y > ymin and p.y < ymax)) select qid, f.id, round(sqrt((q.x - f.x) ** 2 + (q.y - f.y) ** 2), 5) as d from q, f qualify row_number() over (partition by qid order by sqrt((q.x - f.x) ** 2 + (q.y - f.y) ** 2), f.id) = 1")
 def closest_valid_vertex(spark, sf_dir):
     p = tb.points(spark, sf_dir)
-    q = p.filter("id % 10 = 0").select(F.col("id").alias("qid"), "x", "y")
+    q = p.filter("label = 1").select(F.col("id").alias("qid"), "x", "y")
     return rounded(sp.closest_valid_vertex(q, p, tb.boxes(spark, sf_dir), 40_000.0).select("qid", "id", "d"), 5)
 
 
@@ -126,8 +126,8 @@ def scene_bounds(spark, sf_dir):
     return b.select("t_idx", F.explode(F.array(pair("bottom-top", mx, y0, mx, y1), pair("left-right", x0, my, x1, my), pair("diagonal", x0, y0, x1, y1), pair("antidiagonal", x1, y0, x0, y1))).alias("p")).select("t_idx", "p.*")
 
 
-@query("""with recursive pts as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y from embeddings),
-o as (select id, x - 9000 as xmin, y - 9000 as ymin, x + 9000 as xmax, y + 9000 as ymax, row_number() over (order by id) as n from pts where id % 10 = 0),
+@query("""with recursive pts as (select vec_id as id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y, label from embeddings),
+o as (select id, x - 9000 as xmin, y - 9000 as ymin, x + 9000 as xmax, y + 9000 as ymax, row_number() over (order by id) as n from pts where label = 0),
 f(n, x0, y0, x1, y1) as (select 0::bigint, -100000.0::double, -50000.0::double, 100000.0::double, 50000.0::double
  union all select o.n, case when xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0 then least(x0, xmin) else x0 end, case when xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0 then least(y0, ymin) else y0 end, case when xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0 then greatest(x1, xmax) else x1 end, case when xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0 then greatest(y1, ymax) else y1 end
  from f join o on o.n = f.n + 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galewise.functions import boxes as bx
+from galewise.functions import geometry as g
 from galewise.functions import text as tx
 from galewise.functions import vectors as v
+from galewise.operators import spatial as sp
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
 
@@ -139,12 +141,13 @@ def oriented_bbox(spark, sf_dir):
     return rounded(rows.select("seg_id", "strategy", "corner", F.col("q.x").alias("x"), F.col("q.y").alias("y")), 3)
 
 
-@query(f"""{BOX}, g as (select seg_id, strategy, (p.x - ax) * ux + (p.y - ay) * uy as f1, (p.x - ax) * -uy + (p.y - ay) * ux as s1, l, w from u, st, points p where seg_id % 50 = 0)
+@query(f"""{BOX}, g as (select seg_id, strategy, (p.x - ax) * ux + (p.y - ay) * uy as f1, (p.x - ax) * -uy + (p.y - ay) * ux as s1, l, w from u, st, points p)
 select seg_id, strategy, count(*) as n from g where f1 between 0 and 250000 and s1 between l * 250000 - w * 125000 and l * 250000 + w * 125000 group by all""")
 def points_in_box(spark, sf_dir):
-    wanted = _ahead(spark, sf_dir).filter("seg_id % 50 = 0")
-    pts = tb.points(spark, sf_dir).select(v.point(F.col("x"), F.col("y")).alias("q"))
-    met = pts.join(F.broadcast(wanted.select("seg_id", "strategy", "p", "u")), bx.in_oriented_box(F.col("q"), F.col("p"), F.col("u"), F.col("strategy"), 250_000))
+    boxes = _ahead(spark, sf_dir).withColumn("g", g.bounds(F.array(bx.oriented_box(F.col("p"), F.col("u"), F.col("strategy"), 250_000))))
+    boxes = sp.with_cells(boxes.select("seg_id", "strategy", "p", "u", "g.*"), 100_000.0)
+    pts = tb.points(spark, sf_dir).select(v.point(F.col("x"), F.col("y")).alias("q"), F.floor(F.col("x") / 100_000.0).alias("cx"), F.floor(F.col("y") / 100_000.0).alias("cy"))
+    met = boxes.join(pts, ["cx", "cy"]).filter(bx.in_oriented_box(F.col("q"), F.col("p"), F.col("u"), F.col("strategy"), 250_000))
     return met.groupBy("seg_id", "strategy").agg(F.count("*").alias("n"))
 
 

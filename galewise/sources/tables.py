@@ -40,22 +40,26 @@ OBSERVATIONS = "observations as (select event_id, user_id, ts, event_type, value
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points on whole metres: id, x, y."""
+    """Points on whole metres: id, x, y, label."""
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(e[0].cast("double") * EXTENT).alias("x"), F.round(e[1].cast("double") * EXTENT).alias("y"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(e[0].cast("double") * EXTENT).alias("x"), F.round(e[1].cast("double") * EXTENT).alias("y"), "label")
 
 
-POINTS = f"points as (select vec_id as id, round(embedding[1]::double * {EXTENT}) as x, round(embedding[2]::double * {EXTENT}) as y from embeddings)"
+POINTS = f"points as (select vec_id as id, round(embedding[1]::double * {EXTENT}) as x, round(embedding[2]::double * {EXTENT}) as y, label from embeddings)"
 
 
-def boxes(spark: SparkSession, sf_dir: str, every: int = 10, half: int = 9_000) -> DataFrame:
-    """An axis-aligned obstacle around each `every`th point, valid at one of five time keys: obstacle_id, t_idx, bounds."""
-    p = points(spark, sf_dir).filter(F.col("id") % every == 0)
-    return p.select(F.col("id").alias("obstacle_id"), (F.floor(F.col("id") / every) % 5).cast("int").alias("t_idx"), (F.col("x") - half).alias("xmin"), (F.col("y") - half).alias("ymin"), (F.col("x") + half).alias("xmax"), (F.col("y") + half).alias("ymax"))
+#: The class of points that stand for storms.
+STORM = 0
 
 
-def boxes_sql(every: int = 10, half: int = 9_000) -> str:
-    return f"boxes as (select id as obstacle_id, ((id // {every}) % 5)::integer as t_idx, x - {half} as xmin, y - {half} as ymin, x + {half} as xmax, y + {half} as ymax from points where id % {every} = 0)"
+def boxes(spark: SparkSession, sf_dir: str, half: int = 9_000) -> DataFrame:
+    """An axis-aligned obstacle around each storm, valid at one of five time keys: obstacle_id, t_idx, bounds."""
+    p = points(spark, sf_dir).filter(F.col("label") == STORM)
+    return p.select(F.col("id").alias("obstacle_id"), (F.col("id") % 5).cast("int").alias("t_idx"), (F.col("x") - half).alias("xmin"), (F.col("y") - half).alias("ymin"), (F.col("x") + half).alias("xmax"), (F.col("y") + half).alias("ymax"))
+
+
+def boxes_sql(half: int = 9_000) -> str:
+    return f"boxes as (select id as obstacle_id, (id % 5)::integer as t_idx, x - {half} as xmin, y - {half} as ymin, x + {half} as xmax, y + {half} as ymax from points where label = {STORM})"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
