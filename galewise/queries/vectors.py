@@ -124,12 +124,8 @@ def simplify_min_distance(spark, sf_dir):
 BOX = f"{SEG}, st as (select * from (values ('center', 1.0, 0.5, 0.0), ('left', 1.0, 0.5, 0.5), ('right', 1.0, 0.5, -0.5), ('wide', 2.0, 0.5, 0.0)) t(strategy, w, f, l)), u as (select *, (bx - ax) / d as ux, (yb - ay) / d as uy from dir)"
 
 
-def _strategies(spark):
-    return spark.createDataFrame([(k,) for k in bx.STRATEGIES], "strategy string")
-
-
 def _ahead(spark, sf_dir):
-    rows = tb.segments(spark, sf_dir).crossJoin(F.broadcast(_strategies(spark)))  # four rows
+    rows = tb.segments(spark, sf_dir).withColumn("strategy", F.explode(F.array(*[F.lit(k) for k in bx.STRATEGIES])))
     return rows.withColumn("p", _a()).withColumn("u", v.unit_direction(_a(), _b()))
 
 
