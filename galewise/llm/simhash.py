@@ -31,7 +31,7 @@ SEED = 42
 MAX_BITS = 4
 #: Lanes of the deduplicating stage besides fp, differing bits of fp up to which they may link, and the share of all lanes' bits that may
 #: differ: texts of a similarity of 0.8 differ in 0.15 of them, of 0.7 in 0.19, of 0.6 in 0.23.
-LANES, LANE_REACH, MOST_DIFFERENT = 4, 12, 0.17
+LANES, LANE_REACH, MOST_DIFFERENT = 4, 15, 0.18
 #: Fingerprints of one variant that a task compares at once.
 BLOCK = 4096
 #: Groups of over this many are searched by reach, smaller ones by all their pairs.
