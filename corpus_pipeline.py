@@ -7,43 +7,51 @@ table that has been written, a stage first removes the scratch tables of those b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from galewise.llm import decontamination, mixing, quality, sharding, simhash
-from galewise.llm.common import drop_scratch, read_table, written
+from galewise.llm.common import drop_scratch, read_table, scratch, written
 
 #: Near-duplicates of the pipeline: shingles of five words, similar by about 0.8 or more.
 SHINGLE = 5
+#: Scratch tables that the last stage left for its plan.
+_left: list[str] = []
+
+
+def _staged(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build plans, after the scratch tables of the stage before are gone; those of other queries stay."""
+    drop_scratch(spark, _left)
+    before = set(scratch())
+    out = build()
+    _left[:] = [path for path in scratch() if path not in before]
+    return out
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier's rejects go."""
-    drop_scratch(spark)
-    return quality.selected(docs, read_table(spark, sf_dir, "labels"))
+    return _staged(spark, lambda: quality.selected(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    drop_scratch(spark)
-    return simhash.deduplicated(docs, words_per_shingle=SHINGLE)
+    return _staged(spark, lambda: simhash.deduplicated(docs, words_per_shingle=SHINGLE))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of the benchmark go."""
-    drop_scratch(spark)
-    return decontamination.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return _staged(spark, lambda: decontamination.decontaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or left out, so that sources meet their target weights."""
-    drop_scratch(spark)
-    return mixing.mixed(docs)
+    return _staged(spark, lambda: mixing.mixed(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row gets its shard."""
-    drop_scratch(spark)
-    return sharding.with_shards(docs)
+    return _staged(spark, lambda: sharding.with_shards(docs))
 
 
 STAGES = [
@@ -61,6 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next reads it."""
     docs = read_table(spark, sf_dir, "documents")
+    _left.clear()  # what an earlier run has returned may not have been read yet
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:

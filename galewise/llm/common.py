@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galewise.sources import shared
 from galewise.sources.shared import drop_path, new_path
 
-__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "small_batches", "strings_of", "texts_of", "written"]
+__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "scratch", "small_batches", "strings_of", "texts_of", "written"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -47,10 +47,17 @@ def written(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, st
     return out, path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the tables of written() so far: for callers that know that whatever was planned on them has been written."""
-    while _scratch:
-        drop_path(spark, _scratch.pop())
+def scratch() -> list[str]:
+    """Tables of written() that are there to be read by plans not run yet."""
+    return list(_scratch)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Remove such tables: for callers that know that whatever was planned on them has been written."""
+    for path in paths:
+        if path in _scratch:
+            _scratch.remove(path)
+            drop_path(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
