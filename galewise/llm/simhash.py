@@ -118,9 +118,9 @@ def _segment_values(index: list[str], max_bits: int) -> F.Column:
     ])
 
 
-def _variants(rows: DataFrame, keep: str) -> DataFrame:
+def _variants(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep, key) for all one-wildcard variants of rows (keep, lane, low, width, v)."""
-    return rows.select(keep, "lane", "low", "v", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("b")).select(keep, F.expr(_KEY).alias("key"))
+    return rows.select(*keep, "lane", "low", "v", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("b")).select(*keep, F.expr(_KEY).alias("key"))
 
 
 def _hot_variants(prints: DataFrame, max_bits: int, block: int, index: list[str]) -> DataFrame:
@@ -152,25 +152,30 @@ class _Forest:
             self.links.append((max(a, b), min(a, b)))
 
 
-def _verified(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _Forest) -> None:
+def _verified(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _Forest, lanes: np.ndarray | None = None, most: int = 0) -> None:
     """Link verified fingerprints with equal keys; rows come sorted by key. Rows of a block pair have side 1 or 2 and are compared
-    across sides alone; other rows have side 0 and are compared with each other."""
+    across sides alone; other rows have side 0 and are compared with each other. With lanes (a row each) at most `most` of their bits
+    may differ as well."""
     starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     for start, size in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist(), strict=True):
-        _verified_crowd(side[start : start + size], fps[start : start + size], max_bits, forest)
+        own = slice(start, start + size)
+        _verified_crowd(side[own], fps[own], max_bits, forest, None if lanes is None else lanes[own], most)
     after = (np.repeat(starts + sizes, sizes) - np.arange(len(keys)) - 1) * np.repeat(sizes <= CROWD, sizes)
     same, step = np.flatnonzero(after), 1
     while len(same):
         close = np.bitwise_count((fps[same] ^ fps[same + step]).view(np.uint64)) <= max_bits
         close &= (side[same] != side[same + step]) | (side[same] == 0)
-        for a, b in zip(fps[same[close]].tolist(), fps[same[close] + step].tolist(), strict=True):
+        met = same[close]
+        if lanes is not None:
+            met = met[_differing(lanes[met], lanes[met + step]) <= most]
+        for a, b in zip(fps[met].tolist(), fps[met + step].tolist(), strict=True):
             forest.join(a, b)
         step += 1
         same = same[after[same] >= step]
 
 
-def _verified_crowd(side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _Forest) -> None:
+def _verified_crowd(side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _Forest, lanes: np.ndarray | None = None, most: int = 0) -> None:
     """The same for one large group: each fingerprint that is reached is compared with those not yet reached, so that a group in
     which all link takes one comparison a member."""
     left = np.arange(len(fps))
@@ -180,23 +185,33 @@ def _verified_crowd(side: np.ndarray, fps: np.ndarray, max_bits: int, forest: _F
             at = queue.pop()
             close = np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= max_bits
             close &= (side[left] != side[at]) | (side[at] == 0)
+            if lanes is not None:
+                met = np.flatnonzero(close)
+                close[met] = _differing(lanes[left[met]], lanes[at]) <= most
             for x in left[close].tolist():
                 forest.join(int(fps[at]), int(fps[x]))
                 queue.append(x)
             left = left[~close]
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index: list[str] | None = None, reach: int | None = None) -> DataFrame:
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of lanes."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index: list[str] | None = None, reach: int | None = None, most: int | None = None) -> DataFrame:
     """(hi, lo): a forest of links between distinct fingerprints `fp` that spans each component of the verified links which its
     task has seen. No link that could join two components is lost.
 
     index: the columns whose segment variants bring fingerprints together (fp itself). reach: differing bits of fp up to which
-    such a meeting is a link (max_bits)."""
+    such a meeting is a link (max_bits). most: differing bits of all index columns up to which it is one; the columns then go with
+    each variant, so that a pair is tested whole before it joins two trees."""
     index, reach = index or ["fp"], max_bits if reach is None else reach
     spark = prints.sparkSession
     # dealt out anew: a few small partitions would each be exploded into all variants of very many fingerprints
     prints = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
-    rows = _variants(prints.select("fp", F.explode(_segment_values(index, max_bits)).alias("x")).select("fp", "x.*"), "fp")
+    carried = [] if most is None else index
+    rows = _variants(prints.select("fp", *carried, F.explode(_segment_values(index, max_bits)).alias("x")).select("fp", *carried, "x.*"), "fp", *carried)
     hot, _ = written(_hot_variants(prints, max_bits, block, index), "hot-variants")
     n_hot = hot.count()
     none = F.lit(0).cast("int")
@@ -207,27 +222,30 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index
             F.transform(F.sequence(none, F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(mine == o, 0).when(mine < o, 1).otherwise(2).cast("int").alias("side")))
         )
         # the pair (i, i) compares a block with itself; (i, j) compares two blocks with each other alone
-        rows = rows.select("fp", "key", F.explode(pairs).alias("p")).select("fp", "key", "p.i", "p.j", "p.side")
+        rows = rows.select("fp", "key", *carried, F.explode(pairs).alias("p")).select("fp", "key", "p.i", "p.j", "p.side", *carried)
     else:
-        rows = rows.select("fp", "key", none.alias("i"), none.alias("j"), none.alias("side"))
+        rows = rows.select("fp", "key", none.alias("i"), none.alias("j"), none.alias("side"), *carried)
+    n_carried = len(carried)
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, kept = _Forest(), None
+        forest, kept, bound = _Forest(), None, most or 0
         for batch in batches:
             now = [np.asarray(batch.column(k)) for k in range(5)]
+            if n_carried:
+                now.append(np.stack([np.asarray(batch.column(5 + k)) for k in range(n_carried)], axis=1))
             if kept is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(kept, now, strict=True)]
-            fps, key, i, j, side = now
+            fps, key, i, j, side, *lanes = now
             if not len(key):
                 continue
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
             end = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if end:
-                _verified(group[:end], side[:end], fps[:end], reach, forest)
+                _verified(group[:end], side[:end], fps[:end], reach, forest, *[x[:end] for x in lanes], most=bound)
             kept = [x[end:] for x in now]
         if kept is not None and len(kept[0]):
-            _verified(np.zeros(len(kept[0]), dtype=np.int64), kept[4], kept[0], reach, forest)
+            _verified(np.zeros(len(kept[0]), dtype=np.int64), kept[4], kept[0], reach, forest, *kept[5:], most=bound)
         found = forest.links
         for at in range(0, len(found), 50_000):
             part = found[at : at + 50_000]
@@ -271,15 +289,14 @@ def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int =
 def lane_roots(prints: DataFrame, lanes: int, max_bits: int = MAX_BITS, block: int = BLOCK, reach: int = LANE_REACH, most: float = MOST_DIFFERENT) -> DataFrame:
     """(fp, root) for the distinct fingerprints `fp` of rows with further lanes `fp1` and so on.
 
-    The lanes' segment variants bring fingerprints together, which are then compared twice: on fp, where they meet, and on all lanes'
-    bits, a share of `most` of which may differ. Of rows with equal fp one stands for all."""
+    The lanes' segment variants bring fingerprints together, which link if fp differs in `reach` bits at most and all lanes' bits
+    in a share of `most` at most. The first search tests fp alone and finds which fingerprints meet any other; the second takes these
+    few with their lanes, and its forest is built from links which have passed both tests. Of rows with equal fp one stands for all."""
     names = [f"fp{k}" for k in range(1, lanes + 1)]
     own, _ = written(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("x")).select("fp", "x.*"), "lanes")
-    met = links(own, max_bits, block, names, reach)
-    side = lambda end: own.select(F.col("fp").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names])
-    differ = sum((F.bit_count(F.col(f"hi_{n}").bitwiseXOR(F.col(f"lo_{n}"))) for n in names), F.lit(0))
-    verified = met.join(side("hi"), "hi").join(side("lo"), "lo").filter(differ <= int(most * BITS * lanes)).select("hi", "lo")
-    nodes = components(verified)
+    met = links(own, max_bits, block, names, reach).select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
+    some, _ = written(own.join(met, "fp", "left_semi"), "met")
+    nodes = components(links(some, max_bits, block, names, reach, int(most * BITS * lanes)))
     return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -250,6 +250,43 @@ def test_simhash_links_in_hot_variants(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_lane_links_in_a_crowd(spark):
+    """Three families of lanes that all meet in one variant with close fp: a seed of another family loses no link, in blocks or not."""
+    rng = np.random.default_rng(11)
+    flipped = lambda x, n, low=0: x ^ sum(1 << int(b) for b in rng.choice(np.arange(low, 64), n, replace=False))
+    base, segment = int(rng.integers(0, 2**63)), int(rng.integers(0, 2**21))
+    families = [[int(rng.integers(0, 2**43)) << 21 | segment, *(int(x) for x in rng.integers(0, 2**63, 3))] for _ in range(3)]
+    prints = {}
+    while len(prints) < 90:
+        lanes = families[len(prints) % 3]
+        prints.setdefault(flipped(base, int(rng.integers(1, 8))), [flipped(lanes[0], int(rng.integers(0, 4)), 21), *(flipped(x, int(rng.integers(0, 4))) for x in lanes[1:])])
+    edges = [0, 21, 42, 64]
+
+    def linked(a, b):
+        x = [p ^ q for p, q in zip(prints[a], prints[b])]
+        meet = any((v >> s & (1 << e - s) - 1).bit_count() <= 1 for v in x for s, e in zip(edges, edges[1:]))
+        return meet and (a ^ b).bit_count() <= simhash.LANE_REACH and sum(v.bit_count() for v in x) <= int(simhash.MOST_DIFFERENT * 256)
+
+    left, want = set(prints), []
+    while left:
+        found, queue = set(), [left.pop()]
+        while queue:
+            a = queue.pop()
+            found.add(a)
+            near = {b for b in left if linked(a, b)}
+            left -= near
+            queue += near
+        want.append(sorted(found))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([tuple(map(signed, (p, *lanes))) for p, lanes in prints.items()], "fp long, fp1 long, fp2 long, fp3 long, fp4 long")
+    assert sorted(map(len, want))[-3:] == [30, 30, 30]
+    for block in (8, 4096):
+        got = {}
+        for r in simhash.lane_roots(df, 4, block=block).collect():
+            got.setdefault(r["root"], []).append(r["fp"] % 2**64)
+        assert sorted(map(sorted, got.values())) == sorted(want)
+
+
 def test_near_copies_of_the_stage(spark, docs):
     """Copies that differ in one word of sixty (a similarity of 0.85) are found; unrelated documents stay."""
     own = docs.filter("n_chars > 1500").select("text").distinct().orderBy("text").limit(20).collect()
