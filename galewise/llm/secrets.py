@@ -6,8 +6,9 @@ alphabets) and the gzip, zlib, bzip2 and xz streams they hold. A layer that was
 is not scanned again, so the worklist ends at a fixpoint. Every character of a layer knows the range of the original
 text it came from, and findings are reported as ranges of the original.
 
-Scale: one pass without a shuffle. A decompressed layer is bounded by `MAX_LAYER` bytes, so that a small stream that
-unfolds to terabytes can't end a worker; its first part is scanned. Base findings never depend on that bound.
+Scale: one pass without a shuffle. A compressed stream is read whole, all its members one after the other, in pieces of about
+`CHUNK` characters, each a layer of its own, so that a small stream which unfolds to very much isn't held at once. A piece
+ends only where no finding and no encoded run can go on (`_BREAK`); a stretch without such a place is held until it ends.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from galewise.llm.common import per_batch, small_batches, strings_of
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 16 << 20
+#: Characters of a piece of a decompressed stream, and bytes that are fed to a stream at once.
+CHUNK, FEED = 1 << 20, 1 << 10
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -38,6 +42,8 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Ends where a stream may be cut: after a sign that no finding or encoding has, or after spaces between letters that end no escape.
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=:.\-%\\&;#{}\"'\s]|(?<=[g-zG-Z])\x20+(?=[A-Za-z0-9])")
 _WORDS = ("passw", "secret", "token", "api")
 
 
@@ -125,22 +131,81 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _rewritten(layer, matches)
 
 
-def _opened(raw: bytes) -> bytes | None:
-    """The content of a compressed stream, up to MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_LAYER)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+def _decoder(head: bytes):
+    """What opens a stream of this beginning."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _opened(raw: bytes) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, part by part; a broken stream gives what comes before."""
+    at = 0
+    while (own := _decoder(raw[at : at + 6])) is not None:
+        while at < len(raw) and not own.eof:
+            fed = raw[at : at + FEED]
+            at += len(fed)
+            while not own.eof:
+                try:
+                    out = own.decompress(fed, CHUNK)
+                except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                    return
+                if out:
+                    yield out
+                fed = getattr(own, "unconsumed_tail", b"")
+                if len(out) < CHUNK and not fed:
+                    break
+        at -= len(own.unused_data)
+        while raw[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
+def _unfolded(raw: bytes) -> Iterator[str]:
+    """The text of a compressed stream, part by part; UnicodeDecodeError if it is not text."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for part in _opened(raw):
+        if _CONTROL.search(part):
+            raise UnicodeDecodeError("utf-8", b"", 0, 0, "a control character")
+        yield decoder.decode(part)
+
+
+def _is_stream(raw: bytes) -> bool | None:
+    """If raw is a compressed stream, whether it holds text."""
+    if _decoder(raw[:6]) is None:
+        return None
+    try:
+        return True if sum(map(len, _unfolded(raw))) else None
+    except UnicodeDecodeError:
+        return False
+
+
+def _pieces(raw: bytes) -> Iterator[str]:
+    """The text of a compressed stream, cut at breaks."""
+    held, size = [], 0
+    for part in _unfolded(raw):
+        held.append(part)
+        size += len(part)
+        if size < CHUNK:
+            continue
+        at = 0
+        for begin in (max(0, len(part) - 1000), 0):
+            for m in _BREAK.finditer(part, begin):
+                at = m.end()
+            if at:
+                break
+        if at:
+            held[-1] = part[:at]
+            yield "".join(held)
+            held, size = [part[at:]], len(part) - at
+    yield "".join(held)
+
+
 def _readable(raw: bytes) -> str | None:
     """raw as text, if it is text: control characters or broken UTF-8 mean that a run of letters was never base64."""
     if not raw or raw.translate(None, _PLAIN) and any(b < 32 or b == 127 for b in raw.translate(None, _PLAIN)):
@@ -151,6 +216,7 @@ def _readable(raw: bytes) -> str | None:
         return None
 
 
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _PLAIN = bytes([9, 10, 13, *range(32, 127)])
 
 
@@ -163,15 +229,14 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        inner = _opened(raw)
-        text = _readable(raw if inner is None else inner)
+        stream = _is_stream(raw)
+        if stream:
+            whole = layer.range(m.start(), m.end())
+            for piece in _pieces(raw):
+                yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in whole))
+        text = _readable(raw) if stream is None else None
         if text is None:
             continue
-        whole = layer.range(m.start(), m.end())
-        if inner is not None:
-            n = len(text)
-            yield Layer(text, np.full(n, whole[0], dtype=np.int64), np.full(n, whole[1], dtype=np.int64))
-            continue
         starts, ends = layer.ranges()
         starts, ends = starts[m.start() : m.start() + len(run)], ends[m.start() : m.start() + len(run)]
         sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
@@ -185,23 +250,26 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int,
     """Findings of the text itself, those of all layers as ranges of the text, and how many layers there are."""
     base = scan(text)
     every = set(base)
-    work, seen = [Layer(text)], {(text, 0, len(text))} if text else set()
+    work, seen = [iter([Layer(text)])], set()
     layers = 0
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)  # depth first, so that of a long stream one piece is there at a time
+        if layer is None:
+            work.pop()
+            continue
+        if layer.text:
+            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.range(0, len(layer.text)))
+            if key in seen:
+                continue
+            seen.add(key)
+        elif layer.starts is not None:
+            continue
         layers += 1
         if layer.starts is not None:
             for a, kind, b in scan(layer.text):
                 start, end = layer.range(a, b)
                 every.add((start, kind, end))
-        for unwrap in (_url, _unicode, _base64):
-            for new in unwrap(layer):
-                if not new.text:
-                    continue
-                key = (new.text, *new.range(0, len(new.text)))
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+        work.append(chain(_url(layer), _unicode(layer), _base64(layer)))
     return base, every, layers
 
 

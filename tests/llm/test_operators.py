@@ -1,8 +1,10 @@
 """Results against brute force, planted cases and held-out labels."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import zlib
 from urllib.parse import quote
 
@@ -142,6 +144,26 @@ def test_nested_secrets(wrap):
     assert not clean and not found
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_streams_are_read_whole(pack):
+    """A secret beyond 16 MiB, one after a cut in a character, one in a second member, and one over each place where a piece may end."""
+    fill = "é some line of a log, " * 850_000
+    for stream in (pack((fill + KEY).encode()), pack(b"the first member ") + pack(KEY.encode())):
+        text = "see " + base64.b64encode(stream).decode() + " end"
+        assert {(a, k, b) for a, k, b in secrets.findings(text)[1] if k == 0} == {(4, 0, len(text) - 4)}
+
+
+def test_pieces_of_a_stream(monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    wraps = (lambda s: s, lambda s: base64.b64encode(s.encode()).decode(), lambda s: quote(s, safe=""), lambda s: s.replace("=", "%3D"), lambda s: base64.b64encode(gzip.compress(s.encode())).decode())
+    for wrap in wraps:
+        for n in range(64):
+            whole = "words " * 10 + "x" * n + ", " + wrap(KEY) + ", " + "more words " * 20
+            raw = gzip.compress(whole.encode())
+            assert "".join(secrets._pieces(raw)) == whole and len(list(secrets._pieces(raw))) > 2
+            assert any(k == 0 for _, k, _ in secrets.findings(base64.b64encode(raw).decode())[1])
+
+
 def test_layers_end():
     text = "%2525252541" + base64.b64encode(b"%41" * 30).decode() + " &amp;amp;lt; \\x5cu0041"
     assert secrets.findings(text)[2] < 40
