@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +114,69 @@ def restore(word: str, model: CharModel) -> str:
     return min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), default=(0.0, ""))[1]
 
 
+#: The cost of a word's end in a spaced run, how much dearer than the best a way to cut it may be, and letters of a word in it.
+BREAK, SLACK, LONGEST = 1.5, 5.5, 24
+
+
+def restore_run(run: str, model: CharModel, price: float = BREAK) -> list[str]:
+    """The likeliest words behind single signs set apart by spaces, where a word may end before any sign. Accented letters count as
+    their base in the model and stay as they are."""
+    signs = run.lower()
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for at, sign in enumerate(signs):
+        base = unicodedata.normalize("NFD", sign)[0]
+        if "a" <= base <= "z":
+            ways = [(base, sign, 0.0)]
+            if signs[max(0, at - 2) : at] == sign * 2 or signs[at + 1 : at + 3] == sign * 2 or signs[max(0, at - 1) : at + 2] == sign * 3:
+                ways.append(("", "", 0.3))
+        elif sign in SIGNS:
+            ways = [(letter, letter, 0.4 + 0.3 * rank) for rank, letter in enumerate(SIGNS[sign])] + [("", "", 12.0)]
+        else:
+            ways = [("", "", 0.2 if sign in _CUT else 1.0)]
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, text) in beams.items():
+            starts = [(a, b, cost, text)] + ([(0, 0, cost + price - model.rows[a][b][0], (text, " "))] if b else [])
+            for x, y, total, before in starts:
+                for letter, kept, own in ways:
+                    if letter:
+                        z = ord(letter) - 96
+                        state, sum_ = (y, z), total + own - model.rows[x][y][z]
+                    else:
+                        state, sum_ = (x, y), total + own
+                    if state not in after or sum_ < after[state][0]:
+                        after[state] = (sum_, (before, kept) if kept else before)
+        beams = after
+    _, last = min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), key=lambda x: x[0])
+    letters = []
+    while last is not None:
+        last, own = last
+        letters.append(own)
+    return "".join(reversed(letters)).split()
+
+
+def words_of_run(letters: str, model: CharModel, slack: float = SLACK) -> set[str]:
+    """All words of the ways to cut a spaced run's letters that cost at most `slack` more than the best: the trigrams alone are too
+    weak to find the one right way."""
+    codes = [ord(unicodedata.normalize("NFD", c)[0]) - 96 for c in letters]
+    n, rows, costs = len(codes), model.rows, []
+    forth, back = [0.0] + [math.inf] * n, [math.inf] * n + [0.0]
+    for start in range(n):
+        a = b = 0
+        total = BREAK if start else 0.0
+        costs.append(array("d"))
+        for end in range(start + 1, min(n, start + LONGEST) + 1):
+            z = codes[end - 1]
+            total -= rows[a][b][z]
+            a, b = b, z
+            own = total - rows[a][b][0]
+            costs[start].append(own)
+            forth[end] = min(forth[end], forth[start] + own)
+    for start in reversed(range(n)):
+        back[start] = min(own + back[start + k] for k, own in enumerate(costs[start], 1))
+    most = forth[n] + slack
+    return {letters[start : start + k] for start in range(n) for k, own in enumerate(costs[start], 1) if forth[start] + own + back[start + k] <= most}
+
+
 def bare(word: str) -> str:
     """A word in lower case without the signs around it."""
     return _JUNK_END.sub("", word.lower().strip(_EDGE)).strip(_EDGE)
@@ -155,15 +220,28 @@ class Features:
             if own:
                 found.update(own)
         for spaced in _spaced(words):
-            restored = restore(spaced, self.model)
-            found.update(x for x in hashed(restored) if self.only is None or x in self.only)
+            meant = {restore(spaced, self.model), *words_of_run("".join(restore_run(spaced, self.model)), self.model)}
+            for text in meant | {_unaccented(x) for x in meant}:
+                if len(text) > 2:
+                    found.update(x for x in hashed(text) if self.only is None or x in self.only)
         return found
 
 
+def _unaccented(word: str) -> str:
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _is_single(word: bytes) -> bool:
+    """Whether a word of two to four bytes is one code point."""
+    return word[0] >= 0xC2 and len(word) == (2 if word[0] < 0xE0 else 3 if word[0] < 0xF0 else 4)
+
+
 def _spaced(words: list[bytes]) -> list[str]:
     """Runs of three or more single signs, put together."""
     lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
     single = lengths == 1
+    for at in np.flatnonzero((lengths > 1) & (lengths <= 4)).tolist():
+        single[at] = _is_single(words[at])
     if single.sum() < 3:
         return []
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]]))).reshape(-1, 2)
@@ -247,8 +325,9 @@ def restored_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         out = []
         for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             words = text.split()
-            found = sorted({w for w in (bare(x.decode("utf-8", "replace")) for x in set(words)) if w and _SUSPECT.match(w)} | set(_spaced(words)))
+            found = sorted({w for w in (bare(x.decode("utf-8", "replace")) for x in set(words)) if w and _SUSPECT.match(w)})
             out += [(name, w, restore(w, model.value)) for w in found]
+            out += [(name, w, " ".join(restore_run(w, model.value))) for w in sorted(set(_spaced(words)) - set(found))]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((batch.schema.field(0).type, pa.string(), pa.string()))], names=["id", "word", "restored"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(per_batch(run), f"id {kind}, word string, restored string").withColumnRenamed("id", id_col)

@@ -116,6 +116,17 @@ def test_disguised_words(spark):
     assert [got[i] for i in range(12)] == [1] * 12 and [got[100 + i] for i in range(12)] == [0] * 12
 
 
+@pytest.mark.parametrize(("spaced", "wanted"), [
+    ("a i d i o t", ["idiot"]), ("y o u i d i o t", ["idiot"]), ("i d i o t s h u t", ["idiot"]), ("y o u s t u p i d m o r o n", ["stupid", "moron"]), ("t r a s h c l 0 w n", ["trash", "clown"]),
+    ("a i d і о t", ["idiot"]), ("à i d i o t", ["idiot"]), ("y d é b i l e", ["débile", "debile"]), ("l o s e r", ["loser"]), ("a s c u u u m", ["scum"]), ("a", []), ("7 - é", []),
+])
+def test_spaced_words(spark, spaced, wanted):
+    model = toxicity.char_model(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    found = toxicity.Features(model).of_text(f"some words {spaced} more words".encode())
+    assert all(set(toxicity.hashed(w)) <= found for w in wanted)
+    assert not found & {toxicity.hashed(w)[0] for w in ("crap", "rapist", "moronic")}
+
+
 def test_secrets(spark, texts):
     for r in queries.op5_secrets(spark, SF).collect():
         base = brute.secrets(dict(texts)[r["doc_id"]])
