@@ -29,9 +29,16 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("subject to the terms of the mozilla public license", "mpl"),
     ("licensed under the gnu general public license", "gpl"),
+    ("under the terms of the gnu general public license", "gpl"),
+    ("gnu general public license", "gpl"),
+    ("general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
     ("licensed under a creative commons attribution", "cc-by"),
+    ("creative commons attribution", "cc-by"),
     ("licensed under cc by", "cc-by"),
+    ("cc by sa 4 0", "cc-by"),
+    ("cc by nc 4 0", "cc-by"),
+    ("cc by nc sa 4 0", "cc-by"),
     ("all rights reserved", "reserved"),
     ("this is free and unencumbered software released into the public domain", "public-domain"),
 )

@@ -208,6 +208,24 @@ def test_fuzzy_notices():
     assert not licenses.notices_of(b"the rights of all were reserved for the public and the general", own)["fuzzy"]
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("under the terms of the GNU Genral Public License", "gpl"), ("General Public Lisense version 3", "gpl"), ("the GNU General Public Licence.", "gpl"), ("Generall Public License", "gpl"),
+    ("Creative Comons Attribution 4.0", "cc-by"), ("a Creative Commons Atribution-ShareAlike license", "cc-by"), ("CC-BYSA 4.0", "cc-by"), ("All right reserved", "reserved"), ("Al Rights Reserved", "reserved"),
+])
+def test_misspelled_short_notices(text, label):
+    found = licenses.notices_of(f"See here: {text} and so on".encode(), [licenses.Notice(*x) for x in licenses.NOTICES])
+    assert not any(found["base"].values()) and label in {x[0] for x in found["fuzzy"]}
+
+
+@pytest.mark.parametrize(("notice", "label"), [x for x in licenses.NOTICES if len(x[0]) >= licenses.BYTES_PER_EDIT])
+def test_notices_with_one_edit_anywhere(notice, label):
+    own = [licenses.Notice(*x) for x in licenses.NOTICES]
+    for at in range(1, len(notice) - 1):
+        if notice[at - 1 : at + 2].strip() != notice[at] and notice[at] != " ":  # a word of one letter would go as a whole
+            for text in (notice[:at] + notice[at + 1 :], notice[:at] + "q" + notice[at + 1 :], notice[:at] + "q" + notice[at:]):
+                assert label in {x[0] for x in licenses.notices_of(f"words {text} words".encode(), own)["fuzzy"]}
+
+
 def test_token_codes(spark, texts):
     from tokenizers import Tokenizer
 
