@@ -2,7 +2,7 @@
 
 A worklist of layers starts with the text itself. Each layer is scanned; then what is encoded in it is unwrapped
 into further layers: URL escapes, Unicode escapes and character references over the whole layer, base64 runs (both
-alphabets) and the gzip, zlib, bzip2 and xz streams they hold. A layer that was seen before, by its text and place,
+alphabets, wrapped into lines or not, also with something glued to them) and the gzip, zlib, bzip2 and xz streams they hold. A layer that was seen before, by its text and place,
 is not scanned again, so the worklist ends at a fixpoint. Every character of a layer knows the range of the original
 text it came from, and findings are reported as ranges of the original.
 
@@ -14,7 +14,6 @@ ends only where no finding and no encoded run can go on (`_BREAK`); a stretch wi
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -42,6 +41,13 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
+#: Lines of base64, the first of which may begin within a line; line ends may be escaped.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
+#: How gzip, bzip2, xz and zlib streams begin in base64.
+_MAGIC = re.compile(r"(?=H4sI|QlpoO|/Td6WFoA|e[AFJN])")
+#: Bytes that may be text, as many as the shortest finding has.
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
 #: Ends where a stream may be cut: after a sign that no finding or encoding has, or after spaces between letters that end no escape.
 _BREAK = re.compile(r"[^A-Za-z0-9+/_=:.\-%\\&;#{}\"'\s]|(?<=[g-zG-Z])\x20+(?=[A-Za-z0-9])")
 _WORDS = ("passw", "secret", "token", "api")
@@ -220,30 +226,74 @@ _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _PLAIN = bytes([9, 10, 13, *range(32, 127)])
 
 
-def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs and the places of their characters: each run by itself, and lines of one width put together with the shorter line
+    after them and the line before, which may begin within a line."""
+    for m in _BASE64.finditer(text):
         run = m.group().rstrip("=")
-        if len(run) % 4 == 1 or ("+" in run or "/" in run) and ("-" in run or "_" in run):
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        stream = _is_stream(raw)
-        if stream:
-            whole = layer.range(m.start(), m.end())
-            for piece in _pieces(raw):
-                yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in whole))
-        text = _readable(raw) if stream is None else None
-        if text is None:
-            continue
-        starts, ends = layer.ranges()
-        starts, ends = starts[m.start() : m.start() + len(run)], ends[m.start() : m.start() + len(run)]
-        sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-        last = np.cumsum(sizes)
-        first = (last - sizes) * 8 // 6
-        final = np.minimum(-(-last * 8 // 6), len(run))
-        yield Layer(text, starts[first], ends[final - 1])
+        yield run, np.arange(m.start(), m.start() + len(run))
+    for m in _WRAPPED.finditer(text):
+        ends = [x.span() for x in _LINE_END.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(b for _, b in ends)], [*(a for a, _ in ends), m.start() + len(m.group().rstrip("="))], strict=True))
+        first = 0
+        while first < len(lines):
+            width, last = lines[first][1] - lines[first][0], first + 1
+            while last < len(lines) and lines[last][1] - lines[last][0] == width:
+                last += 1
+            tail = last < len(lines) and lines[last][1] - lines[last][0] < width
+            own = lines[max(0, first - 1) : last + tail]
+            if width >= 16 and len(own) > 1:
+                yield "".join(text[a:b] for a, b in own), np.concatenate([np.arange(a, b) for a, b in own])
+            first = last
+
+
+def _bytes_of(run: str) -> bytes:
+    """What a run of the plain alphabet holds; a letter too many at its end is left out."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    for run, places in _runs(layer.text):
+        plain = run.replace("-", "+").replace("_", "/")
+        if len(run) % 4 != 1 and not (("+" in run or "/" in run) and ("-" in run or "_" in run)):
+            raw = _bytes_of(plain)
+            stream = _is_stream(raw)
+            if stream:
+                yield from _stream_layers(layer, places, raw)
+                continue
+            text = _readable(raw) if stream is None else None
+            if text is not None:
+                yield _mapped(layer, places, text, 0, 0)
+                continue
+        # something else stands before or after it: streams by their beginnings, and readable stretches at each phase
+        for m in _MAGIC.finditer(plain):
+            # zlib's two bytes are common: their first part is tried before the whole
+            if (plain[m.start()] != "e" or _is_stream(_bytes_of(plain[m.start() : m.start() + 4096]))) and _is_stream(raw := _bytes_of(plain[m.start() :])):
+                yield from _stream_layers(layer, places[m.start() :], raw)
+        for phase in range(4):
+            raw = _bytes_of(plain[phase:])
+            for m in _STRETCH.finditer(raw):
+                text = _readable(m.group())
+                if text is not None:
+                    yield _mapped(layer, places, text, phase, m.start())
+
+
+def _stream_layers(layer: Layer, places: np.ndarray, raw: bytes) -> Iterator[Layer]:
+    end = int(places[-1]) + 1
+    whole = layer.range(int(places[0]), end + len(re.match("={0,2}", layer.text[end : end + 2]).group()))
+    for piece in _pieces(raw):
+        yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in whole))
+
+
+def _mapped(layer: Layer, places: np.ndarray, text: str, phase: int, offset: int) -> Layer:
+    """A layer of text that stands `offset` bytes after the letter `phase` of a run."""
+    starts, ends = layer.ranges()
+    sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
+    last = np.cumsum(sizes) + offset
+    first = (last - sizes) * 8 // 6 + phase
+    final = np.minimum(-(-last * 8 // 6) + phase, len(places))
+    return Layer(text, starts[places[first]], ends[places[final - 1]])
 
 
 def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:

@@ -175,6 +175,44 @@ def test_pieces_of_a_stream(monkeypatch):
             assert any(k == 0 for _, k, _ in secrets.findings(base64.b64encode(raw).decode())[1])
 
 
+def _lines(raw, width, end="\n"):
+    text = base64.b64encode(raw).decode()
+    return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+LONG_SECRET = "notes about nothing, " * 9 + KEY + ", and more notes of the same kind " * 5
+
+
+@pytest.mark.parametrize("width", [40, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_wrapped_base64(width, end, pack):
+    rng = np.random.default_rng(width)
+    noise = " ".join("%x" % x for x in rng.integers(0, 2**32, 60))  # keeps streams long
+    for before in ("see:\n", "-----BEGIN DATA-----\n", "data: "):
+        for k in range(0, 12, 4):
+            text = before + _lines(pack((LONG_SECRET[k:] + noise).encode()), width, end) + "\nend"
+            base, every, _ = secrets.findings(text)
+            whole = [(a, b) for a, kind, b in every if kind == 0]
+            place = 4 * LONG_SECRET[k:].index(KEY) // 3
+            inner = base64.b64encode((LONG_SECRET[k:] + noise).encode()).decode()
+            if pack((b"")) == b"":
+                a = len(before) + place + place // width * len(end)
+                z = -(-4 * (LONG_SECRET[k:].index(KEY) + len(KEY)) // 3)
+                assert (a, len(before) + z + (z - 1) // width * len(end)) in whole and inner
+            else:
+                assert whole and all(len(before) <= a < b <= len(text) - 4 for a, b in whole)
+
+
+@pytest.mark.parametrize("glue", ["id_", "a/b/", "x-", "abc+d/", "-_+/"])
+@pytest.mark.parametrize("after", ["", "_id", "/", "-x+y", "A"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_glued_base64(glue, after, pack):
+    text = "see " + glue + base64.b64encode(pack(KEY.encode() + b" and so on; ")).decode().rstrip("=") + after + " end"
+    found = [(a, b) for a, k, b in secrets.findings(text)[1] if k == 0]
+    assert found and all(4 <= a < b <= len(text) - 4 for a, b in found)
+
+
 def test_layers_end():
     text = "%2525252541" + base64.b64encode(b"%41" * 30).decode() + " &amp;amp;lt; \\x5cu0041"
     assert secrets.findings(text)[2] < 40
