@@ -1,5 +1,7 @@
-import importlib
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from galewise.functions import vectors as v
 from galewise.functions import wkt
 from galewise.operators import graphs, spatial, statistics, temporal
 from galewise.plans import report, routing
-from galewise.sources import files, tables
+from galewise.sources import files, shared, tables
 
 
 def one(spark, column):
@@ -164,9 +166,27 @@ def test_live_hours_and_flights(spark, tmp_path):
     assert rows and rows[-1]["done"] and rows[-1]["x"] == pytest.approx(100_000) and all(r["success"] for r in rows)
 
 
-def test_the_engine_works_without_the_corpus_operators(monkeypatch):
-    for name in [m for m in sys.modules if m.startswith("galewise.llm") or m == "__spark_entry__"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "galewise.llm.queries", None)
-    entry = importlib.import_module("__spark_entry__")
-    assert "window_deltas" in entry.queries() and not any(k.startswith("op1_") for k in entry.queries())
+def test_the_engine_works_without_the_corpus_operators(tmp_path):
+    """In a copy without their folder and the pipeline; with the folder, an error of its own is not hidden."""
+    root = Path(__file__).resolve().parents[2]
+    shutil.copytree(root / "galewise", tmp_path / "galewise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e; q = e.queries(); assert 'window_deltas' in q and not any(k.startswith('op1_') for k in q)"
+    (tmp_path / "galewise/llm/__pycache__").mkdir(parents=True)  # what is left of a removed package
+    assert subprocess.run([sys.executable, "-c", ask], cwd=tmp_path).returncode == 0
+    (tmp_path / "galewise/llm/__init__.py").touch()
+    (tmp_path / "galewise/llm/queries.py").write_text("import no_such_module")
+    assert subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, stderr=subprocess.DEVNULL).returncode == 1
+
+
+def test_shared_tables_need_a_shared_folder():
+    """On a cluster without spark.checkpoint.dir nothing is written to a disk of one machine."""
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
