@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galewise.sources import shared
 from galewise.sources.shared import drop_path, new_path
 
-__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "scratch", "small_batches", "strings_of", "texts_of", "written"]
+__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "scratch", "sliced", "strings_of", "texts_of", "written"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,7 +20,7 @@ LOWER_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <
 #: White space as the contracts know it; bytes.split() cuts at the same six bytes.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-#: Rows of an Arrow batch: long texts must not meet by the ten thousand in one worker.
+#: Rows that a worker takes at once.
 BATCH_ROWS = 512
 
 _scratch: list[str] = []
@@ -60,19 +60,19 @@ def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
             drop_path(spark, path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds. A smaller bound that the session has already stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most BATCH_ROWS at once: what a worker makes of long texts is far larger than they are. The session's own bounds
+    on batches, of rows and of bytes, stay as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function out of one for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = f(batch)
             if out is not None:
                 yield out

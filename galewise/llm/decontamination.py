@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER_WORDS, fresh, per_batch, small_batches, texts_of
+from galewise.llm.common import LOWER_WORDS, fresh, per_batch, sliced, texts_of
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to all tasks at once.
@@ -102,7 +102,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
 
 def _pieces(most: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for item, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 if len(text) <= most:
@@ -130,7 +130,6 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
     for name in ("_n_words", "_hit", "_items"):
         names.append(fresh([*docs.columns, *names], name))
     spark = docs.sparkSession
-    small_batches(spark)
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<struct<start:long,end:long>>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     at, n = docs.columns.index(text_col), len(docs.columns)
@@ -171,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated ones, with the same columns."""
     found, (_, hit, _) = marked(docs, benchmark, text_col, item_id_col, item_text_col, block_bytes)
-    return found.filter(F.size(hit) == 0).select(*docs.columns)
+    return found.filter(F.size(hit) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _AZ, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER_WORDS, per_batch, small_batches, texts_of
+from galewise.llm.common import LOWER_WORDS, per_batch, texts_of
 
 #: Phrases that count exactly as they stand, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -120,7 +120,6 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", no
     The score is 1 if a phrase stands as it is, else the similarity of the closest notice, else 0. Null and empty texts have no words
     and score 0. Repeated rows give repeated rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     struct = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("errors", pa.int64())]))
     names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, fresh, per_batch, small_batches, texts_of
+from galewise.llm.common import LOWER, fresh, per_batch, sliced, texts_of
 from galewise.llm.learning import Adam, Rows, held_out, labelled_sample, sigmoid
 
 #: Most labelled documents that the model is fitted on.
@@ -99,7 +99,6 @@ class Ordinal:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Ordinal:
     """The model from at most train_rows labelled documents, none of them held out."""
-    small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [text_features(t) for t in texts_of(batch.column(0))]
@@ -145,13 +144,12 @@ def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: st
     having no words."""
     score = fresh(docs.columns, "_expected")
     tail = fresh([*docs.columns, score], "_tail")
-    small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(tail, T.DoubleType())])
 
     def run(batches):
         scorer = _Scorer(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             expected, p = sent.value.judged(scorer(texts_of(batch.column(at))), at_least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(p)], names=[*batch.schema.names, score, tail])
 
@@ -173,4 +171,4 @@ def selected(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_
     """The rows of docs that the classifier keeps, with the same columns."""
     model = fit(docs, labels, label_col, id_col, text_col, train_rows)
     own, _, tail = with_grades(docs, model, at_least, text_col)
-    return own.filter(F.col(tail) >= keep_from).select(*docs.columns)
+    return own.filter(F.col(tail) >= keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])

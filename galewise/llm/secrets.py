@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import per_batch, small_batches, strings_of
+from galewise.llm.common import per_batch, strings_of
 
 KINDS = ("assign", "access", "hex")
 #: Characters of a piece of a decompressed stream, and bytes that are fed to a stream at once.
@@ -335,7 +335,6 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Places are code points, ends exclusive. Null and empty texts have no findings. Repeated rows give repeated rows; other columns
     are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     names = ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "found"]

@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, drop_path, fresh, per_batch, small_batches, texts_of, written
+from galewise.llm.common import LOWER, fresh, per_batch, texts_of, written
+from galewise.operators.graphs import components
 
 BITS = 64
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: Lanes of the deduplicating stage besides fp, differing bits of fp up to which they may link, and the share of all lanes' bits that may
+#: Lanes of the deduplicating stage besides fp, differing bits of fp up to which they may link, and the share of all their bits that may
 #: differ: texts of a similarity of 0.8 differ in 0.15 of them, of 0.7 in 0.19, of 0.6 in 0.23.
-LANES, LANE_REACH, MOST_DIFFERENT = 4, 15, 0.18
+LANES, LANE_REACH, MOST_DIFFERENT = 5, 17, 0.18
 #: Fingerprints of one variant that a task compares at once.
 BLOCK = 4096
 #: Groups of over this many are searched by reach, smaller ones by all their pairs.
@@ -86,7 +87,6 @@ def fingerprints(text: bytes, words_per_shingle: int = SHINGLE, lanes: int = 1)
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = SHINGLE, lanes: int = 1, name: str = "fp") -> DataFrame:
     """docs and a signed 64-bit column for each lane's fingerprint, `name` and `name`1 and so on; a null text has no words."""
-    small_batches(docs.sparkSession)
     at, names = docs.columns.index(text_col), [f"{name}{k or ''}" for k in range(lanes)]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in names]])
 
@@ -254,35 +254,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, index
     return dealt.mapInArrow(run, "hi long, lo long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge: alternating large-star and small-star rounds until nothing changes. The root is
-    the smallest node. A hub's edges are read by the smallest-neighbour aggregate (summed before the shuffle) and by a join,
-    whose skewed side Spark can split."""
-    spark = edges.sparkSession
-    now, path = written(edges.select(F.greatest("hi", "lo").alias("u"), F.least("hi", "lo").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
-    for _ in range(most_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        turned = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        after, new_path = written(turned, "edges")
-        drop_path(spark, path)
-        now, path = after, new_path
-        was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == was or not state[0]:
-            break
-    else:
-        raise RuntimeError(f"components are not found after {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+def _components(found: DataFrame) -> DataFrame:
+    return components(found.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
 
 
 def fingerprint_roots(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(fp, root) for the distinct fingerprints `fp`: the smallest fingerprint of its component."""
     own = prints.select("fp").distinct()
-    nodes = components(links(own, max_bits, block))
+    nodes = _components(links(own, max_bits, block))
     return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -296,7 +275,7 @@ def lane_roots(prints: DataFrame, lanes: int, max_bits: int = MAX_BITS, block: i
     own, _ = written(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("x")).select("fp", "x.*"), "lanes")
     met = links(own, max_bits, block, names, reach).select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
     some, _ = written(own.join(met, "fp", "left_semi"), "met")
-    nodes = components(links(some, max_bits, block, names, reach, int(most * BITS * lanes)))
+    nodes = _components(links(some, max_bits, block, names, reach, int(most * BITS * lanes)))
     return own.join(nodes, own.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -319,7 +298,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     written). The columns are those of docs.
 
     Texts link at about a similarity of 0.8 of their shingles and more, as lane_roots judges it by independent lanes of
-    fingerprints. Null and empty texts are copies of each other.
+    fingerprints. Null and empty texts are copies of each other. Texts of fewer words than a shingle are compared as a whole; very
+    long ones are hashed in bounded pieces. An empty table gives none; other columns, whatever their names, come along.
     """
     keep = docs.columns
     fp, row = fresh([*keep, *[f"_fp{k}" for k in range(1, lanes + 1)]], "_fp"), fresh(keep, "_row")
@@ -333,4 +313,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = lane_roots(prints, lanes, max_bits, block)
     chosen, _ = written(classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "chosen")
     # one plan for all sizes: texts are shuffled once, never held against a table sent to all tasks
-    return own.join(chosen.hint("merge"), row, "left_semi").select(*keep)
+    return own.join(chosen.hint("merge"), row, "left_semi").select(*[F.col(f"`{c}`") for c in keep])

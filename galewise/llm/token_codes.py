@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER, new_path, small_batches
+from galewise.llm.common import LOWER, new_path
 
 END_ID = 2
 MAGIC = b"GDAC"
@@ -284,7 +284,6 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     Null ids come first; rows of one id stand in the order of a hash of their texts. A null text is empty: its ids are the end id
     alone. An empty table writes a file without segments. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import per_batch, small_batches, texts_of
+from galewise.llm.common import per_batch, sliced, texts_of
 from galewise.llm.learning import Adam, Rows, held_out, labelled_sample, sigmoid
 
 #: Most labelled documents that the model is fitted on.
@@ -68,11 +68,10 @@ class CharModel:
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     """From all texts: each task sends the sums of its batches, which meet in one table of 27^3 numbers."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         total = np.zeros(27**3, dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             total += trigram_counts(texts_of(batch.column(0)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["gram", "n"])
@@ -260,12 +259,11 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, model: CharModel, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Scorer:
     """Logistic regression from at most train_rows labelled documents, none of them held out. Without labels the score is 0.5."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         features = Features(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sorted(features.of_text(t)) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
 
@@ -308,7 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     def run(batches):
         chars, score = sent.value
         features = Features(chars, frozenset(score.weights))
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(features.of_text(t)) for t in texts_of(batch.column(1))], pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -376,21 +376,66 @@ def test_lane_links_in_a_crowd(spark):
         assert sorted(map(sorted, got.values())) == sorted(want)
 
 
+def test_strangers_change_no_link(spark):
+    """Scenes of a, a near copy c and a stranger b that meets both in a segment and is close by fp alone: a and c are one group, b is
+    alone, however rows are dealt and blocks are cut."""
+    rng = np.random.default_rng(7)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    some = lambda n: [int(x) for x in rng.integers(0, 2**63, n)]
+    rows_, want = [], []
+    for _ in range(60):
+        fp, a, b = some(1)[0], some(simhash.LANES), some(simhash.LANES)
+        c = [flip(x, int(rng.integers(0, 6))) for x in a]
+        c[0] = a[0] ^ 1
+        b[0] = a[0] & ((1 << 21) - 1) | b[0] >> 21 << 21
+        prints = [fp, flip(fp, 6), flip(fp, 3)]
+        rows_ += [(prints[0], *a), (prints[1], *c), (prints[2], *b)]
+        want += [sorted(prints[:2]), [prints[2]]]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    names = ", ".join(f"fp{k or ''} long" for k in range(simhash.LANES + 1))
+    df = spark.createDataFrame([tuple(map(signed, r)) for r in rows_], names)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, block in ((1, 4096), (32, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {}
+            for r in simhash.lane_roots(df, simhash.LANES, block=block).collect():
+                got.setdefault(r["root"], []).append(r["fp"] % 2**64)
+            assert sorted(map(sorted, got.values())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_near_copies_of_the_stage(spark, docs):
-    """Copies that differ in one word of sixty (a similarity of 0.85) are found; unrelated documents stay."""
-    own = docs.filter("n_chars > 1500").select("text").distinct().orderBy("text").limit(20).collect()
-    rows_ = []
-    for i, r in enumerate(own):
-        w = r["text"].split()
-        rows_.append((i, " ".join(w)))
-        for k in range(3):
+    """Pairs of each similarity from 0.8 up, by their five-word shingles, are found in nine of ten cases at least; below 0.6 none is."""
+    own = [r["text"].split()[:240] for r in docs.filter("n_chars > 1800").select("text").distinct().orderBy("text").limit(40).collect()]
+    rng = np.random.default_rng(3)
+    rows_, bands = [], {}
+    for n_changed in (1, 3, 4, 5, 16):
+        for i, w in enumerate(own):
             v = list(w)
-            for j in range(7 * k + 3, len(v), 60):
-                v[j] = f"changed{k}{j}"
-            rows_.append((1000 + 10 * i + k, " ".join(v)))
-    left = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
-    alone = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows_[::4], "doc_id long, text string")).collect()}
-    assert alone <= left and len(left - alone) <= 4
+            for j in rng.choice(len(v), n_changed, replace=False):
+                v[j] = f"changed{i}{j}"
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, v))
+            similar = len(a & b) / len(a | b)
+            at = 1000 * n_changed + i
+            if similar < 0.6 and len(a) < len(w) - 4:
+                continue  # a passage that the text repeats counts as often as it stands in a fingerprint, but once in a set
+            rows_ += [(2 * at, f"start{at} " + " ".join(w)), (2 * at + 1, f"start{at} " + " ".join(v))]
+            bands.setdefault("far" if similar < 0.6 else "near" if similar >= 0.9 else "0.8" if similar >= 0.8 else "between", []).append(at)
+    # each pair by itself, as texts of one origin would link over others
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    prints = simhash.with_fingerprints(df, "text", 5, simhash.LANES + 1)
+    paired = {}
+    for r in prints.collect():
+        paired.setdefault(r["doc_id"] // 2, []).append(tuple(r[f"fp{k or ''}"] for k in range(simhash.LANES + 1)))
+    found = {}
+    for name, ats in bands.items():
+        rows_ = [p for at in ats for p in paired[at]]
+        both = spark.createDataFrame(list(dict.fromkeys(rows_)), ", ".join(f"fp{k or ''} long" for k in range(simhash.LANES + 1)))
+        root = {r["fp"]: r["root"] for r in simhash.lane_roots(both, simhash.LANES).collect()}
+        found[name] = np.mean([root[paired[at][0][0]] == root[paired[at][1][0]] for at in ats])
+    assert len(bands["0.8"]) > 30 and len(bands["far"]) > 20 and found["0.8"] >= 0.9 and found["near"] >= 0.98 and found["far"] <= 0.1, found
 
 
 def test_mixing(spark):
