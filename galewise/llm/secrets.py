@@ -1,21 +1,23 @@
 """Secret scans through nested encodings.
 
 A worklist of layers starts with the text itself. Each layer is scanned; then what is encoded in it is unwrapped
-into further layers: URL escapes, Unicode escapes and character references over the whole layer, base64 runs (both
-alphabets, wrapped into lines or not, also with something glued to them) and the gzip, zlib, bzip2 and xz streams they hold. A layer that was seen before, by its text and place,
-is not scanned again, so the worklist ends at a fixpoint. Every character of a layer knows the range of the original
-text it came from, and findings are reported as ranges of the original.
+into further layers, by every unwrapper on every layer: URL escapes, Unicode escapes and character references, base64
+runs (both alphabets, wrapped into lines or not, also with something glued to them), UTF-16 and gzip, zlib, bzip2 and xz
+streams. A layer that was seen before, by its text and place, is not scanned again, so the worklist ends at a fixpoint.
+What is decoded are bytes, and a layer holds each byte as the character of that code (Latin-1), as all that is looked for is
+ASCII: a broken character or a control character hides nothing. Every character of a layer knows the range of the
+original text it came from, and findings are reported as ranges of the original.
 
 Scale: one pass without a shuffle. A compressed stream is read whole, all its members one after the other, in pieces of about
-`CHUNK` characters, each a layer of its own, so that a small stream which unfolds to very much isn't held at once. A piece
-ends only where no finding and no encoded run can go on (`_BREAK`); a stretch without such a place is held until it ends.
+`CHUNK` bytes, each a layer of its own, so that a small stream which unfolds to very much isn't held at once. A piece
+ends only where no finding and no encoded run can go on (`_BREAK`), and before a stream within the stream, which is opened as it
+is read; a stretch without such a place is held until it ends.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
-import codecs
 import hashlib
 import html
 import lzma
@@ -44,12 +46,16 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINE_END = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
 #: Lines of base64, the first of which may begin within a line; line ends may be escaped.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
-#: How gzip, bzip2, xz and zlib streams begin in base64.
-_MAGIC = re.compile(r"(?=H4sI|QlpoO|/Td6WFoA|e[AFJN])")
-#: Bytes that may be text, as many as the shortest finding has.
-_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
+#: How gzip, bzip2, xz and zlib streams begin.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+#: The same within a stream; zlib's two bytes say too little there.
+_INNER = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+#: Characters below 256, as bytes are held.
+_BYTES = re.compile(r"[\x00-\xff]+")
+#: ASCII in UTF-16 of either order, as many as the shortest finding has.
+_UTF16 = re.compile(r"(?:[\x09-\x7e]\x00){16,}|(?:\x00[\x09-\x7e]){16,}")
 #: Ends where a stream may be cut: after a sign that no finding or encoding has, or after spaces between letters that end no escape.
-_BREAK = re.compile(r"[^A-Za-z0-9+/_=:.\-%\\&;#{}\"'\s]|(?<=[g-zG-Z])\x20+(?=[A-Za-z0-9])")
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=:.\-%\\&;#{}\"'\s\0]|(?<=[g-zG-Z])\x20+(?=[A-Za-z0-9])")
 _WORDS = ("passw", "secret", "token", "api")
 
 
@@ -66,12 +72,12 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the range of the original text behind it."""
+    """A text and, for each of its characters, the range of the original text behind it; and where signs end that fill up its encoding."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "filled")
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, filled: int = 0) -> None:
+        self.text, self.starts, self.ends, self.filled = text, starts, ends, filled
 
     def range(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -103,17 +109,8 @@ def _url(layer: Layer) -> Iterator[Layer]:
         return
     matches = []
     for m in _URL.finditer(layer.text):
-        raw = bytes.fromhex(m.group().replace("%", ""))
-        new, parts, at = raw.decode("utf-8", "replace"), [], 0
-        if "�" in new:
-            new = raw.decode("latin-1")
-            parts = [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))]
-        else:
-            for c in new:
-                n = len(c.encode())
-                parts.append((m.start() + 3 * at, m.start() + 3 * (at + n)))
-                at += n
-        matches.append((m.start(), m.end(), new, parts))
+        new = bytes.fromhex(m.group().replace("%", "")).decode("latin-1")
+        matches.append((m.start(), m.end(), new, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(new))]))
     if matches:
         yield _rewritten(layer, matches)
 
@@ -137,9 +134,18 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _rewritten(layer, matches)
 
 
+def _utf16(layer: Layer) -> Iterator[Layer]:
+    if "\0" not in layer.text:
+        return
+    starts, ends = layer.ranges()
+    for m in _UTF16.finditer(layer.text):
+        a, low = m.start(), layer.text[m.start()] == "\0"
+        yield Layer(m.group()[low::2], starts[a : m.end() : 2], ends[a + 1 : m.end() : 2])
+
+
 def _decoder(head: bytes):
     """What opens a stream of this beginning."""
-    if head[:2] == b"\x1f\x8b":
+    if head[:3] == b"\x1f\x8b\x08":
         return zlib.decompressobj(31)
     if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
         return zlib.decompressobj()
@@ -150,80 +156,151 @@ def _decoder(head: bytes):
     return None
 
 
-def _opened(raw: bytes) -> Iterator[bytes]:
-    """The content of all members of a compressed stream, part by part; a broken stream gives what comes before."""
-    at = 0
-    while (own := _decoder(raw[at : at + 6])) is not None:
-        while at < len(raw) and not own.eof:
-            fed = raw[at : at + FEED]
-            at += len(fed)
+class _Source:
+    """Bytes that come part by part, and may be given back."""
+
+    def __init__(self, parts: Iterator[bytes]) -> None:
+        self.parts, self.held, self.broken = parts, b"", False
+
+    def read(self) -> bytes:
+        """The next part; none at the end."""
+        if self.held:
+            own, self.held = self.held, b""
+            return own
+        return next(self.parts, b"")
+
+    def head(self, n: int) -> bytes:
+        while len(self.held) < n and (part := next(self.parts, b"")):
+            self.held += part
+        return self.held[:n]
+
+    def back(self, raw: bytes) -> None:
+        self.held = raw + self.held
+
+
+def _fed(raw: bytes, at: int = 0) -> Iterator[bytes]:
+    for k in range(at, len(raw), FEED):
+        yield raw[k : k + FEED]
+
+
+def _opened(source: _Source) -> Iterator[bytes]:
+    """The content of all members of the compressed stream at which the source stands, part by part. A broken stream gives what comes
+    before the break; one that gives nothing is given back."""
+    while (own := _decoder(source.head(6))) is not None:
+        eaten: list[bytes] | None = []
+        while not own.eof and (fed := source.read()):
+            if eaten is not None:
+                eaten.append(fed)
             while not own.eof:
                 try:
                     out = own.decompress(fed, CHUNK)
                 except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                    source.broken = True
+                    source.back(b"".join(eaten or ()))
                     return
                 if out:
+                    eaten = None
                     yield out
                 fed = getattr(own, "unconsumed_tail", b"")
                 if len(out) < CHUNK and not fed:
                     break
-        at -= len(own.unused_data)
-        while raw[at : at + 1] == b"\0":  # padding between members
-            at += 1
-
-
-def _unfolded(raw: bytes) -> Iterator[str]:
-    """The text of a compressed stream, part by part; UnicodeDecodeError if it is not text."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    for part in _opened(raw):
-        if _CONTROL.search(part):
-            raise UnicodeDecodeError("utf-8", b"", 0, 0, "a control character")
-        yield decoder.decode(part)
-
-
-def _is_stream(raw: bytes) -> bool | None:
-    """If raw is a compressed stream, whether it holds text."""
-    if _decoder(raw[:6]) is None:
-        return None
-    try:
-        return True if sum(map(len, _unfolded(raw))) else None
-    except UnicodeDecodeError:
-        return False
-
-
-def _pieces(raw: bytes) -> Iterator[str]:
-    """The text of a compressed stream, cut at breaks."""
-    held, size = [], 0
-    for part in _unfolded(raw):
+        if not own.eof:
+            source.broken = True
+            source.back(b"".join(eaten or ()))
+            return
+        source.back(own.unused_data)
+        while source.head(1) == b"\0":  # padding between members
+            source.held = source.held.lstrip(b"\0")
+
+
+def _nested(source: _Source, above: frozenset[bytes]) -> Iterator[str] | None:
+    """The pieces of the stream at which the source stands; None if there is none. A stream that begins like one around it may hold
+    itself: it is given as it is, as a layer of its own, for the worklist knows what it has seen."""
+    head = source.head(4096)
+    if head in above or len(above) >= 50:
+        return iter([b"".join(iter(source.read, b"")).decode("latin-1")])
+    content = _Source(_opened(source))
+    return _pieces(content, above | {head}) if content.head(1) else None
+
+
+def _pieces(source: _Source, above: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """What the source holds, cut at breaks; streams in it are opened in their turn."""
+    if _decoder(source.head(6)) is not None and (own := _nested(source, above)) is not None:
+        yield from own
+    held, size, tail = [], 0, b""
+    while part := source.read():
+        whole = tail + part
+        found = _INNER.search(whole)
+        if found and found.end() > len(tail):
+            source.back(whole[found.start() :])
+            before = b"".join([*held, part])[: size - len(tail) + found.start()]
+            own = _nested(source, above)
+            if own is not None:
+                if before:
+                    yield before.decode("latin-1")
+                yield from own
+                held, size, tail = [], 0, b""
+            else:  # no stream after all: its first byte is one like others
+                first = source.read()
+                source.back(first[1:])
+                held, size, tail = [before, first[:1]], len(before) + 1, b""
+            continue
         held.append(part)
         size += len(part)
+        tail = whole[-9:]  # a stream's beginning may stand over two parts
         if size < CHUNK:
             continue
-        at = 0
-        for begin in (max(0, len(part) - 1000), 0):
-            for m in _BREAK.finditer(part, begin):
+        text, at = part[:-9].decode("latin-1"), 0
+        for begin in (max(0, len(text) - 1000), 0):
+            for m in _BREAK.finditer(text, begin):
                 at = m.end()
             if at:
                 break
         if at:
-            held[-1] = part[:at]
-            yield "".join(held)
+            yield b"".join([*held[:-1], part[:at]]).decode("latin-1")
             held, size = [part[at:]], len(part) - at
-    yield "".join(held)
+    if size:
+        yield b"".join(held).decode("latin-1")
 
 
-def _readable(raw: bytes) -> str | None:
-    """raw as text, if it is text: control characters or broken UTF-8 mean that a run of letters was never base64."""
-    if not raw or raw.translate(None, _PLAIN) and any(b < 32 or b == 127 for b in raw.translate(None, _PLAIN)):
-        return None
+def _stream_end(raw: bytes, at: int) -> tuple[int, bool]:
+    """Where the compressed stream at a place ends, by reading through it, and whether it holds anything; a broken one goes on to the
+    end of the bytes."""
+    source, size = _Source(_fed(raw, at)), 0
+    for part in _opened(source):
+        size += len(part)
+    return len(raw) if source.broken else len(raw) - len(source.held) - sum(map(len, source.parts)), size > 0
+
+
+def _streams(layer: Layer) -> Iterator[Layer]:
+    """The content of compressed streams, wherever they begin. All of it comes from the whole range of the stream."""
+    for run in _BYTES.finditer(layer.text) if not layer.text.isascii() or "BZh" in layer.text else ():
+        raw, at = run.group().encode("latin-1"), 0
+        while m := _MAGIC.search(raw, at):
+            end, holds = _stream_end(raw, m.start())
+            at = m.start() + 1
+            if not holds:
+                continue
+            source = _Source(_fed(raw, m.start()))
+            place = layer.range(run.start() + m.start(), run.start() + end)
+            place = place[0], max(place[1], layer.filled if run.start() + end == len(layer.text) else 0)
+            for piece in _nested(source, frozenset()) or ():
+                yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in place))
+            at = at if source.broken else end
+
+
+def _readable(raw: bytes) -> bool:
+    """Whether raw is text, so that a run of letters was base64 for sure."""
+    if not raw or _CONTROL.search(raw):
+        return False
     try:
-        return raw.decode("utf-8")
+        raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return False
+    return True
 
 
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-_PLAIN = bytes([9, 10, 13, *range(32, 127)])
 
 
 def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -256,44 +333,20 @@ def _bytes_of(run: str) -> bytes:
 def _base64(layer: Layer) -> Iterator[Layer]:
     for run, places in _runs(layer.text):
         plain = run.replace("-", "+").replace("_", "/")
-        if len(run) % 4 != 1 and not (("+" in run or "/" in run) and ("-" in run or "_" in run)):
-            raw = _bytes_of(plain)
-            stream = _is_stream(raw)
-            if stream:
-                yield from _stream_layers(layer, places, raw)
-                continue
-            text = _readable(raw) if stream is None else None
-            if text is not None:
-                yield _mapped(layer, places, text, 0, 0)
-                continue
-        # something else stands before or after it: streams by their beginnings, and readable stretches at each phase
-        for m in _MAGIC.finditer(plain):
-            # zlib's two bytes are common: their first part is tried before the whole
-            if (plain[m.start()] != "e" or _is_stream(_bytes_of(plain[m.start() : m.start() + 4096]))) and _is_stream(raw := _bytes_of(plain[m.start() :])):
-                yield from _stream_layers(layer, places[m.start() :], raw)
-        for phase in range(4):
-            raw = _bytes_of(plain[phase:])
-            for m in _STRETCH.finditer(raw):
-                text = _readable(m.group())
-                if text is not None:
-                    yield _mapped(layer, places, text, phase, m.start())
-
-
-def _stream_layers(layer: Layer, places: np.ndarray, raw: bytes) -> Iterator[Layer]:
-    end = int(places[-1]) + 1
-    whole = layer.range(int(places[0]), end + len(re.match("={0,2}", layer.text[end : end + 2]).group()))
-    for piece in _pieces(raw):
-        yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in whole))
-
-
-def _mapped(layer: Layer, places: np.ndarray, text: str, phase: int, offset: int) -> Layer:
-    """A layer of text that stands `offset` bytes after the letter `phase` of a run."""
+        raw = _bytes_of(plain)
+        yield _mapped(layer, places, raw, 0)
+        if not _readable(raw):  # something may stand before it: the other phases
+            for phase in range(1, 4):
+                if len(plain) - phase > 4:
+                    yield _mapped(layer, places, _bytes_of(plain[phase:]), phase)
+
+
+def _mapped(layer: Layer, places: np.ndarray, raw: bytes, phase: int) -> Layer:
+    """A layer of the bytes that the letters of a run from `phase` on hold."""
     starts, ends = layer.ranges()
-    sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-    last = np.cumsum(sizes) + offset
-    first = (last - sizes) * 8 // 6 + phase
-    final = np.minimum(-(-last * 8 // 6) + phase, len(places))
-    return Layer(text, starts[places[first]], ends[places[final - 1]])
+    at, end = np.arange(len(raw)), int(places[-1]) + 1
+    signs = len(re.match("={0,2}", layer.text[end : end + 2]).group())
+    return Layer(raw.decode("latin-1"), starts[places[at * 8 // 6 + phase]], ends[places[np.minimum(-(-(at + 1) * 8 // 6) + phase, len(places)) - 1]], int(ends[end + signs - 1]))
 
 
 def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:
@@ -319,7 +372,7 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int,
             for a, kind, b in scan(layer.text):
                 start, end = layer.range(a, b)
                 every.add((start, kind, end))
-        work.append(chain(_url(layer), _unicode(layer), _base64(layer)))
+        work.append(chain(_url(layer), _unicode(layer), _utf16(layer), _base64(layer), _streams(layer)))
     return base, every, layers
 
 
@@ -332,8 +385,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row for each row of docs: id, n_assign, n_access, n_hex (findings in the text as it stands), base_sha256 of their list,
     spans (all findings, those in unwrapped layers mapped to the original), n_layers, found (array of structs kind, start, end).
 
-    Places are code points, ends exclusive. Null and empty texts have no findings. Repeated rows give repeated rows; other columns
-    are ignored.
+    Places are code points, ends exclusive. Null and empty texts have no findings. Repeated rows give repeated rows, an empty table
+    none; other columns are ignored. Very long texts are scanned whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
