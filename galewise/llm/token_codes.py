@@ -14,12 +14,15 @@ replaces what it wrote, on any file system. Bounded memory: a segment closes at
 
 Texts are split at white space, which the tokenizer drops and never joins over, so that a word's ids are the
 same wherever it stands; each worker keeps the ids of the words it has seen, up to a bound.
-A-Z are lower-cased before, as the tokenizer does.
+A-Z are lower-cased before, as the tokenizer does, but for words with a "<|", where its special tokens may stand, which it
+finds in the text as it is. Tokenizers of another make get whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -103,6 +106,22 @@ class Codes:
             shift += 8
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at places within the segment, each by one rank a level."""
+        out = np.zeros(len(places), dtype=np.uint32)
+        own, at = np.arange(len(places)), np.asarray(places, dtype=np.int64)
+        for k, (codes, bitmap, ranks) in enumerate(self.levels):
+            out[own] |= codes[at].astype(np.uint32) << np.uint32(8 * k)
+            if bitmap is None or not len(own):
+                break
+            more = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            own, at = own[more], at[more]
+            # bits before each place in its block of the directory
+            block = at // RANK_BITS
+            bits = np.unpackbits(bitmap.reshape(-1, RANK_BITS // 8)[block], axis=1, bitorder="little")
+            at = ranks[block].astype(np.int64) + (bits * (np.arange(RANK_BITS) < (at % RANK_BITS)[:, None])).sum(axis=1, dtype=np.int64)
+        return out
+
     def all(self) -> np.ndarray:
         """Every id, level by level."""
         values = None
@@ -114,6 +133,18 @@ class Codes:
         return values
 
 
+#: The normalizer and pre-tokenizer whose ids can be found word by word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _splits_words(made: dict) -> bool:
+    """Whether a tokenizer is of the make that WordIds knows: it drops white space, lower-cases, and its added tokens begin with "<|"."""
+    added = all(t["content"].startswith("<|") and not any(t[k] for k in ("lstrip", "rstrip", "normalized", "single_word")) and not re.search(r"\s", t["content"]) for t in made["added_tokens"])
+    return added and made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]} and made["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordIds:
     """Ids of texts through a tokenizer that drops white space, with the ids of the words seen so far."""
 
@@ -121,6 +152,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = _splits_words(json.load(f))
         # the same model for words of letters, which need no normalizer and are cut at spaces alone
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -190,6 +223,9 @@ class WordIds:
             if word.isalpha():  # letters a-z alone
                 plain.append((word, word.decode()))
                 continue
+            if b"<|" in word:
+                odd.append((word, ""))
+                continue
             # as the tokenizer's normalizer does: composed, and each character in lower case by itself (a sigma's depends on its place)
             text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
             text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
@@ -209,6 +245,9 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts, each text's closed by END_ID, and how many each text has."""
+        if not self.by_word:
+            each = [[*self.tokenizer.encode(x or "", add_special_tokens=False).ids, END_ID] for x in texts.to_pylist()]
+            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64)
         if len(self.places) > CACHED_WORDS:
             self._forget_rare()
         words, n_words = split_words(texts)
@@ -231,12 +270,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased words [^\\x20\\x09-\\x0D]+ of all texts as one binary array, and how many each text has. No Python object is made
-    for a word."""
+    """The words [^\\x20\\x09-\\x0D]+ of all texts as one binary array, and how many each text has. A-Z are lower-cased, but not in words
+    with a "<|". No Python object is made for a word."""
     column = pc.fill_null(texts.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = (memoryview(data)[offsets[0] : offsets[-1]].tobytes() if data else b"").translate(LOWER)
+    given = memoryview(data)[offsets[0] : offsets[-1]].tobytes() if data else b""
+    raw = given.translate(LOWER)
     offsets = offsets - offsets[0]
     signs = np.frombuffer(raw, np.uint8)
     inside = np.concatenate([[False], ~_SPACE[signs], [False]])
@@ -248,6 +288,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts = np.flatnonzero(begins)
     sizes = np.flatnonzero(ends) - starts
     places = np.concatenate([[0], np.cumsum(sizes)])
+    marked = [m.start() for m in re.finditer(rb"<\|", given)]
+    if marked:
+        at = np.unique(np.searchsorted(starts, marked, "right") - 1)
+        signs = signs.copy()
+        for a, size in zip(starts[at].tolist(), sizes[at].tolist(), strict=True):
+            signs[a : a + size] = np.frombuffer(given, np.uint8, size, a)
     kept = signs[inside[1:-1]]
     array = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(kept)])
     return array, np.diff(np.searchsorted(starts, offsets))
@@ -320,13 +366,18 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents_of(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) decoded from segments of read_codes."""
+    """(doc_id, start, n_tokens, ids_crc32) decoded from segments of read_codes. Each document's first id and end id are also read by
+    rank, and a segment where they differ from the decoded ones is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, names, lengths, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = memoryview(Codes(payload).all().astype("<u4").tobytes())
-                ends = np.cumsum(lengths)
+                codes, ends = Codes(payload), np.cumsum(lengths)
+                every, edges = codes.all(), np.concatenate([ends - lengths, ends - 1])
+                for k in range(0, len(edges), 4096):
+                    if not np.array_equal(codes.take(edges[k : k + 4096]), every[edges[k : k + 4096]]):
+                        raise ValueError("the rank directories of a segment lead to other ids than its levels")
+                raw = memoryview(every.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -345,13 +396,17 @@ def tokens_at(segments: DataFrame, positions: DataFrame) -> DataFrame:
         for batch in batches:
             for start, places, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 codes = Codes(payload)
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([codes[p - start] for p in places], pa.int64())], names=["position", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(codes.take(np.array(places, dtype=np.int64) - start), pa.int64())], names=["position", "token"])
 
     return met.join(segments.select("start", "payload"), "start").select("start", "positions", "payload").mapInArrow(run, "position long, token long")
 
 
 def coded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs to a file in the shared folder and return its documents as read back."""
+    """Write docs to a file in the shared folder and return its documents as read back: (doc_id, start, n_tokens, ids_crc32).
+
+    A null or empty text has the end id alone, a null id comes first, repeated rows stand one after the other, an empty table gives no
+    rows. A text of any length stays in one segment. Other columns are ignored. The file goes with the application's other tables.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "codes")
     write_codes(docs, path, tokenizer_path, id_col, text_col)

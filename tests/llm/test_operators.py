@@ -299,7 +299,10 @@ def test_token_codes(spark, texts):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    odd = [(10**6, "İstanbul ÉTÉ été, été. don't 😀 x y \x1c z ΣΑΣ 12345 <|endoftext|>word foo!, bar. a.b,c Ünï"), (10**6 + 1, None), (10**6 + 2, "")]
+    rng = np.random.default_rng(2)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "Word", "ÉTÉ", "x<|endoftext|>Y", " ", "\n", "'S", "<|endOfText|>.", "Ab,"]
+    odd = [(2 * 10**6 + k, "".join(rng.choice(parts, 12))) for k in range(300)]
+    odd = [*odd[:0], (10**6, "İstanbul ÉTÉ été, été. don't 😀 x y \x1c z ΣΑΣ 12345 <|endoftext|>word foo!, bar. a.b,c Ünï"), (10**6 + 1, None), (10**6 + 2, ""), *odd]
     rows_ = texts + odd
     start, want = 0, []
     for d, text in rows_:
@@ -315,7 +318,7 @@ def test_codes_round_trip_and_random_access(n):
     ids = np.random.default_rng(n).choice([0, 2, 255, 256, 49_407, 65_535, 65_536, 2**32 - 1], n).astype(np.uint32)
     codes = token_codes.Codes(token_codes.encode_ids(ids))
     assert np.array_equal(codes.all() if n else np.zeros(0, np.uint32), ids) and len(codes) == n
-    assert [codes[i] for i in range(0, n, 37)] == ids[::37].tolist()
+    assert [codes[i] for i in range(0, n, 37)] == ids[::37].tolist() == codes.take(np.arange(0, n, 37)).tolist()
     with pytest.raises(IndexError):
         codes[n]
 
@@ -331,6 +334,27 @@ def test_tokens_by_position(spark, docs, tmp_path):
     assert got == [(i, int(every[i])) for i in range(0, len(every), 97)]
 
 
+def test_another_tokenizer(tmp_path):
+    """One that keeps case and joins over spaces gets whole texts."""
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"] = None
+    made["pre_tokenizer"] = made["pre_tokenizer"]["pretokenizers"][1]
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    own, t = token_codes.WordIds(path), Tokenizer.from_file(path)
+    texts = ["Some Words and  More", None, "été\n12"]
+    ids, counts = own(pa.array(texts))
+    assert not own.by_word and ids.tolist() == [i for x in texts for i in [*t.encode(x or "", add_special_tokens=False).ids, 2]] and len(counts) == 3
+
+
 def test_word_cache_forgets_and_stays_right(monkeypatch):
     import public_tokenizers
     import pyarrow as pa
