@@ -27,6 +27,8 @@ SHARE = 1.5
 CAP = 2.0
 #: Rows of a cell that are ranked together.
 BLOCK_ROWS = 2_000
+#: Crowded hashes are sent to all tasks up to this many; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Newton steps in one job, most jobs, and the relative error at which the dual counts as solved.
 STEPS, ROUNDS, TOLERANCE = 8, 10, 1e-6
 
@@ -87,8 +89,11 @@ def solved(cells: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
         if path:
             drop_path(spark, path)
         now, path = after, new
-        if (now.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
+        error = now.agg(F.max("error")).first()[0] or 0.0
+        if error <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual is not solved after {ROUNDS * STEPS} steps: relative error {error}")
     return now.drop("lo", "hi", "error")
 
 
@@ -120,14 +125,32 @@ def mixed_rows(docs: DataFrame, carry: bool, id_col: str = "doc_id", text_col: s
     cells, _ = written(own.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "cells")
     plan, _ = written(copies_of_cells(solved(cells, targets(cells, weights, share, cap), cap), cap), "copies")
     blocks = max(1, -(-(cells.agg(F.sum("n")).first()[0] or 0) // block_rows))
-    block = F.pmod(F.col("h"), F.lit(blocks)).cast("int").alias("block")
-    before = W.partitionBy("key", "size").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    counted = own.select("key", "size", block).groupBy("key", "size", "block").agg(F.count("*").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    own = own.withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int"))
+    counted, full = _counted(own.select("key", "size", "block", F.lit(0).alias("part"))), 4 * block_rows
+    parts = ["key", "size", "block"]
+    if (counted.agg(F.max("m")).first()[0] or 0) > full:
+        # equal rows have one hash and fall into one block: those of a crowded hash are cut into parts by their row number. They are alike,
+        # so that it doesn't matter which of them come first
+        crowded = counted.filter(F.col("m") > full).select("key", "size", "block")
+        hot, _ = written(own.join(crowded, ["key", "size", "block"], "left_semi").groupBy("key", "size", "h").agg(F.count("*").alias("m")).filter(F.col("m") > block_rows).select("key", "size", "h", F.ceil(F.col("m") / block_rows).alias("cuts")), "crowded")
+        sent = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+        own = own.join(sent, ["key", "size", "h"], "left")
+        # in a block: first what is not crowded, then each crowded hash, part by part
+        own = own.withColumn("part", F.when(F.col("cuts").isNotNull(), F.struct(F.col("h"), F.pmod(F.xxhash64("row"), F.col("cuts")).alias("cut")))).drop("cuts")
+        counted, parts = _counted(own.select("key", "size", "block", "part")), [*parts, "part"]
     counted = counted.drop("m").join(plan, ["key", "size"])
-    ranked = own.select("*", block).join(counted, ["key", "size", "block"])
-    rank = F.col("offset") + F.row_number().over(W.partitionBy("key", "size", "block").orderBy("h", "id", "row"))
+    if "part" not in parts:
+        counted = counted.drop("part")
+    met = own.join(counted.select(*[F.col(c).alias(f"_{c}") for c in parts], *[c for c in counted.columns if c not in parts]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts])
+    rank = F.col("offset") + F.row_number().over(W.partitionBy(*parts).orderBy("h", "id", "row"))
     extra = F.when(rank <= F.col("k") % F.col("n"), 1).otherwise(0)
-    return ranked.select(*(["_doc"] if carry else []), "id", "size", "source_size", "target", "rate", (F.floor(F.col("k") / F.col("n")) + extra).cast("long").alias("copies"))
+    return met.select(*(["_doc"] if carry else []), "id", "size", "source_size", "target", "rate", (F.floor(F.col("k") / F.col("n")) + extra).cast("long").alias("copies"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(key, size, block, part, m, offset): rows of each part of a block, and rows of the cell before it."""
+    before = W.partitionBy("key", "size").orderBy("block", F.col("part").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    return rows.groupBy("key", "size", "block", "part").agg(F.count("*").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -143,6 +166,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The mix itself: rows of docs, each as often as the mix takes it, with the same columns."""
+    """The mix itself: rows of docs, each as often as the mix takes it, with the same columns, whatever their names.
+
+    Null and empty texts stay once each. A null source is a source of its own. Repeated rows are documents of their own; texts of any
+    length count by their words. An empty table gives none.
+    """
     rows = mixed_rows(docs, True, id_col, text_col, source_col, weights, share, cap, block_rows)
     return rows.filter("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_doc.*")
