@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galewise.sources import shared
 from galewise.sources.shared import drop_path, new_path
 
-__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "native_word_count", "new_path", "per_batch", "read_table", "scratch", "sliced", "strings_of", "texts_of", "written"]
+__all__ = ["BATCH_ROWS", "LOWER", "LOWER_WORDS", "SPACES", "SPACE_CLASS", "drop_path", "drop_scratch", "fresh", "mapped_with", "native_word_count", "new_path", "per_batch", "read_table", "scratch", "sliced", "strings_of", "texts_of", "written"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,6 +81,14 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
     return run
 
 
+def mapped_with(docs: DataFrame, run, added: list[T.StructField]) -> DataFrame:
+    """docs and further columns that the mapInArrow function `run` adds. Columns go by plain names meanwhile: mapInArrow knows none with a
+    point in it."""
+    plain = [f"_c{k}" for k in range(len(docs.columns))]
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)], *added])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, *[f.name for f in added])
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

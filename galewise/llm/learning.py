@@ -14,11 +14,13 @@ def held_out(id_col: F.Column) -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most `rows` labelled documents that are not held out, those first in the order of a hash of their id.
-    Rows without a label or an id are left out; of several labels the largest counts. The ids are bounded by `rows`, so they can
-    be sent to all tasks."""
+    Rows without a label or an id are left out; of several labels the largest counts, and of several documents of one id that whose
+    text has the least hash, so that no id brings more than one row. The ids are bounded by `rows`, so they can be sent to all
+    tasks."""
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     chosen = named.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("text", F.col("_label").alias("label"))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id").agg(F.max("_label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("first.text", "label")
 
 
 def sigmoid(x):

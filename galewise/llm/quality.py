@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, fresh, per_batch, sliced, texts_of
+from galewise.llm.common import LOWER, fresh, mapped_with, per_batch, sliced, texts_of
 from galewise.llm.learning import Adam, Rows, held_out, labelled_sample, sigmoid
 
 #: Most labelled documents that the model is fitted on.
@@ -145,7 +145,6 @@ def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: st
     score = fresh(docs.columns, "_expected")
     tail = fresh([*docs.columns, score], "_tail")
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(tail, T.DoubleType())])
 
     def run(batches):
         scorer = _Scorer(sent.value)
@@ -153,7 +152,7 @@ def with_grades(docs: DataFrame, model: Ordinal, at_least: int = 1, text_col: st
             expected, p = sent.value.judged(scorer(texts_of(batch.column(at))), at_least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(p)], names=[*batch.schema.names, score, tail])
 
-    return docs.mapInArrow(run, schema), score, tail
+    return mapped_with(docs, run, [T.StructField(score, T.DoubleType()), T.StructField(tail, T.DoubleType())]), score, tail
 
 
 def graded(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_least: int = 1, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -168,7 +167,11 @@ def graded(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_le
 
 
 def selected(docs: DataFrame, labels: DataFrame, label_col: str = "quality", at_least: int = 1, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the same columns."""
+    """The rows of docs that the classifier keeps, with the same columns, whatever their names.
+
+    Null and empty texts are judged by having no words; texts of any length by all their words. Of repeated rows all stay or all go.
+    Without labels nothing is kept unless at_least is 0. An empty table gives none.
+    """
     model = fit(docs, labels, label_col, id_col, text_col, train_rows)
     own, _, tail = with_grades(docs, model, at_least, text_col)
     return own.filter(F.col(tail) >= keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])
