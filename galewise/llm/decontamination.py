@@ -4,9 +4,10 @@ The patterns are the windows of the benchmark items. For each window length a ma
 blocks of two words (how far the search may move on when the text has this block at the window's end), a
 bucket of windows for each suffix block of shift zero, and a direct comparison of the words of a window.
 
-Scale: documents are read once and nothing is shuffled. The benchmark is split by hash into blocks of
-`block_bytes` at most (a count of its bytes comes first); each block is sent to all tasks, and the passes
-chain, each adding to the hits that the one before has found.
+Scale: nothing is shuffled. The benchmark is split by hash into blocks of `block_bytes` at most (a count of its bytes comes
+first), and each block is sent to all tasks. A block's matcher takes about 100 bytes of memory for each byte of the block. With one
+block documents are read once. With more, each pass adds to the hits that the one before has found and is written to the
+shared folder, so that a task has one matcher at a time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER_WORDS, fresh, per_batch, sliced, texts_of
+from galewise.llm.common import LOWER_WORDS, drop_path, fresh, per_batch, sliced, texts_of, written
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to all tasks at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -132,8 +133,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
     spark = docs.sparkSession
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<struct<start:long,end:long>>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
-    at, n = docs.columns.index(text_col), len(docs.columns)
-    for block in benchmark_blocks(benchmark, item_id_col, item_text_col, block_bytes):
+    out = out.toDF(*[f"_c{k}" for k in range(len(docs.columns))], *names)  # mapInArrow knows no name with a point in it
+    at, n, path = docs.columns.index(text_col), len(docs.columns), None
+    blocks = benchmark_blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    for k, block in enumerate(blocks):
         search = spark.sparkContext.broadcast(matchers([(r[0], (r[1] or "").encode()) for r in block.collect()]))  # a block's size is bounded by benchmark_blocks
 
         def run(batch: pa.RecordBatch, search=search) -> pa.RecordBatch:
@@ -150,7 +153,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
             return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(found, ranges), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
         out = out.mapInArrow(per_batch(run), out.schema)
-    return out, names
+        if k + 1 < len(blocks):  # two passes in one stage would have two workers and two matchers a task
+            before, (out, path) = path, written(out, "marked")
+            search.destroy()
+            if before:
+                drop_path(spark, before)
+    return out.toDF(*docs.columns, *names), names
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -158,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items (ids as strings, sorted), n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits. An empty benchmark or one of null texts hits nothing; short items are a window
-    of their own length. Items with equal texts are all reported. A null item id counts as the empty string. Repeated documents
+    of their own length. Items with equal texts are all reported. Texts of any length are searched whole. A null item id counts as the empty string. Repeated documents
     give repeated rows; columns besides those named are ignored.
     """
     found, (n_words, hit, items) = marked(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), benchmark, text_col, item_id_col, item_text_col, block_bytes)
@@ -168,7 +176,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the contaminated ones, with the same columns."""
+    """docs without the contaminated ones, with the same columns, whatever their names.
+
+    Null and empty texts have no words and stay; an empty benchmark takes nothing. Of repeated rows all stay or all go. A very long text
+    goes with one hit, as a short one does. An empty table gives none.
+    """
     found, (_, hit, _) = marked(docs, benchmark, text_col, item_id_col, item_text_col, block_bytes)
     return found.filter(F.size(hit) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER, fresh, per_batch, texts_of, written
+from galewise.llm.common import LOWER, fresh, mapped_with, per_batch, texts_of, written
 from galewise.operators.graphs import components
 
 BITS = 64
@@ -88,13 +88,12 @@ def fingerprints(text: bytes, words_per_shingle: int = SHINGLE, lanes: int = 1)
 def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = SHINGLE, lanes: int = 1, name: str = "fp") -> DataFrame:
     """docs and a signed 64-bit column for each lane's fingerprint, `name` and `name`1 and so on; a null text has no words."""
     at, names = docs.columns.index(text_col), [f"{name}{k or ''}" for k in range(lanes)]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in names]])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprints(t, words_per_shingle, lanes) for t in texts_of(batch.column(at))], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(prints[:, k]) for k in range(lanes)]], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(per_batch(run), schema)
+    return mapped_with(docs, per_batch(run), [T.StructField(x, T.LongType()) for x in names])
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
