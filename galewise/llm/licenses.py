@@ -118,7 +118,8 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", no
     label, first_word, n_words, errors).
 
     The score is 1 if a phrase stands as it is, else the similarity of the closest notice, else 0. Null and empty texts have no words
-    and score 0. Repeated rows give repeated rows; other columns are ignored.
+    and score 0. Repeated rows give repeated rows, an empty table none; other columns are ignored. Texts of any length are searched
+    whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     struct = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("errors", pa.int64())]))

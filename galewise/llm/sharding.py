@@ -112,7 +112,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 
 def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """docs and the column shard_id (it replaces one of that name)."""
+    """docs and the column shard_id (it replaces one of that name); the other columns stay, whatever their names.
+
+    A null text has 0 bytes; a document over the limit has a shard to itself. Repeated rows overflow to pages. An empty table gives none.
+    """
     rows = sharded_rows(docs, True, id_col, text_col, limit)
     return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "shard_id"], "shard_id")
 

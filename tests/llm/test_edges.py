@@ -1,9 +1,11 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, and columns of clashing names."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from galewise.llm import decontamination, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity
+from galewise.llm import decontamination, learning, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 30_000
 ROWS = [
@@ -13,7 +15,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASH = ("fp", "_fp", "_row", "score", "kept", "size", "key", "n", "h", "row", "id", "_doc", "_hit", "_items", "_n_words", "copies", "depth", "shard", "bytes", "features", "label", "_tail", "_expected", "rate", "block")
+CLASH = ("fp", "_fp", "_row", "score", "kept", "size", "key", "n", "h", "row", "id", "_doc", "_hit", "_items", "_n_words", "copies", "depth", "shard", "bytes", "features", "label", "_tail", "_expected", "rate", "block", "part", "a.b", "doc_id.x", "_key", "_size", "first")
 BENCH = [(1, "some text of no document"), (2, None), (None, "the same row"), (3, "")]
 
 
@@ -125,6 +127,30 @@ def test_mixing_without_words(spark):
     assert mixing.mixture(none).first()["taken"] == 0
 
 
+def test_equal_rows_are_dealt_out(spark):
+    """Nine thousand equal rows beside others: as many copies as in one block, and no task ranks them all."""
+    rows = spark.createDataFrame([(1, "one two three", "a")] * 9_000 + [(i, "four five six", "a") for i in range(2, 3_000)] + [(9, "x " * 40, "b")], "doc_id long, text string, source string")
+    counts = lambda b: sorted(tuple(r) for r in mixing.mixture(rows, block_rows=b).groupBy("size", "copies").count().collect())
+    assert counts(500) == counts(100_000)
+    assert sorted(r["n"] for r in mixing.mixture(rows, block_rows=500).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()) == sorted(r["n"] for r in mixing.mixture(rows.repartition(7), block_rows=500).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect())
+
+
+def test_an_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    rows = spark.createDataFrame([(i, "w " * (i + 1), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError, match="dual"):
+        mixing.mixture(rows)
+
+
+def test_one_row_an_id_is_learned_from(spark):
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = spark.createDataFrame([(a, f"text {i % 5}") for i in range(50)] + [(b, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 0), (a, 1), (b, 1)], "doc_id long, toxic int")
+    got = [tuple(r) for r in learning.labelled_sample(rows, labels, "toxic", 10).collect()]
+    assert len(got) == 2 and all(label == 1 for _, label in got)
+
+
 def test_one_grade_alone(spark, docs):
     same = spark.createDataFrame([(i, 1) for i in range(1, 8)], "doc_id long, quality int")
     assert {r["expected_grade"] for r in quality.graded(docs, same).collect()} == {1.0}
