@@ -18,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ SIGNS = {
     "а": "a", "с": "c", "е": "e", "і": "i", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ο": "o", "α": "a", "ε": "e", "ι": "i",
 }
 _CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], dtype=np.int64)
-_SUSPECT = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(<€£¡*#%асеіорѕтухоαει]|.*([a-z])\1\1|(?:[a-z][.\-_*~/\\])+[a-z]$)")
+_SUSPECT = re.compile(r"(?=[^a-z]*[0-9@$!|+(<€£¡*#%]{3})[0-9@$!|+(<€£¡*#%.\-_]{3,24}$|(?=.*[a-z])(?:.*[0-9@$!|+(<€£¡*#%асеіорѕтухоαει]|.*([a-z])\1\1|(?:[a-z][.\-_*~/\\])+[a-z]$)")
 _EDGE = " .,;:?\"'()[]{}"
 _JUNK_END = re.compile(r"(?:[%&*#$]{3,}|!{2,})$")
 _DOUBLE = re.compile(r"(.)\1")
@@ -82,23 +83,26 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     return CharModel(counts)
 
 
-def restore(word: str, model: CharModel) -> str:
-    """The likeliest letters behind a word."""
-    signs: list[tuple[str, int]] = []
-    for sign in word.lower():
-        if signs and signs[-1][0] == sign:
-            signs[-1] = (sign, signs[-1][1] + 1)
-        else:
-            signs.append((sign, 1))
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for sign, times in signs:
+def lattice(word: str) -> list[list[tuple[str, float]]]:
+    """For each sign of a word, or run of one letter, the letters that it may stand for and what each of these costs. Of a repeated sign
+    each may be another letter, or a repeat of the one before."""
+    found = []
+    for sign, own in groupby(word.lower()):
+        times = len(list(own))
         if "a" <= sign <= "z":
-            ways = [(sign * times, 0.0)] if times <= 2 else [(sign, 0.5), (sign * 2, 1.0)]
+            found.append([(sign * times, 0.0)] if times <= 2 else [(sign, 0.5), (sign * 2, 1.0)])
         elif sign in SIGNS:
-            ways = [(letter * k, 0.4 + 0.3 * rank + (8.0 if k < times else 0.0)) for rank, letter in enumerate(SIGNS[sign]) for k in {1, min(times, 2)}]
-            ways.append(("", 12.0))
+            letters = [(letter, 0.4 + 0.3 * rank) for rank, letter in enumerate(SIGNS[sign])]
+            found += [[*letters, ("", 20.0 if k == 0 else 8.0 if k == 1 else 4.0)] for k in range(times)]
         else:
-            ways = [("", 0.2 if sign in _CUT else 1.0)]
+            found.append([("", 0.2 if sign in _CUT else 1.0)])
+    return found
+
+
+def restore(word: str, model: CharModel) -> str:
+    """The likeliest letters behind a word: the cheapest way through its lattice, with the model's cost of each letter and of the end."""
+    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    for ways in lattice(word):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in beams.items():
             for letters, price in ways:
@@ -113,6 +117,11 @@ def restore(word: str, model: CharModel) -> str:
     return min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), default=(0.0, ""))[1]
 
 
+def drawn(word: str) -> str:
+    """The letters with which each sign goes first, whatever the model says: it knows little of words that nobody writes plainly."""
+    return "".join(letters for ways in lattice(word) for letters, _ in ways[:1])
+
+
 #: The cost of a word's end in a spaced run, how much dearer than the best a way to cut it may be, and letters of a word in it.
 BREAK, SLACK, LONGEST = 1.5, 5.5, 24
 
@@ -202,7 +211,7 @@ class Features:
         found = hashed(word)
         if _SUSPECT.match(word):
             clean = word.rstrip("!*#%$")
-            meant = {restore(word, self.model), restore(clean, self.model)}
+            meant = {restore(word, self.model), restore(clean, self.model), drawn(clean)}
             for text in meant | {_DOUBLE.sub(r"\1", x) for x in meant}:
                 if len(text) > 2:
                     found += hashed(text)
@@ -236,15 +245,23 @@ def _is_single(word: bytes) -> bool:
 
 
 def _spaced(words: list[bytes]) -> list[str]:
-    """Runs of three or more single signs, put together."""
+    """Runs of three or more single signs, put together, and runs of three or more pieces of one or two letters in which there are
+    both."""
     lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
     single = lengths == 1
     for at in np.flatnonzero((lengths > 1) & (lengths <= 4)).tolist():
         single[at] = _is_single(words[at])
-    if single.sum() < 3:
+    if not single.any():
         return []
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]]))).reshape(-1, 2)
-    return [b"".join(words[a:b]).decode("utf-8", "replace") for a, b in edge.tolist() if b - a >= 3]
+    found = [b"".join(words[a:b]) for a, b in _stretches(single) if b - a >= 3]
+    short = single | (lengths == 2)
+    found += [b"".join(words[a:b]) for a, b in _stretches(short) if b - a >= 3 and single[a:b].any() and not single[a:b].all()]
+    return [x.decode("utf-8", "replace") for x in found]
+
+
+def _stretches(marks: np.ndarray) -> list[list[int]]:
+    """(start, end) of the runs of marks."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))).reshape(-1, 2).tolist()
 
 
 class Scorer:

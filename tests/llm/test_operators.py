@@ -102,6 +102,33 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    """Against every path of short lattices, under a random model."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    model = toxicity.CharModel(rng.integers(0, 50, 27**3))
+
+    def cost(letters, price):
+        a = b = 0
+        for x in letters:
+            price -= model.rows[a][b][ord(x) - 96]
+            a, b = b, ord(x) - 96
+        return price - model.rows[a][b][0]
+
+    for word in ["m0r0n", "$tup1d", "b11l", "@$$", "455", "a-b*c", "xxx1", "!!!", "8#o", *("".join(rng.choice(list("ab01@$*!-#"), 6)) for _ in range(40))]:
+        best = min((cost("".join(x[0] for x in path), sum(x[1] for x in path)), "".join(x[0] for x in path)) for path in product(*toxicity.lattice(word)))
+        found = toxicity.restore(word, model)
+        assert cost(found, min(sum(x[1] for x in path) for path in product(*toxicity.lattice(word)) if "".join(x[0] for x in path) == found)) == pytest.approx(best[0])
+
+
+def test_signs_in_place_of_letters():
+    features = toxicity.Features(toxicity.CharModel(np.ones(27**3)))
+    for word, meant in {"@ssh0le": "asshole", "@$$": "ass", "f00l": "fool", "455": "ass", "cl0wn!!": "clown"}.items():
+        assert set(toxicity.hashed(meant)) <= set(features.of_word(word.encode()))
+    assert "idiot" in toxicity._spaced(b"you id i ot there".split())
+
+
 def test_disguised_words(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
