@@ -73,6 +73,68 @@ def regions(pixels: DataFrame, keep: Column, side: int) -> DataFrame:
     return packed.mapInArrow(run, "frame_id long, row int, col int, region int")
 
 
+def outlines(regions_: DataFrame, keys: tuple = ("frame_id", "region")) -> DataFrame:
+    """(keys, n_pixels, rings) of regions (keys, row, col): rings of corners (x = column, y = row), the outer one first, then the holes'.
+
+    A pixel's side is part of an outline where no pixel of the region is on its other side: four equi-joins would find that, one count
+    does, as an inner side is named by two pixels. Sides go round the region with it on the left; where two pixels touch at a
+    corner only, the outline stays with its pixel."""
+    r, c = F.col("row"), F.col("col")
+    side = lambda a, b, d, e: F.struct(a.alias("y0"), b.alias("x0"), d.alias("y1"), e.alias("x1"))
+    sides = F.array(side(r, c, r + 1, c), side(r + 1, c, r + 1, c + 1), side(r + 1, c + 1, r, c + 1), side(r, c + 1, r, c))
+    spread = regions_.select(*keys, F.explode(sides).alias("s"))
+    s = F.col("s")
+    inner = [F.least(s["y0"], s["y1"]), F.least(s["x0"], s["x1"]), s["y0"] == s["y1"]]
+    outer = spread.groupBy(*keys, *[x.alias(n) for x, n in zip(inner, ("ya", "xa", "flat"), strict=True)]).agg(F.count("*").alias("n"), F.first("s").alias("s")).filter("n = 1")
+    packed = outer.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("sides"))
+    sizes = regions_.groupBy(*keys).agg(F.count("*").alias("n_pixels"))
+    names = [*keys, "n_pixels", "sides"]
+    met = packed.join(sizes, list(keys)).select(*names)
+    kinds = dict(met.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "n_pixels")) + ", rings array<array<struct<x:double,y:double>>>"
+    rings_type = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def run(batches):
+        for batch in batches:
+            rings = [ringed([(e["y0"], e["x0"], e["y1"], e["x1"]) for e in sides]) for sides in batch.column(len(keys) + 1).to_pylist()]
+            rings = [[[{"x": float(x), "y": float(y)} for y, x in ring] for ring in own] for own in rings]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(rings, rings_type)], names=[*keys, "n_pixels", "rings"])
+
+    return met.mapInArrow(run, schema)
+
+
+def ringed(sides: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Directed sides, smallest first, chained into closed rings of the corners (y, x) where they turn. A ring begins at its smallest
+    corner, where no other pixel touches, so that it is closed when it comes back there."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for y0, x0, y1, x1 in sides:
+        after.setdefault((y0, x0), []).append((y1, x1))
+    rings = []
+    for y0, x0, *_ in sides:
+        if not after[y0, x0]:
+            continue
+        ring, at = [(y0, x0)], after[y0, x0].pop()
+        while at != (y0, x0):
+            ways = after[at]
+            way = max(ways, key=lambda w: _turn(ring[-1], at, w))
+            ways.remove(way)
+            ring.append(at)
+            at = way
+        rings.append([p for before, p, next_ in zip([ring[-1], *ring[:-1]], ring, [*ring[1:], ring[0]], strict=True) if _turn(before, p, next_)])
+    return rings
+
+
+def _turn(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> int:
+    """Over 0 for a turn towards the region's side, below for one away from it."""
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
+def to_world(rings: Column, transform: Column) -> Column:
+    """Rings of pixel corners on the ground."""
+    t = transform
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct((t["a"] * p["x"] + t["b"] * p["y"] + t["c"]).alias("x"), (t["d"] * p["x"] + t["e"] * p["y"] + t["f"]).alias("y"))))
+
+
 def rotated(frames: DataFrame, side: int, ranges, seed: int = 42) -> DataFrame:
     """Each frame and one rotation for each angle range, by an angle drawn by a hash of (frame, range), so that reruns agree."""
     draws = [F.struct(F.lit(i).alias("k"), (a + (b - a) * F.pmod(F.xxhash64(F.lit(seed), "frame_id", F.lit(i)), F.lit(10_000)) / 10_000.0).alias("angle")) for i, (a, b) in enumerate(ranges)]

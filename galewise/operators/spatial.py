@@ -46,12 +46,27 @@ def segment_hits(segments: DataFrame, obstacles: DataFrame, keys: list[str], cel
     own = segments.columns
     a, b = with_cells(segment_bounds(segments), cell).alias("a"), with_cells(obstacles, cell).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cx", "cy")]
-    shape = F.col("b.polygon") if "polygon" in obstacles.columns else box_of("b")
-    exact = g.segment_meets_polygon(point(F.col("a.ax"), F.col("a.ay")), point(F.col("a.bx"), F.col("a.by")), shape)
+    if "polygon" in obstacles.columns:
+        exact = g.segment_meets_polygon(point(F.col("a.ax"), F.col("a.ay")), point(F.col("a.bx"), F.col("a.by")), F.col("b.polygon"))
+    else:
+        exact = crosses_box("a", "b")
     met = a.join(b, _all([*on, bounds_meet("a", "b"), first_common_cell("a", "b", cell)]))
     return met.filter(exact).select(*[F.col(f"a.{c}").alias(c) for c in own], F.col("b.obstacle_id").alias("obstacle_id"))
 
 
+def crosses_box(a: str, b: str) -> Column:
+    """Whether a segment whose bounds meet a box meets the box: its line doesn't leave all corners strictly on one side."""
+    c = lambda name: F.col(f"{a}.{name}")
+    sides = [(c("bx") - c("ax")) * (F.col(f"{b}.{y}") - c("ay")) - (c("by") - c("ay")) * (F.col(f"{b}.{x}") - c("ax")) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    return (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def box_gap(a: str, b: str) -> Column:
+    """Distance of two boxes."""
+    apart = lambda k: F.greatest(F.lit(0.0), F.col(f"{a}.{k}min") - F.col(f"{b}.{k}max"), F.col(f"{b}.{k}min") - F.col(f"{a}.{k}max"))
+    return F.sqrt(apart("x") * apart("x") + apart("y") * apart("y"))
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -82,15 +97,19 @@ def close_pairs(obstacles: DataFrame, reach: float, keys: list[str] = [], cell:
     half = reach / 2
     a, b = with_cells(obstacles, cell, half).alias("a"), with_cells(obstacles, cell, half).alias("b")
     on = _all([*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cx", "cy")], F.col("a.obstacle_id") != F.col("b.obstacle_id"), bounds_meet("a", "b", half), first_common_cell("a", "b", cell, half)])
-    shape = lambda n: F.col(f"{n}.polygon") if "polygon" in obstacles.columns else box_of(n)
-    met = a.join(b, on).filter(g.polygon_distance(shape("a"), shape("b")) <= reach)
+    gap = g.polygon_distance(F.col("a.polygon"), F.col("b.polygon")) if "polygon" in obstacles.columns else box_gap("a", "b")
+    met = a.join(b, on).filter(gap <= reach)
     return met.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.obstacle_id").alias("a"), F.col("b.obstacle_id").alias("b"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, reach: float, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, reach: float | None = None, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
     """(qid, id, d, place): the k nearest points of each query, ties by id. Queries (qid, x, y) look in the 3 x 3 cells of size `reach` around
-    them, where everything within reach is found; those with fewer than k points within reach go on with twice the reach."""
-    total = points.count()
+    them, where everything within reach is found; those with fewer than k points within reach go on with twice the reach. Unless it is
+    given, the first reach is such that the cells hold about k points together, from the number of points and their bounds."""
+    total, *bounds = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if reach is None and total:
+        wide, high = max(bounds[1] - bounds[0], 1e-9), max(bounds[3] - bounds[2], 1e-9)
+        reach = max((wide * high * (k + 1) / total) ** 0.5, max(wide, high) * (k + 1) / total / 2) / 2
     want = min(k, total - 1 if exclude_self else total)
     found, rest = None, queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"))
     if want < 1:
@@ -115,14 +134,14 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, reach: float, exclude
     raise RuntimeError("the points are spread over too many scales")
 
 
-def knn_edges(points: DataFrame, k: int, reach: float) -> DataFrame:
+def knn_edges(points: DataFrame, k: int, reach: float | None = None) -> DataFrame:
     """Undirected edges (i, j, w) with i < j to the k nearest other points."""
     own = points.select(F.col("id").alias("qid"), "x", "y")
     pairs = nearest(own, points, k, reach, exclude_self=True)
     return pairs.groupBy(F.least("qid", "id").alias("i"), F.greatest("qid", "id").alias("j")).agg(F.min("d").alias("w"))
 
 
-def closest_valid_vertex(queries: DataFrame, vertices: DataFrame, obstacles: DataFrame, reach: float) -> DataFrame:
+def closest_valid_vertex(queries: DataFrame, vertices: DataFrame, obstacles: DataFrame, reach: float | None = None) -> DataFrame:
     """For each query the nearest vertex inside no obstacle; a query stays itself where none is left."""
     free = vertices.join(points_inside(vertices, obstacles).select("id").distinct(), "id", "left_anti")
     best = nearest(queries, free, 1, reach).select("qid", "id", "d")

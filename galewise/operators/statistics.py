@@ -1,20 +1,25 @@
 """Paired statistics over result tables.
 
 A result table has algorithm, subject_id, window_size, length and success. Everything is a grouped aggregate, a window
-over the compared values, or an equi-join on (subject, window); no statistic collects a group.
+over the few families or the rows of one block, or an equi-join on (subject, window); no statistic collects a group. Ranks and quantiles of
+whole families are counted (operators/ranks.py).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from galewise.operators.ranks import quantiles, ranked_values, with_before
+
 TINY = 1e-10
 
 
 def midrank(partition: list, value: str) -> Column:
-    """Rank with ties averaged, within the partition."""
+    """Rank with ties averaged, within the partition: for small ones, as a block of all algorithms."""
     order = W.partitionBy(*partition).orderBy(value)
     return F.rank().over(order) + (F.count("*").over(W.partitionBy(*partition, value)) - 1) / 2
 
@@ -36,7 +41,8 @@ def row_counts(results: DataFrame, kept: Column) -> DataFrame:
 
 def descriptive(results: DataFrame, value: str = "length", by: tuple = ("algorithm",)) -> DataFrame:
     v = F.col(value)
-    return results.groupBy(*by).agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"), F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
+    sums = results.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"), F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return sums.join(quantiles(results, list(by), value, {"median": 0.5}), list(by), "left").select(*by, "mean", "median", "sd", "variance", "n", "least", "most")
 
 
 def rates(results: DataFrame, flag: str = "success") -> DataFrame:
@@ -107,9 +113,9 @@ def wilcoxon(differences: DataFrame, by: tuple = ("first", "second")) -> DataFra
     """Signed ranks over non-zero differences: W, tie-corrected z and rank-biserial effect. Families of zeros alone give W 0."""
     by = list(by)
     rows = differences.withColumn("size", F.abs("delta"))
-    other = rows.filter("delta <> 0")
-    ranked = other.withColumn("rank", midrank(by, "size")).withColumn("ties", F.count("*").over(W.partitionBy(*by, "size")))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("delta") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum("rank").alias("all"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
+    ranked = ranked_values(rows.filter("delta <> 0"), by, "size", {"up": F.count_if(F.col("delta") > 0)})
+    m = F.col("m")
+    sums = ranked.groupBy(*by).agg(F.sum(m).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(m * F.col("rank")).alias("all"), F.sum(m * (m * m - 1)).alias("tied"))
     n = F.col("n")
     sums = sums.withColumn("w", F.least(F.col("plus"), F.col("all") - F.col("plus")))
     sums = sums.withColumn("z", (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)).withColumn("effect", 1 - 4 * F.col("w") / (n * (n + 1)))
@@ -119,9 +125,12 @@ def wilcoxon(differences: DataFrame, by: tuple = ("first", "second")) -> DataFra
 
 def mann_whitney(samples: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """U of the smaller group name against the other within each family of two groups, z (with and without ties) and effect."""
-    low = F.min(group).over(W.partitionBy(*by))
-    rows = samples.withColumn("rank", midrank(by, value)).withColumn("ties", F.count("*").over(W.partitionBy(*by, value))).withColumn("is_first", F.col(group) == low)
-    sums = rows.groupBy(*by).agg(F.count_if("is_first").alias("n1"), F.count_if(~F.col("is_first")).alias("n2"), F.sum(F.when(F.col("is_first"), F.col("rank")).otherwise(0.0)).alias("r1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
+    low = samples.groupBy(*by).agg(F.min(group).alias("_low"))
+    rows = samples.join(low, by)
+    first = F.col(group) == F.col("_low")
+    m = F.col("m")
+    ranked = ranked_values(rows, by, value, {"mine": F.count_if(first)})
+    sums = ranked.groupBy(*by).agg(F.sum("mine").alias("n1"), F.sum(m - F.col("mine")).alias("n2"), F.sum(F.col("mine") * F.col("rank")).alias("r1"), F.sum(m * (m * m - 1)).alias("tied"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     sums = sums.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
@@ -165,9 +174,16 @@ def conover(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = rows.withColumn("rx", midrank(by, x)).withColumn("ry", midrank(by, y))
+    """Correlation of the ranks of x and y within each family, from the counts of their pairs of values."""
+    pairs_ = rows.groupBy(*by, x, y).agg(F.count("*").alias("_c"))
+    rank = lambda v, name: ranked_values(rows, by, v).select(*by, v, F.col("rank").alias(name))
+    ranked = pairs_.join(rank(x, "rx"), [*by, x]).join(rank(y, "ry"), [*by, y])
+    c, rx, ry = F.col("_c").cast("double"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"), F.sum(c * rx * ry).alias("xy"), F.sum(c * rx * rx).alias("xx"), F.sum(c * ry * ry).alias("yy"))
+    n = F.col("n")
+    cov = lambda a, b, ab: F.col(ab) / n - F.col(a) / n * (F.col(b) / n)
     # null where one side is constant
-    return ranked.groupBy(*by).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"), F.count("*").alias("n"))
+    return sums.select(*by, F.try_divide(cov("sx", "sy", "xy"), F.sqrt(cov("sx", "sx", "xx")) * F.sqrt(cov("sy", "sy", "yy"))).alias("rho"), "n")
 
 
 def mcnemar(results: DataFrame) -> DataFrame:
@@ -177,48 +193,48 @@ def mcnemar(results: DataFrame) -> DataFrame:
     return rows.withColumn("statistic", F.when(F.col("b") + F.col("c") == 0, 0.0).otherwise(off * off / (F.col("b") + F.col("c"))))
 
 
-def levene(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way F of absolute deviations from group medians."""
-    medians = samples.groupBy(group).agg(F.percentile(value, 0.5).alias("middle"))
-    z = samples.join(medians, group).select(group, F.abs(F.col(value) - F.col("middle")).alias("z"))
-    per = z.groupBy(group).agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("ss"))
-    whole = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("ss").alias("ss"))
+def levene(samples: DataFrame, group: str, value: str, by: tuple = ()) -> DataFrame:
+    """One-way F of absolute deviations from group medians, within each family."""
+    medians = quantiles(samples, [*by, group], value, {"middle": 0.5})
+    z = samples.join(medians, [*by, group]).select(*by, group, F.abs(F.col(value) - F.col("middle")).alias("z"))
+    per = z.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("ss"))
+    whole = per.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("ss").alias("ss"))
     k, n = F.col("k"), F.col("n")
-    return whole.select("k", "n", ((n - k) / (k - 1) * (F.col("between") - F.col("s") * F.col("s") / n) / (F.col("ss") - F.col("between"))).alias("statistic"))
+    return whole.select(*by, "k", "n", F.try_divide((n - k) / (k - 1) * (F.col("between") - F.col("s") * F.col("s") / n), F.col("ss") - F.col("between")).alias("statistic"))
 
 
 def rm_anova(results: DataFrame, by: list[str]) -> DataFrame:
     """Repeated measures over complete blocks: F of conditions against the residual, and eta squared."""
     rows = complete_blocks(results, by)
-    whole = W.partitionBy()
-    sums = rows.withColumn("g", F.avg("length").over(whole)).withColumn("c", F.avg("length").over(W.partitionBy("algorithm"))).withColumn("s", F.avg("length").over(W.partitionBy(*by)))
-    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    out = sums.agg(F.count("*").alias("rows"), F.count_distinct("algorithm").alias("k"), F.sum(square("length", "g")).alias("total"), F.sum(square("c", "g")).alias("between"), F.sum(square("s", "g")).alias("subjects"))
-    k, n = F.col("k"), F.col("rows") / F.col("k")
-    error = F.col("total") - F.col("between") - F.col("subjects")
-    return out.select("k", n.alias("n"), (F.col("between") / (k - 1) / (error / ((k - 1) * (n - 1)))).alias("f"), (F.col("between") / F.col("total")).alias("eta2"))
-
-
-def jonckheere(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Trend over ordered groups by ranks: J is what each value exceeds in lower groups, from running counts and not from pairs."""
-    counts = samples.groupBy(group, value).agg(F.count("*").alias("m"))
-    sizes = samples.groupBy(group).agg(F.count("*").alias("n"))
-    low = counts.select(F.col(group).alias("low"), F.col(value).alias("v"), F.col("m").alias("m1"))
-    own = W.partitionBy("low").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    low = low.withColumn("below", F.coalesce(F.sum("m1").over(own), F.lit(0)))
-    # for every pair of groups: as-of running counts through one sorted union of both sides
-    groups = sizes.select(F.col(group).alias("g"))
-    grid = low.join(F.broadcast(groups), F.col("g") > F.col("low")).select("low", "g", "v", "m1", F.lit(0).cast("long").alias("m2"))
-    high = counts.select(F.col(group).alias("g"), F.col(value).alias("v"), F.col("m").alias("m2")).join(F.broadcast(sizes.select(F.col(group).alias("low"))), F.col("low") < F.col("g"))
-    both = grid.unionByName(high.select("low", "g", "v", F.lit(0).cast("long").alias("m1"), "m2")).groupBy("low", "g", "v").agg(F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
-    run = W.partitionBy("low", "g").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    scored = both.withColumn("below", F.coalesce(F.sum("m1").over(run), F.lit(0))).select((F.col("m2") * (F.col("below") + F.col("m1") / 2)).alias("j"))
-    total = scored.agg(F.sum("j").alias("j"), F.lit(0).cast("long").alias("n"))
-    per = sizes.select(F.lit(0.0).alias("j"), "n")
-    out = total.unionByName(per).agg(F.sum("j").alias("j"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * F.col("n") * (2 * F.col("n") + 3)).alias("n3"))
-    n = F.col("n").cast("double")
+    mean = lambda keys, name: rows.groupBy(*keys).agg(F.avg("length").alias(name), F.count("*").alias("m"))
+    grand = rows.agg(F.avg("length").alias("g"))  # one row, as all that follow
+    spread = lambda means, name: means.crossJoin(F.broadcast(grand)).agg(F.sum(F.col("m") * (F.col(name) - F.col("g")) * (F.col(name) - F.col("g"))).alias(f"ss_{name}"), F.count("*").alias(f"n_{name}"))
+    total = rows.select(F.col("length").alias("v"), F.lit(1).alias("m")).crossJoin(F.broadcast(grand)).agg(F.sum((F.col("v") - F.col("g")) * (F.col("v") - F.col("g"))).alias("total"))
+    sums = total.crossJoin(spread(mean(["algorithm"], "c"), "c")).crossJoin(spread(mean(by, "s"), "s"))
+    k, n = F.col("n_c"), F.col("n_s").cast("double")
+    error = F.col("total") - F.col("ss_c") - F.col("ss_s")
+    return sums.select(k.alias("k"), n.alias("n"), (F.col("ss_c") / (k - 1) / (error / ((k - 1) * (n - 1)))).alias("f"), (F.col("ss_c") / F.col("total")).alias("eta2"))
+
+
+def jonckheere(samples: DataFrame, group: str, value: str, by: tuple = ()) -> DataFrame:
+    """Trend over ordered groups within each family: J is what each value exceeds in lower groups, from running counts and not from
+    pairs of values. Groups are a handful, values may be any number."""
+    keys = list(by) or ["_all"]
+    rows = samples if by else samples.withColumn("_all", F.lit(1))
+    counts = rows.groupBy(*keys, group, value).agg(F.count("*").alias("m"))
+    sizes = rows.groupBy(*keys, group).agg(F.count("*").alias("n"))
+    # for every pair of groups: the values of both, with how often each has them
+    other = sizes.select(*keys, F.col(group).alias("other"))
+    met = counts.join(other, keys).filter(F.col(group) != F.col("other"))
+    low = F.col(group) < F.col("other")
+    both = met.groupBy(*keys, F.least(group, "other").alias("low"), F.greatest(group, "other").alias("high"), value).agg(F.sum(F.when(low, F.col("m")).otherwise(0)).alias("m1"), F.sum(F.when(low, 0).otherwise(F.col("m"))).alias("m2"))
+    placed = with_before(both, [*keys, "low", "high"], [value], {"m1": "below"})
+    j = placed.groupBy(*keys).agg(F.sum(F.col("m2") * (F.col("below") + F.col("m1") / 2)).alias("j"))
+    n = F.col("n")
+    sums = sizes.groupBy(*keys).agg(F.sum(n).cast("double").alias("_n"), F.sum(n * n).alias("n2"), F.sum(n * n * (2 * n + 3)).alias("n3"))
+    n = F.col("_n")
     mean, var = (n * n - F.col("n2")) / 4, (n * n * (2 * n + 3) - F.col("n3")) / 72
-    return out.select("j", mean.alias("mean"), var.alias("variance"), ((F.col("j") - mean) / F.sqrt(var)).alias("z"))
+    return sums.join(j, keys).select(*by, "j", mean.alias("mean"), var.alias("variance"), F.try_divide(F.col("j") - mean, F.sqrt(var)).alias("z"))
 
 
 def holm(tests: DataFrame, family: list[str], p: str = "p", order: tuple = (), monotone: bool = True) -> DataFrame:
@@ -241,20 +257,37 @@ def benjamini_hochberg(tests: DataFrame, family: list[str], p: str = "p", order:
 
 def boxplot(results: DataFrame, by: tuple = ("algorithm", "window_size"), value: str = "length") -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = results.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("q2"), F.percentile(value, 0.75).alias("q3"))
+    q = quantiles(results, list(by), value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
     return results.join(q, list(by)).groupBy(*by, "q1", "q2", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"), F.count_if(inside.isNull()).alias("n_outliers"))
 
 
 def bootstrap_medians(results: DataFrame, by: list[str], resamples: int = 1_000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % range of bootstrap medians: each resample draws by a hash of (seed, resample, place), so that reruns agree."""
-    place = F.row_number().over(W.partitionBy(*by).orderBy("length", "subject_id")) - 1
-    numbered = results.select(*by, "length", place.alias("place"), F.count("*").over(W.partitionBy(*by)).alias("n"))
-    draws = numbered.select(*by, "n", F.col("place").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "b", "draw", *by), F.col("n")).cast("int")).drop("n")
-    medians = draws.join(numbered.drop("n"), [*by, "place"]).groupBy(*by, "b").agg(F.percentile("length", 0.5).alias("m"))
-    return medians.groupBy(*by).agg(F.avg("m").alias("median"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    """Mean and 95 % range of bootstrap medians of lengths.
+
+    The k-th smallest of n draws with replacement stands at the place that the k-th smallest of n uniform numbers points to. So only
+    that number is drawn for each resample, from its own (beta) distribution and by a hash of (seed, resample, family), and the
+    values at the places are looked up: reruns agree, and no resample is ever spread out."""
+    rows = results.filter(F.col("length").isNotNull()).select(*by, "length", "subject_id").withColumn("_one", F.lit(1)).withColumn("_row", F.monotonically_increasing_id())
+    placed = with_before(rows, by, ["length", "subject_id", "_row"], {"_one": "place"}).select(*by, "place", "length")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+    @F.pandas_udf("struct<low: long, high: long>")
+    def drawn(n: pd.Series, h: pd.Series) -> pd.DataFrame:
+        n = n.to_numpy()
+        low, high = np.empty(len(n), dtype=np.int64), np.empty(len(n), dtype=np.int64)
+        for i, (size, key) in enumerate(zip(n.tolist(), h.tolist(), strict=True)):
+            rng, k = np.random.default_rng(key % 2**64), (size + 1) // 2
+            u = rng.beta(k, size - k + 1)
+            v = u if size % 2 else u + (1 - u) * (1 - rng.random() ** (1 / (size - k)))  # the next larger one
+            low[i], high[i] = min(int(u * size), size - 1), min(int(v * size), size - 1)
+        return pd.DataFrame({"low": low, "high": high})
+
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.withColumn("d", drawn("n", F.xxhash64(F.lit(seed), "b", *by))).select(*by, "b", F.explode(F.array("d.low", "d.high")).alias("place"))
+    medians = draws.join(placed, [*by, "place"]).groupBy(*by, "b").agg(F.avg("length").alias("m"))
+    return medians.groupBy(*by).agg(F.avg("m").alias("median"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # a bounded number of resamples
 
 
 def first_overlapping(windows: DataFrame, algorithm: str = "algorithm") -> DataFrame:

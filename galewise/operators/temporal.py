@@ -95,5 +95,12 @@ def offsets(files: DataFrame) -> DataFrame:
 
 
 def located(indices: DataFrame, files: DataFrame) -> DataFrame:
-    """(index, file, offset) of global indices; those past the end are dropped."""
-    return indices.join(offsets(files), (F.col("index") >= F.col("start")) & (F.col("index") < F.col("start") + F.col("n"))).select("index", "file", (F.col("index") - F.col("start")).alias("offset"))
+    """(index, file, offset) of global indices; those past the end are dropped. Indices and files meet in ranges of equal width, as many as
+    there are files."""
+    placed = offsets(files)
+    width = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.count("*"))).cast("long")
+    each = files.agg(width.alias("width"))  # one row
+    cover = placed.filter("n > 0").crossJoin(F.broadcast(each)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((F.col("start") + F.col("n") - 1) / F.col("width"))))).drop("width")
+    dealt = indices.crossJoin(F.broadcast(each)).withColumn("cell", F.floor(F.col("index") / F.col("width"))).drop("width")
+    met = dealt.join(cover, "cell").filter("index >= start and index < start + n")
+    return met.select("index", "file", (F.col("index") - F.col("start")).alias("offset"))

@@ -1,45 +1,124 @@
-"""The report: statistics of all phases in one tall table, and its text. Tables are small by then: a row for each family."""
+"""The report: statistics of all phases in one tall table with p-values and corrections, the best windows, and their text.
+
+Phase 1 asks whether residuals are normal and how often differences are zero; phase 2 compares all pairs of algorithms, by the test that
+phase 1 calls for; phase 3 compares all algorithms over complete blocks; phase 4 looks for a trend over windows; phase 5 holds gains against
+difficulty; phase 6 describes differences and spreads. Tables are small after the aggregates: a row for each family of a test.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galewise.operators import significance as sg
 from galewise.operators import statistics as st
 
+ALPHA = 0.05
+#: Share of zero differences from which ranks are used, however normal residuals are.
+MOST_ZEROS = 0.05
+COLUMNS = "phase int, test string, comparison string, statistic double, p_value double, p_corrected double, is_significant boolean, effect_size double, effect_label string, n long, alpha double, correction string"
+PAIR = F.concat_ws(" vs ", "first", "second")
+
+
+def diagnostics(results: DataFrame, deltas: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normality of each algorithm's residuals in each window, shares of zero differences, and one row with `nonparametric`: whether any
+    window's residuals of three or more are not normal (too many to be tested count as such), or differences are zero too often."""
+    normal = sg.normality(st.residuals(results), ["algorithm", "window_size"], "residual", alpha)
+    zeros = st.zero_inflation(deltas)
+    failed = normal.filter("n >= 3 and not coalesce(is_normal, false)").select(F.lit(True).alias("bad")).unionByName(zeros.filter(F.col("zero_share") > MOST_ZEROS).select(F.lit(True).alias("bad")))
+    return normal, zeros, failed.agg((F.count("*") > 0).alias("nonparametric"))
+
+
+def paired(deltas: DataFrame, gate: DataFrame) -> DataFrame:
+    """(first, second, test, statistic, p, effect_size, effect_label, n) by signed ranks or by t, as the gate says."""
+    ranks = sg.with_p(st.wilcoxon(deltas), "z", "z").select("first", "second", F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"), F.col("effect").alias("effect_size"), st.rank_biserial_label(F.col("effect")).alias("effect_label"), "n")
+    means = sg.with_p(st.paired_t(deltas), "t", "t", "df").select("first", "second", F.lit("paired_t").alias("test"), F.col("t").alias("statistic"), "p", F.col("d").alias("effect_size"), F.col("effect").alias("effect_label"), "n")
+    return ranks.crossJoin(F.broadcast(gate)).filter("nonparametric").unionByName(means.crossJoin(F.broadcast(gate)).filter("not nonparametric")).drop("nonparametric")
+
+
+def _tall(rows: DataFrame, phase: int, test, comparison: Column, statistic: Column, p: Column | None = None, effect: Column | None = None, label: Column | None = None, n: Column | None = None) -> DataFrame:
+    or_null = lambda c, kind: (c if c is not None else F.lit(None)).cast(kind)
+    return rows.select(F.lit(phase).alias("phase"), (F.lit(test) if isinstance(test, str) else test).alias("test"), comparison.alias("comparison"), statistic.cast("double").alias("statistic"), or_null(p, "double").alias("p_value"), or_null(effect, "double").alias("effect_size"), or_null(label, "string").alias("effect_label"), or_null(n, "long").alias("n"))
+
 
-def _tall(rows: DataFrame, phase: int, test: str, comparison, statistic, effect=None, n=None) -> DataFrame:
-    return rows.select(F.lit(phase).alias("phase"), F.lit(test).alias("test"), comparison.alias("comparison"), statistic.cast("double").alias("statistic"), (effect if effect is not None else F.lit(None)).cast("double").alias("effect_size"), (n if n is not None else F.lit(None)).cast("long").alias("n"))
+def _judged(rows: DataFrame, correction: str, alpha: float) -> DataFrame:
+    """Corrected p within each test, and whether it is below alpha."""
+    if correction == "holm":
+        rows = st.holm(rows.filter("p_value is not null"), ["phase", "test"], "p_value", ("comparison",), monotone=False).withColumnRenamed("p_holm", "p_corrected")
+    elif correction == "bh":
+        rows = st.benjamini_hochberg(rows.filter("p_value is not null"), ["phase", "test"], "p_value", ("comparison",)).withColumnRenamed("p_bh", "p_corrected")
+    else:
+        rows = rows.withColumn("p_corrected", F.col("p_value"))
+    return rows.withColumn("is_significant", F.col("p_corrected") < alpha).withColumn("alpha", F.lit(alpha)).withColumn("correction", F.lit(correction)).select(*[c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def stat_results(results: DataFrame, blocks: list[str] = ["subject_id", "window_size"]) -> DataFrame:
-    """All phases over one result table."""
-    pair = F.concat_ws(" vs ", "first", "second")
+def stat_results(results: DataFrame, blocks: list[str] = ["subject_id", "window_size"], alpha: float = ALPHA) -> DataFrame:
+    """All phases over one result table (algorithm, subject_id, window_size, length, success), one row for each family of each test."""
     deltas = st.deltas(results)
-    out = [
-        _tall(st.zero_inflation(deltas), 1, "zero_inflation", pair, F.col("zero_share")),
-        _tall(st.wilcoxon(deltas), 2, "wilcoxon", pair, F.col("w"), F.col("effect"), F.col("n")),
-        _tall(st.paired_t(deltas), 2, "paired_t", pair, F.col("t"), F.col("d"), F.col("n")),
-        _tall(st.mcnemar(results), 2, "mcnemar", pair, F.col("statistic"), None, F.col("b") + F.col("c")),
-        _tall(st.friedman(results, blocks), 3, "friedman", F.lit("all"), F.col("chi2"), F.col("kendall_w"), F.col("n")),
-        _tall(st.conover(results, blocks), 3, "conover", pair, F.col("t")),
-        _tall(st.jonckheere(results, "window_size", "length"), 4, "jonckheere", F.lit("windows"), F.col("z")),
-        _tall(st.spearman(results, ["algorithm"], "window_size", "length"), 5, "spearman", F.col("algorithm"), F.col("rho"), None, F.col("n")),
-        _tall(st.levene(results, "algorithm", "length"), 6, "levene", F.lit("algorithms"), F.col("statistic"), None, F.col("n")),
+    normal, zeros, gate = diagnostics(results, deltas, alpha)
+    window = F.concat(F.lit("window "), F.col("window_size").cast("string"))
+    tested = paired(deltas, gate)
+    mcnemar = sg.with_p(st.mcnemar(results).withColumn("df", F.lit(1)), "chi2", "statistic", "df")
+    friedman = sg.with_p(st.friedman(results, blocks).withColumn("df", F.col("k") - 1), "chi2", "chi2", "df")
+    conover = sg.with_p(st.conover(results, blocks), "t", "t", "df")
+    trend = sg.with_p(st.jonckheere(results, "window_size", "length", ("algorithm",)), "z", "z")
+    gain = st.spearman(deltas, ["first", "second"], "length_1", "delta").withColumn("df", F.col("n") - 2)
+    gain = sg.with_p(gain.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("df"), 1 - F.col("rho") * F.col("rho")))).filter("n >= 3"), "t", "t", "df")
+    spread = sg.with_p(st.levene(results, "algorithm", "length", ("window_size",)).withColumn("d1", F.col("k") - 1).withColumn("d2", F.col("n") - F.col("k")), "f", "statistic", "d1", "d2")
+    described = st.descriptive(deltas, "delta", ("first", "second"))
+    parts = [
+        _judged(_tall(normal.filter("n >= 3"), 1, "shapiro_wilk", F.concat(F.col("algorithm"), F.lit(" "), window), F.col("w"), F.col("p"), n=F.col("n")), "none", alpha),
+        _judged(_tall(zeros, 1, "zero_inflation", PAIR, F.col("zero_share")), "none", alpha),
+        _judged(_tall(tested, 2, F.col("test"), PAIR, F.col("statistic"), F.col("p"), F.col("effect_size"), F.col("effect_label"), F.col("n")), "holm", alpha),
+        _judged(_tall(mcnemar, 2, "mcnemar", PAIR, F.col("statistic"), F.col("p"), n=F.col("b") + F.col("c")), "holm", alpha),
+        _judged(_tall(friedman, 3, "friedman", F.lit("algorithms"), F.col("chi2"), F.col("p"), F.col("kendall_w"), n=F.col("n")), "bh", alpha),
+        _judged(_tall(conover, 3, "conover", PAIR, F.col("t"), F.col("p")), "holm", alpha),
+        _judged(_tall(trend, 4, "jonckheere", F.col("algorithm"), F.col("z"), F.col("p")), "none", alpha),
+        _judged(_tall(gain, 5, "spearman", PAIR, F.col("rho"), F.col("p"), n=F.col("n")), "bh", alpha),
+        _judged(_tall(described, 6, "degradation", PAIR, F.col("median"), effect=F.col("mean"), n=F.col("n")), "none", alpha),
+        _judged(_tall(spread, 6, "levene", window, F.col("statistic"), F.col("p"), n=F.col("n")), "none", alpha),
     ]
-    whole = out[0]
-    for rows in out[1:]:
-        whole = whole.unionByName(rows)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
+
+
+def optimal_windows(results: DataFrame, resamples: int = 1_000) -> DataFrame:
+    """For each algorithm the first window whose bootstrap range overlaps that of the least median, and the window of the best ratio of
+    changes, with rates and counts."""
+    medians = st.bootstrap_medians(results, ["algorithm", "window_size"], resamples)
+    chosen = st.first_overlapping(medians).join(medians, ["algorithm", "window_size"])
+    best = st.best_windows(results).select("algorithm", F.col("window_size").alias("eta_window"), F.col("ratio").alias("eta"))
+    sums = results.groupBy("algorithm").agg(F.avg(F.col("success").cast("int")).alias("success_rate"), F.avg("length").alias("mean_length"), F.count_if("success").alias("n_success"), F.count("*").alias("n_total"))
+    return chosen.select("algorithm", F.col("window_size").alias("optimal_window"), F.col("median").alias("bootstrap_median"), F.col("low").alias("ci_low"), F.col("high").alias("ci_high")).join(best, "algorithm", "left").join(sums, "algorithm")
+
+
+def conclusions(stats: DataFrame) -> DataFrame:
+    """(phase, test, n_tests, n_significant, strongest): how many tests of each kind are significant, and the comparison of the least
+    corrected p."""
+    tests = stats.filter("p_value is not null")
+    return tests.groupBy("phase", "test").agg(F.count("*").alias("n_tests"), F.count_if("is_significant").alias("n_significant"), F.min_by("comparison", F.struct("p_corrected", "comparison")).alias("strongest"))
+
+
+def _number(v) -> str:
+    return "—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+
+
+def _section(title: str, names: list[str], rows: list) -> list[str]:
+    if not rows:
+        return []
+    return ["", f"## {title}", "", f"| {' | '.join(names)} |", "|" + "-|" * len(names), *[f"| {' | '.join('✓' if r[c] is True else '—' if r[c] is False else _number(r[c]) for c in names)} |" for r in rows]]
 
 
-def markdown(stats: DataFrame) -> str:
-    """The table as text: a section for each phase, without those that are empty."""
-    lines, phase = ["# Comparison of algorithms"], None
+def markdown(stats: DataFrame, windows: DataFrame | None = None) -> str:
+    """The tables as text: a section for each test of each phase, the best windows by falling ratio, and what is significant; empty
+    sections are left out."""
+    lines, found = ["# Comparison of algorithms"], {}
     for r in stats.orderBy("phase", "test", "comparison").collect():  # a row for each family of a test
-        if r["phase"] != phase:
-            phase = r["phase"]
-            lines += ["", f"## Phase {phase}", "", "| test | comparison | statistic | effect | n |", "|-|-|-|-|-|"]
-        text = lambda v: "—" if v is None else f"{v:.4f}"
-        lines.append(f"| {r['test']} | {r['comparison']} | {text(r['statistic'])} | {text(r['effect_size'])} | {'—' if r['n'] is None else r['n']} |")
+        found.setdefault((r["phase"], r["test"]), []).append(r)
+    for (phase, test), rows in found.items():
+        lines += _section(f"Phase {phase}: {test}", ["comparison", "statistic", "p_value", "p_corrected", "is_significant", "effect_size", "effect_label", "n"], rows)
+    if windows is not None:
+        lines += _section("Best windows", ["algorithm", "optimal_window", "bootstrap_median", "ci_low", "ci_high", "eta_window", "eta", "success_rate", "mean_length", "n_success", "n_total"], windows.orderBy(F.col("eta").desc_nulls_last(), "algorithm").collect())
+    lines += _section("Conclusions", ["phase", "test", "n_tests", "n_significant", "strongest"], conclusions(stats).orderBy("phase", "test").collect())
     return "\n".join(lines) + "\n"

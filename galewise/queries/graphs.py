@@ -22,7 +22,7 @@ VALID = VALID.replace("select i, j, w, t_idx from e, t anti join bad using (i, j
 
 def _edges(spark, sf_dir):
     p = tb.points(spark, sf_dir)
-    return sp.knn_edges(p, 6, 40_000.0), p
+    return sp.knn_edges(p, 6), p
 
 
 def _valid(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galewise.functions import geometry as g
+from galewise.functions import vectors as v
 from galewise.operators import rasters as rs
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
@@ -62,6 +64,25 @@ def frame_components(spark, sf_dir):
     return rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8)
 
 
+REGIONS = """with recursive px as (select vec_id as frame_id, (i - 1)::integer as p from embeddings, range(1, 65) t(i) where round(embedding[i]::double * 1000)::integer > 50),
+near as (select a.frame_id, a.p as a, b.p as b from px a join px b on a.frame_id = b.frame_id and ((a.p // 8 = b.p // 8 and abs(a.p - b.p) = 1) or abs(a.p - b.p) = 8)),
+reach(frame_id, p, other) as (select frame_id, p, p from px union select r.frame_id, r.p, n.b from reach r join near n on n.frame_id = r.frame_id and n.a = r.other),
+regions as (select frame_id, p // 8 as y, p % 8 as x, min(other)::integer as region from reach group by frame_id, p)"""
+
+
+@query(f"""{REGIONS}, own as (select a.frame_id, a.region, count(*) as n_pixels, sum((r.x is not null)::integer + (d.x is not null)::integer) as pairs, sum((r.x is not null and d.x is not null and q.x is not null)::integer) as fours
+  from regions a left join regions r on r.frame_id = a.frame_id and r.region = a.region and r.y = a.y and r.x = a.x + 1 left join regions d on d.frame_id = a.frame_id and d.region = a.region and d.y = a.y + 1 and d.x = a.x
+  left join regions q on q.frame_id = a.frame_id and q.region = a.region and q.y = a.y + 1 and q.x = a.x + 1 group by all)
+select frame_id, region, n_pixels, (4 * n_pixels - 2 * pairs)::bigint as perimeter, (2 - (n_pixels - pairs + fours))::integer as n_rings, n_pixels::double as area from own""")
+def mask_polygons(spark, sf_dir):
+    """Regions as polygons, by what their rings enclose and how long they are; a region has a ring for itself and one for each hole."""
+    own = rs.outlines(rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8))
+    closed = lambda ring: F.concat(ring, F.slice(ring, 1, 1))
+    outline = F.aggregate("rings", F.lit(0.0), lambda s, ring: s + v.length(closed(ring)))
+    sizes = F.transform("rings", g.area)
+    return own.select("frame_id", "region", "n_pixels", F.round(outline).cast("long").alias("perimeter"), F.size("rings").alias("n_rings"), (2 * F.get(sizes, F.lit(0)) - F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x)).alias("area"))
+
+
 @query(f"{PX} select frame_id, min(col) as xmin, min(row) as ymin, max(col) + 1 as xmax, max(row) + 1 as ymax, count(*) as n from pixels where value > 100 group by 1")
 def mask_bounds(spark, sf_dir):
     return tb.pixels(spark, sf_dir).filter("value > 100").groupBy("frame_id").agg(F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"), F.count("*").alias("n"))

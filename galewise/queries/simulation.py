@@ -83,3 +83,15 @@ def wkt_round_trip(spark, sf_dir):
 @query()
 def stat_report(spark, sf_dir):
     return rounded(report.stat_results(tb.runs(spark, sf_dir)))
+
+
+@query()
+def report_conclusions(spark, sf_dir):
+    """What is significant, by phase and test."""
+    return report.conclusions(report.stat_results(tb.runs(spark, sf_dir)))
+
+
+@query()
+def optimal_windows(spark, sf_dir):
+    """The best windows of each algorithm, by bootstrap and by the ratio of changes."""
+    return rounded(report.optimal_windows(tb.runs(spark, sf_dir)))

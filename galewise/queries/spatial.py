@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galewise.functions import boxes as bx
 from galewise.functions import geometry as g
 from galewise.functions import vectors as v
 from galewise.operators import spatial as sp
+from galewise.operators.ranks import numbered
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
 
@@ -75,7 +75,7 @@ def overlap_pairs(spark, sf_dir):
 
 @query(f"{BASE}, d as (select p.id as qid, q.id, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) as d from points p join points q on p.id <> q.id), k as (select *, row_number() over (partition by qid order by d, id) as place from d) select least(qid, id) as i, greatest(qid, id) as j, round(min(d), 5) as w from k where place <= 10 group by 1, 2")
 def knn_edges(spark, sf_dir):
-    return rounded(sp.knn_edges(tb.points(spark, sf_dir), 10, 40_000.0), 5)
+    return rounded(sp.knn_edges(tb.points(spark, sf_dir), 10), 5)
 
 
 ANCHORS = f"{BASE}, q as (select id as qid, x, y from points where label = 1), d as (select qid, id, q.x as ax, q.y as ay, p.x as bx, p.y as yb, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) as d from q, points p), k as (select * from d qualify row_number() over (partition by qid order by d, id) <= 10), x as (select k.*, b.*, {CROSS} from k, boxes b where t_idx = 0), bad as (select distinct qid, id from x where {MEETS})"
@@ -86,19 +86,20 @@ def visible_anchors(spark, sf_dir):
     """The ten nearest points of each query, without those that an obstacle hides."""
     p = tb.points(spark, sf_dir)
     q = p.filter("label = 1").select(F.col("id").alias("qid"), "x", "y")
-    near = sp.nearest(q, p, 10, 40_000.0)
+    near = sp.nearest(q, p, 10)
     seg = near.join(q.select("qid", F.col("x").alias("ax"), F.col("y").alias("ay")), "qid").join(p.select("id", F.col("x").alias("bx"), F.col("y").alias("by")), "id")
     return rounded(sp.valid_segments(seg, tb.boxes(spark, sf_dir).filter("t_idx = 0").drop("t_idx"), [], ["qid", "id"]).select("qid", "id", "d"), 5)
 
 
-VIS = f"{BASE}, vx as (select * from points), d as (select a.id as i, b.id as j, a.x as ax, a.y as ay, b.x as bx, b.y as yb from vx a join vx b on a.id < b.id), x as (select d.*, b.*, {CROSS} from d, boxes b where t_idx = 1), bad as (select distinct i, j from x where {MEETS})"
+VIS = f"{BASE}, vx as (select * from points), d as (select a.id as i, b.id as j, a.x as ax, a.y as ay, b.x as bx, b.y as yb from vx a join vx b on a.label = b.label and a.id < b.id), x as (select d.*, b.*, {CROSS} from d, boxes b where t_idx = 1), bad as (select distinct i, j from x where {MEETS})"
 
 
 @query(f"{VIS} select i, j, round(sqrt((ax - bx) ** 2 + (ay - yb) ** 2), 5) as w from d anti join bad using (i, j)")
 def visibility_graph(spark, sf_dir):
+    """All pairs of the vertices of each scene (a label stands for one) that see each other."""
     p = tb.points(spark, sf_dir)
-    a, b = p.select(F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = a.join(b, F.col("i") < F.col("j"))
+    a, b = p.select("label", F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select("label", F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    pairs = a.join(b, "label").filter("i < j")
     seen = sp.valid_segments(pairs, tb.boxes(spark, sf_dir).filter("t_idx = 1").drop("t_idx"), [], ["i", "j"])
     return rounded(seen.select("i", "j", v.distance(v.point(F.col("ax"), F.col("ay")), v.point(F.col("bx"), F.col("by"))).alias("w")), 5)
 
@@ -107,12 +108,12 @@ def visibility_graph(spark, sf_dir):
 def closest_valid_vertex(spark, sf_dir):
     p = tb.points(spark, sf_dir)
     q = p.filter("label = 1").select(F.col("id").alias("qid"), "x", "y")
-    return rounded(sp.closest_valid_vertex(q, p, tb.boxes(spark, sf_dir), 40_000.0).select("qid", "id", "d"), 5)
+    return rounded(sp.closest_valid_vertex(q, p, tb.boxes(spark, sf_dir)).select("qid", "id", "d"), 5)
 
 
 @query(f"{BASE} select row_number() over (order by x, y) - 1 as node_id, x, y from (select distinct x, y from points)")
 def sorted_vertices(spark, sf_dir):
-    return tb.points(spark, sf_dir).select("x", "y").distinct().withColumn("node_id", F.row_number().over(W.orderBy("x", "y")) - 1).select(F.col("node_id").cast("long").alias("node_id"), "x", "y")
+    return numbered(tb.points(spark, sf_dir).select("x", "y").distinct(), ["x", "y"], "node_id").select("node_id", "x", "y")
 
 
 @query(f"""{BASE}, b as (select t_idx, min(xmin) - 50000 as x0, min(ymin) - 50000 as y0, max(xmax) + 50000 as x1, max(ymax) + 50000 as y1 from boxes group by 1)

@@ -193,7 +193,7 @@ def boxplot_stats(spark, sf_dir):
 @query()
 def bootstrap_optimal(spark, sf_dir):
     """The first window whose bootstrap range overlaps the best one's; resampling has no SQL twin."""
-    return st.first_overlapping(st.bootstrap_medians(tb.runs(spark, sf_dir), ["algorithm", "window_size"], 200))
+    return st.first_overlapping(st.bootstrap_medians(tb.runs(spark, sf_dir), ["algorithm", "window_size"]))
 
 
 @query()

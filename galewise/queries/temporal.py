@@ -137,7 +137,7 @@ def train_test_split(spark, sf_dir):
 @query(f"with {FILES}, o as (select file, n, coalesce(sum(n) over (order by file rows between unbounded preceding and 1 preceding), 0)::bigint as start from files), i as (select o_orderkey as index from orders) select index, file, index - start as offset from i join o on index >= start and index < start + n")
 def frame_offset_lookup(spark, sf_dir):
     indices = tb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    return tm.located(indices, F.broadcast(_files(spark, sf_dir)))
+    return tm.located(indices, _files(spark, sf_dir))
 
 
 @query("select c.c_custkey as idx, c.c_name as timestamp, c.c_acctbal as ax, s.s_acctbal as bx from customer c join supplier s on c.c_custkey = s.s_suppkey")
