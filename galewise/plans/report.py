@@ -19,7 +19,10 @@ ALPHA = 0.05
 #: Share of zero differences from which ranks are used, however normal residuals are.
 MOST_ZEROS = 0.05
 COLUMNS = "phase int, test string, comparison string, statistic double, p_value double, p_corrected double, is_significant boolean, effect_size double, effect_label string, n long, alpha double, correction string"
-PAIR = F.concat_ws(" vs ", "first", "second")
+
+
+def _pair() -> Column:
+    return F.concat_ws(" vs ", "first", "second")
 
 
 def diagnostics(results: DataFrame, deltas: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,14 +73,14 @@ def stat_results(results: DataFrame, blocks: list[str] = ["subject_id", "window_
     described = st.descriptive(deltas, "delta", ("first", "second"))
     parts = [
         _judged(_tall(normal.filter("n >= 3"), 1, "shapiro_wilk", F.concat(F.col("algorithm"), F.lit(" "), window), F.col("w"), F.col("p"), n=F.col("n")), "none", alpha),
-        _judged(_tall(zeros, 1, "zero_inflation", PAIR, F.col("zero_share")), "none", alpha),
-        _judged(_tall(tested, 2, F.col("test"), PAIR, F.col("statistic"), F.col("p"), F.col("effect_size"), F.col("effect_label"), F.col("n")), "holm", alpha),
-        _judged(_tall(mcnemar, 2, "mcnemar", PAIR, F.col("statistic"), F.col("p"), n=F.col("b") + F.col("c")), "holm", alpha),
+        _judged(_tall(zeros, 1, "zero_inflation", _pair(), F.col("zero_share")), "none", alpha),
+        _judged(_tall(tested, 2, F.col("test"), _pair(), F.col("statistic"), F.col("p"), F.col("effect_size"), F.col("effect_label"), F.col("n")), "holm", alpha),
+        _judged(_tall(mcnemar, 2, "mcnemar", _pair(), F.col("statistic"), F.col("p"), n=F.col("b") + F.col("c")), "holm", alpha),
         _judged(_tall(friedman, 3, "friedman", F.lit("algorithms"), F.col("chi2"), F.col("p"), F.col("kendall_w"), n=F.col("n")), "bh", alpha),
-        _judged(_tall(conover, 3, "conover", PAIR, F.col("t"), F.col("p")), "holm", alpha),
+        _judged(_tall(conover, 3, "conover", _pair(), F.col("t"), F.col("p")), "holm", alpha),
         _judged(_tall(trend, 4, "jonckheere", F.col("algorithm"), F.col("z"), F.col("p")), "none", alpha),
-        _judged(_tall(gain, 5, "spearman", PAIR, F.col("rho"), F.col("p"), n=F.col("n")), "bh", alpha),
-        _judged(_tall(described, 6, "degradation", PAIR, F.col("median"), effect=F.col("mean"), n=F.col("n")), "none", alpha),
+        _judged(_tall(gain, 5, "spearman", _pair(), F.col("rho"), F.col("p"), n=F.col("n")), "bh", alpha),
+        _judged(_tall(described, 6, "degradation", _pair(), F.col("median"), effect=F.col("mean"), n=F.col("n")), "none", alpha),
         _judged(_tall(spread, 6, "levene", window, F.col("statistic"), F.col("p"), n=F.col("n")), "none", alpha),
     ]
     return reduce(DataFrame.unionByName, parts)
