@@ -3,7 +3,8 @@
 A document's histogram of character classes and its histogram of a language's commonest words are compared with
 the references of each language by Jensen-Shannon distance; the closest language counts, so that a wrong or missing
 language mark does no harm. Short texts, whose histograms say little, are not judged: there are least lengths for either.
-References are the sums over all documents marked with the language.
+References are the sums over all documents marked with the language, for languages with words enough; texts that are marked
+with a language without a reference are not judged either.
 
 Besides, there are base counts: characters in words, sign characters, repeated lines, and words in windows of five
 that the text has more than once.
@@ -39,6 +40,8 @@ WINDOW = 5
 #: beyond what a sample of so many words from the reference itself has: sqrt(cells / (8 ln 2 words)).
 LEAST_WORDS, LEAST_CHARS = 80, 200
 MOST_WORDS_DISTANCE, MOST_CLASS_DISTANCE = 0.12, 0.33
+#: Least words of a language's documents together, for a reference.
+LEAST_REFERENCE = 2_000
 SAMPLING = 12 / (8 * math.log(2))
 
 
@@ -120,7 +123,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     for row in rows.filter(F.col("lang").isin(*LANGUAGES)).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():  # a row for each of LANGUAGES at most
         classes = [row[f"c{i}"] for i in range(len(CLASSES))]
         words = [row[f"w{WORDS.index(w)}"] for w in COMMON[row["lang"]]]
-        if row["n"]:
+        if row["n"] >= LEAST_REFERENCE:
             out[row["lang"]] = ([c / max(1, sum(classes)) for c in classes], [w / row["n"] for w in words] + [1 - sum(words) / row["n"]])
     return out
 
@@ -140,8 +143,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """One row for each row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_distance,
     class_distance (to the closest language; null for texts too short to be judged, or without references), kept.
 
-    A null text is empty and fails the base rule, as it has under ten words. A null or unknown language adds to no reference and is
-    judged like any other. Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
+    A null text is empty and fails the base rule, as it has under ten words. A null language adds to no reference and is
+    judged like any other; a language without a reference is not judged, so that only the base rules drop its texts. Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
     """
     rows, _ = written(measured(docs, id_col, text_col, lang_col), "measured")
     refs = references(rows)
@@ -153,8 +156,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         by_word.append(_distance(F.concat(own, F.array(rest)), words))
         by_class.append(_distance(F.transform("classes", lambda x: x / n_chars), classes))
     least = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else F.lit(None).cast("double")
-    rows = rows.withColumn("words_distance", F.when(n_words >= least_words, least(by_word))).withColumn("class_distance", F.when(n_chars >= least_chars, least(by_class)))
+    known = F.col("lang").isNull() | F.col("lang").isin(*refs)
+    rows = rows.withColumn("words_distance", F.when(known & (n_words >= least_words), least(by_word))).withColumn("class_distance", F.when(known & (n_chars >= least_chars), least(by_class)))
     failed = (n_words < 10) | (100 * F.col("n_repeat_words") > 20 * n_words)
     fits = (F.coalesce(F.col("words_distance") - F.sqrt(F.lit(SAMPLING) / n_words), F.lit(0.0)) < most_words_distance) & (F.coalesce("class_distance", F.lit(0.0)) < most_class_distance)
     return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "words_distance", "class_distance", (~failed & fits).alias("kept"))
-

@@ -288,6 +288,58 @@ def test_quality_rules_catch_junk(spark):
     assert all(good) and sum(junk) <= 0.1 * len(junk)
 
 
+def test_distances_are_those_of_the_definition(spark):
+    """Jensen-Shannon distances of character classes and common words, for each text by brute force over the same references."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    measured = quality_rules.measured(docs)
+    refs = quality_rules.references(measured)
+
+    def js(p, q):
+        p, q = np.asarray(p, float), np.asarray(q, float)
+        m = (p + q) / 2
+        part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    classes = {r["id"]: r["classes"] for r in measured.collect()}
+    seen = 0
+    for r in quality_rules.judged(docs).collect():
+        words = brute.TOKEN.findall(text[r["doc_id"]])
+        if r["words_distance"] is not None:
+            lower = [w.lower() for w in words]
+            own = {lang: [lower.count(w) / len(words) for w in quality_rules.COMMON[lang]] for lang in refs}
+            assert r["words_distance"] == pytest.approx(min(js([*x, max(0.0, 1 - sum(x))], refs[lang][1]) for lang, x in own.items()), abs=1e-6)
+            seen += 1
+        if r["class_distance"] is not None:
+            n = len(text[r["doc_id"]])
+            assert sum(classes[r["doc_id"]]) == n
+            assert r["class_distance"] == pytest.approx(min(js([c / n for c in classes[r["doc_id"]]], ref[0]) for ref in refs.values()), abs=1e-6)
+    assert seen > 200
+
+
+def test_languages_without_a_reference_are_kept(spark, docs):
+    odd = spark.createDataFrame([(10**6, "zq" + " ".join(f"wxq{i}zz" for i in range(200)), "xx", "a")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs.select("doc_id", "text", "lang", "source").unionByName(odd)).collect()}
+    assert got[10**6]["kept"] and got[10**6]["words_distance"] is None
+
+
+def test_fuzzy_notices_against_whole_texts(spark, texts):
+    """The seeds lose nothing: every notice's pattern over the whole text finds no label that the search does not."""
+    own = [licenses.Notice(*x) for x in licenses.NOTICES]
+    rng = np.random.default_rng(5)
+    some = [t for _, t in texts if len(t) < 1_200][:60]
+    for k, t in enumerate(some):
+        notice = licenses.NOTICES[k % len(licenses.NOTICES)][0]
+        v = list(notice)
+        for _ in range(rng.integers(0, len(v) // licenses.BYTES_PER_EDIT + 2)):
+            v[rng.integers(0, len(v))] = "q"
+        form = licenses.compared(f"{t} {''.join(v)} {t[:200]}".encode())
+        for n in own:
+            whole = n.pattern.search(form) is not None
+            assert whole == bool(n.occurrences(form)), (n.text, "".join(v))
+
+
 def test_licenses(spark, texts):
     got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) for r in queries.op7_licenses(spark, SF).collect()}
     assert got == {d: brute.licenses(t) for d, t in texts}
