@@ -76,18 +76,25 @@ class Ordinal:
         w, t = np.zeros(x.size), np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
         down_w, down_t = Adam(x.size, 0.3), Adam(k - 1, 0.05)
         for _ in range(steps):
-            thresholds = t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))])
-            score = x.times(w)
-            cut = np.concatenate([[-np.inf], thresholds, [np.inf]])
-            high, low = sigmoid(cut[y + 1] - score), sigmoid(cut[y] - score)
-            p = np.maximum(high - low, 1e-12)
-            d_high, d_low = high * (1 - high) / p, low * (1 - low) / p  # of log p by the upper and the lower cut
-            g_score = (d_high - d_low) / len(y)
-            g_cut = -(np.bincount(y, weights=d_high, minlength=k)[:-1] - np.bincount(y, weights=d_low, minlength=k)[1:]) / len(y)
-            g_t = np.concatenate([[g_cut.sum()], [g_cut[i:].sum() * np.exp(t[i]) for i in range(1, k - 1)]])
-            w += down_w.step(x.back(g_score) + l2 * w)
+            g_w, g_t = cls.gradients(x, y, w, t)
+            w += down_w.step(g_w + l2 * w)
             t += down_t.step(g_t)
-        return cls(w, t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))]), grades)
+        return cls(w, cls.cuts(t), grades)
+
+    @staticmethod
+    def cuts(t: np.ndarray) -> np.ndarray:
+        """Ordered thresholds of free numbers: the first, and the logarithms of the steps between them."""
+        return t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))])
+
+    @classmethod
+    def gradients(cls, x: Rows, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean negative log likelihood of the grades' places y, by the weights and by the thresholds' free numbers."""
+        k, score, cut = len(t) + 1, x.times(w), np.concatenate([[-np.inf], cls.cuts(t), [np.inf]])
+        high, low = sigmoid(cut[y + 1] - score), sigmoid(cut[y] - score)
+        p = np.maximum(high - low, 1e-12)
+        d_high, d_low = high * (1 - high) / p, low * (1 - low) / p  # of log p by the upper and the lower cut
+        g_cut = -(np.bincount(y, weights=d_high, minlength=k)[:-1] - np.bincount(y, weights=d_low, minlength=k)[1:]) / len(y)
+        return x.back((d_high - d_low) / len(y)), np.concatenate([[g_cut.sum()], [g_cut[i:].sum() * np.exp(t[i]) for i in range(1, k - 1)]])
 
     def judged(self, score: np.ndarray, at_least: int) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of grade at_least or more."""

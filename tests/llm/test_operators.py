@@ -84,6 +84,29 @@ def test_ordinal_grades():
     assert np.corrcoef(expected, y)[0, 1] > 0.92 and ((tail > 0.5) == (y >= 2)).mean() > 0.95
 
 
+def test_ordinal_gradients_and_grades():
+    """Gradients against differences of the likelihood as it is defined, and grades and tails against their definition."""
+    rng = np.random.default_rng(6)
+    n, k = 60, 3
+    x, y = rng.normal(size=(n, k)), rng.integers(0, 4, n)
+    rows_ = learning.Rows(np.tile(np.arange(k), n), x.ravel(), np.full(n, k), k)
+    f = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w, t):
+        cut = np.concatenate([[-np.inf], quality.Ordinal.cuts(t), [np.inf]])
+        return -np.log(f(cut[y + 1] - x @ w) - f(cut[y] - x @ w)).mean()
+
+    w, t = rng.normal(size=k), np.array([-0.8, 0.1, -0.4])
+    g_w, g_t = quality.Ordinal.gradients(rows_, y, w, t)
+    for i in range(3):
+        e = 1e-6 * np.eye(3)[i]
+        assert g_w[i] == pytest.approx((loss(w + e, t) - loss(w - e, t)) / 2e-6, abs=1e-6)
+        assert g_t[i] == pytest.approx((loss(w, t + e) - loss(w, t - e)) / 2e-6, abs=1e-6)
+    expected, tail = quality.Ordinal(w, quality.Ordinal.cuts(t), np.arange(4)).judged(x @ w, 2)
+    above = f((x @ w)[:, None] - quality.Ordinal.cuts(t)[None])
+    assert tail == pytest.approx(above[:, 1]) and expected == pytest.approx(above.sum(1))
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
