@@ -112,6 +112,8 @@ def clustered(points: DataFrame, reach: float) -> DataFrame:
 
 def hulls(points: DataFrame, kind: str = "convex", radius: float = 0.0) -> DataFrame:
     """(graph_id, ring) of each graph's points: convex, concave or buffered hulls."""
+    if kind not in ("convex", "concave", "buffered"):
+        raise ValueError(f"a hull is convex, concave or buffered, not {kind}")
     make = {"convex": shapes.convex_hull, "concave": shapes.concave_hull, "buffered": lambda p: shapes.buffered_hull(p, radius)}[kind]
 
     def run(key, own):

@@ -146,3 +146,11 @@ def closest_valid_vertex(queries: DataFrame, vertices: DataFrame, obstacles: Dat
     free = vertices.join(points_inside(vertices, obstacles).select("id").distinct(), "id", "left_anti")
     best = nearest(queries, free, 1, reach).select("qid", "id", "d")
     return queries.join(best, "qid", "left")
+
+
+def free_ends(waypoints: DataFrame, obstacles: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, first_free, last_free): the places, in `order`, of the first and the last waypoint (by, order, id, x, y) of each path that is
+    inside no obstacle; null where none is."""
+    free = waypoints.join(points_inside(waypoints, obstacles).select("id").distinct(), "id", "left_anti")
+    ends = free.groupBy(by).agg(F.min(order).alias("first_free"), F.max(order).alias("last_free"))
+    return waypoints.select(by).distinct().join(ends, by, "left")

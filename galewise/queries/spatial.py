@@ -111,6 +111,13 @@ def closest_valid_vertex(spark, sf_dir):
     return rounded(sp.closest_valid_vertex(q, p, tb.boxes(spark, sf_dir)).select("qid", "id", "d"), 5)
 
 
+@query(f"{BASE}, {tb.paths_sql()}, free as (select * from path_points p where not exists (select 1 from boxes b where p.x > xmin and p.x < xmax and p.y > ymin and p.y < ymax)) select p.path_id, min(f.i)::integer as first_free, max(f.i)::integer as last_free from (select distinct path_id from path_points) p left join free f using (path_id) group by 1")
+def free_waypoints(spark, sf_dir):
+    """The first and the last waypoint of each path that is inside no obstacle."""
+    p = tb.points(spark, sf_dir).select(F.floor(F.col("id") / 8).alias("path_id"), (F.col("id") % 8).cast("int").alias("i"), "id", "x", "y")
+    return sp.free_ends(p, tb.boxes(spark, sf_dir), "path_id", "i")
+
+
 @query(f"{BASE} select row_number() over (order by x, y) - 1 as node_id, x, y from (select distinct x, y from points)")
 def sorted_vertices(spark, sf_dir):
     return numbered(tb.points(spark, sf_dir).select("x", "y").distinct(), ["x", "y"], "node_id").select("node_id", "x", "y")

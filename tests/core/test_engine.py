@@ -145,7 +145,6 @@ def test_report_text(spark):
 
 
 def test_live_hours_and_flights(spark, tmp_path):
-    from galewise.schema import LINE  # noqa: F401
     from galewise.streaming import flights
 
     src = tmp_path / "in"
