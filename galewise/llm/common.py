@@ -61,12 +61,12 @@ def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
             drop_path(spark, path)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, at most BATCH_ROWS at once: what a worker makes of long texts is far larger than they are. The session's own bounds
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most `rows` at once: what a worker makes of long texts is far larger than they are. The session's own bounds
     on batches, of rows and of bytes, stay as they are."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(at, BATCH_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

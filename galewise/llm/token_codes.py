@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galewise.llm.common import LOWER, new_path
+from galewise.llm.common import LOWER, new_path, sliced
 
 END_ID = 2
 MAGIC = b"GDAC"
@@ -313,7 +313,7 @@ def tokenizer_at(path: str) -> WordIds:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
     """Names and texts of batches put together up to BATCH_BYTES: the more texts, the fewer words are looked up twice."""
     names, texts, size = [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         names += batch.column(0).to_pylist()
         texts.append(batch.column(1))
         size += batch.column(1).nbytes
@@ -370,7 +370,7 @@ def documents_of(segments: DataFrame) -> DataFrame:
     rank, and a segment where they differ from the decoded ones is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):  # a segment at a time
             for start, names, lengths, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 codes, ends = Codes(payload), np.cumsum(lengths)
                 every, edges = codes.all(), np.concatenate([ends - lengths, ends - 1])
@@ -393,7 +393,7 @@ def tokens_at(segments: DataFrame, positions: DataFrame) -> DataFrame:
     met = wanted.join(cover, "cell").filter("position >= start and position < start + n_ids").groupBy("start").agg(F.collect_list("position").alias("positions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for start, places, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 codes = Codes(payload)
                 yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(codes.take(np.array(places, dtype=np.int64) - start), pa.int64())], names=["position", "token"])
