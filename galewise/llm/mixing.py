@@ -126,31 +126,28 @@ def mixed_rows(docs: DataFrame, carry: bool, id_col: str = "doc_id", text_col: s
     plan, _ = written(copies_of_cells(solved(cells, targets(cells, weights, share, cap), cap), cap), "copies")
     blocks = max(1, -(-(cells.agg(F.sum("n")).first()[0] or 0) // block_rows))
     own = own.withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int"))
-    counted, full = _counted(own.select("key", "size", "block", F.lit(0).alias("part"))), 4 * block_rows
-    parts = ["key", "size", "block"]
+    counted, full = _counted(own, parts := ["block"]), 4 * block_rows
     if (counted.agg(F.max("m")).first()[0] or 0) > full:
         # equal rows have one hash and fall into one block: those of a crowded hash are cut into parts by their row number. They are alike,
         # so that it doesn't matter which of them come first
         crowded = counted.filter(F.col("m") > full).select("key", "size", "block")
         hot, _ = written(own.join(crowded, ["key", "size", "block"], "left_semi").groupBy("key", "size", "h").agg(F.count("*").alias("m")).filter(F.col("m") > block_rows).select("key", "size", "h", F.ceil(F.col("m") / block_rows).alias("cuts")), "crowded")
-        sent = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-        own = own.join(sent, ["key", "size", "h"], "left")
+        own = own.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["key", "size", "h"], "left")
         # in a block: first what is not crowded, then each crowded hash, part by part
-        own = own.withColumn("part", F.when(F.col("cuts").isNotNull(), F.struct(F.col("h"), F.pmod(F.xxhash64("row"), F.col("cuts")).alias("cut")))).drop("cuts")
-        counted, parts = _counted(own.select("key", "size", "block", "part")), [*parts, "part"]
-    counted = counted.drop("m").join(plan, ["key", "size"])
-    if "part" not in parts:
-        counted = counted.drop("part")
-    met = own.join(counted.select(*[F.col(c).alias(f"_{c}") for c in parts], *[c for c in counted.columns if c not in parts]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts])
-    rank = F.col("offset") + F.row_number().over(W.partitionBy(*parts).orderBy("h", "id", "row"))
+        is_hot = F.col("cuts").isNotNull()
+        own = own.withColumn("crowd", F.when(is_hot, F.col("h")).otherwise(0)).withColumn("cut", F.when(is_hot, F.pmod(F.xxhash64("row"), F.col("cuts"))).otherwise(-1)).withColumn("is_crowd", is_hot).drop("cuts")
+        counted = _counted(own, parts := ["block", "is_crowd", "crowd", "cut"])
+    cell = ["key", "size", *parts]
+    met = own.join(counted.drop("m").join(plan, ["key", "size"]), cell)
+    rank = F.col("offset") + F.row_number().over(W.partitionBy(*cell).orderBy("h", "id", "row"))
     extra = F.when(rank <= F.col("k") % F.col("n"), 1).otherwise(0)
     return met.select(*(["_doc"] if carry else []), "id", "size", "source_size", "target", "rate", (F.floor(F.col("k") / F.col("n")) + extra).cast("long").alias("copies"))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(key, size, block, part, m, offset): rows of each part of a block, and rows of the cell before it."""
-    before = W.partitionBy("key", "size").orderBy("block", F.col("part").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    return rows.groupBy("key", "size", "block", "part").agg(F.count("*").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+def _counted(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """(key, size, parts, m, offset): rows of each part of a cell, and rows of the cell in the parts before it."""
+    before = W.partitionBy("key", "size").orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
+    return rows.groupBy("key", "size", *parts).agg(F.count("*").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
