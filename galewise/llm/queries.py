@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galewise.llm import decontamination, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity, url_filters
+from galewise.llm import decontamination, divergence, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity, url_filters
 from galewise.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(read_table(spark, sf_dir, "pages"))
 
@@ -71,7 +75,8 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
     "op12_url_filters": op12_url_filters,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op2_sharding": sharding.ORACLE, "op12_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op2_sharding": sharding.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_url_filters": url_filters.ORACLE}
