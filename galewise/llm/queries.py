@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galewise.llm import decontamination, divergence, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity, url_filters
+from galewise.llm import collocations, decontamination, divergence, licenses, mixing, quality, quality_rules, secrets, sharding, simhash, token_codes, toxicity, url_filters
 from galewise.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(read_table(spark, sf_dir, "pages"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
     "op12_url_filters": op12_url_filters,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op2_sharding": sharding.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op2_sharding": sharding.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_url_filters": url_filters.ORACLE, "op13_collocations": collocations.ORACLE}
