@@ -1,9 +1,12 @@
 """Secret scans through nested encodings.
 
 A worklist of layers starts with the text itself. Each layer is scanned; then what is encoded in it is unwrapped
-into further layers, by every unwrapper on every layer: URL escapes, Unicode escapes and character references, base64
-runs (both alphabets, wrapped into lines or not, also with something glued to them), UTF-16 and gzip, zlib, bzip2 and xz
-streams. A layer that was seen before, by its text and place, is not scanned again, so the worklist ends at a fixpoint.
+into further layers, by every unwrapper on every layer: escapes (of URLs, also `%u003D`; of strings, `\\u`, `\\x`, octal, escaped quotes and
+backslashes; all character references), base64 runs (both alphabets, also in lines of any width, quoted or commented ones, and with
+something glued to them), UTF-16 and gzip, zlib, bzip2 and xz streams, and deflate without a header where base64 or URL escapes hold
+it. A layer that was seen before, by its text and place, is not scanned again, so the worklist ends at a fixpoint.
+Escapes of escapes are unwrapped level by level, each a layer, while the levels together are at most `LEVELS` times as long as the
+layer that they are in; what is nested deeper is unwrapped to its end in one pass with a stack, so that the time is linear.
 What is decoded are bytes, and a layer holds each byte as the character of that code (Latin-1), as all that is looked for is
 ASCII: a broken character or a control character hides nothing. Every character of a layer knows the range of the
 original text it came from, and findings are reported as ranges of the original.
@@ -19,11 +22,11 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
-import html
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 from itertools import chain
 
 import numpy as np
@@ -39,13 +42,19 @@ CHUNK, FEED = 1 << 20, 1 << 10
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
+#: Levels of escapes, as a multiple of their layer's length, that are layers each.
+LEVELS = 4
+_ESCAPE = re.compile(r"%(?:([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4}))|\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\}|([0-3][0-7]{2})|([\"'/\\=:]))|&(?:#[xX]([0-9A-Fa-f]{1,8})|#([0-9]{1,9})|([A-Za-z][A-Za-z0-9]{1,31}));")
+#: How escapes begin, how they end, and their greatest length.
+_LEADS, _CLOSES, _MOST = frozenset("%\\&"), frozenset("0123456789abcdefABCDEF;}\"'/\\=:"), 34
+_LEAD = re.compile(r"[%\\&]")
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}){16,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_LINE_END = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
-#: Lines of base64, the first of which may begin within a line; line ends may be escaped.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
+#: Ends of lines, which may be escaped, with what quotes, comments and string literals put around them.
+_EDGE = r"""["',\\]?(?:[\x20\t]+\+)?[\x20\t]*(?:\r?\n|(?:\\r)?\\n)(?:[\x20\t]*(?:[>#*|;"']|(?://|--|[+-])(?=[\x20\t])))*[\x20\t]*"""
+_LINE_END = re.compile(_EDGE)
+#: Lines of base64, the first of which may begin within a line.
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{_EDGE}[A-Za-z0-9+/_-]++)+={{0,2}}")
 #: How gzip, bzip2, xz and zlib streams begin.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 #: The same within a stream; zlib's two bytes say too little there.
@@ -72,17 +81,19 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the range of the original text behind it; and where signs end that fill up its encoding."""
+    """A text and, for each of its characters, the range of the original text behind it, neither end of which falls from one to the next; and
+    where signs end that fill up its encoding."""
 
-    __slots__ = ("text", "starts", "ends", "filled")
+    __slots__ = ("text", "starts", "ends", "filled", "level")
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, filled: int = 0) -> None:
         self.text, self.starts, self.ends, self.filled = text, starts, ends, filled
+        self.level = False  # whether it is a level of escapes, the next of which comes with it
 
     def range(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
             return a, b
-        return int(self.starts[a:b].min()), int(self.ends[a:b].max())
+        return int(self.starts[a]), int(self.ends[b - 1])  # neither falls
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray]:
         if self.starts is None:
@@ -91,47 +102,102 @@ class Layer:
         return self.starts, self.ends
 
 
-def _rewritten(layer: Layer, matches: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """The layer with each match (start, end, text, the part of the layer behind each of its characters) put in place."""
+def _unescaped(m: re.Match) -> str | None:
+    """What an escape stands for; None if it is no known reference."""
+    kind = m.lastindex
+    own = m.group(kind)
+    if kind == 11:
+        return html5.get(own + ";")
+    if kind == 8:
+        return own
+    code = int(own, {7: 8, 10: 10}.get(kind, 16))
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def _one_level(layer: Layer) -> Layer | None:
+    """The layer with all escapes replaced once; None if there are none."""
+    if not _LEAD.search(layer.text):
+        return None
+    at: list[tuple[int, int, int]] = []
+
+    def put(m: re.Match) -> str:
+        new = _unescaped(m)
+        if new is None:
+            return m.group()
+        at.append((m.start(), m.end(), len(new)))
+        return new
+
+    text = _ESCAPE.sub(put, layer.text)
+    if not at:
+        return None
+    a, b, size = np.array(at, dtype=np.int64).T
     starts, ends = layer.ranges()
-    texts, s, e, at = [], [], [], 0
-    for a, b, new, parts in matches:
-        texts += [layer.text[at:a], new]
-        s += [starts[at:a], np.array([starts[x:y].min() for x, y in parts], dtype=np.int64)]
-        e += [ends[at:a], np.array([ends[x:y].max() for x, y in parts], dtype=np.int64)]
-        at = b
-    texts.append(layer.text[at:])
-    return Layer("".join(texts), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
-
-
-def _url(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text:
-        return
-    matches = []
-    for m in _URL.finditer(layer.text):
-        new = bytes.fromhex(m.group().replace("%", "")).decode("latin-1")
-        matches.append((m.start(), m.end(), new, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(new))]))
-    if matches:
-        yield _rewritten(layer, matches)
+    n = len(starts)
+    inner = np.zeros(n + 1, dtype=np.int64)
+    inner[a] += 1
+    np.subtract.at(inner, b, 1)
+    times = 1 - np.cumsum(inner[:-1])
+    times[a] = size
+    first, last = np.arange(n), np.arange(n)
+    last[a] = b - 1
+    return Layer(text, starts[np.repeat(first, times)], ends[np.repeat(last, times)])
+
+
+def _to_the_end(layer: Layer) -> Layer:
+    """The layer with all escapes replaced until none is left, those that replaced ones make up included. What has been read is a stack: a
+    sign that closes an escape takes it off and puts what it stands for, which may close the one around it."""
+    text, out, first, last, leads, at = layer.text, [], [], [], [], 0
+    while at < len(text):
+        if leads and len(out) - leads[-1] > _MOST:
+            leads.clear()
+        if not leads:  # nothing is open: on to where the next escape may begin
+            m = _LEAD.search(text, at)
+            to = m.start() if m else len(text)
+            out += text[at:to]
+            first += range(at, to)
+            last += range(at, to)
+            if m is None:
+                break
+            at = to
+        c, a, b = text[at], at, at
+        at += 1
+        while c is not None:
+            out.append(c)
+            first.append(a)
+            last.append(b)
+            m = _ESCAPE.fullmatch("".join(out[leads[-1] :])) if leads and c in _CLOSES and len(out) - leads[-1] <= _MOST else None
+            new = _unescaped(m) if m else None
+            if new is None:
+                if c in _LEADS:
+                    leads.append(len(out) - 1)
+                break
+            open_at = leads.pop()
+            a, b = first[open_at], last[-1]
+            del out[open_at:], first[open_at:], last[open_at:]
+            for x in new[:-1]:  # a few references stand for two signs
+                out.append(x)
+                first.append(a)
+                last.append(b)
+            c = new[-1]
+    starts, ends = layer.ranges()
+    return Layer("".join(out), starts[np.array(first, dtype=np.int64)], ends[np.array(last, dtype=np.int64)])
 
 
-def _unicode(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text and "&" not in layer.text:
+def _escapes(layer: Layer) -> Iterator[Layer]:
+    """The levels of escapes in a layer, one by one; those beyond LEVELS all at once."""
+    if layer.level:
         return
-    matches = []
-    for m in _UNICODE.finditer(layer.text):
-        if m.group()[0] == "&":
-            new = html.unescape(m.group())
-            matches.append((m.start(), m.end(), new, [(m.start(), m.end())] * len(new)))
-            continue
-        new, parts = [], []
-        for x in _ESCAPE.finditer(m.group()):
-            code = int(next(g for g in x.groups() if g), 16)
-            new.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
-            parts.append((m.start() + x.start(), m.start() + x.end()))
-        matches.append((m.start(), m.end(), "".join(new), parts))
-    if matches:
-        yield _rewritten(layer, matches)
+    own, spent = _one_level(layer), 0
+    while own is not None:
+        own.level = True
+        spent += len(own.text)
+        yield own
+        if spent > LEVELS * len(layer.text):
+            own = _to_the_end(own)
+            own.level = True
+            yield own
+            return
+        own = _one_level(own)
 
 
 def _utf16(layer: Layer) -> Iterator[Layer]:
@@ -289,6 +355,47 @@ def _streams(layer: Layer) -> Iterator[Layer]:
             at = at if source.broken else end
 
 
+def _deflated(raw: bytes) -> Iterator[str] | None:
+    """The pieces of deflated bytes without a header; None if they are none: as nothing marks them, they must come to their end or begin as
+    text."""
+    own, parts = zlib.decompressobj(-15), []
+
+    def read() -> Iterator[bytes]:
+        for fed in _fed(raw):
+            while fed and not own.eof:
+                try:
+                    out = own.decompress(fed, CHUNK)
+                except zlib.error:
+                    return
+                if out:
+                    yield out
+                fed = own.unconsumed_tail
+
+    content = read()
+    for part in content:
+        parts.append(part)
+        if sum(map(len, parts)) >= 64:
+            break
+    head = b"".join(parts)
+    if len(head) < 16 or not (own.eof or head.isascii() and not _CONTROL.search(head)):
+        return None
+    return _pieces(_Source(chain([head], content)))
+
+
+def _bare(layer: Layer) -> Iterator[Layer]:
+    """Deflate without a header in URL escapes."""
+    for m in _URL_BYTES.finditer(layer.text) if "%" in layer.text else ():
+        raw = bytes.fromhex(m.group().replace("%", ""))
+        yield from _constant(layer, m.start(), m.end(), None if _readable(raw) else _deflated(raw))
+
+
+def _constant(layer: Layer, a: int, b: int, pieces: Iterator[str] | None) -> Iterator[Layer]:
+    """Layers of pieces, all of which come from one part of the layer."""
+    place = layer.range(a, b)
+    for piece in pieces or ():
+        yield Layer(piece, *(np.broadcast_to(np.int64(x), len(piece)) for x in place))
+
+
 def _readable(raw: bytes) -> bool:
     """Whether raw is text, so that a run of letters was base64 for sure."""
     if not raw or _CONTROL.search(raw):
@@ -304,24 +411,30 @@ _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
-    """Base64 runs and the places of their characters: each run by itself, and lines of one width put together with the shorter line
-    after them and the line before, which may begin within a line."""
+    """Base64 runs and the places of their characters: each run by itself; lines of one width put together with the shorter line
+    after them and the line before, which may begin within a line; and all lines that follow each other, whatever their widths."""
     for m in _BASE64.finditer(text):
         run = m.group().rstrip("=")
         yield run, np.arange(m.start(), m.start() + len(run))
-    for m in _WRAPPED.finditer(text):
+    for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        if m.end() - m.start() < 17:
+            continue
         ends = [x.span() for x in _LINE_END.finditer(text, m.start(), m.end())]
         lines = list(zip([m.start(), *(b for _, b in ends)], [*(a for a, _ in ends), m.start() + len(m.group().rstrip("="))], strict=True))
-        first = 0
+        first, given = 0, set()
         while first < len(lines):
             width, last = lines[first][1] - lines[first][0], first + 1
             while last < len(lines) and lines[last][1] - lines[last][0] == width:
                 last += 1
             tail = last < len(lines) and lines[last][1] - lines[last][0] < width
-            own = lines[max(0, first - 1) : last + tail]
-            if width >= 16 and len(own) > 1:
-                yield "".join(text[a:b] for a, b in own), np.concatenate([np.arange(a, b) for a, b in own])
+            if last + tail - first > 1:
+                given.add((max(0, first - 1), last + tail))
             first = last
+        given.add((0, len(lines)))
+        for a, b in sorted(given):
+            run = "".join(text[x:y] for x, y in lines[a:b])
+            if len(run) >= 16 and b - a > 1:
+                yield run, np.concatenate([np.arange(x, y) for x, y in lines[a:b]])
 
 
 def _bytes_of(run: str) -> bytes:
@@ -336,9 +449,12 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         raw = _bytes_of(plain)
         yield _mapped(layer, places, raw, 0)
         if not _readable(raw):  # something may stand before it: the other phases
+            yield from _constant(layer, int(places[0]), int(places[-1]) + 1, _deflated(raw))
             for phase in range(1, 4):
                 if len(plain) - phase > 4:
-                    yield _mapped(layer, places, _bytes_of(plain[phase:]), phase)
+                    raw = _bytes_of(plain[phase:])
+                    yield _mapped(layer, places, raw, phase)
+                    yield from _constant(layer, int(places[phase]), int(places[-1]) + 1, None if _readable(raw) else _deflated(raw))
 
 
 def _mapped(layer: Layer, places: np.ndarray, raw: bytes, phase: int) -> Layer:
@@ -372,7 +488,7 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int,
             for a, kind, b in scan(layer.text):
                 start, end = layer.range(a, b)
                 every.add((start, kind, end))
-        work.append(chain(_url(layer), _unicode(layer), _utf16(layer), _base64(layer), _streams(layer)))
+        work.append(chain(_escapes(layer), _utf16(layer), _base64(layer), _bare(layer), _streams(layer)))
     return base, every, layers
 
 
