@@ -39,22 +39,55 @@ def test_decontamination(spark, texts):
     assert got == sorted(brute.contamination(texts, items)) and any(x[-1] for x in got)
 
 
-def test_decontamination_in_blocks(spark, docs, texts):
-    """A benchmark over the bound is searched in blocks, and a long item in pieces, with the same result."""
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+@pytest.mark.parametrize("size", [1 << 20, decontamination.BLOCK])
+def test_decontamination_by_tables_of_any_size(spark, docs, texts, monkeypatch, size):
+    """Long items, items with equal windows, hot passages over salts, and tables so small that every place is a candidate."""
+    for name in ("FEWEST", "MOST_CELLS", "MOST_BITS"):
+        monkeypatch.setattr(decontamination, name, size)
+    monkeypatch.setattr(decontamination, "ROWS_PER_SALT", 4)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     long = bench.agg(F.lit(999).cast("long").alias("item_id"), F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
-    bench = bench.unionByName(long)
+    short = spark.createDataFrame([(1_000, "The"), (1_001, "of the"), (1_002, "of the"), (None, "of The"), (1_003, None), (1_004, " . ")], "item_id long, text string")
+    bench = bench.unionByName(long).unionByName(short)
+    items = [("" if r["item_id"] is None else r["item_id"], r["text"] or "") for r in bench.collect()]
+    extra = [(10**6 + k, f"some text of the {' '.join(['of the'] * 20)} {texts[5][1]}") for k in range(30)]
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert len(decontamination.benchmark_blocks(bench, "item_id", "text", 2_000)) > 5
-    cut = decontamination.contamination(docs, bench, block_bytes=2_000)
-    assert rows(cut, *columns) == rows(decontamination.contamination(docs, bench), *columns)
+    want = sorted(brute.contamination([*texts, *extra], items))
+    assert rows(decontamination.contamination(some, bench), *columns) == want
+    left = decontamination.decontaminated(some, bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(x[0] for x in want if not x[-1])
 
 
-def test_windows_of_all_lengths():
-    items = [("a", b"one two three"), ("b", b"X"), ("c", b" ".join(b"w%d" % i for i in range(15))), ("d", b"one two three")]
-    search = decontamination.matchers(items)
-    marks, found = decontamination.hits(decontamination.words_of(b"zero One, two; three x " + b" ".join(b"w%d" % i for i in range(2, 13))), search)
-    assert found == {"a", "b", "c", "d"} and marks.tolist() == [False] + [True] * 15
+def test_places_of_windows_of_all_lengths(spark):
+    items = [("a", "one two three"), ("b", "X"), ("c", " ".join(f"w{i}" for i in range(15))), ("d", "one two three")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    text = "zero One, two; three x " + " ".join(f"w{i}" for i in range(2, 13))
+    (got,) = decontamination.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).collect()
+    assert got["items"] == ["a", "b", "c", "d"] and [tuple(x) for x in got["hit_ranges"]] == [(1, 16)] and got["n_hit"] == 15
+
+
+def test_shifts_skip_no_window():
+    """The search against all places of all windows."""
+    rng = np.random.default_rng(2)
+    words = [b"a", b"b", b"c"]
+    import pyarrow as pa
+
+    for _ in range(20):
+        texts = [b" ".join(rng.choice(words, rng.integers(1, 14)).tolist()) for _ in range(5)]
+        batch = pa.RecordBatch.from_arrays([pa.array(["i"] * 5), pa.array([t.decode() for t in texts])], names=["item", "text"])
+        cells, bits, lengths = np.zeros(1 << 16, np.uint8), np.zeros(1 << 13, np.uint8), []
+        for part in decontamination._folded(decontamination._cells(6, 1 << 16, 1 << 16)(iter([batch]))):
+            for r in part.to_pylist():
+                own = np.frombuffer(r["values"], np.uint8)
+                if r["table"] == 2:
+                    lengths = np.flatnonzero(own).tolist()
+                else:
+                    (bits if r["table"] else cells)[r["block"] * len(own) : (r["block"] + 1) * len(own)] = own
+        doc = rng.choice(words, 60).tolist()
+        got = sorted(x[:2] for x in decontamination.WuManber(cells.tobytes(), bits.tobytes(), lengths).search(doc))
+        known = {tuple(t.split()[k : k + min(6, len(t.split()))]) for t in texts for k in range(max(1, len(t.split()) - 5))}
+        assert got == sorted((k, len(w)) for w in known for k in range(60) if tuple(doc[k : k + len(w)]) == w)
 
 
 def test_sharding_is_its_sql(spark):
