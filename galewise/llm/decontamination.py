@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from galewise.llm.common import LOWER_WORDS, drop_path, fresh, mapped_with, sliced, texts_of, written
+from galewise.llm.common import LOWER_WORDS, drop_path, fresh, sliced, texts_of, written
 
 WINDOW = 10
 #: Cells of the shift table and bits of the windows' hashes: eight and sixteen for each window, within these. A bit has `PROBES` places.
@@ -183,32 +184,32 @@ def matcher(items: DataFrame, window: int = WINDOW) -> WuManber:
 _HITS = "array<struct<at:int,length:int,hash:bigint,window:string>>"
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int) -> tuple[DataFrame, list[str], DataFrame]:
-    """docs, written, with a row number, the number of words and candidates; the names that these have; and the windows of the benchmark
-    (hash, window, item)."""
+def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, keep: list[str]) -> tuple[DataFrame, list[str], DataFrame]:
+    """The columns `keep` of docs, written, with a row number, the number of words and candidates; the names that these have; and the windows of
+    the benchmark (hash, window, item)."""
     names: list[str] = []
     for name in ("_row", "_n_words", "_found"):
         names.append(fresh([*docs.columns, *names], name))
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(matcher(items, window))
-    at, n = docs.columns.index(text_col), len(docs.columns)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_text"))
+    n = len(keep)
     structs = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("window", pa.string())]))
 
     def run(batches):
         own = sent.value
         for batch in sliced(batches):
             sizes, found = [], []
-            for text in texts_of(batch.column(at)):
+            for text in texts_of(batch.column(n)):
                 words = words_of(text)
                 sizes.append(len(words))
                 found.append([{"at": a, "length": k, "hash": _signed(h), "window": w.decode()} for a, k, h, w in own.search(words)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, structs)], names=[*batch.schema.names, names[1], names[2]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(found, structs)], names=[*batch.schema.names[:n], "_n_words", "_found"])
 
-    schema = docs.sparkSession.range(0).select(F.lit(0).cast("long").alias(names[1]), F.array().cast(_HITS).alias(names[2])).schema
-    out = mapped_with(docs, run, schema.fields).withColumn(names[0], F.monotonically_increasing_id())
-    out, _ = written(out.toDF(*[f"_c{k}" for k in range(n)], names[1], names[2], names[0]), "searched")
+    schema = T.StructType([*plain.schema.fields[:n], *T.StructType.fromDDL(f"_n_words long, _found {_HITS}").fields])
+    out, _ = written(plain.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "searched")
     sent.unpersist()
-    return out.toDF(*docs.columns, names[1], names[2], names[0]), names, items.mapInArrow(_windows(window), "hash long, window string, item string").distinct()
+    return out.toDF(*keep, names[1], names[2], names[0]), names, items.mapInArrow(_windows(window), "hash long, window string, item string").distinct()
 
 
 def confirmed(found: DataFrame, windows: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     give repeated rows; columns besides those named are ignored.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found, names, windows = searched(given, benchmark, "text", item_id_col, item_text_col, window)
+    found, names, windows = searched(given, benchmark, "text", item_id_col, item_text_col, window, ["id"])
     row, n_words, hits = names
     met, _ = written(confirmed(_candidates(found, names), windows), "met")
     places = met.groupBy("row").agg(F.collect_list(F.struct("at", "length")).alias("hits")).mapInArrow(_ranges, "row long, n_hit long, hit_ranges array<struct<start:long,end:long>>")
@@ -275,7 +276,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     Null and empty texts have no words and stay; an empty benchmark takes nothing. Of repeated rows all stay or all go. A very long text
     goes with one hit, as a short one does. An empty table gives none.
     """
-    found, names, windows = searched(docs, benchmark, text_col, item_id_col, item_text_col, window)
+    found, names, windows = searched(docs, benchmark, text_col, item_id_col, item_text_col, window, docs.columns)
     row, _, hits = names
     gone = confirmed(_candidates(found, names), windows).select(F.col("row").alias(row)).distinct()
     kept = found.filter(F.size(hits) == 0).unionByName(found.filter(F.size(hits) > 0).join(gone, row, "left_anti"))
