@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galewise.functions import boxes as bx
 from galewise.functions import geometry as g
 from galewise.functions import vectors as v
+from galewise.operators import overlay
 from galewise.operators import spatial as sp
 from galewise.operators.ranks import numbered
 from galewise.queries.registry import registry, rounded
@@ -153,3 +154,47 @@ def clip_candidates(spark, sf_dir):
     b = tb.boxes(spark, sf_dir).filter("xmin < 60000 and xmax > -60000 and ymin < 60000 and ymax > -60000")
     cut = b.select("obstacle_id", "t_idx", g.clipped(F.get(g.box_polygon(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]), F.lit(0)), window).alias("ring"))
     return rounded(cut.filter(F.size("ring") > 2).select("obstacle_id", "t_idx", g.area(F.col("ring")).alias("area")).filter("area > 0"), 3)
+
+
+#: Cells between all coordinates of a group's boxes; those with a box and without a taker are what is left. Edges are counted where a neighbour is out.
+CELLS = """xs as (select distinct k, unnest([xmin, xmax]) as v from every), ys as (select distinct k, unnest([ymin, ymax]) as v from every),
+xi as (select k, v, lead(v) over (partition by k order by v) as w, row_number() over (partition by k order by v) as i from xs), yi as (select k, v, lead(v) over (partition by k order by v) as w, row_number() over (partition by k order by v) as j from ys),
+c as (select k, i, j, any_value(x.w - x.v) as dx, any_value(y.w - y.v) as dy from every e join xi x using (k) join yi y using (k) where x.v >= e.xmin and x.w <= e.xmax and y.v >= e.ymin and y.w <= e.ymax group by all having bool_or(role = 0) and not bool_or(role = 1)),
+m as (select c.k, sum(c.dx * c.dy) as area, sum(c.dy * ((l.i is null)::int + (r.i is null)::int) + c.dx * ((d.i is null)::int + (u.i is null)::int)) as perimeter
+ from c left join c l on l.k = c.k and l.i = c.i - 1 and l.j = c.j left join c r on r.k = c.k and r.i = c.i + 1 and r.j = c.j left join c d on d.k = c.k and d.i = c.i and d.j = c.j - 1 left join c u on u.k = c.k and u.i = c.i and u.j = c.j + 1 group by all)"""
+WIDE, VIEW = 60_000, 40_000
+
+
+def _boxed(df):
+    return df.withColumn("polygon", g.box_polygon(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
+
+
+@query(f"with {tb.POINTS}, {tb.boxes_sql(WIDE)}, every as (select t_idx as k, 0 as role, xmin, ymin, xmax, ymax from boxes), {CELLS} select k as t_idx, round(area, 3) as area, round(perimeter, 3) as perimeter from m")
+def dissolved(spark, sf_dir):
+    """The obstacles of each key as one: area and outline of their union."""
+    parts = overlay.dissolved(_boxed(tb.boxes(spark, sf_dir, WIDE)), ["t_idx"], cell=50_000.0)
+    return rounded(overlay.measures(parts, ["t_idx"]).select("t_idx", "area", "perimeter"), 3)
+
+
+@query(f"""with {tb.POINTS}, {tb.boxes_sql(WIDE)}, every as (select t_idx + 1 as t, obstacle_id as o, struct_pack(t := t_idx + 1, o := obstacle_id) as k, 0 as role, xmin, ymin, xmax, ymax from boxes
+union all select a.t_idx + 1, a.obstacle_id, struct_pack(t := a.t_idx + 1, o := a.obstacle_id), 1, greatest(b.xmin, a.xmin), greatest(b.ymin, a.ymin), least(b.xmax, a.xmax), least(b.ymax, a.ymax)
+ from boxes a join (select t_idx, (xmin + xmax) / 2 - {VIEW} as xmin, (ymin + ymax) / 2 - {VIEW} as ymin, (xmin + xmax) / 2 + {VIEW} as xmax, (ymin + ymax) / 2 + {VIEW} as ymax from boxes) b on b.t_idx = a.t_idx + 1 and b.xmin < a.xmax and b.xmax > a.xmin and b.ymin < a.ymax and b.ymax > a.ymin),
+{CELLS} select k.t as t_idx, k.o as obstacle_id, round(area, 3) as area, round(perimeter, 3) as perimeter from m""")
+def difference(spark, sf_dir):
+    """What is left of each obstacle at the next key, without the boxes seen there."""
+    b = tb.boxes(spark, sf_dir, WIDE)
+    earlier = _boxed(b).withColumn("t_idx", F.col("t_idx") + 1)
+    seen = tb.boxes(spark, sf_dir, VIEW).select("t_idx", F.col("obstacle_id").alias("taker_id"), "xmin", "ymin", "xmax", "ymax")
+    parts = overlay.difference(earlier.select("t_idx", "obstacle_id", "polygon"), _boxed(seen).select("t_idx", "taker_id", "polygon"), ["t_idx"], cell=50_000.0)
+    return rounded(overlay.measures(parts, ["t_idx", "obstacle_id"]).select("t_idx", "obstacle_id", "area", "perimeter"), 3)
+
+
+REACH, QUARTER = 25_000, 8
+
+
+@query(f"with {tb.POINTS}, {tb.boxes_sql()} select obstacle_id, t_idx, round((18000.0 * 18000 + 4 * 18000.0 * {REACH} + {2 * QUARTER} * {REACH}::double * {REACH} * sin(pi() / {2 * QUARTER})) / 1e6, 3) as km2, round((4 * 18000.0 + {8 * QUARTER} * {REACH} * sin(pi() / {4 * QUARTER})) / 1e3, 3) as km from boxes")
+def buffered(spark, sf_dir):
+    """Each obstacle grown by 25 km, circles as polygons of 32 edges."""
+    b = _boxed(tb.boxes(spark, sf_dir))
+    parts = overlay.measures(overlay.buffered(b.select("t_idx", "obstacle_id", "polygon"), ["t_idx"], float(REACH), QUARTER, cell=20_000.0), ["t_idx", "obstacle_id"])
+    return rounded(parts.select("obstacle_id", "t_idx", (F.col("area") / 1e6).alias("km2"), (F.col("perimeter") / 1e3).alias("km")), 3)
