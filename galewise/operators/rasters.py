@@ -52,25 +52,45 @@ def side_by_side(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return left.unionByName(right.withColumn("col", F.col("col") + width))
 
 
-def regions(pixels: DataFrame, keep: Column, side: int) -> DataFrame:
-    """(frame_id, row, col, region) for 4-connected regions; a region is named by its smallest pixel number. One frame is a row, so that
-    frames are labelled side by side."""
-    packed = pixels.filter(keep).groupBy("frame_id").agg(F.sort_array(F.collect_list(F.col("row") * side + F.col("col"))).alias("at"))
+def labelled(at: np.ndarray, side: int) -> np.ndarray:
+    """For sorted pixel numbers (row * side + column) the smallest of each one's 4-connected region: neighbours take over the smaller
+    label, labels the label of what they point to, until nothing changes."""
+    edges = []
+    for step in (1, side):
+        to = np.searchsorted(at, at + step)
+        met = (to < len(at)) & (at[np.minimum(to, len(at) - 1)] == at + step)
+        if step == 1:
+            met &= (at + 1) % side != 0
+        edges.append(np.stack([np.flatnonzero(met), to[met]]))
+    a, b = np.concatenate(edges, axis=1)
+    label = np.arange(len(at))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return at[label]
+        label = new
+
+
+def regions(pixels: DataFrame, keep: Column, side: int, key: str = "frame_id") -> DataFrame:
+    """(frame, row, col, region) for 4-connected regions; a region is named by its smallest pixel number, row * side + col, where side is no
+    less than the number of columns. One frame is a row, so that frames are labelled side by side."""
+    packed = pixels.filter(keep).groupBy(key).agg(F.sort_array(F.collect_list(F.col("row").cast("long") * side + F.col("col"))).alias("at"))
+    kind = dict(packed.dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for frame, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mask = np.zeros(side * side, dtype=bool)
-                mask[at] = True
-                labels = cells.components(mask.reshape(side, side)).ravel()
-                first = {}
-                for p in at:
-                    first.setdefault(labels[p], p)
-                out += [(frame, p // side, p % side, first[labels[p]]) for p in at]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["frame_id", "row", "col", "region"])
+            lists = batch.column(1)
+            at = lists.flatten().to_numpy()
+            edges = np.cumsum([0, *(len(x) for x in lists)])
+            region = np.concatenate([labelled(at[a:b], side) for a, b in zip(edges, edges[1:], strict=False)]) if len(lists) else at
+            frames = batch.column(0).take(pa.array(np.repeat(np.arange(len(lists)), np.diff(edges))))
+            yield pa.RecordBatch.from_arrays([frames, pa.array((at // side).astype(np.int32)), pa.array((at % side).astype(np.int32)), pa.array(region)], names=[key, "row", "col", "region"])
 
-    return packed.mapInArrow(run, "frame_id long, row int, col int, region int")
+    return packed.mapInArrow(run, f"{key} {kind}, row int, col int, region long")
 
 
 def outlines(regions_: DataFrame, keys: tuple = ("frame_id", "region")) -> DataFrame:
@@ -173,3 +193,26 @@ def errors(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean squared error of each predicted frame against the frame that came."""
     met = predicted.withColumn("at", F.col("frame_id") + F.col("step")).join(truth.select(F.col("frame_id").alias("at"), F.col("band").alias("true")), "at")
     return met.select("frame_id", "step", (F.aggregate(F.zip_with("band", "true", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("band")).alias("mse"))
+
+
+def resampled(pixels: DataFrame, rasters: DataFrame, crops_: DataFrame) -> DataFrame:
+    """(crop_id, row, col, value): the pixels of each crop (crop_id, path, transform, rows, cols), read from its raster by bilinear weights.
+
+    rasters are (path, rows, cols, transform) and pixels (path, row, col, value), without those that are not there. The middle of an output pixel goes through both transforms;
+    its four neighbours are found by equality, those off the raster or missing don't count, and where none is left, or the middle is off the
+    raster, the value is 0."""
+    src = rasters.select("path", F.col("transform").alias("s"), F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"))
+    out = crops_.select("crop_id", "path", F.col("transform").alias("t"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "cols")
+    out = out.select("crop_id", "path", "t", "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col")).join(src, "path")
+    t, s, c, r = F.col("t"), F.col("s"), F.col("col") + 0.5, F.col("row") + 0.5
+    dx, dy = t["a"] * c + t["b"] * r + t["c"] - s["c"], t["d"] * c + t["e"] * r + t["f"] - s["f"]
+    det = s["a"] * s["e"] - s["b"] * s["d"]
+    out = out.select("crop_id", "path", "row", "col", "n_rows", "n_cols", ((s["e"] * dx - s["b"] * dy) / det).alias("u"), ((s["a"] * dy - s["d"] * dx) / det).alias("v"))
+    low = lambda k: F.floor(F.col(k) - 0.5)
+    share = lambda k, on: (F.col(k) - 0.5 - low(k)) if on else 1 - (F.col(k) - 0.5 - low(k))
+    near = F.array(*[F.struct((low("v") + i).cast("int").alias("r"), (low("u") + j).cast("int").alias("c"), (share("v", i) * share("u", j)).alias("w")) for i in (0, 1) for j in (0, 1)])
+    on = F.col("u").between(0, F.col("n_cols")) & F.col("v").between(0, F.col("n_rows"))
+    asked = out.filter(on).select("crop_id", "path", "row", "col", F.explode(near).alias("x")).filter("x.w > 0").select("crop_id", "path", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("x.r").alias("row"), F.col("x.c").alias("col"), "x.w")
+    met = asked.join(pixels.select("path", "row", "col", "value"), ["path", "row", "col"])
+    values = met.groupBy("crop_id", F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return out.select("crop_id", "row", "col").join(values, ["crop_id", "row", "col"], "left").fillna(0.0, ["value"])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galewise.functions import boxes as bx
 from galewise.functions import geometry as g
 from galewise.functions import vectors as v
 from galewise.operators import rasters as rs
 from galewise.queries.registry import registry, rounded
+from galewise.sources import rasters as src
+from galewise.sources import shared
 from galewise.sources import tables as tb
 
 QUERIES, ORACLES, query = registry()
@@ -61,7 +64,7 @@ near as (select a.frame_id, a.p as a, b.p as b from px a join px b on a.frame_id
 reach(frame_id, p, other) as (select frame_id, p, p from px union select r.frame_id, r.p, n.b from reach r join near n on n.frame_id = r.frame_id and n.a = r.other)
 select frame_id, (p // 8)::integer as row, (p % 8)::integer as col, min(other)::integer as region from reach group by frame_id, p""")
 def frame_components(spark, sf_dir):
-    return rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8)
+    return rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8).withColumn("region", F.col("region").cast("int"))
 
 
 REGIONS = """with recursive px as (select vec_id as frame_id, (i - 1)::integer as p from embeddings, range(1, 65) t(i) where round(embedding[i]::double * 1000)::integer > 50),
@@ -70,17 +73,56 @@ reach(frame_id, p, other) as (select frame_id, p, p from px union select r.frame
 regions as (select frame_id, p // 8 as y, p % 8 as x, min(other)::integer as region from reach group by frame_id, p)"""
 
 
-@query(f"""{REGIONS}, own as (select a.frame_id, a.region, count(*) as n_pixels, sum((r.x is not null)::integer + (d.x is not null)::integer) as pairs, sum((r.x is not null and d.x is not null and q.x is not null)::integer) as fours
+OUTLINES = f"""{REGIONS}, own as (select a.frame_id, a.region, count(*) as n_pixels, sum((r.x is not null)::integer + (d.x is not null)::integer) as pairs, sum((r.x is not null and d.x is not null and q.x is not null)::integer) as fours
   from regions a left join regions r on r.frame_id = a.frame_id and r.region = a.region and r.y = a.y and r.x = a.x + 1 left join regions d on d.frame_id = a.frame_id and d.region = a.region and d.y = a.y + 1 and d.x = a.x
   left join regions q on q.frame_id = a.frame_id and q.region = a.region and q.y = a.y + 1 and q.x = a.x + 1 group by all)
-select frame_id, region, n_pixels, (4 * n_pixels - 2 * pairs)::bigint as perimeter, (2 - (n_pixels - pairs + fours))::integer as n_rings, n_pixels::double as area from own""")
-def mask_polygons(spark, sf_dir):
+select frame_id, region, n_pixels, (4 * n_pixels - 2 * pairs)::bigint as perimeter, (2 - (n_pixels - pairs + fours))::integer as n_rings, n_pixels::double as area from own"""
+
+
+def _outlined(own):
     """Regions as polygons, by what their rings enclose and how long they are; a region has a ring for itself and one for each hole."""
-    own = rs.outlines(rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8))
     closed = lambda ring: F.concat(ring, F.slice(ring, 1, 1))
     outline = F.aggregate("rings", F.lit(0.0), lambda s, ring: s + v.length(closed(ring)))
     sizes = F.transform("rings", g.area)
-    return own.select("frame_id", "region", "n_pixels", F.round(outline).cast("long").alias("perimeter"), F.size("rings").alias("n_rings"), (2 * F.get(sizes, F.lit(0)) - F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x)).alias("area"))
+    return own.select("frame_id", F.col("region").cast("int").alias("region"), "n_pixels", F.round(outline).cast("long").alias("perimeter"), F.size("rings").alias("n_rings"), (2 * F.get(sizes, F.lit(0)) - F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x)).alias("area"))
+
+
+@query(OUTLINES)
+def mask_polygons(spark, sf_dir):
+    return _outlined(rs.outlines(rs.regions(tb.pixels(spark, sf_dir), F.col("value") > 50, 8)))
+
+
+def _files(spark, sf_dir):
+    """The frames as raster files in the shared folder, and where they are."""
+    folder = shared.new_path(spark, "rasters")
+    ground = F.struct(*[F.lit(x).alias(k) for k, x in zip("abcdef", (250.0, 0.0, 0.0, 0.0, -250.0, 0.0), strict=True)])
+    frames = tb.frames(spark, sf_dir).select(F.col("frame_id").alias("name"), F.lit(8).alias("rows"), F.lit(8).alias("cols"), F.col("band").cast("array<double>").alias("band"), ground.alias("transform"), F.lit(3067).alias("crs"))
+    src.write_rasters(frames, folder, tile=16)
+    return folder
+
+
+@query(OUTLINES)
+def raster_polygons(spark, sf_dir):
+    """The same from files: written in LZW tiles, read block by block."""
+    pixels = src.pixels_of(src.read_tiles(spark, _files(spark, sf_dir))).withColumn("frame_id", F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long"))
+    return _outlined(rs.outlines(rs.regions(pixels, F.col("value") > 50, 8)))
+
+
+#: A crop of six pixels a side, 1,500 m, ahead of (700, -1,700) in the direction (0.6, 0.8), over the frames' edge.
+CROP = """c as (select 0.8 * 250 as a, -0.6 * 250 as b, 700 + 0.6 * 750 - 0.8 * 750 + 0.6 * 750 as c, -0.6 * 250 as d, -0.8 * 250 as e, -1700 + 0.8 * 750 + 0.6 * 750 + 0.8 * 750 as f)"""
+
+
+@query(f"""{PX}, {CROP}, o as (select r.r::integer as row, q.q::integer as col, (a * (q.q + 0.5) + b * (r.r + 0.5) + c) / 250 as u, (d * (q.q + 0.5) + e * (r.r + 0.5) + f) / -250 as v from c, range(0, 6) r(r), range(0, 6) q(q)),
+n as (select *, floor(v - 0.5) + i as y, floor(u - 0.5) + j as x, abs(1 - i - (v - 0.5 - floor(v - 0.5))) * abs(1 - j - (u - 0.5 - floor(u - 0.5))) as w from o, range(0, 2) t(i), range(0, 2) s(j) where u between 0 and 8 and v between 0 and 8),
+m as (select p.frame_id, n.row, n.col, sum(w * value) / sum(w) as value from n join pixels p on p.row = n.y and p.col = n.x where w > 0 group by all)
+select f.frame_id as crop_id, o.row, o.col, round(coalesce(m.value, 0), 4) as value from (select distinct frame_id from pixels) f cross join o left join m on m.frame_id = f.frame_id and m.row = o.row and m.col = o.col""")
+def resampled_crop(spark, sf_dir):
+    """Rotated crops of raster files by bilinear weights; what is off the raster is 0."""
+    folder = _files(spark, sf_dir)
+    known = src.read_rasters(spark, folder)
+    transform = bx.raster_transform(v.point(700, -1_700), v.point(0.6, 0.8), F.lit("center"), 1_500.0, 6)
+    crops = known.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("crop_id"), "path", transform.alias("transform"), F.lit(6).alias("rows"), F.lit(6).alias("cols"))
+    return rounded(rs.resampled(src.pixels_of(src.read_tiles(spark, folder)), known, crops), 4)
 
 
 @query(f"{PX} select frame_id, min(col) as xmin, min(row) as ymin, max(col) + 1 as xmax, max(row) + 1 as ymax, count(*) as n from pixels where value > 100 group by 1")
