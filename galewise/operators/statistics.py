@@ -40,7 +40,8 @@ def row_counts(results: DataFrame, kept: Column) -> DataFrame:
 
 
 def descriptive(results: DataFrame, value: str = "length", by: tuple = ("algorithm",)) -> DataFrame:
-    v = F.col(value)
+    """Mean, median and spread of each family. NaN counts as null; families of nulls alone have nulls and n 0."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
     sums = results.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"), F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
     return sums.join(quantiles(results, list(by), value, {"median": 0.5}), list(by), "left").select(*by, "mean", "median", "sd", "variance", "n", "least", "most")
 
@@ -70,7 +71,11 @@ def zero_inflation(differences: DataFrame, by: tuple = ("first", "second")) -> D
 
 
 def residuals(results: DataFrame) -> DataFrame:
-    return results.withColumn("residual", F.col("length") - F.avg("length").over(W.partitionBy("algorithm", "window_size")))
+    """Lengths without the mean of their family, which is joined: families are few and may hold any share of the rows."""
+    means = results.groupBy("algorithm", "window_size").agg(F.avg("length").alias("_mean"))
+    own = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("algorithm", "window_size")]
+    met = results.join(means.withColumnsRenamed({"algorithm": "_algorithm", "window_size": "_window_size"}), own[0] & own[1])
+    return met.withColumn("residual", F.col("length") - F.col("_mean")).drop("_mean", "_algorithm", "_window_size")
 
 
 def by_window(results: DataFrame) -> DataFrame:
@@ -109,8 +114,9 @@ def rank_biserial_label(r: Column) -> Column:
     return F.when(size < 0.1, "negligible").when(size < 0.3, "small").when(size < 0.5, "medium").otherwise("large")
 
 
-def wilcoxon(differences: DataFrame, by: tuple = ("first", "second")) -> DataFrame:
-    """Signed ranks over non-zero differences: W, tie-corrected z and rank-biserial effect. Families of zeros alone give W 0."""
+def wilcoxon(differences: DataFrame, by: tuple = ("first", "second"), ties: bool = False) -> DataFrame:
+    """Signed ranks over non-zero differences: W, tie-corrected z and rank-biserial effect. Families of zeros alone give W 0. With ties also
+    how many differences are zero, and how much others are tied."""
     by = list(by)
     rows = differences.withColumn("size", F.abs("delta"))
     ranked = ranked_values(rows.filter("delta <> 0"), by, "size", {"up": F.count_if(F.col("delta") > 0)})
@@ -119,12 +125,14 @@ def wilcoxon(differences: DataFrame, by: tuple = ("first", "second")) -> DataFra
     n = F.col("n")
     sums = sums.withColumn("w", F.least(F.col("plus"), F.col("all") - F.col("plus")))
     sums = sums.withColumn("z", (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)).withColumn("effect", 1 - 4 * F.col("w") / (n * (n + 1)))
-    families = rows.select(*by).distinct()
-    return families.join(sums.select(*by, "n", "w", "z", "effect"), by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), "z", F.coalesce("effect", F.lit(0.0)).alias("effect"))
+    families = rows.groupBy(*by).agg(F.count_if(F.col("delta") == 0).alias("zeros"))
+    more = [F.coalesce("tied", F.lit(0)).alias("tied"), "zeros"] if ties else []
+    return families.join(sums.select(*by, "n", "w", "z", "effect", "tied"), by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), "z", F.coalesce("effect", F.lit(0.0)).alias("effect"), *more)
 
 
-def mann_whitney(samples: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """U of the smaller group name against the other within each family of two groups, z (with and without ties) and effect."""
+def mann_whitney(samples: DataFrame, by: list[str], group: str, value: str, ties: bool = False) -> DataFrame:
+    """U of the smaller group name against the other within each family of two groups, z (with and without ties) and effect; with ties also how
+    much values are tied."""
     low = samples.groupBy(*by).agg(F.min(group).alias("_low"))
     rows = samples.join(low, by)
     first = F.col(group) == F.col("_low")
@@ -135,8 +143,8 @@ def mann_whitney(samples: DataFrame, by: list[str], group: str, value: str) -> D
     n = n1 + n2
     sums = sums.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     away = F.abs(F.col("u") - n1 * n2 / 2)
-    sums = sums.withColumn("z", (away - 0.5) / F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tied") / (n * (n - 1)))))
-    return sums.withColumn("effect", away / F.sqrt(n1 * n2 * (n + 1) / 12) / F.sqrt(n)).drop("r1", "tied")
+    sums = sums.withColumn("z", F.try_divide(away - 0.5, F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tied"), n * (n - 1))))))  # null where all values are equal
+    return sums.withColumn("effect", F.try_divide(away, F.sqrt(n1 * n2 * (n + 1) / 12) * F.sqrt(n))).drop("r1", *([] if ties else ["tied"]))
 
 
 def complete_blocks(results: DataFrame, by: list[str]) -> DataFrame:

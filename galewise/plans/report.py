@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from galewise.operators import significance as sg
 from galewise.operators import statistics as st
+from galewise.sources.shared import written
 
 ALPHA = 0.05
 #: Share of zero differences from which ranks are used, however normal residuals are.
@@ -36,7 +37,7 @@ def diagnostics(results: DataFrame, deltas: DataFrame, alpha: float = ALPHA) ->
 
 def paired(deltas: DataFrame, gate: DataFrame) -> DataFrame:
     """(first, second, test, statistic, p, effect_size, effect_label, n) by signed ranks or by t, as the gate says."""
-    ranks = sg.with_p(st.wilcoxon(deltas), "z", "z").select("first", "second", F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"), F.col("effect").alias("effect_size"), st.rank_biserial_label(F.col("effect")).alias("effect_label"), "n")
+    ranks = sg.with_p(sg.exact_signed_p(st.wilcoxon(deltas, ties=True)), "z", "z").withColumn("p", F.coalesce("p_exact", "p")).select("first", "second", F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"), F.col("effect").alias("effect_size"), st.rank_biserial_label(F.col("effect")).alias("effect_label"), "n")
     means = sg.with_p(st.paired_t(deltas), "t", "t", "df").select("first", "second", F.lit("paired_t").alias("test"), F.col("t").alias("statistic"), "p", F.col("d").alias("effect_size"), F.col("effect").alias("effect_label"), "n")
     return ranks.crossJoin(F.broadcast(gate)).filter("nonparametric").unionByName(means.crossJoin(F.broadcast(gate)).filter("not nonparametric")).drop("nonparametric")
 
@@ -59,7 +60,8 @@ def _judged(rows: DataFrame, correction: str, alpha: float) -> DataFrame:
 
 def stat_results(results: DataFrame, blocks: list[str] = ["subject_id", "window_size"], alpha: float = ALPHA) -> DataFrame:
     """All phases over one result table (algorithm, subject_id, window_size, length, success), one row for each family of each test."""
-    deltas = st.deltas(results)
+    results, _ = written(results, "results")
+    deltas, _ = written(st.deltas(results), "deltas")  # ten parts read them
     normal, zeros, gate = diagnostics(results, deltas, alpha)
     window = F.concat(F.lit("window "), F.col("window_size").cast("string"))
     tested = paired(deltas, gate)

@@ -106,6 +106,36 @@ def mann_whitney(spark, sf_dir):
     return rounded(st.mann_whitney(long, ["family"], "side", "v"))
 
 
+#: In how many choices of signs the ranks to k have a sum.
+SIGNS = """with recursive counts(k, c) as (select 0, [1::bigint] union all select k + 1, [coalesce(c[s + 1], 0) + case when s > k then coalesce(c[s - k], 0) else 0 end for s in range(0, len(c) + k + 1)] from counts where k < 50)"""
+
+
+@query(f"""{SIGNS}, {PAIRS}, f as (select first, second, window_size, subject_id % 10 as part, delta from deltas), r as (select *, rank() over (partition by first, second, window_size, part order by abs(delta)) as rk, count(*) over (partition by first, second, window_size, part, abs(delta)) as ties from f),
+s as (select first, second, window_size, part, count(*) as n, sum(case when delta > 0 then rk else 0 end) as plus, max(ties) as ties, min(abs(delta)) as least from r group by all having n <= 50 and max(ties) = 1 and least > 0)
+select first, second, window_size, part, n, least(plus, n * (n + 1) // 2 - plus)::double as w, round(least(1, 2 * list_sum(c[1:least(plus, n * (n + 1) // 2 - plus)::int + 1]) / list_sum(c)), 9) as p_exact from s join counts on k = n""")
+def wilcoxon_exact(spark, sf_dir):
+    """Exact p of signed ranks, for families of up to 50 differences that aren't tied."""
+    d = st.deltas(tb.runs(spark, sf_dir)).withColumn("part", F.col("subject_id") % 10)
+    by = ["first", "second", "window_size", "part"]
+    return rounded(sg.exact_signed_p(st.wilcoxon(d, tuple(by), ties=True)).filter("p_exact is not null").select(*by, "n", "w", "p_exact"), 9)
+
+
+@query(f"""with recursive {tb.RUNS}, counts(m, n, c) as (select 0, n, [1::bigint] from range(0, 251) t(n)
+ union all select m + 1, n, [list_sum([coalesce(case when s - k * (m + 1) >= 0 then c[s - k * (m + 1) + 1] end, 0) - coalesce(case when s - k * (m + 1) - n - m - 1 >= 0 then c[s - k * (m + 1) - n - m] end, 0) for k in range(0, s // (m + 1) + 1)]) for s in range(0, (m + 1) * n + 1)] from counts where m < 8 and n <= 40),
+f as (select window_size, subject_id % 40 as part, algorithm, length as v from runs where algorithm in (select distinct algorithm from runs order by 1 limit 2)),
+r as (select *, rank() over (partition by window_size, part order by v) as rk, count(*) over (partition by window_size, part, v) as ties, min(algorithm) over (partition by window_size, part) as low from f),
+s as (select window_size, part, count(*) filter (where algorithm = low) as n1, count(*) filter (where algorithm <> low) as n2, sum(rk) filter (where algorithm = low) as r1, max(ties) as ties from r group by all having least(n1, n2) between 1 and 8 and greatest(n1, n2) <= 40 and ties = 1),
+u as (select *, r1 - n1 * (n1 + 1) // 2 as u from s)
+select window_size, part, n1, n2, u::double as u, round(least(1, 2 * list_sum(c[1:least(u, n1 * n2 - u)::int + 1]) / list_sum(c)), 9) as p_exact from u join counts on m = least(n1, n2) and n = greatest(n1, n2)""")
+def mann_whitney_exact(spark, sf_dir):
+    """Exact p of rank sums, for two samples one of which has eight values at most, without ties."""
+    r = tb.runs(spark, sf_dir)
+    two = r.select("algorithm").distinct().orderBy("algorithm").limit(2)
+    rows = r.join(F.broadcast(two), "algorithm").withColumn("part", F.col("subject_id") % 40)
+    found = sg.exact_rank_sum_p(st.mann_whitney(rows, ["window_size", "part"], "algorithm", "length", ties=True))
+    return rounded(found.filter("p_exact is not null and greatest(n1, n2) <= 40").select("window_size", "part", "n1", "n2", "u", "p_exact"), 9)
+
+
 @query(f"with {BLOCKS}, p as (select algorithm, sum(rk) as r, count(*) as n, sum(ties * ties - 1) as tied from ranked group by 1), t as (select count(*) as k, max(n)::double as n, sum(r * r) as rr, sum(tied) as tied from p), c as (select *, (12 / (n * k * (k + 1)) * rr - 3 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))) as chi2 from t) select n::bigint as n, k, round(chi2, 6) as chi2, round(chi2 / (n * (k - 1)), 6) as kendall_w from c")
 def friedman(spark, sf_dir):
     return rounded(st.friedman(tb.runs(spark, sf_dir), KEY))
