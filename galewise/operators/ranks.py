@@ -14,18 +14,40 @@ from pyspark.sql import functions as F
 from galewise.sources.shared import drop_path, written
 
 
+def _dealt(rows: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, list[str]]:
+    """rows in ranges of their order, written, with the range's number, and the columns of a family: one for all rows where by is empty."""
+    given = rows if by else rows.withColumn("_all", F.lit(1))
+    keys = list(by) or ["_all"]
+    return written(given.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "dealt")[0], keys
+
+
 def with_before(counts: DataFrame, by: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
     """counts and, for each amount, a column (its name in `amounts`) with the sum over the rows that come before within `by`. Rows differ in
     their order."""
-    dealt, _ = written(counts.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "dealt")
-    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in amounts])
-    ranges = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
-    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(ranges), F.lit(0)).alias(f"_{c}") for c in amounts])
-    own = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = dealt.join(offsets, [*by, "_range"])
+    dealt, keys = _dealt(counts, by, order)
+    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in amounts])
+    ranges = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
+    offsets = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(ranges), F.lit(0)).alias(f"_{c}") for c in amounts])
+    own = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = dealt.join(offsets, [*keys, "_range"])
     return rows.select(*counts.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(name) for c, name in amounts.items()])
 
 
+def with_last(rows: DataFrame, by: list[str], order: str, value: str, name: str, seen: str | None = None) -> DataFrame:
+    """rows and, as `name`, the last value that isn't null among this row and those before it within `by`; as `seen` the order of the row that it
+    comes from. Each range tells its last value on, and ranges learn from those before them. Families with a null in `by` are left out; rows
+    of a family differ in their order."""
+    dealt, keys = _dealt(rows, by, [order])
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    tells = dealt.groupBy(*keys, "_range").agg(F.max_by(value, at).alias("_v"), F.max(at).alias("_at"))
+    ranges = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
+    told = tells.select(*keys, "_range", *[F.last(c, ignorenulls=True).over(ranges).alias(c) for c in ("_v", "_at")])
+    own = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    met = dealt.join(told, [*keys, "_range"])
+    here = lambda c, before: F.coalesce(F.last(c, ignorenulls=True).over(own), F.col(before))
+    return met.select(*rows.columns, here(F.col(value), "_v").alias(name), *([here(at, "_at").alias(seen)] if seen else []))
+
+
 def ranked_values(rows: DataFrame, by: list[str], value: str, sums: dict[str, F.Column] | None = None) -> DataFrame:
     """(by, value, m, rank): each distinct value, how often it is there, and its rank with ties averaged; and further sums over its rows."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("m"), *[c.alias(name) for name, c in (sums or {}).items()])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galewise.functions import boxes as bx
 from galewise.functions import vectors as v
 from galewise.operators import spatial as sp
+from galewise.operators.ranks import numbered
 from galewise.queries.registry import registry, rounded
 from galewise.queries.spatial import BASE
 from galewise.sources import tables as tb
@@ -40,7 +40,7 @@ def experiment_totals(spark, sf_dir):
 @query("select distinct strftime(o_orderdate, '%Y_%m_%d') as scene, dense_rank() over (order by strftime(o_orderdate, '%Y_%m_%d')) as place from orders")
 def list_scenes(spark, sf_dir):
     rows = tb.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy_MM_dd").alias("scene")).distinct()
-    return rows.withColumn("place", F.row_number().over(W.orderBy("scene")).cast("long"))
+    return numbered(rows, ["scene"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query(f"""{BASE}, s as (select * from segments), b as (select seg_id, least(ax, bx) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x0, greatest(ax, bx) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as x1, least(ay, yb) - sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y0, greatest(ay, yb) + sqrt((bx - ax) ** 2 + (yb - ay) ** 2) / 2 as y1 from s)

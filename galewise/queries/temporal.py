@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galewise.functions import time as ft
 from galewise.operators import temporal as tm
+from galewise.operators.ranks import numbered
 from galewise.queries.registry import registry
 from galewise.sources import tables as tb
 
@@ -68,7 +69,7 @@ GRID = f"{TOTALS}, grid as (select unnest(generate_series((select min(slot) from
 @query(f"{GRID} select slot, total, last_value(total ignore nulls) over (order by slot rows unbounded preceding) as total_filled from grid left join totals using (slot)")
 def locf_gap_fill(spark, sf_dir):
     slots = tm.slot_totals(tb.observations(spark, sf_dir)).drop("n")
-    return tm.carried(tm.slot_grid(slots, []).join(slots, "slot", "left"), [], "slot", "total")
+    return tm.carried_far(tm.slot_grid(slots, []).join(slots, "slot", "left"), [], "slot", "total")
 
 
 @query(f"{GRID}, seen as (select slot as at, total as v from totals) select g.slot, t.total, case when s.at >= g.slot - interval '10 minutes' then s.v end as total_filled from grid g left join totals t using (slot) asof left join seen s on g.slot >= s.at")
@@ -115,11 +116,9 @@ select wanted, idx, timestamp from wanted join known on contains(timestamp, want
 qualify row_number() over (partition by wanted order by case when timestamp = wanted then 0 when starts_with(timestamp, wanted) then 1 else 2 end, idx) = 1""")
 def timestamp_lookup(spark, sf_dir):
     known = _slots(spark, sf_dir).select(ft.time_key(F.col("slot")).alias("timestamp"))
-    from pyspark.sql import Window as W
-
-    known = known.withColumn("idx", F.row_number().over(W.orderBy("timestamp")).cast("long"))
+    known = numbered(known, ["timestamp"], "idx").withColumn("idx", F.col("idx") + 1)
     wanted = spark.createDataFrame([(x,) for x in ("2024_01_05", "2024_01_07_12", "01_09_0", "2024_01_10_00_00_00", "nothing")], "wanted string")
-    return tm.first_match(F.broadcast(wanted), known)
+    return tm.first_match(wanted, known)
 
 
 FILES = "files as (select strftime(o_orderdate, '%Y-%m') as file, count(*) as n from orders group by 1)"
