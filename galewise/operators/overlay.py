@@ -39,7 +39,8 @@ def _edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
 def line_cells(segments: DataFrame, cell: float) -> DataFrame:
     """A row for each grid cell that a segment (ax, ay, bx, by) crosses, and not for the others of its bounds."""
     own = segments.withColumn("xmin", F.least("ax", "bx")).withColumn("xmax", F.greatest("ax", "bx")).withColumn("ymin", F.least("ay", "by")).withColumn("ymax", F.greatest("ay", "by"))
-    boxed = with_cells(own, cell).select("*", F.struct((F.col("cx") * cell).alias("xmin"), (F.col("cy") * cell).alias("ymin"), (F.col("cx") * cell + cell).alias("xmax"), (F.col("cy") * cell + cell).alias("ymax")).alias("_cell"))
+    little = cell * 1e-9  # rounding loses no cell
+    boxed = with_cells(own, cell).select("*", F.struct(*[(F.col(c) * cell + v).alias(n) for c, v, n in (("cx", -little, "xmin"), ("cy", -little, "ymin"), ("cx", cell + little, "xmax"), ("cy", cell + little, "ymax"))]).alias("_cell"))
     return boxed.alias("_s").filter(crosses_box("_s", "_s._cell")).drop("_cell", "xmin", "xmax", "ymin", "ymax")
 
 

@@ -1,18 +1,18 @@
-"""Joins by place: a grid of cells turns overlap into equality, an exact predicate decides.
+"""Joins by place: cells turn overlap into equality, an exact predicate decides.
 
-Cells are bounded: the cell size is chosen so that an object covers few of them. Pairs that share several cells are kept once, in the cell of
-the lower left corner of their common bounds, so that no distinct is needed.
+Cells follow the density of obstacles (operators/quadtree.py): one that is over its bound splits, and objects go to all cells that they
+touch. Pairs of boxes that share several cells are kept once, in the cell of the lower left corner of their common bounds, so that no
+distinct is needed; lines go only to cells that they cross, so that their pairs are made distinct.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galewise.functions import geometry as g
 from galewise.functions.vectors import point
-from galewise.sources.shared import written
+from galewise.operators import quadtree as qt
 
 
 def with_cells(rows: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
@@ -21,12 +21,6 @@ def with_cells(rows: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
     return rows.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
 
 
-def first_common_cell(a: str, b: str, cell: float, grow: float = 0.0) -> Column:
-    """Whether this is the cell of the lower left corner of the two bounds' intersection."""
-    low = lambda k: F.floor((F.greatest(F.col(f"{a}.{k}min") - grow, F.col(f"{b}.{k}min") - grow)) / cell)
-    return (F.col(f"{a}.cx") == low("x")) & (F.col(f"{a}.cy") == low("y"))
-
-
 def bounds_meet(a: str, b: str, grow: float = 0.0) -> Column:
     meets = lambda k: (F.col(f"{a}.{k}min") - grow <= F.col(f"{b}.{k}max") + grow) & (F.col(f"{a}.{k}max") + grow >= F.col(f"{b}.{k}min") - grow)
     return meets("x") & meets("y")
@@ -40,18 +34,29 @@ def box_of(alias: str) -> Column:
     return g.box_polygon(*[F.col(f"{alias}.{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def segment_hits(segments: DataFrame, obstacles: DataFrame, keys: list[str], cell: float = 100_000.0) -> DataFrame:
+def segment_hits(segments: DataFrame, obstacles: DataFrame, keys: list[str], bound: int = qt.BOUND) -> DataFrame:
     """(segment columns, obstacle_id) for closed segments that meet an obstacle of equal keys. Obstacles have bounds, and a polygon where
-    they are not boxes."""
+    they are not boxes. A segment goes to the cells that its line crosses, and not to all of its bounds."""
     own = segments.columns
-    a, b = with_cells(segment_bounds(segments), cell).alias("a"), with_cells(obstacles, cell).alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cx", "cy")]
+    splits, frame = qt.splits_of(obstacles, bound)
+    lines = qt.touched(segment_bounds(segments).withColumn("_row", F.monotonically_increasing_id()), splits, frame)
+    a = crossed(lines, frame).alias("a")
+    b = qt.touched(obstacles.withColumn("_row", F.monotonically_increasing_id()), splits, frame).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, *qt.NODE)]
     if "polygon" in obstacles.columns:
         exact = g.segment_meets_polygon(point(F.col("a.ax"), F.col("a.ay")), point(F.col("a.bx"), F.col("a.by")), F.col("b.polygon"))
     else:
         exact = crosses_box("a", "b")
-    met = a.join(b, _all([*on, bounds_meet("a", "b"), first_common_cell("a", "b", cell)]))
-    return met.filter(exact).select(*[F.col(f"a.{c}").alias(c) for c in own], F.col("b.obstacle_id").alias("obstacle_id"))
+    met = a.join(b, _all([*on, bounds_meet("a", "b")])).filter(exact).select(*[F.col(f"a.{c}").alias(c) for c in own], F.col("b.obstacle_id").alias("obstacle_id"), F.col("a._row").alias("_a"), F.col("b._row").alias("_b"))
+    return (met if splits.isEmpty() else met.dropDuplicates(["_a", "_b"])).drop("_a", "_b")  # they may meet in several cells
+
+
+def crossed(lines: DataFrame, frame: qt.Frame) -> DataFrame:
+    """Of segments in the cells that their bounds touch, those whose line crosses the cell; cells at the frame's ends have no end and are kept."""
+    ends = ("xmin", "ymin", "xmax", "ymax")
+    boxed = lines.withColumn("_cell", F.struct(*[c.alias(n) for c, n in zip(qt.box_of(frame), ends, strict=True)])).alias("s")
+    open_ = F.exists(F.array(*[F.col(f"_cell.{c}") for c in ends]), lambda v: v.isNull())
+    return boxed.filter(open_ | crosses_box("s", "s._cell")).drop("_cell")
 
 
 def crosses_box(a: str, b: str) -> Column:
@@ -74,77 +79,53 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def valid_segments(segments: DataFrame, obstacles: DataFrame, keys: list[str], id_cols: list[str], cell: float = 100_000.0) -> DataFrame:
+def valid_segments(segments: DataFrame, obstacles: DataFrame, keys: list[str], id_cols: list[str], bound: int = qt.BOUND) -> DataFrame:
     """Segments that meet no obstacle of equal keys."""
-    hits = segment_hits(segments, obstacles, keys, cell).select(*id_cols, *[k for k in keys if k not in id_cols]).distinct()
+    hits = segment_hits(segments, obstacles, keys, bound).select(*id_cols, *[k for k in keys if k not in id_cols]).distinct()
     return segments.join(hits, [*id_cols, *[k for k in keys if k not in id_cols]], "left_anti")
 
 
-def points_inside(points: DataFrame, obstacles: DataFrame, cell: float = 50_000.0, closed: bool = False) -> DataFrame:
+def points_inside(points: DataFrame, obstacles: DataFrame, closed: bool = False, bound: int = qt.BOUND) -> DataFrame:
     """(point columns, obstacle_id) for points strictly inside an obstacle, or inside or on its edge."""
     own = points.columns
-    a = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).alias("a")
-    b = with_cells(obstacles, cell).alias("b")
+    splits, frame = qt.splits_of(obstacles, bound)
+    at = points.select("*", *[F.col(c).alias(f"{c}{e}") for c in ("x", "y") for e in ("min", "max")])
+    a, b = qt.touched(at, splits, frame).alias("a"), qt.touched(obstacles, splits, frame).alias("b")
     p = point(F.col("a.x"), F.col("a.y"))
     shape = F.col("b.polygon") if "polygon" in obstacles.columns else box_of("b")
     near = F.col("a.x").between(F.col("b.xmin"), F.col("b.xmax")) & F.col("a.y").between(F.col("b.ymin"), F.col("b.ymax"))
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & near).filter(g.covered(p, shape) if closed else g.strictly_inside(p, shape))
+    met = a.join(b, _all([*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in qt.NODE], near])).filter(g.covered(p, shape) if closed else g.strictly_inside(p, shape))
     return met.select(*[F.col(f"a.{c}").alias(c) for c in own], F.col("b.obstacle_id").alias("obstacle_id"))
 
 
-def close_pairs(obstacles: DataFrame, reach: float, keys: list[str] = [], cell: float = 100_000.0) -> DataFrame:
+def close_pairs(obstacles: DataFrame, reach: float, keys: list[str] = [], bound: int = qt.BOUND) -> DataFrame:
     """(a, b) of different obstacles of equal keys at most `reach` apart, both ways."""
     half = reach / 2
-    a, b = with_cells(obstacles, cell, half).alias("a"), with_cells(obstacles, cell, half).alias("b")
-    on = _all([*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cx", "cy")], F.col("a.obstacle_id") != F.col("b.obstacle_id"), bounds_meet("a", "b", half), first_common_cell("a", "b", cell, half)])
+    splits, frame = qt.splits_of(obstacles, bound)
+    cells = qt.touched(obstacles, splits, frame, half)
+    a, b = cells.alias("a"), cells.alias("b")
+    on = _all([*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, *qt.NODE)], F.col("a.obstacle_id") != F.col("b.obstacle_id"), bounds_meet("a", "b", half), qt.first_common("a", "b", frame, half)])
     gap = g.polygon_distance(F.col("a.polygon"), F.col("b.polygon")) if "polygon" in obstacles.columns else box_gap("a", "b")
     met = a.join(b, on).filter(gap <= reach)
     return met.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.obstacle_id").alias("a"), F.col("b.obstacle_id").alias("b"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, reach: float | None = None, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
-    """(qid, id, d, place): the k nearest points of each query, ties by id. Queries (qid, x, y) look in the 3 x 3 cells of size `reach` around
-    them, where everything within reach is found; those with fewer than k points within reach go on with twice the reach. Unless it is
-    given, the first reach is such that the cells hold about k points together, from the number of points and their bounds."""
-    total, *bounds = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if reach is None and total:
-        wide, high = max(bounds[1] - bounds[0], 1e-9), max(bounds[3] - bounds[2], 1e-9)
-        reach = max((wide * high * (k + 1) / total) ** 0.5, max(wide, high) * (k + 1) / total / 2) / 2
-    want = min(k, total - 1 if exclude_self else total)
-    found, rest = None, queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    if want < 1:
-        return queries.select("qid").join(points.select("id"), F.lit(False)).select("qid", "id", F.lit(0.0).alias("d"), F.lit(1).alias("place"))
-    for _ in range(most_rounds):
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        q = rest.withColumn("o", F.explode(around)).withColumn("cx", F.floor(F.col("qx") / reach) + F.col("o.i")).withColumn("cy", F.floor(F.col("qy") / reach) + F.col("o.j")).drop("o")
-        p = points.select("id", "x", "y").withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach))
-        met = q.join(p, ["cx", "cy"])
-        if exclude_self:
-            met = met.filter("qid <> id")
-        met = met.withColumn("d", F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))))
-        near = met.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("d", "id"))).filter(F.col("place") <= want)
-        near = near.withColumn("sure", F.count(F.when(F.col("d") <= reach, 1)).over(W.partitionBy("qid")) >= want).select("qid", "id", "d", "place", "sure")
-        near, _ = written(near, "nearest")  # rounds do not compute those before them again
-        done = near.filter("sure").drop("sure")
-        found = done if found is None else found.unionByName(done)
-        rest = rest.join(done.select("qid").distinct(), "qid", "left_anti")
-        if not rest.head(1):
-            return found
-        reach *= 2
-    raise RuntimeError("the points are spread over too many scales")
-
-
-def knn_edges(points: DataFrame, k: int, reach: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(qid, id, d, place): the k nearest points of each query (qid, x, y), ties by id, by the cells of operators/quadtree.py."""
+    return qt.nearest(queries, points, k, exclude_self)
+
+
+def knn_edges(points: DataFrame, k: int) -> DataFrame:
     """Undirected edges (i, j, w) with i < j to the k nearest other points."""
     own = points.select(F.col("id").alias("qid"), "x", "y")
-    pairs = nearest(own, points, k, reach, exclude_self=True)
+    pairs = nearest(own, points, k, exclude_self=True)
     return pairs.groupBy(F.least("qid", "id").alias("i"), F.greatest("qid", "id").alias("j")).agg(F.min("d").alias("w"))
 
 
-def closest_valid_vertex(queries: DataFrame, vertices: DataFrame, obstacles: DataFrame, reach: float | None = None) -> DataFrame:
+def closest_valid_vertex(queries: DataFrame, vertices: DataFrame, obstacles: DataFrame) -> DataFrame:
     """For each query the nearest vertex inside no obstacle; a query stays itself where none is left."""
     free = vertices.join(points_inside(vertices, obstacles).select("id").distinct(), "id", "left_anti")
-    best = nearest(queries, free, 1, reach).select("qid", "id", "d")
+    best = nearest(queries, free, 1).select("qid", "id", "d")
     return queries.join(best, "qid", "left")
 
 

@@ -25,9 +25,9 @@ def polygons(tiles: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
     return ground.withColumn("_b", g.bounds(F.col("polygon"))).select("*", "_b.*").drop("_b")
 
 
-def grouped(shapes: DataFrame, reach: float = REACH, cell: float = 100_000.0) -> DataFrame:
+def grouped(shapes: DataFrame, reach: float = REACH) -> DataFrame:
     """shapes and grp: the smallest obstacle of those that meet, one through the other, when each is grown by reach."""
-    pairs = sp.close_pairs(shapes, 2 * reach, ["path"], cell)
+    pairs = sp.close_pairs(shapes, 2 * reach, ["path"])
     own = F.struct("path", F.col("obstacle_id").alias("id"))
     found = graphs.components(pairs.select(F.struct("path", F.col("a").alias("id")).alias("a"), F.struct("path", F.col("b").alias("id")).alias("b")))
     return shapes.withColumn("node", own).join(found, "node", "left").withColumn("grp", F.coalesce("root.id", "obstacle_id")).drop("node", "root")
@@ -35,4 +35,4 @@ def grouped(shapes: DataFrame, reach: float = REACH, cell: float = 100_000.0) ->
 
 def obstacles(tiles: DataFrame, low: int = LOW, high: int = HIGH, reach: float = REACH, cell: float = 100_000.0) -> DataFrame:
     """(path, grp, part, polygon): the union of each group of a raster's storms, one row for each polygon that it is made of."""
-    return overlay.dissolved(grouped(polygons(tiles, low, high), reach, cell), ["path", "grp"], cell)
+    return overlay.dissolved(grouped(polygons(tiles, low, high), reach), ["path", "grp"], cell)

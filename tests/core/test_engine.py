@@ -118,7 +118,7 @@ def test_components_of_a_long_chain(spark):
 def test_nearest_over_scales(spark):
     rows = [(i, float(10**i), 0.0) for i in range(6)]
     p = spark.createDataFrame(rows, "id long, x double, y double")
-    got = spatial.nearest(p.select(F.col("id").alias("qid"), "x", "y"), p, 2, 1.0, exclude_self=True)
+    got = spatial.nearest(p.select(F.col("id").alias("qid"), "x", "y"), p, 2, exclude_self=True)
     want = {(i, j) for i, x, _ in rows for _, j in sorted((abs(x - y), k) for k, y, _ in rows if k != i)[:2]}
     assert {(r["qid"], r["id"]) for r in got.collect()} == want
 
