@@ -51,40 +51,51 @@ def all_window_edges(valid: DataFrame, n_keys: int, size: int) -> DataFrame:
     return spread.groupBy("window", "i", "j").agg(F.count_distinct("t_idx").alias("n")).filter(F.col("n") == size).select("window", "i", "j")
 
 
-def shortest_paths(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """(graph_id, source, target, distance, path) for the queries (graph_id, source, target) of each graph's edges (i, j, w): one task a graph,
-    graphs side by side. Distance and path are null where there is none."""
-    schema = "graph_id long, source long, target long, distance double, path array<long>"
+def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(source, node, distance, before) over one graph too large for a task; before is the node that the distance comes from, null at the
+    source itself. Edges (i, j, w) go both ways, their weights are not below 0; sources without edges reach themselves.
 
-    def run(key, own, wanted):
-        near = routes.adjacency(own[["i", "j", "w"]].itertuples(index=False))
-        out = []
-        for s, t in wanted[["source", "target"]].itertuples(index=False):
-            found = routes.shortest(near, s, t) if s != t else ([s], 0.0)
-            out.append((key[0], s, t, found[1] if found else None, found[0] if found else None))
-        return pd.DataFrame(out, columns=["graph_id", "source", "target", "distance", "path"])
-
-    return edges.groupBy("graph_id").cogroup(queries.groupBy("graph_id")).applyInPandas(run, schema)
-
-
-def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(source, node, distance) over one graph too large for a task: Bellman-Ford rounds of joins until no distance falls."""
+    In each round only nodes whose distance fell in the one before send theirs on. A fall counts if it is strict, so that ways of equal
+    length end the rounds."""
     spark = edges.sparkSession
-    arcs, arcs_path = written(edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "arcs")
-    now, path = written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")), "distances")
-    state = None
+    if not edges.filter("w < 0 or w is null or isnan(w)").isEmpty():
+        raise ValueError("weights are numbers from 0")
+    kind = dict(edges.dtypes)["i"]
+    arcs, arcs_path = written(edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.min("w").alias("w")), "arcs")
+    now, path = written(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("before"), F.lit(True).alias("fell")), "distances")
     for _ in range(most_rounds):
-        next_ = now.join(arcs, now.node == arcs.i).select("source", F.col("j").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
-        after, new = written(now.unionByName(next_).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
+        front = now.filter("fell")
+        if not front.head(1):
+            drop_path(spark, arcs_path)
+            return now.drop("fell")
+        sent = front.join(arcs, front.node == arcs.i).select("source", F.col("j").alias("node"), (F.col("distance") + F.col("w")).alias("d"), F.col("i").alias("via"))
+        best = sent.groupBy("source", "node").agg(F.min(F.struct("d", "via")).alias("new"))
+        met = now.drop("fell").join(best, ["source", "node"], "full")
+        fell = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
+        after, new = written(met.select("source", "node", F.when(fell, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(fell, F.col("new.via")).otherwise(F.col("before")).alias("before"), fell.alias("fell")), "distances")
         drop_path(spark, path)
         now, path = after, new
-        was, state = state, tuple(now.agg(F.count("*"), F.sum("distance")).first())
-        if state == was:
-            drop_path(spark, arcs_path)
-            return now
     raise RuntimeError(f"distances still fall after {most_rounds} rounds")
 
 
+#: Steps back that are joined in one job.
+BACK = 8
+
+
+def paths_back(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(source, target, distance, path) of the queries (source, target), read back from distances_from by joins, a step a join; queries without a way
+    have no row. The path is an array of nodes from the source on."""
+    steps = found.select("source", F.col("node").alias("at"), "before")
+    front = queries.select("source", "target").distinct().join(found.select("source", F.col("node").alias("target"), "distance"), ["source", "target"])
+    front, _ = written(front.withColumn("at", F.col("target")).withColumn("path", F.array("target")), "back")
+    while front.filter("at <> source").head(1):
+        for _ in range(BACK):
+            met = front.join(steps, ["source", "at"], "left")
+            front = met.select("source", "target", "distance", F.coalesce("before", "at").alias("at"), F.when(F.col("before").isNotNull(), F.concat(F.array("before"), F.col("path"))).otherwise(F.col("path")).alias("path"))
+        front, _ = written(front, "back")
+    return front.drop("at")
+
+
 def _per_graph(points: DataFrame, schema: str, kernel) -> DataFrame:
     return points.groupBy("graph_id").applyInPandas(kernel, schema)
 
