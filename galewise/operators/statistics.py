@@ -147,38 +147,43 @@ def mann_whitney(samples: DataFrame, by: list[str], group: str, value: str, ties
     return sums.withColumn("effect", F.try_divide(away, F.sqrt(n1 * n2 * (n + 1) / 12) * F.sqrt(n))).drop("r1", *([] if ties else ["tied"]))
 
 
-def complete_blocks(results: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of blocks that every algorithm has: counts meet the number of algorithms, which is one row."""
-    full = results.groupBy(*by).agg(F.count_distinct("algorithm").alias("m"))
-    every = results.agg(F.count_distinct("algorithm").alias("k"))
-    return results.join(full.join(F.broadcast(every), F.col("m") == F.col("k")).select(*by), by, "left_semi")
-
-
-def friedman(results: DataFrame, by: list[str]) -> DataFrame:
-    """Tie-corrected chi-square over complete blocks, Kendall's W, blocks and conditions."""
-    ranked = _block_ranks(results, by)
-    per = ranked.groupBy("algorithm").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
-    out = per.agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum("tied").alias("tied"))
+def complete_blocks(results: DataFrame, by: list[str], factor: tuple = ()) -> DataFrame:
+    """Rows of blocks that every algorithm of their factor has: counts meet the number of algorithms. Without a factor that is one row."""
+    full = results.groupBy(*factor, *by).agg(F.count_distinct("algorithm").alias("m"))
+    every = results.groupBy(*factor).agg(F.count_distinct("algorithm").alias("k"))
+    met = full.join(every, list(factor)) if factor else full.crossJoin(F.broadcast(every))
+    return results.join(met.filter(F.col("m") == F.col("k")).select(*factor, *by), [*factor, *by], "left_semi")
+
+
+def friedman(results: DataFrame, by: list[str], factor: tuple = ()) -> DataFrame:
+    """Tie-corrected chi-square over complete blocks, Kendall's W, blocks and conditions, of each factor."""
+    ranked = _block_ranks(results, by, factor)
+    per = ranked.groupBy(*factor, "algorithm").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
+    out = per.groupBy(*factor).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum("tied").alias("tied"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    out = out.withColumn("chi2", (12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1)) / (1 - F.col("tied") / (n * k * (k * k - 1))))
-    return out.select("n", "k", "chi2", (F.col("chi2") / (n * (k - 1))).alias("kendall_w"))
+    out = out.withColumn("chi2", F.try_divide(12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1), 1 - F.col("tied") / (n * k * (k * k - 1))))
+    return out.select(*factor, "n", "k", "chi2", (F.col("chi2") / (n * (k - 1))).alias("kendall_w"))
 
 
-def _block_ranks(results: DataFrame, by: list[str]) -> DataFrame:
-    return complete_blocks(results, by).withColumn("rank", midrank(by, "length")).withColumn("ties", F.count("*").over(W.partitionBy(*by, "length")))
+def _block_ranks(results: DataFrame, by: list[str], factor: tuple = ()) -> DataFrame:
+    block = [*factor, *by]
+    return complete_blocks(results, by, factor).withColumn("rank", midrank(block, "length")).withColumn("ties", F.count("*").over(W.partitionBy(*block, "length")))
 
 
-def conover(results: DataFrame, by: list[str]) -> DataFrame:
-    """Post-hoc t of rank sums for all pairs of conditions, with degrees of freedom."""
-    ranked = _block_ranks(results, by)
-    per = ranked.groupBy("algorithm").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("rank") * F.col("rank")).alias("a"))
-    every = W.partitionBy()  # a row for each condition
+def conover(results: DataFrame, by: list[str], factor: tuple = ()) -> DataFrame:
+    """Post-hoc t of rank sums for all pairs of conditions of each factor, with degrees of freedom."""
+    ranked = _block_ranks(results, by, factor)
+    per = ranked.groupBy(*factor, "algorithm").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("rank") * F.col("rank")).alias("a"))
+    every = W.partitionBy(*factor)  # a row for each condition
     per = per.withColumn("k", F.count("*").over(every)).withColumn("a", F.sum("a").over(every)).withColumn("rr", F.sum(F.col("r") * F.col("r")).over(every))
-    a, b = per.select(F.col("algorithm").alias("first"), F.col("r").alias("r1"), "n", "k", "a", "rr"), per.select(F.col("algorithm").alias("second"), F.col("r").alias("r2"))
-    met = a.join(b, F.col("first") < F.col("second"))
+    a, b = per.select(*factor, F.col("algorithm").alias("first"), F.col("r").alias("r1"), "n", "k", "a", "rr"), per.select(*[F.col(c).alias(f"_{c}") for c in factor], F.col("algorithm").alias("second"), F.col("r").alias("r2"))
+    on = F.col("first") < F.col("second")
+    for c in factor:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    met = a.join(b, on)
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     df = (n - 1) * (k - 1)
-    return met.select("first", "second", (F.abs(F.col("r1") - F.col("r2")) / F.sqrt(2 * (n * F.col("a") - F.col("rr")) / df)).alias("t"), df.alias("df"))
+    return met.select(*factor, "first", "second", F.try_divide(F.abs(F.col("r1") - F.col("r2")), F.sqrt(F.try_divide(2 * (n * F.col("a") - F.col("rr")), df))).alias("t"), df.alias("df"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -196,7 +201,13 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def mcnemar(results: DataFrame) -> DataFrame:
     """Discordant counts and the continuity-corrected statistic of each pair of algorithms."""
-    rows = pairs(results, ("success",)).groupBy("first", "second").agg(F.count_if(F.col("success_1") & ~F.col("success_2")).alias("b"), F.count_if(~F.col("success_1") & F.col("success_2")).alias("c"))
+    return discordant(pairs(results, ("success",)), ["first", "second"])
+
+
+def discordant(paired: DataFrame, by: list[str], flag: str = "success") -> DataFrame:
+    """The same for pairs of rows (flag_1, flag_2) of each family; pairs with a null don't count."""
+    one, two = F.col(f"{flag}_1"), F.col(f"{flag}_2")
+    rows = paired.groupBy(*by).agg(F.count_if(one & ~two).alias("b"), F.count_if(~one & two).alias("c"))
     off = F.abs(F.col("b") - F.col("c")) - 1
     return rows.withColumn("statistic", F.when(F.col("b") + F.col("c") == 0, 0.0).otherwise(off * off / (F.col("b") + F.col("c"))))
 
@@ -245,10 +256,11 @@ def jonckheere(samples: DataFrame, group: str, value: str, by: tuple = ()) -> Da
     return sums.join(j, keys).select(*by, "j", mean.alias("mean"), var.alias("variance"), F.try_divide(F.col("j") - mean, F.sqrt(var)).alias("z"))
 
 
-def holm(tests: DataFrame, family: list[str], p: str = "p", order: tuple = (), monotone: bool = True) -> DataFrame:
-    """Step-down adjusted p: p * (m - place), at most 1, and with monotone never below that of a smaller p."""
+def holm(tests: DataFrame, family: list[str], p: str = "p", order: tuple = (), monotone: bool = True, size: Column | None = None) -> DataFrame:
+    """Step-down adjusted p: p * (m - place), at most 1, and with monotone never below that of a smaller p. m is the number of tests there
+    are, or size, where more were asked for."""
     w = W.partitionBy(*family).orderBy(p, *order)
-    m = F.count("*").over(W.partitionBy(*family))
+    m = size if size is not None else F.count("*").over(W.partitionBy(*family))
     raw = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(w) + 1))
     rows = tests.withColumn("p_holm", raw)
     return rows.withColumn("p_holm", F.max("p_holm").over(w.rowsBetween(W.unboundedPreceding, 0))) if monotone else rows

@@ -7,6 +7,7 @@ difficulty; phase 6 describes differences and spreads. Tables are small after th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,19 +27,19 @@ def _pair() -> Column:
     return F.concat_ws(" vs ", "first", "second")
 
 
-def diagnostics(results: DataFrame, deltas: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame, DataFrame]:
+def diagnostics(results: DataFrame, deltas: DataFrame, alpha: float = ALPHA, by: tuple = ("first", "second")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Normality of each algorithm's residuals in each window, shares of zero differences, and one row with `nonparametric`: whether any
     window's residuals of three or more are not normal (too many to be tested count as such), or differences are zero too often."""
     normal = sg.normality(st.residuals(results), ["algorithm", "window_size"], "residual", alpha)
-    zeros = st.zero_inflation(deltas)
+    zeros = st.zero_inflation(deltas, by)
     failed = normal.filter("n >= 3 and not coalesce(is_normal, false)").select(F.lit(True).alias("bad")).unionByName(zeros.filter(F.col("zero_share") > MOST_ZEROS).select(F.lit(True).alias("bad")))
     return normal, zeros, failed.agg((F.count("*") > 0).alias("nonparametric"))
 
 
-def paired(deltas: DataFrame, gate: DataFrame) -> DataFrame:
-    """(first, second, test, statistic, p, effect_size, effect_label, n) by signed ranks or by t, as the gate says."""
-    ranks = sg.with_p(sg.exact_signed_p(st.wilcoxon(deltas, ties=True)), "z", "z").withColumn("p", F.coalesce("p_exact", "p")).select("first", "second", F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"), F.col("effect").alias("effect_size"), st.rank_biserial_label(F.col("effect")).alias("effect_label"), "n")
-    means = sg.with_p(st.paired_t(deltas), "t", "t", "df").select("first", "second", F.lit("paired_t").alias("test"), F.col("t").alias("statistic"), "p", F.col("d").alias("effect_size"), F.col("effect").alias("effect_label"), "n")
+def paired(deltas: DataFrame, gate: DataFrame, by: tuple = ("first", "second")) -> DataFrame:
+    """(by, test, statistic, p, effect_size, effect_label, n) by signed ranks or by t, as the gate says."""
+    ranks = sg.with_p(sg.exact_signed_p(st.wilcoxon(deltas, by, ties=True)), "z", "z").withColumn("p", F.coalesce("p_exact", "p")).select(*by, F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"), F.col("effect").alias("effect_size"), st.rank_biserial_label(F.col("effect")).alias("effect_label"), "n")
+    means = sg.with_p(st.paired_t(deltas, by), "t", "t", "df").select(*by, F.lit("paired_t").alias("test"), F.col("t").alias("statistic"), "p", F.col("d").alias("effect_size"), F.col("effect").alias("effect_label"), "n")
     return ranks.crossJoin(F.broadcast(gate)).filter("nonparametric").unionByName(means.crossJoin(F.broadcast(gate)).filter("not nonparametric")).drop("nonparametric")
 
 
@@ -47,10 +48,10 @@ def _tall(rows: DataFrame, phase: int, test, comparison: Column, statistic: Colu
     return rows.select(F.lit(phase).alias("phase"), (F.lit(test) if isinstance(test, str) else test).alias("test"), comparison.alias("comparison"), statistic.cast("double").alias("statistic"), or_null(p, "double").alias("p_value"), or_null(effect, "double").alias("effect_size"), or_null(label, "string").alias("effect_label"), or_null(n, "long").alias("n"))
 
 
-def _judged(rows: DataFrame, correction: str, alpha: float) -> DataFrame:
-    """Corrected p within each test, and whether it is below alpha."""
+def _judged(rows: DataFrame, correction: str, alpha: float, size: Column | None = None) -> DataFrame:
+    """Corrected p within each test, and whether it is below alpha; size: how many tests were asked for, where that counts."""
     if correction == "holm":
-        rows = st.holm(rows.filter("p_value is not null"), ["phase", "test"], "p_value", ("comparison",), monotone=False).withColumnRenamed("p_holm", "p_corrected")
+        rows = st.holm(rows.filter("p_value is not null"), ["phase", "test"], "p_value", ("comparison",), monotone=False, size=size).withColumnRenamed("p_holm", "p_corrected")
     elif correction == "bh":
         rows = st.benjamini_hochberg(rows.filter("p_value is not null"), ["phase", "test"], "p_value", ("comparison",)).withColumnRenamed("p_bh", "p_corrected")
     else:
@@ -88,9 +89,92 @@ def stat_results(results: DataFrame, blocks: list[str] = ["subject_id", "window_
     return reduce(DataFrame.unionByName, parts)
 
 
-def optimal_windows(results: DataFrame, resamples: int = 1_000) -> DataFrame:
-    """For each algorithm the first window whose bootstrap range overlaps that of the least median, and the window of the best ratio of
+@dataclass(frozen=True)
+class Plan:
+    """What a report is asked for: pairs without and with masks (phase 2), groups of algorithms (factor, algorithms, window) held against each
+    other (3), pairs before and after optimisation at a window or at all of them, -1 (5), and predictions against their truth (6). Validity of
+    predicted paths, and best windows, are asked for flagged algorithms only."""
+
+    masking: tuple[tuple[str, str], ...] = ()
+    groups: tuple[tuple[str, tuple[str, ...], int], ...] = ()
+    optimisation: tuple[tuple[str, str, int], ...] = ()
+    degradation: tuple[tuple[str, str], ...] = ()
+    flagged: tuple[str, ...] = ()
+
+    def pairs(self) -> list[tuple[int, str, str, str, int, int, bool]]:
+        """(phase, comparison, first, second, window, place in its phase, whether one is flagged)."""
+        some = [(2, f"{a} vs {b}", a, b, -1) for a, b in self.masking]
+        some += [(5, f"{a} vs {b}" + (f" (ws={w})" if w >= 0 else ""), a, b, w) for a, b, w in self.optimisation]
+        some += [(6, f"{a} vs {b}", a, b, -1) for a, b in self.degradation]
+        return [(*x, k, x[2] in self.flagged or x[3] in self.flagged) for k, x in enumerate(some)]
+
+
+def asked_pairs(results: DataFrame, plan: Plan) -> DataFrame:
+    """(phase, comparison, place, flagged, subject_id, window_size, both lengths, successes and validities, delta) of all pairs asked for, in two
+    equi-joins; those without a common row have none. The table of pairs is the caller's list."""
+    asked = results.sparkSession.createDataFrame(plan.pairs(), "phase int, comparison string, first string, second string, at int, place int, flagged boolean")
+    valid = F.col("is_pred_path_valid") if "is_pred_path_valid" in results.columns else F.lit(None).cast("boolean")
+    side = lambda name, n: results.select(F.col("algorithm").alias(name), "subject_id", "window_size", F.col("length").alias(f"length_{n}"), F.col("success").alias(f"success_{n}"), valid.alias(f"valid_{n}"))
+    one = side("first", 1).join(F.broadcast(asked), "first").filter("at < 0 or at = window_size")
+    met = one.join(side("second", 2), ["second", "subject_id", "window_size"])
+    return met.withColumn("delta", st.relative_difference(F.col("length_1"), F.col("length_2"))).drop("at", "first", "second")
+
+
+def planned_results(results: DataFrame, plan: Plan, blocks: list[str] = ["subject_id", "window_size"], alpha: float = ALPHA) -> DataFrame:
+    """The phases for the families that a plan asks for, as stat_results gives them for all pairs. Holm counts the pairs that phase 2 was asked for, whether
+    they are there or not; Conover's tests are there for factors that Friedman's test, corrected over all factors, finds different; the
+    interaction of masks, by rank sums of differences, where there are two pairs and both have rows."""
+    spark = results.sparkSession
+    results, _ = written(results, "results")
+    rows, _ = written(asked_pairs(results, plan), "asked")
+    by = ["phase", "comparison"]
+    judged = lambda df, size=None, correction="holm": _judged(df, correction, alpha, size)
+    window = F.concat(F.lit("window "), F.col("window_size").cast("string"))
+    known = rows.filter("phase = 2") if plan.masking else st.deltas(results).withColumn("comparison", _pair()).withColumn("phase", F.lit(2))
+    normal, zeros, gate = diagnostics(results, known.select("comparison", "delta"), alpha, ("comparison",))
+    tests = rows.filter("phase in (2, 5)")
+    tested = paired(tests.select(*by, "delta"), gate, tuple(by))
+    mcnemar = sg.with_p(st.discordant(tests, by).withColumn("df", F.lit(1)), "chi2", "statistic", "df")
+    validity = sg.with_p(st.discordant(tests.filter("flagged and valid_1 is not null and valid_2 is not null"), by, "valid").withColumn("df", F.lit(1)), "chi2", "statistic", "df")
+    two = rows.filter("phase = 2").withColumn("side", F.col("place"))
+    there = two.agg((F.count_distinct("place") == 2).alias("both"))  # one row
+    crossed = sg.with_p(sg.exact_rank_sum_p(st.mann_whitney(two.crossJoin(F.broadcast(there)).filter("both"), ["phase"], "side", "delta", ties=True)), "z", "z")
+    members = spark.createDataFrame([(f, a, w) for f, names, w in plan.groups for a in names], "factor string, algorithm string, at int")
+    grouped = results.join(F.broadcast(members), "algorithm").filter("at < 0 or at = window_size")
+    friedman = sg.with_p(st.friedman(grouped, blocks, ("factor",)).withColumn("df", F.col("k") - 1), "chi2", "chi2", "df")
+    friedman, _ = written(judged(_tall(friedman, 3, "friedman", F.col("factor"), F.col("chi2"), F.col("p"), F.col("kendall_w"), n=F.col("n")), None, "bh"), "friedman")
+    found = friedman.filter("is_significant").select(F.col("comparison").alias("factor"))
+    posthoc = sg.with_p(st.conover(grouped.join(found, "factor", "left_semi"), blocks, ("factor",)), "t", "t", "df")
+    posthoc = _tall(posthoc, 3, F.concat(F.lit("conover: "), F.col("factor")), _pair(), F.col("t"), F.col("p"))
+    trend = sg.with_p(st.jonckheere(results, "window_size", "length", ("algorithm",)), "z", "z")
+    gain = st.spearman(rows.filter("phase = 5"), by, "length_1", "delta").filter("n >= 3").withColumn("df", F.col("n") - 2)
+    gain = sg.with_p(gain.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("df"), 1 - F.col("rho") * F.col("rho")))), "t", "t", "df")
+    spread = sg.with_p(st.levene(results, "algorithm", "length", ("window_size",)).filter("k >= 2").withColumn("d1", F.col("k") - 1).withColumn("d2", F.col("n") - F.col("k")), "f", "statistic", "d1", "d2")
+    described = st.descriptive(rows.filter("phase = 6"), "delta", ("comparison",))
+    of = lambda df, phase: df.filter(F.col("phase") == phase)
+    asked = F.lit(len(plan.masking))
+    parts = [
+        judged(_tall(normal.filter("n >= 3"), 1, "shapiro_wilk", F.concat(F.col("algorithm"), F.lit(" "), window), F.col("w"), F.col("p"), n=F.col("n")), None, "none"),
+        judged(_tall(zeros, 1, "zero_inflation", F.col("comparison"), F.col("zero_share")), None, "none"),
+        judged(_tall(crossed, 2, "masking_interaction", F.lit("first pair vs second pair"), F.col("u"), F.coalesce("p_exact", "p"), F.col("effect"), st.rank_biserial_label(F.col("effect")), F.col("n1") + F.col("n2")), None, "none"),
+        friedman,
+        judged(posthoc),
+        judged(_tall(trend, 4, "jonckheere", F.col("algorithm"), F.col("z"), F.col("p")), None, "none"),
+        judged(_tall(gain, 5, "spearman", F.col("comparison"), F.col("rho"), F.col("p"), n=F.col("n")), None, "bh"),
+        judged(_tall(described, 6, "degradation", F.col("comparison"), F.col("median"), effect=F.col("mean"), n=F.col("n")), None, "none"),
+        judged(_tall(spread, 6, "levene", window, F.col("statistic"), F.col("p"), n=F.col("n")), None, "none"),
+    ]
+    for phase, correction, size in ((2, "holm", asked), (5, "bh", None)):
+        parts.append(judged(_tall(of(tested, phase), phase, F.col("test"), F.col("comparison"), F.col("statistic"), F.col("p"), F.col("effect_size"), F.col("effect_label"), F.col("n")), size, correction))
+        parts.append(judged(_tall(of(mcnemar, phase), phase, "mcnemar", F.col("comparison"), F.col("statistic"), F.col("p"), n=F.col("b") + F.col("c")), size, correction))
+        parts.append(judged(_tall(of(validity, phase), phase, "mcnemar_validity", F.col("comparison"), F.col("statistic"), F.col("p"), n=F.col("b") + F.col("c")), None, correction))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def optimal_windows(results: DataFrame, resamples: int = 1_000, flagged: tuple[str, ...] | None = None) -> DataFrame:
+    """For each algorithm (or the flagged ones) the first window whose bootstrap range overlaps that of the least median, and the window of the best ratio of
     changes, with rates and counts."""
+    results = results if flagged is None else results.filter(F.col("algorithm").isin(*flagged))
     medians = st.bootstrap_medians(results, ["algorithm", "window_size"], resamples)
     chosen = st.first_overlapping(medians).join(medians, ["algorithm", "window_size"])
     best = st.best_windows(results).select("algorithm", F.col("window_size").alias("eta_window"), F.col("ratio").alias("eta"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galewise.operators import significance as sg
 from galewise.operators import statistics as st
+from galewise.plans import report
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
 
@@ -249,3 +250,36 @@ def mcnemar_p(spark, sf_dir):
 @query()
 def normality_by_window(spark, sf_dir):
     return rounded(sg.normality(st.residuals(tb.runs(spark, sf_dir)), ["algorithm", "window_size"], "residual"))
+
+
+#: What the query's report is asked for.
+PLAN = report.Plan(
+    masking=(("click", "error"), ("purchase", "view")),
+    groups=(("three at 3", ("click", "error", "view"), 3), ("four", ("click", "error", "purchase", "signup"), -1)),
+    optimisation=(("click", "purchase", 2), ("error", "signup", -1), ("click", "none", -1)),
+    degradation=(("signup", "view"), ("click", "view")),
+    flagged=("view", "signup"),
+)
+
+
+@query(f"""with {PAIRS}, asked(phase, comparison, a, b, ws, place, flagged) as (values (2, 'click vs error', 'click', 'error', -1, 0, false), (2, 'purchase vs view', 'purchase', 'view', -1, 1, true), (5, 'click vs purchase (ws=2)', 'click', 'purchase', 2, 2, false), (5, 'error vs signup', 'error', 'signup', -1, 3, true), (6, 'signup vs view', 'signup', 'view', -1, 4, true), (6, 'click vs view', 'click', 'view', -1, 5, true)),
+r as (select asked.*, d.* from asked join deltas d on d.first = a and d.second = b and (ws < 0 or ws = window_size)),
+mc as (select phase, comparison, 'mcnemar' as test, count(*) filter (where success_1 and not success_2) as b, count(*) filter (where not success_1 and success_2) as c from r where phase in (2, 5) group by all
+  union all select phase, comparison, 'mcnemar_validity', count(*) filter (where length_1 > 45 and not length_2 > 45), count(*) filter (where not length_1 > 45 and length_2 > 45) from r where phase in (2, 5) and flagged group by all),
+g(factor, algorithm, ws) as (values ('three at 3', 'click', 3), ('three at 3', 'error', 3), ('three at 3', 'view', 3), ('four', 'click', -1), ('four', 'error', -1), ('four', 'purchase', -1), ('four', 'signup', -1)),
+x as (select factor, runs.* from g join runs on g.algorithm = runs.algorithm and (ws < 0 or ws = window_size)),
+full_x as (select x.* from x join (select factor, subject_id, window_size from x group by all having count(*) = case factor when 'four' then 4 else 3 end) y using (factor, subject_id, window_size)),
+rk as (select *, rank() over w + (count(*) over (partition by factor, subject_id, window_size, length) - 1) / 2.0 as rk, count(*) over (partition by factor, subject_id, window_size, length) as ties from full_x window w as (partition by factor, subject_id, window_size order by length)),
+fr as (select factor, count(*) as k, max(n)::double as n, sum(rr * rr) as rr, sum(tied) as tied from (select factor, algorithm, sum(rk) as rr, count(*) as n, sum(ties * ties - 1) as tied from rk group by all) group by all),
+sp as (select phase, comparison, rank() over a + (count(*) over (partition by comparison, length_1) - 1) / 2.0 as rx, rank() over b + (count(*) over (partition by comparison, delta) - 1) / 2.0 as ry from r where phase = 5 window a as (partition by comparison order by length_1), b as (partition by comparison order by delta)),
+mw as (select *, rank() over (order by delta) + (count(*) over (partition by delta) - 1) / 2.0 as rk from r where phase = 2)
+select phase::integer as phase, test, comparison, round(case when b + c = 0 then 0 else (abs(b - c) - 1) ** 2 / (b + c) end, 6) as statistic, (b + c)::bigint as n from mc
+union all select 3, 'friedman', factor, round((12 / (n * k * (k + 1)) * rr - 3 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))), 6), n::bigint from fr
+union all select phase, 'spearman', comparison, round(corr(rx, ry), 6), count(*) from sp group by all
+union all select phase, 'degradation', comparison, round(median(delta), 6), count(*) from r where phase = 6 group by all
+union all select 2, 'masking_interaction', 'first pair vs second pair', round(sum(rk) filter (where place = 0) - count(*) filter (where place = 0) * (count(*) filter (where place = 0) + 1) / 2, 6), count(*) from mw""")
+def planned_report(spark, sf_dir):
+    """Statistics and counts of the families that a report is asked for; those whose test phase 1 chooses are left to tests."""
+    runs = tb.runs(spark, sf_dir).withColumn("is_pred_path_valid", F.col("length") > 45)
+    rows = report.planned_results(runs, PLAN).filter(F.col("test").isin("mcnemar", "mcnemar_validity", "friedman", "spearman", "degradation", "masking_interaction"))
+    return rounded(rows.select("phase", "test", "comparison", "statistic", "n"))
