@@ -44,8 +44,8 @@ PATTERNS = (
 #: Rules are sent to all tasks up to so many bytes; urls of one key that stand in one task of a join else.
 BROADCAST_BYTES, ROWS_PER_SALT = 8 << 20, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Signs that part tokens; and the same but for the star, behind which a token may go on.
-_SIGN, _BOUND = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", "[\\x00-\\x29\\x2B-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
+#: Signs that expressions have quoted; and those that part tokens, but for the star, behind which a token may go on.
+_QUOTED, _BOUND = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "[\\x00-\\x29\\x2B-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 _TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _EDGE = "(?:[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]|^|$)"
 
@@ -74,7 +74,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     given = given.withColumn("prefix", ~F.col("rule").rlike("[*^|]"))
     host = _low(F.substring_index("rule", "/", 1))
     path = F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")
-    quoted = lambda c: F.regexp_replace(c, f"({_SIGN})", "\\\\$1")
+    quoted = lambda c: F.regexp_replace(c, f"({_QUOTED})", "\\\\$1")
     prefix = F.concat(F.lit("^(?:[^/]*\\.)?"), quoted(host), F.when(path == "", F.lit("(?:/|$)")).otherwise(quoted(path)))
     pattern = quoted(_low(F.col("rule")))
     pattern = F.regexp_replace(pattern, r"^\\\|\\\|", r"^[^/?#]*://(?:[^/?#]*\\.)?")
