@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galewise.llm.common import drop_path, native_word_count, written
+from galewise.operators.ranks import with_before
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -38,17 +39,12 @@ def targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     target exceeds cap times its source's size; what is over goes to the others by weight. In closed form: sources in the order
     of cap * size / weight fill up one after the other, and the level of the rest is the highest that this order gives."""
     per = cells.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    per = per.withColumn("full", cap * F.col("source_size"))
-    by_fill = W.orderBy(F.col("full") / F.col("weight"), "key")
-    every = W.partitionBy()
-    budget = share * F.sum("source_size").over(every)
-    before = F.sum("full").over(by_fill.rowsBetween(W.unboundedPreceding, -1))
-    rest = F.sum("weight").over(by_fill.rowsBetween(0, W.unboundedFollowing))
-    per = per.withColumn("level", (budget - F.coalesce(before, F.lit(0.0))) / rest)
-    per = per.withColumn("target", F.least(F.col("full"), F.col("weight") * F.max("level").over(every)))
-    return per.select("key", "source_size", "docs", "target")
+    per = with_before(per.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1)), [], ["none", "source"], {"one": "place"})
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).withColumn("full", cap * F.col("source_size"))
+    filled = with_before(per.withColumn("fill", F.col("full") / F.col("weight")), [], ["fill", "key"], {"full": "before", "weight": "lighter"})
+    sums = per.agg((share * F.sum("source_size")).alias("budget"), F.sum("weight").alias("weights"))  # one row, as the next
+    levels = filled.crossJoin(F.broadcast(sums)).agg(F.max(F.try_divide(F.col("budget") - F.col("before"), F.col("weights") - F.col("lighter"))).alias("level"))
+    return per.crossJoin(F.broadcast(levels)).select("key", "source_size", "docs", F.least(F.col("full"), F.col("weight") * F.col("level")).alias("target"))
 
 
 def rate(cap: float) -> Column:

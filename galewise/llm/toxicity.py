@@ -17,7 +17,6 @@ import math
 import re
 import unicodedata
 import zlib
-from array import array
 from itertools import groupby
 
 import numpy as np
@@ -40,7 +39,7 @@ SIGNS = {
     "а": "a", "с": "c", "е": "e", "і": "i", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ο": "o", "α": "a", "ε": "e", "ι": "i",
 }
 _CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], dtype=np.int64)
-_SUSPECT = re.compile(r"(?=[^a-z]*[0-9@$!|+(<€£¡*#%]{3})[0-9@$!|+(<€£¡*#%.\-_]{3,24}$|(?=.*[a-z])(?:.*[0-9@$!|+(<€£¡*#%асеіорѕтухоαει]|.*([a-z])\1\1|(?:[a-z][.\-_*~/\\])+[a-z]$)")
+_SUSPECT = re.compile(r"(?=[^a-z]*[0-9@$!|+(<€£¡*#%]{3})[0-9@$!|+(<€£¡*#%.\-_]{3,}$|(?=.*[a-z])(?:.*[0-9@$!|+(<€£¡*#%асеіорѕтухоαει]|.*([a-z])\1\1|(?:[a-z][.\-_*~/\\])+[a-z]$)")
 _EDGE = " .,;:?\"'()[]{}"
 _JUNK_END = re.compile(r"(?:[%&*#$]{3,}|!{2,})$")
 _DOUBLE = re.compile(r"(.)\1")
@@ -101,9 +100,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def restore(word: str, model: CharModel) -> str:
     """The likeliest letters behind a word: the cheapest way through its lattice, with the model's cost of each letter and of the end."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ways in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, text) in beams.items():
             for letters, price in ways:
                 x, y, total = a, b, cost + price
@@ -112,9 +111,18 @@ def restore(word: str, model: CharModel) -> str:
                     total -= model.rows[x][y][z]
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (text, letters) if letters else text)
         beams = after
-    return min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), default=(0.0, ""))[1]
+    return "".join(_unrolled(min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), key=lambda x: x[0])[1]))
+
+
+def _unrolled(last: tuple | None) -> list[str]:
+    """What a way has gone through, from its last step back, in order."""
+    found = []
+    while last is not None:
+        last, own = last
+        found.append(own)
+    return found[::-1]
 
 
 def drawn(word: str) -> str:
@@ -122,8 +130,8 @@ def drawn(word: str) -> str:
     return "".join(letters for ways in lattice(word) for letters, _ in ways[:1])
 
 
-#: The cost of a word's end in a spaced run, how much dearer than the best a way to cut it may be, and letters of a word in it.
-BREAK, SLACK, LONGEST = 1.5, 5.5, 24
+#: The cost of a word's end in a spaced run, and how much dearer than the best a way to cut it may be.
+BREAK, SLACK = 1.5, 5.5
 
 
 def restore_run(run: str, model: CharModel, price: float = BREAK) -> list[str]:
@@ -155,34 +163,44 @@ def restore_run(run: str, model: CharModel, price: float = BREAK) -> list[str]:
                         after[state] = (sum_, (before, kept) if kept else before)
         beams = after
     _, last = min(((cost - model.rows[a][b][0], text) for (a, b), (cost, text) in beams.items()), key=lambda x: x[0])
-    letters = []
-    while last is not None:
-        last, own = last
-        letters.append(own)
-    return "".join(reversed(letters)).split()
+    return "".join(_unrolled(last)).split()
 
 
 def words_of_run(letters: str, model: CharModel, slack: float = SLACK) -> set[str]:
     """All words of the ways to cut a spaced run's letters that cost at most `slack` more than the best: the trigrams alone are too
-    weak to find the one right way."""
+    weak to find the one right way. Words may be of any length: what a word costs goes by its last two letters, so that the best ways to and
+    from each place take linear time, and a word is drawn out only while some way through it is cheap enough."""
     codes = [ord(unicodedata.normalize("NFD", c)[0]) - 96 for c in letters]
-    n, rows, costs = len(codes), model.rows, []
-    forth, back = [0.0] + [math.inf] * n, [math.inf] * n + [0.0]
+    n, rows = len(codes), model.rows
+    pair = lambda i: rows[codes[i - 2]][codes[i - 1]]  # behind a word's second letter or a later one
+    first = lambda i: rows[0][codes[i - 1]]  # behind its first letter
+    begin = [(BREAK if i else 0.0) - rows[0][0][c] for i, c in enumerate(codes)]
+    # least costs of the ways to a place: all words ended, one letter into a word, more letters into it
+    forth, one, more = [0.0] + [math.inf] * n, [math.inf] * (n + 1), [math.inf] * (n + 1)
+    for i in range(1, n + 1):
+        one[i] = forth[i - 1] + begin[i - 1]
+        if i > 1:
+            more[i] = min(one[i - 1] - first(i - 1)[codes[i - 1]], more[i - 1] - pair(i - 1)[codes[i - 1]] if i > 2 else math.inf)
+        forth[i] = min(one[i] - first(i)[0], more[i] - pair(i)[0] if i > 1 else math.inf)
+    # and of the ways on from there
+    back, from_one, from_more = [0.0] * (n + 1), [math.inf] * (n + 1), [math.inf] * (n + 1)
+    for i in range(n, 0, -1):
+        on = lambda row: -row[codes[i]] + from_more[i + 1] if i < n else math.inf  # noqa: B023, E731
+        from_one[i] = min(back[i] - first(i)[0], on(first(i)))
+        from_more[i] = min(back[i] - pair(i)[0], on(pair(i))) if i > 1 else math.inf
+        back[i - 1] = begin[i - 1] + from_one[i]
+    most, found = forth[n] + slack + 1e-9, set()
     for start in range(n):
-        a = b = 0
-        total = BREAK if start else 0.0
-        costs.append(array("d"))
-        for end in range(start + 1, min(n, start + LONGEST) + 1):
-            z = codes[end - 1]
-            total -= rows[a][b][z]
-            a, b = b, z
-            own = total - rows[a][b][0]
-            costs[start].append(own)
-            forth[end] = min(forth[end], forth[start] + own)
-    for start in reversed(range(n)):
-        back[start] = min(own + back[start + k] for k, own in enumerate(costs[start], 1))
-    most = forth[n] + slack
-    return {letters[start : start + k] for start in range(n) for k, own in enumerate(costs[start], 1) if forth[start] + own + back[start + k] <= most}
+        total, at = forth[start] + begin[start], start + 1
+        while total + (from_one if at == start + 1 else from_more)[at] <= most:
+            row = first(at) if at == start + 1 else pair(at)
+            if total - row[0] + back[at] <= most:
+                found.add(letters[start:at])
+            if at == n:
+                break
+            total -= row[codes[at]]
+            at += 1
+    return found
 
 
 def bare(word: str) -> str:
