@@ -67,9 +67,9 @@ def static_routes(spark, sf_dir):
     return routing.static_routes(pairs, _scenes(spark, sf_dir), routes.Rules()).select("scene", "name", F.size("path").alias("n"), F.round("length", 3).alias("length"))
 
 
-@query(f"with {tb.POINTS}, s as (select (id // 50)::varchar as scene, id from points), m as (select * from (values (1), (3)) t(w)), d as (select * from (values ('A->B'), ('B->A')) t(direction)) select distinct scene || '|' || direction || '|' || w || '|master' as run_id, scene, direction, w as window_size from s, m, d")
+@query(f"with {tb.POINTS}, s as (select (id // 50)::varchar as scene, id from points), m as (select * from range(1, 8) t(w)), d as (select * from (values ('A->B'), ('B->A')) t(direction)) select distinct scene || '|' || direction || '|' || w || '|master' as run_id, scene, direction, w as window_size from s, m, d")
 def experiment_grid(spark, sf_dir):
-    return routing.experiments(_scenarios(spark, sf_dir), (1, 3), ("master",)).select("run_id", "scene", "direction", "window_size")
+    return routing.experiments(_scenarios(spark, sf_dir), tuple(range(1, 8)), ("master",)).select("run_id", "scene", "direction", "window_size")
 
 
 @query(f"with {tb.POINTS}, {tb.paths_sql()} select path_id, 'LINESTRING (' || string_agg(x::bigint || '.0 ' || y::bigint || '.0', ', ' order by i) || ')' as wkt, count(*) as n_back, sum(x) as sum_x from path_points group by 1")
