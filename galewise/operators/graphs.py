@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.kernels import routes, shapes
+from galewise.kernels import shapes
+from galewise.operators.ranks import with_before
 from galewise.sources.shared import drop_path, written
 
 
@@ -111,14 +112,44 @@ def delaunay(points: DataFrame) -> DataFrame:
     return _per_graph(points, "graph_id long, i long, j long", run)
 
 
-def clustered(points: DataFrame, reach: float) -> DataFrame:
-    """(graph_id, node_id, x, y): centres of greedy clusters, numbered by (x, y)."""
-
-    def run(key, own):
-        centres = sorted(map(tuple, shapes.clusters(own[["x", "y"]].to_numpy(), reach).tolist()))
-        return pd.DataFrame([(key[0], i, x, y) for i, (x, y) in enumerate(centres)], columns=["graph_id", "node_id", "x", "y"])
-
-    return _per_graph(points, "graph_id long, node_id long, x double, y double", run)
+def clustered(points: DataFrame, reach: float, most_rounds: int = 10_000) -> DataFrame:
+    """(graph_id, node_id, x, y, n): the centres of first-come clusters, numbered by (x, y), and how many places each has. In the order of (x, y) each
+    place that isn't taken yet takes those within reach that aren't; points on one place are one.
+
+    The places that take are those no smaller one of which is near: they are found in rounds, in which a place is settled once all smaller ones
+    near it are. Cells are so small that places of one are near each other, so that in each only the first one that is left can take, and
+    every place meets the first ones of 25 cells at most. Rounds are as many as the longest chain of places that wait for each other."""
+    spark = points.sparkSession
+    cell = reach / 2**0.5
+    own = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").select("graph_id", "x", "y").distinct()
+    own, _ = written(own.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)), "places")
+    key, place = ["graph_id", "cx", "cy"], F.struct("x", "y")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    spread = lambda df: df.withColumn("_o", F.explode(around)).withColumn("cx", F.col("cx") + F.col("_o.i")).withColumn("cy", F.col("cy") + F.col("_o.j")).drop("_o")
+    near = F.hypot(F.col("x") - F.col("r.x"), F.col("y") - F.col("r.y")) <= reach
+    left, path, centres = own, None, None
+    for _ in range(most_rounds):
+        if not left.head(1):
+            break
+        firsts = left.groupBy(*key).agg(F.min(place).alias("r"))
+        met = left.join(spread(firsts), key).filter(near).select("graph_id", "x", "y", "r")
+        free = met.groupBy("graph_id", "r").agg(F.bool_or(place < F.col("r")).alias("waits")).filter("not waits").drop("waits")
+        free, _ = written(free, "centres")
+        centres = free if centres is None else centres.unionByName(free)
+        taken = left.join(spread(free.withColumn("cx", F.floor(F.col("r.x") / cell)).withColumn("cy", F.floor(F.col("r.y") / cell))), key).filter(near).select("graph_id", "x", "y").distinct()
+        left, new = written(left.join(taken, ["graph_id", "x", "y"], "left_anti"), "left")
+        if path:
+            drop_path(spark, path)
+        path = new
+    else:
+        raise RuntimeError(f"clusters are not found after {most_rounds} rounds")
+    if centres is None:
+        return own.select("graph_id", F.lit(0).cast("long").alias("node_id"), "x", "y", F.lit(0).cast("long").alias("n"))
+    centres = centres.withColumn("cx", F.floor(F.col("r.x") / cell)).withColumn("cy", F.floor(F.col("r.y") / cell))
+    owner = own.join(spread(centres), key).filter(near).groupBy("graph_id", "x", "y").agg(F.min("r").alias("r"))
+    means = owner.groupBy("graph_id", "r").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    rows = with_before(means.select("graph_id", "x", "y", "n", F.lit(1).alias("_one"), F.col("r.x").alias("_rx"), F.col("r.y").alias("_ry")), ["graph_id"], ["x", "y", "_rx", "_ry"], {"_one": "node_id"})
+    return rows.select("graph_id", F.col("node_id").cast("long").alias("node_id"), "x", "y", "n")
 
 
 def hulls(points: DataFrame, kind: str = "convex", radius: float = 0.0) -> DataFrame:

@@ -111,9 +111,15 @@ def candidate_edges(spark, sf_dir):
     return edges.select("i", "j").union(tri).distinct()
 
 
-@query()
+@query("""with recursive pts as (select graph_id, x, y, row_number() over (partition by graph_id order by x, y) as n from (select distinct vec_id // 50 as graph_id, round(embedding[1]::double * 1000000) as x, round(embedding[2]::double * 1000000) as y from embeddings)),
+f(graph_id, n, cs) as (select distinct graph_id, 0::bigint, []::struct(x double, y double)[] from pts
+ union all select f.graph_id, p.n, case when len(list_filter(cs, lambda c: sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2) <= 40000)) = 0 then list_append(cs, {'x': p.x, 'y': p.y}) else cs end from f join pts p on p.graph_id = f.graph_id and p.n = f.n + 1),
+last as (select graph_id, arg_max(cs, n) as cs from f group by 1),
+own as (select p.graph_id, p.x, p.y, list_filter(cs, lambda c: sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2) <= 40000)[1] as c from pts p join last using (graph_id)),
+m as (select graph_id, c, avg(x) as x, avg(y) as y, count(*) as n from own group by all)
+select graph_id, row_number() over (partition by graph_id order by x, y) - 1 as node_id, round(x, 6) as x, round(y, 6) as y, n from m""")
 def clustered_vertices(spark, sf_dir):
-    return gr.clustered(_cells(spark, sf_dir), 40_000.0)
+    return rounded(gr.clustered(_cells(spark, sf_dir), 40_000.0))
 
 
 @query()
