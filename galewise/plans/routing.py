@@ -6,6 +6,7 @@ executor loses single runs only.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pyarrow as pa
@@ -38,15 +39,14 @@ def fly(runs: DataFrame, scenes: DataFrame, rules: routes.Rules = routes.Rules()
     """Results of all runs. config: master, greedy, smooth, or corrected (a step's end is led out of the next key's obstacles). With masking, only obstacles in the box ahead are known; mode predictive knows
     the current ones and takes them to stay. A run that fails with an error becomes a row with the error and no path."""
     met = runs.join(scenes, "scene").select("run_id", "scene", "window_size", "direction", "config", "sx", "sy", "ex", "ey", "keys")
-    met = met.repartition(max(1, met.sparkSession.sparkContext.defaultParallelism * 4), "run_id")  # runs differ in cost by far
+    met = met.repartition(max(1, met.sparkSession.sparkContext.defaultParallelism * 4), F.xxhash64("scene")).sortWithinPartitions("scene")  # the runs of a scene share what is prepared for it; by a hash, as a join's own partitions would be made fewer
 
-    def one(row: dict) -> dict:
+    def one(row: dict, keys: list[routes.Obstacles], ready) -> dict:
         out = {k: row[k] for k in ("run_id", "scene", "window_size", "direction", "config")} | {"path": [], "length": 0.0, "success": False, "success_intermediate": False, "is_pred_path_valid": None, "num_segments": 0, "error": None}
-        keys = [routes.Obstacles([[(p["x"], p["y"]) for p in ring] for ring in rings]) for rings in row["keys"]]
         own = routes.Rules(row["window_size"], rules.step, rules.buffer, rules.tolerance, rules.neighbours, row["config"] if row["config"] in routes.TUNERS else None, row["config"] == "corrected")
         start, end = (row["sx"], row["sy"]), (row["ex"], row["ey"])
         try:
-            flight = routes.fly(start, end, keys, own) if masking is None else fly_masked(start, end, keys, own, masking, mode, side)
+            flight = routes.fly(start, end, keys, own, ready()) if masking is None else fly_masked(start, end, keys, own, masking, mode, side)
         except (ValueError, ArithmeticError, IndexError) as e:
             return out | {"error": f"{type(e).__name__}: {e}"}
         whole = [p for s in flight.segments for p in s]
@@ -54,9 +54,14 @@ def fly(runs: DataFrame, scenes: DataFrame, rules: routes.Rules = routes.Rules()
         return out | {"path": [[{"x": x, "y": y} for x, y in s] for s in flight.segments], "length": routes.length(whole), "success": flight.success, "success_intermediate": flight.intermediate, "is_pred_path_valid": valid, "num_segments": flight.t}
 
     def run(batches):
+        scene, keys, ready = None, [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([one(row)], schema=_arrow())
+            names, at = batch.column("scene").to_pylist(), batch.column("keys")
+            for k, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
+                if names[k] != scene or ready is None:
+                    scene, keys = names[k], [routes.Obstacles([[(p["x"], p["y"]) for p in ring] for ring in rings]) for rings in at[k].as_py()]
+                    ready = functools.cache(functools.partial(routes.prepared, keys, rules))
+                yield pa.RecordBatch.from_pylist([one(row, keys, ready)], schema=_arrow())
 
     return met.mapInArrow(run, RESULT)
 

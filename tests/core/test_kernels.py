@@ -127,3 +127,20 @@ def test_regions_and_rotation():
     assert cells.rotated(np.eye(3), 180).tolist() == np.eye(3).tolist()
     assert cells.bilinear(np.array([[0.0, 2.0]]), np.array([0.0]), np.array([0.5]))[0] == pytest.approx(1.0)
     assert math.isclose(cells.rotated(np.ones((4, 4)), 90).sum(), 16)
+
+
+def test_runs_of_a_scene_share_what_is_prepared_for_it():
+    boxes = [[(x, -10_000.0), (x + 20_000, -10_000.0), (x + 20_000, 10_000.0), (x, 10_000.0)] for x in (40_000.0, 90_000.0)]
+    keys = [routes.Obstacles(boxes)] * 6
+    ready = routes.prepared(keys, routes.Rules())
+    for rules in (routes.Rules(w, tuner=t, correct=c) for w in (1, 3) for t in (None, "greedy", "smooth") for c in (False, True)):
+        for ends in (((0, 0), (150_000, 0)), ((150_000, 0), (0, 0))):
+            assert routes.fly(*ends, keys, rules, ready) == routes.fly(*ends, keys, rules)
+
+
+def test_triangles_are_tried_together():
+    points = np.random.default_rng(5).integers(0, 1000, (60, 2)).astype(float)
+    t = points[np.array([[0, 1, 2], [3, 4, 5], [6, 7, 8]])]
+    inside = lambda a, b, c, d: np.linalg.det([[*(v - d), ((v - d) ** 2).sum()] for v in (a, b, c)]) * np.sign(shapes.cross(a, b, c)) > 0
+    for d in points[9:]:
+        assert shapes._in_circles(t, d).tolist() == [bool(inside(*own, d)) for own in t]
