@@ -10,6 +10,7 @@ Searches go down the tree in rounds, all queries side by side: a node that is sp
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -141,9 +142,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     return met.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("d", "id"))).filter(F.col("place") <= k)
 
 
-def touched(rows: DataFrame, splits: DataFrame, frame: Frame, grow: float = 0.0) -> DataFrame:
+def touched(rows: DataFrame, splits: DataFrame, frame: Frame, grow: float = 0.0, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (with bounds xmin..ymax, grown) for each cell (d, px, py) of the tree that they touch: the cells below nodes of `splits` (d, px, py)
-    that aren't split themselves, with points or without. Rows without bounds touch none."""
+    that aren't split themselves, with points or without. Rows without bounds touch none. `keep` filters the rows of each level, so that a long
+    line goes down only where it runs, and not over all of its bounds."""
     low, high = frame.numbers(F.col("xmin") - grow, F.col("ymin") - grow), frame.numbers(F.col("xmax") + grow, F.col("ymax") + grow)
     bounded = rows.filter(F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymax").isNotNull())
     names = ["_x0", "_y0", "_x1", "_y1"]
@@ -158,10 +160,24 @@ def touched(rows: DataFrame, splits: DataFrame, frame: Frame, grow: float = 0.0)
         span = lambda lo, hi, p, deep=deep: F.sequence(F.greatest(_prefix(lo, deep), F.shiftleft(p, STEP)), F.least(_prefix(hi, deep), F.shiftleft(p, STEP) + (1 << STEP) - 1))
         down = known.filter("_split").drop("_split").withColumn("_px", F.explode(span("_x0", "_x1", "_nx"))).withColumn("_py", F.explode(span("_y0", "_y1", "_ny")))
         front = down.select(*rows.columns, *names, F.lit(deep).alias("_depth"), F.col("_px").alias("_nx"), F.col("_py").alias("_ny"))
+        front = keep(front) if keep else front
     last = front.select(*rows.columns, *NODE)
     return last if done is None else done.unionByName(last)
 
 
+def leaf_depths(splits: DataFrame) -> list[int]:
+    """Depths that cells below `splits` can have."""
+    return sorted({r[0] + STEP for r in splits.select("_depth").distinct().collect()}) or [0]  # BITS / STEP at most
+
+
+def may_hold(rows: DataFrame, depths: list[int], frame: Frame, x: Column, y: Column) -> DataFrame:
+    """rows for each cell of these depths that a place of theirs is in: one of them is the leaf, the others are no cells."""
+    ix, iy = frame.numbers(x, y)
+    at = rows.withColumn("_ix", ix).withColumn("_iy", iy)
+    names = F.array(*[F.struct(F.lit(d).alias("_depth"), _prefix("_ix", d).alias("_nx"), _prefix("_iy", d).alias("_ny")) for d in depths])
+    return at.withColumn("_at", F.explode(names)).select(*rows.columns, "_at.*")
+
+
 def box_of(frame: Frame) -> list[Column]:
     """Bounds of a cell (d, px, py), a little grown; those at the frame's ends hold all beyond and have none."""
     size, last = F.lit(frame.side) / F.pow(F.lit(2.0), F.col("_depth")), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_depth")) - 1
@@ -174,6 +190,11 @@ def box_of(frame: Frame) -> list[Column]:
 
 def first_common(a: str, b: str, frame: Frame, grow: float = 0.0) -> Column:
     """Whether this is the cell of the lower left corner of the two bounds' intersection."""
-    at = frame.numbers(*[F.greatest(F.col(f"{a}.{k}min") - grow, F.col(f"{b}.{k}min") - grow) for k in ("x", "y")])
+    return in_cell(a, frame, *[F.greatest(F.col(f"{a}.{k}min") - grow, F.col(f"{b}.{k}min") - grow) for k in ("x", "y")])
+
+
+def in_cell(a: str, frame: Frame, x: Column, y: Column) -> Column:
+    """Whether a place is in the cell of a row."""
+    at = frame.numbers(x, y)
     cell = lambda v: F.call_function("shiftright", v, BITS - F.col(f"{a}._depth"))
     return (cell(at[0]) == F.col(f"{a}._nx")) & (cell(at[1]) == F.col(f"{a}._ny"))

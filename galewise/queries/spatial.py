@@ -42,8 +42,7 @@ def outside_prohibited(spark, sf_dir):
 
 @query(f"{HITS} select seg_id, obstacle_id, t_idx from hits")
 def segment_hits(spark, sf_dir):
-    b = tb.boxes(spark, sf_dir)
-    return sp.segment_hits(tb.segments(spark, sf_dir), b, []).join(b.select("obstacle_id", "t_idx"), "obstacle_id").select("seg_id", "obstacle_id", "t_idx")
+    return sp.segment_hits(tb.segments(spark, sf_dir), tb.boxes(spark, sf_dir), [], carry=["t_idx"]).select("seg_id", "obstacle_id", "t_idx")
 
 
 @query(f"{HITS} select s.seg_id from segments s anti join hits h on s.seg_id = h.seg_id")
@@ -55,7 +54,7 @@ def valid_segments(spark, sf_dir):
 def segment_validation(spark, sf_dir):
     """Segment i against the obstacles of key i."""
     s = tb.segments(spark, sf_dir).withColumn("t_idx", (F.col("seg_id") % 5).cast("int"))
-    bad = sp.segment_hits(s, tb.boxes(spark, sf_dir), ["t_idx"]).select("seg_id").distinct().withColumn("bad", F.lit(True))
+    bad = sp.blocked_segments(s, tb.boxes(spark, sf_dir), ["t_idx"], ["seg_id"]).select("seg_id").withColumn("bad", F.lit(True))
     return s.join(bad, "seg_id", "left").select(F.floor(F.col("seg_id") / 5).alias("path_id"), (F.col("seg_id") % 5).alias("seg_idx"), F.col("bad").isNull().alias("is_valid"))
 
 
@@ -98,10 +97,7 @@ VIS = f"{BASE}, vx as (select * from points), d as (select a.id as i, b.id as j,
 @query(f"{VIS} select i, j, round(sqrt((ax - bx) ** 2 + (ay - yb) ** 2), 5) as w from d anti join bad using (i, j)")
 def visibility_graph(spark, sf_dir):
     """All pairs of the vertices of each scene (a label stands for one) that see each other."""
-    p = tb.points(spark, sf_dir)
-    a, b = p.select("label", F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select("label", F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = a.join(b, "label").filter("i < j")
-    seen = sp.valid_segments(pairs, tb.boxes(spark, sf_dir).filter("t_idx = 1").drop("t_idx"), [], ["i", "j"])
+    seen = sp.visible_pairs(tb.points(spark, sf_dir), tb.boxes(spark, sf_dir).filter("t_idx = 1").drop("t_idx"), "label")
     return rounded(seen.select("i", "j", v.distance(v.point(F.col("ax"), F.col("ay")), v.point(F.col("bx"), F.col("by"))).alias("w")), 5)
 
 

@@ -115,3 +115,35 @@ def test_lines_go_to_the_cells_they_cross(spark):
     line = sp.segment_bounds(spark.createDataFrame([(1, 0.0, 0.0, 1e3, 1e3)], "seg_id int, ax double, ay double, bx double, by double"))
     cells = qt.touched(line, splits, frame)
     assert sp.crossed(cells, frame).count() * 3 < cells.count()
+
+
+def test_blocked_segments_and_visible_pairs_are_those_that_brute_force_finds(spark):
+    rng = random.Random(8)
+    boxes = [(k, k % 2, x, y, x + 6.0, y + 4.0) for k, (x, y) in enumerate((float(rng.randrange(0, 120)), float(rng.randrange(0, 120))) for _ in range(60))]
+    lines = [(i, i % 2, *(float(rng.randrange(-20, 150)) for _ in range(4))) for i in range(300)] + [(300, 0, None, 1.0, 2.0, 2.0), (301, 0, 5.0, 5.0, 5.0, 5.0)]
+
+    def meets(ax, ay, bx, by, x):
+        if max(ax, bx) < x[2] or min(ax, bx) > x[4] or max(ay, by) < x[3] or min(ay, by) > x[5]:
+            return False
+        sides = [(bx - ax) * (cy - ay) - (by - ay) * (cx - ax) for cx in (x[2], x[4]) for cy in (x[3], x[5])]
+        return min(sides) <= 0 <= max(sides)
+
+    b = spark.createDataFrame(boxes, OBSTACLES)
+    s = spark.createDataFrame(lines, "seg_id long, t_idx int, ax double, ay double, bx double, by double")
+    for bound in (20, 500):
+        got = sorted(r["seg_id"] for r in sp.blocked_segments(s, b, ["t_idx"], ["seg_id"], bound).collect())
+        assert got == [line[0] for line in lines if line[2] is not None and any(x[1] == line[1] and meets(*line[2:], x) for x in boxes)] and 50 < len(got) < 290
+    points = [(i, i % 3, float(rng.randrange(0, 150)), float(rng.randrange(0, 150))) for i in range(90)]
+    seen = sp.visible_pairs(spark.createDataFrame(points, "id long, label int, x double, y double"), b.drop("t_idx"), "label")
+    want = [(p[0], q[0]) for p in points for q in points if p[0] < q[0] and p[1] == q[1] and not any(meets(*p[2:], *q[2:], x) for x in boxes)]
+    assert sorted((r["i"], r["j"]) for r in seen.collect()) == want and len(want) > 20
+
+
+def test_pairs_of_segments_and_obstacles_are_not_held_to_be_told_apart(spark):
+    """A pair that shares many cells is made once: no aggregate of pairs is in the plan."""
+    boxes = spark.createDataFrame([(k, 0, float(k), 0.0, float(k) + 40, 40.0) for k in range(100)], OBSTACLES)
+    lines = spark.createDataFrame([(1, 0, -5.0, -5.0, 200.0, 60.0)], "seg_id long, t_idx int, ax double, ay double, bx double, by double")
+    hits = sp.segment_hits(lines, boxes, ["t_idx"], 3, carry=["xmin"])
+    assert "Aggregate" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["obstacle_id"], r["xmin"]) for r in hits.collect()]
+    assert len(got) == len(set(got)) == 100 and all(k == x for k, x in got)
