@@ -1,7 +1,7 @@
-"""Route experiments: scenes x windows x directions x configurations, each run a row of its own, so that runs are flown side by side.
+"""Route experiments: scenes x windows x directions x configurations, each run a row of its own.
 
-A scene's obstacles are packed into one row (keys in order, polygons of each) and joined to its runs; a run needs nothing else, so that a lost
-executor loses single runs only.
+A scene's obstacles are packed into one row (keys in order, polygons of each) and joined to its runs; a run needs nothing else. The runs of a
+scene are flown one after the other in one task and share what is prepared for it; scenes are flown side by side.
 """
 
 from __future__ import annotations
