@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galewise.kernels import shapes
-from galewise.operators.ranks import with_before
+from galewise.kernels import shapes, waves
+from galewise.operators.ranks import numbered, with_before
 from galewise.sources.shared import drop_path, written
 
 
@@ -52,31 +52,98 @@ def all_window_edges(valid: DataFrame, n_keys: int, size: int) -> DataFrame:
     return spread.groupBy("window", "i", "j").agg(F.count_distinct("t_idx").alias("n")).filter(F.col("n") == size).select("window", "i", "j")
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(source, node, distance, before) over one graph too large for a task; before is the node that the distance comes from, null at the
-    source itself. Edges (i, j, w) go both ways, their weights are not below 0; sources without edges reach themselves.
+#: Nodes of a cell, and sources whose distances one task holds for a cell.
+CELL, BLOCK = 8_000, 128
+
+
+def cells_of(points: DataFrame, size: int = CELL) -> DataFrame:
+    """(node, cell) of the points (id, x, y): strips along x, cut along y, of `size` points at most; points on one place are parted by their ids."""
+    n = points.count()
+    strips = max(1, round((n / size) ** 0.5))
+    across = max(1, -(-n // strips))
+    cut = -(-across // -(-across // size))
+    strip = numbered(points.select("id", "x", "y"), ["x", "y", "id"], "_n").select("id", "x", "y", F.floor(F.col("_n") / across).alias("_strip"), F.lit(1).alias("_one"))
+    placed = with_before(strip, ["_strip"], ["y", "x", "id"], {"_one": "_n"})
+    return placed.select(F.col("id").alias("node"), (F.col("_strip") * (1 << 32) + F.floor(F.col("_n") / cut)).alias("cell"))
 
-    In each round only nodes whose distance fell in the one before send theirs on. A fall counts if it is strict, so that ways of equal
-    length end the rounds."""
+
+def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, cells: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(source, node, distance, before) over one graph too large for a task; before is the node that the distance comes from, null at the
+    source itself. Edges (i, j, w) go both ways, their weights are not below 0, endless ones are no way; sources without edges reach themselves.
+    `among` (node) keeps these nodes only.
+
+    Nodes lie in cells (node, cell), CELL nodes in the order of their names if none are given; any cells are right, and those with few arcs
+    between them are fast. A task settles a cell for BLOCK sources. What falls at its border is offered to other cells, in as many rounds as
+    shortest ways go from cell to cell; between rounds only the borders' distances are kept. In the end each cell is settled once from the
+    offers that were taken. Distances are added up from the source on, arc by arc. An offer is taken if it is strictly less than what is known, so
+    that ways of equal length end the rounds and no node comes from itself."""
     spark = edges.sparkSession
     if not edges.filter("w < 0 or w is null or isnan(w)").isEmpty():
         raise ValueError("weights are numbers from 0")
-    kind = dict(edges.dtypes)["i"]
-    arcs, arcs_path = written(edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.min("w").alias("w")), "arcs")
-    now, path = written(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("before"), F.lit(True).alias("fell")), "distances")
+    kind, named = dict(edges.dtypes)["i"], dict(sources.dtypes)["source"]
+    arcs = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.min("w").cast("double").alias("w")).filter("i <> j")
+    own = sources.select("source").filter("source is not null").distinct()
+    ends = edges.select(F.col("i").alias("node")).union(edges.select("j")).union(own.select(F.col("source").cast(kind))).filter("node is not null").distinct()
+    if cells is None:
+        nodes = numbered(ends, ["node"], "_n").select("node", F.floor(F.col("_n") / CELL).alias("cell"))
+    else:
+        nodes = ends.join(cells.groupBy("node").agg(F.min("cell").alias("cell")), "node", "left").select("node", F.coalesce("cell", F.lit(-1)).cast("long").alias("cell"))
+    nodes, nodes_path = written(nodes, "cells")
+    at = lambda name, cell: nodes.select(F.col("node").alias(name), F.col("cell").alias(cell))
+    arcs, arcs_path = written(arcs.join(at("i", "ci"), "i").join(at("j", "cj"), "j"), "arcs")
+    over = arcs.filter("ci <> cj").select("i", F.col("j").alias("_j"), "w", F.col("cj").alias("_cell"))
+    asked = F.lit(waves.WANTED) if among is None else F.when(F.col("_asked"), waves.WANTED).otherwise(0)
+    marked = nodes.join(over.select(F.col("i").alias("node"), F.lit(waves.BORDER).alias("_border")).distinct(), "node", "left")
+    marked = marked if among is None else marked.join(among.select("node", F.lit(True).alias("_asked")).distinct(), "node", "left")
+    marked = marked.select("cell", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("w"), (F.lit(waves.NODE) + F.coalesce("_border", F.lit(0)) + asked).alias("mark"))
+    inner = arcs.filter("ci = cj").select(F.col("ci").alias("cell"), "i", "j", "w", F.lit(0).alias("mark"))
+    packed = marked.unionByName(inner).groupBy("cell").agg(F.collect_list(F.struct("i", "j", "w", "mark")).alias("a"))
+    packed, _ = written(packed.select("cell", *[F.col(f"a.{c}").alias(c) for c in ("i", "j", "w", "mark")]), "packed")
+
+    blocks = numbered(own.join(at("source", "cell"), "source"), ["cell", "source"], "_n").withColumn("block", F.floor(F.col("_n") / BLOCK))
+    key = ["cell", "block"]
+    offers, offers_path = written(blocks.select(*key, "source", F.col("source").cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.col("source").cast(kind).alias("before")), "offers")
+    result = f"source {named}, node {kind}, distance double, before {kind}"
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def settled(rows, kernel, schema):
+        groups = rows.select(*key).distinct().join(packed, "cell").select(F.col("cell").alias("_c"), F.col("block").alias("_b"), "i", "j", "w", "mark")
+
+        def run(name, own, arcs):
+            if own.empty or arcs.empty:
+                return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            a = arcs.iloc[0]
+            out = kernel(own, waves.Cell(a["i"], a["j"], a["w"], a["mark"]))
+            return out.assign(cell=name[0], block=name[1]) if kernel is waves.step else out
+
+        return rows.repartition(tasks, *key).groupBy(*key).cogroup(groups.repartition(tasks, "_c", "_b").groupBy("_c", "_b")).applyInPandas(run, schema)
+
+    known, path = None, None
     for _ in range(most_rounds):
-        front = now.filter("fell")
-        if not front.head(1):
-            drop_path(spark, arcs_path)
-            return now.drop("fell")
-        sent = front.join(arcs, front.node == arcs.i).select("source", F.col("j").alias("node"), (F.col("distance") + F.col("w")).alias("d"), F.col("i").alias("via"))
-        best = sent.groupBy("source", "node").agg(F.min(F.struct("d", "via")).alias("new"))
-        met = now.drop("fell").join(best, ["source", "node"], "full")
-        fell = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
-        after, new = written(met.select("source", "node", F.when(fell, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(fell, F.col("new.via")).otherwise(F.col("before")).alias("before"), fell.alias("fell")), "distances")
-        drop_path(spark, path)
-        now, path = after, new
-    raise RuntimeError(f"distances still fall after {most_rounds} rounds")
+        active = offers.select(*key, "source").distinct()
+        rows = offers.withColumn("start", F.lit(False)).withColumn("offer", F.lit(True))
+        if known is not None:
+            rows = rows.unionByName(known.join(active, [*key, "source"], "left_semi").drop("fell").withColumn("offer", F.lit(False)))
+        after = settled(rows, waves.step, f"{result}, start boolean, fell boolean, cell long, block long")
+        if known is not None:
+            after = after.unionByName(known.join(active, [*key, "source"], "left_anti").withColumn("fell", F.lit(False)))
+        now, new = written(after, "known")
+        sent = now.filter("fell").join(over, F.col("node") == F.col("i")).groupBy(F.col("_cell").alias("cell"), "block", "source", F.col("_j").alias("node")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("distance"), F.col("i").alias("before"))).alias("o"))
+        held = now.select(*key, "source", "node", F.col("distance").alias("_d"))
+        better = sent.join(held, [*key, "source", "node"], "left").filter((F.col("_d").isNull() | (F.col("o.distance") < F.col("_d"))) & (F.col("o.distance") < float("inf")))
+        offers, offered = written(better.select(*key, "source", "node", "o.distance", "o.before"), "offers")
+        for old in (path, offers_path):
+            if old:
+                drop_path(spark, old)
+        known, path, offers_path = now, new, offered
+        if not offers.head(1):
+            break
+    else:
+        raise RuntimeError(f"distances still fall after {most_rounds} rounds")
+    found = settled(known.filter("start").select(*key, "source", "node", "distance", "before"), waves.whole, result)
+    for old in (nodes_path, arcs_path, offers_path):
+        drop_path(spark, old)
+    return found.withColumn("before", F.when(F.col("before") != F.col("node"), F.col("before")))
 
 
 #: Steps back that are joined in one job.
@@ -86,6 +153,7 @@ BACK = 8
 def paths_back(found: DataFrame, queries: DataFrame) -> DataFrame:
     """(source, target, distance, path) of the queries (source, target), read back from distances_from by joins, a step a join; queries without a way
     have no row. The path is an array of nodes from the source on."""
+    found, _ = written(found, "found")
     steps = found.select("source", F.col("node").alias("at"), "before")
     front = queries.select("source", "target").distinct().join(found.select("source", F.col("node").alias("target"), "distance"), ["source", "target"])
     front, _ = written(front.withColumn("at", F.col("target")).withColumn("path", F.array("target")), "back")

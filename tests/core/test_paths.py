@@ -67,3 +67,26 @@ def test_clusters_are_those_of_the_loop(spark, n):
 
 def test_no_places(spark):
     assert graphs.clustered(spark.createDataFrame([(1, None, 1.0)], "graph_id long, x double, y double"), 1.0).count() == 0
+
+
+def test_distances_over_cells_settle_in_few_rounds(spark):
+    """A line over four cells with ties and edges of no length takes a round a cell, and not one a step."""
+    edges = [(k, k + 1, 0.1) for k in range(60)] + [(19, 70, 0.0), (70, 20, 0.1), (40, 71, 0.0), (71, 40, 0.0)]
+    df = spark.createDataFrame(edges, "i long, j long, w double")
+    cells = spark.createDataFrame([(k, k // 20) for k in range(61)] + [(70, 1), (71, 1)], "node long, cell long")
+    found = graphs.distances_from(df, spark.createDataFrame([(0,), (777,)], "source long"), 6, cells).collect()
+    assert {r["node"]: r["distance"] for r in found if r["source"] == 0} == nearest_ways(edges, 0)
+    before = {r["node"]: r["before"] for r in found if r["source"] == 0}
+    for at in before:
+        steps = 0
+        while before[at] is not None:
+            at, steps = before[at], steps + 1
+            assert steps < 63
+        assert at == 0
+    assert [(r["node"], r["distance"], r["before"]) for r in found if r["source"] == 777] == [(777, 0.0, None)]
+
+
+def test_cells_are_bounded_where_points_crowd(spark):
+    points = spark.createDataFrame([(k, 5.0 if k < 80 else float(k), 5.0) for k in range(100)], "id long, x double, y double")
+    sizes = [r["count"] for r in graphs.cells_of(points, 10).groupBy("cell").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 10
