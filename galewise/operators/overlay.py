@@ -44,10 +44,15 @@ def line_cells(segments: DataFrame, cell: float) -> DataFrame:
     return boxed.alias("_s").filter(crosses_box("_s", "_s._cell")).drop("_cell", "xmin", "xmax", "ymin", "ymax")
 
 
-def _split(edges: DataFrame, keys: list[str], cell: float) -> DataFrame:
+def _open(rows: DataFrame, covered: DataFrame | None) -> DataFrame:
+    """rows (.., cx, cy) outside of covered cells."""
+    return rows if covered is None else rows.join(covered, covered.columns, "left_anti")
+
+
+def _split(edges: DataFrame, keys: list[str], cell: float, covered: DataFrame | None = None) -> DataFrame:
     """Pieces of edges between their ends and crossings, with the columns of PIECE in place of the ends."""
     name = ["poly", "ring", "k"]
-    met = line_cells(edges, cell)
+    met = _open(line_cells(edges, cell), covered)
     a, b = met.alias("a"), met.alias("b")
     on = F.lit(True)
     for c in (*keys, "cx", "cy"):
@@ -72,22 +77,52 @@ def _split(edges: DataFrame, keys: list[str], cell: float) -> DataFrame:
     return nodes.withColumn("w", F.lead("v").over(order)).filter("w is not null").select(*keys, "poly", "role", F.col("v.x").alias("px"), F.col("v.y").alias("py"), F.col("w.x").alias("qx"), F.col("w.y").alias("qy"))
 
 
-def arrangement(polygons: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """(keys, px, py, qx, qy, left0, right0, left1, right1): the pieces of all edges of a group, p before q, with the number of polygons of
-    role 0 and of role 1 on their two sides. polygons has keys, poly, role and polygon."""
+def _rounded(polygons: DataFrame) -> DataFrame:
+    """Polygons whose coordinates are numbers, rounded."""
     finite = lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])
-    whole = polygons.filter(F.col("polygon").isNotNull() & F.forall(F.flatten("polygon"), finite)).select(*keys, "poly", "role", F.transform("polygon", lambda r: F.transform(r, lambda p: point(F.round(p["x"], DIGITS), F.round(p["y"], DIGITS)))).alias("polygon"))
-    whole = whole.dropDuplicates([*keys, "poly"])
-    pieces = _split(_edges(whole, keys), keys, cell)
+    return polygons.filter(F.col("polygon").isNotNull() & F.forall(F.flatten("polygon"), finite)).withColumn("polygon", F.transform("polygon", lambda r: F.transform(r, lambda p: point(F.round(p["x"], DIGITS), F.round(p["y"], DIGITS)))))
+
+
+def _bounded(polygons: DataFrame) -> DataFrame:
+    return polygons.withColumn("_b", g.bounds(F.col("polygon"))).select("*", "_b.*").drop("_b")
+
+
+def covered_cells(polygons: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(keys, cx, cy): the grid cells that lie strictly inside one of the polygons (keys, polygon), a written table. No bound of their union, nor of a
+    difference that takes them away, runs through such a cell."""
+    little = cell * 1e-6 + 10.0 ** (1 - DIGITS)
+    inner = with_cells(_bounded(_rounded(polygons)), cell).withColumn("x0", F.col("cx") * cell - little).withColumn("y0", F.col("cy") * cell - little).withColumn("x1", (F.col("cx") + 1) * cell + little).withColumn("y1", (F.col("cy") + 1) * cell + little)
+    inner = inner.filter("x0 > xmin and x1 < xmax and y0 > ymin and y1 < ymax")
+
+    def apart(e):
+        a, b = e["a"], e["b"]
+        sides = [(b["x"] - a["x"]) * (F.col(y) - a["y"]) - (b["y"] - a["y"]) * (F.col(x) - a["x"]) for x in ("x0", "x1") for y in ("y0", "y1")]
+        off = [F.greatest(a[c], b[c]) < F.col(f"{c}0") for c in ("x", "y")] + [F.least(a[c], b[c]) > F.col(f"{c}1") for c in ("x", "y")]
+        return off[0] | off[1] | off[2] | off[3] | (F.least(*sides) > 0) | (F.greatest(*sides) < 0)
+
+    middle = point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
+    full = inner.filter(F.forall(g.all_edges(F.col("polygon")), apart) & g.strictly_inside(middle, F.col("polygon")))
+    return written(full.select(*keys, "cx", "cy").distinct(), "covered")[0]
+
+
+def arrangement(polygons: DataFrame, keys: list[str], cell: float, covered: DataFrame | None = None) -> DataFrame:
+    """(keys, px, py, qx, qy, left0, right0, left1, right1): the pieces of all edges of a group, p before q, with the number of polygons of
+    role 0 and of role 1 on their two sides. polygons has keys, poly, role and polygon.
+
+    In `covered` cells (some of the keys, cx, cy) no crossings are made, and pieces whose middle is there are left out: what an edge is to the
+    result changes only at places outside of them, so that a piece without such a place is all inside or none of it is."""
+    whole = _rounded(polygons).select(*keys, "poly", "role", "polygon").dropDuplicates([*keys, "poly"])
+    pieces = _split(_edges(whole, keys), keys, cell, covered)
     back = (F.col("qx") < F.col("px")) | ((F.col("qx") == F.col("px")) & (F.col("qy") < F.col("py")))
     turned = [F.when(back, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("qx", "px"), ("qy", "py"), ("px", "qx"), ("py", "qy"))]
     own = pieces.select(*keys, "poly", "role", *turned, (~back).cast("int").alias("left"), back.cast("int").alias("right"))
     own, _ = written(own.groupBy(*keys, *PIECE, "poly", "role").agg(F.max("left").alias("left"), F.max("right").alias("right")), "pieces")
     middles = own.select(*keys, *PIECE).distinct().withColumn("x", (F.col("px") + F.col("qx")) / 2).withColumn("y", (F.col("py") + F.col("qy")) / 2)
-    bounded = whole.withColumn("_b", g.bounds(F.col("polygon"))).select("*", "_b.*").drop("_b")
-    at = middles.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    met = at.join(with_cells(bounded, cell), [*keys, "cx", "cy"]).filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
+    at = _open(middles.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)), covered)
+    met = at.join(_open(with_cells(_bounded(whole), cell), covered), [*keys, "cx", "cy"]).filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
     inside = met.filter(g.strictly_inside(point(F.col("x"), F.col("y")), F.col("polygon"))).select(*keys, *PIECE, "poly", "role", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"))
+    if covered is not None:
+        own = own.join(at.select(*keys, *PIECE), [*keys, *PIECE], "left_semi")
     each = own.unionByName(inside).groupBy(*keys, *PIECE, "poly", "role").agg(F.coalesce(F.max("left"), F.lit(1)).alias("left"), F.coalesce(F.max("right"), F.lit(1)).alias("right"))
     sides = [F.coalesce(F.sum(F.when(F.col("role") == r, F.col(s))), F.lit(0)).alias(f"{s}{r}") for r in (0, 1) for s in ("left", "right")]
     return each.groupBy(*keys, *PIECE).agg(*sides)
@@ -153,11 +188,11 @@ def polygons_of(rings: DataFrame, keys: list[str], cell: float) -> DataFrame:
     return shells.join(own, [*keys, "part"], "left").select(*keys, "part", F.concat(F.array("shell"), F.coalesce("holes", none)).alias("polygon"))
 
 
-def overlay(polygons: DataFrame, keys: list[str], inside: str, cell: float = 100_000.0) -> DataFrame:
+def overlay(polygons: DataFrame, keys: list[str], inside: str, cell: float = 100_000.0, covered: DataFrame | None = None) -> DataFrame:
     """(keys, part, polygon) of the union, difference or intersection of the polygons (keys, poly, role, polygon) of each group; roles are 0
     and 1, and a difference takes those of role 1 away. Null polygons and those with a null or a NaN coordinate are left out, of equal names in a
     group one counts; rings without an area give nothing, and a group of nothing no row."""
-    return polygons_of(ring_rows(boundary(arrangement(polygons, keys, cell), keys, inside), keys), keys, cell)
+    return polygons_of(ring_rows(boundary(arrangement(polygons, keys, cell, covered), keys, inside), keys), keys, cell)
 
 
 def dissolved(obstacles: DataFrame, keys: list[str], cell: float = 100_000.0) -> DataFrame:
@@ -165,16 +200,24 @@ def dissolved(obstacles: DataFrame, keys: list[str], cell: float = 100_000.0) ->
     return overlay(obstacles.select(*keys, F.col("obstacle_id").alias("poly"), F.lit(0).alias("role"), "polygon"), keys, "union", cell)
 
 
+#: Cells along a side of a cell, in which a difference looks for what its takers cover.
+FINE = 8
+
+
 def difference(obstacles: DataFrame, takers: DataFrame, keys: list[str], cell: float = 100_000.0) -> DataFrame:
     """(keys, obstacle_id, part, polygon): what is left of each obstacle (keys, obstacle_id, polygon) without the takers (keys, taker_id,
-    polygon) of equal keys. An obstacle that is covered has no row."""
-    bounded = lambda df: df.withColumn("_b", g.bounds(F.col("polygon"))).select("*", "_b.*").drop("_b")
-    a, b = with_cells(bounded(obstacles), cell), with_cells(bounded(takers).withColumnRenamed("polygon", "other"), cell)
+    polygon) of equal keys. An obstacle that is covered has no row.
+
+    Cells that one taker covers are found first, once for all obstacles of a key: obstacles go on with the other cells and with the takers there."""
+    fine = cell / FINE
+    covered = covered_cells(takers, keys, fine)
+    a, b = _open(with_cells(_bounded(obstacles), fine), covered), _open(with_cells(_bounded(takers).withColumnRenamed("polygon", "other"), fine), covered)
     b = b.select(*keys, "taker_id", "other", "cx", "cy", *[F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     meets = (F.col("xmin") <= F.col("_xmax")) & (F.col("xmax") >= F.col("_xmin")) & (F.col("ymin") <= F.col("_ymax")) & (F.col("ymax") >= F.col("_ymin"))
     near = a.join(b, [*keys, "cx", "cy"]).filter(meets).select(*keys, "obstacle_id", F.concat(F.lit("t"), F.col("taker_id").cast("string")).alias("poly"), F.lit(1).alias("role"), F.col("other").alias("polygon")).dropDuplicates([*keys, "obstacle_id", "poly"])
-    own = obstacles.select(*keys, "obstacle_id", F.lit("o").alias("poly"), F.lit(0).alias("role"), "polygon")
-    return overlay(own.unionByName(near), [*keys, "obstacle_id"], "difference", cell)
+    left = a.select(*keys, "obstacle_id", "polygon").dropDuplicates([*keys, "obstacle_id"])
+    own = left.select(*keys, "obstacle_id", F.lit("o").alias("poly"), F.lit(0).alias("role"), "polygon")
+    return overlay(own.unionByName(near), [*keys, "obstacle_id"], "difference", fine, covered)
 
 
 def measures(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -128,3 +128,16 @@ def test_a_diagonal_takes_only_the_cells_it_crosses(spark):
     n = {r["k"]: r["n"] for r in overlay.line_cells(line, 1.0).groupBy("k").agg(F.count("*").alias("n")).collect()}
     assert n[1] < 310 and n[2] <= 101
     assert spatial.with_cells(line.withColumn("xmin", F.lit(0.5)).withColumn("xmax", F.lit(99.5)).withColumn("ymin", F.lit(0.5)).withColumn("ymax", F.lit(99.5)), 1.0).count() == 20_000
+
+
+def test_a_difference_leaves_out_what_one_taker_covers(spark):
+    """Takers in a pile: cells inside of one are found, a hole is none, and what is left at the rim of the pile is as before."""
+    own = [(1, 1, box(0, 0, 40, 40)), (1, 2, box(5, 5, 9, 9)), (1, 3, [*box(0, 0, 40, 40), *box(1, 1, 38, 38)])]
+    pile = [(1, k, box(3 + k % 4, 2 + k % 5, 30 + k % 4, 31 + k % 3)) for k in range(12)] + [(1, 50, [*box(32, 32, 60, 60), *box(35, 35, 37, 37)])]
+    takers = polygons(spark, pile).select("grp", F.col("obstacle_id").alias("taker_id"), "polygon")
+    cells = {(r["cx"], r["cy"]) for r in overlay.covered_cells(takers, ["grp"], 2.0).collect()}
+    assert (5, 5) in cells and (20, 20) in cells and not cells & {(17, 17), (18, 18), (0, 0), (16, 16), (16, 10)}
+    got = found(overlay.difference(polygons(spark, own), takers, ["grp"], cell=16.0), "grp", "obstacle_id")
+    assert set(got) == {(1, 1), (1, 3)}
+    for _, k, p in (own[0], own[2]):
+        assert got[1, k][0] == pytest.approx(area([p], [q for _, _, q in pile]), abs=1e-3)
