@@ -72,8 +72,8 @@ def _split(edges: DataFrame, keys: list[str], cell: float, covered: DataFrame |
     ends = edges.select(*keys, *name, F.explode(F.array(point(F.col("ax"), F.col("ay")), point(F.col("bx"), F.col("by")))).alias("v"))
     nodes = cuts.unionByName(ends).distinct().join(edges, [*keys, *name])
     along = (F.col("v.x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("v.y") - F.col("ay")) * (F.col("by") - F.col("ay"))
-    order = W.partitionBy(*keys, *name).orderBy("t", "v.x", "v.y")
-    nodes = nodes.withColumn("t", along)
+    order = W.partitionBy(*keys, *name).orderBy("_along", "v.x", "v.y")
+    nodes = nodes.withColumn("_along", along)
     return nodes.withColumn("w", F.lead("v").over(order)).filter("w is not null").select(*keys, "poly", "role", F.col("v.x").alias("px"), F.col("v.y").alias("py"), F.col("w.x").alias("qx"), F.col("w.y").alias("qy"))
 
 
@@ -87,11 +87,41 @@ def _bounded(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("_b", g.bounds(F.col("polygon"))).select("*", "_b.*").drop("_b")
 
 
+#: Cells along a side of a wide cell: what one polygon covers is looked for in wide cells first, and in their parts where none does.
+FINE = 8
+
+
+def _parts(rows: DataFrame, cell: float) -> DataFrame:
+    """rows (bounds, cx, cy of a wide cell that they touch) for each cell in it that they touch."""
+    span = lambda lo, hi, c: F.sequence(F.greatest(F.floor(F.col(lo) / cell), F.col(c) * FINE), F.least(F.floor(F.col(hi) / cell), F.col(c) * FINE + (FINE - 1)))
+    return rows.withColumn("_px", F.explode(span("xmin", "xmax", "cx"))).withColumn("_py", F.explode(span("ymin", "ymax", "cy"))).drop("cx", "cy").withColumnsRenamed({"_px": "cx", "_py": "cy"})
+
+
+def _open_cells(rows: DataFrame, cell: float, covered: DataFrame | None) -> DataFrame:
+    """A row for each cell that the bounds touch, without covered ones; rows go to wide cells first, and into their parts only where these aren't all
+    covered."""
+    if covered is None:
+        return with_cells(rows, cell)
+    by = [c for c in covered.columns if c not in ("cx", "cy")]
+    wide = covered.groupBy(*by, F.floor(F.col("cx") / FINE).alias("cx"), F.floor(F.col("cy") / FINE).alias("cy")).agg(F.count("*").alias("_n")).filter(F.col("_n") == FINE * FINE).drop("_n")
+    return _open(_parts(_open(with_cells(rows, cell * FINE), wide), cell), covered)
+
+
 def covered_cells(polygons: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """(keys, cx, cy): the grid cells that lie strictly inside one of the polygons (keys, polygon), a written table. No bound of their union, nor of a
     difference that takes them away, runs through such a cell."""
+    touched = with_cells(_bounded(_rounded(polygons)).select(*keys, "polygon", "xmin", "ymin", "xmax", "ymax"), cell * FINE)
+    wide, _ = written(_full(touched, keys, cell * FINE), "covered")
+    fine = _full(_parts(_open(touched, wide), cell), keys, cell)
+    each = F.sequence(F.lit(0), F.lit(FINE - 1))
+    inside = wide.withColumn("_i", F.explode(each)).withColumn("_j", F.explode(each)).select(*keys, (F.col("cx") * FINE + F.col("_i")).alias("cx"), (F.col("cy") * FINE + F.col("_j")).alias("cy"))
+    return written(inside.unionByName(fine), "covered")[0]
+
+
+def _full(rows: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(keys, cx, cy), distinct, of rows (keys, polygon, bounds, cx, cy) whose polygon holds the cell strictly inside."""
     little = cell * 1e-6 + 10.0 ** (1 - DIGITS)
-    inner = with_cells(_bounded(_rounded(polygons)), cell).withColumn("x0", F.col("cx") * cell - little).withColumn("y0", F.col("cy") * cell - little).withColumn("x1", (F.col("cx") + 1) * cell + little).withColumn("y1", (F.col("cy") + 1) * cell + little)
+    inner = rows.withColumn("x0", F.col("cx") * cell - little).withColumn("y0", F.col("cy") * cell - little).withColumn("x1", (F.col("cx") + 1) * cell + little).withColumn("y1", (F.col("cy") + 1) * cell + little)
     inner = inner.filter("x0 > xmin and x1 < xmax and y0 > ymin and y1 < ymax")
 
     def apart(e):
@@ -102,7 +132,7 @@ def covered_cells(polygons: DataFrame, keys: list[str], cell: float) -> DataFram
 
     middle = point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
     full = inner.filter(F.forall(g.all_edges(F.col("polygon")), apart) & g.strictly_inside(middle, F.col("polygon")))
-    return written(full.select(*keys, "cx", "cy").distinct(), "covered")[0]
+    return full.select(*keys, "cx", "cy").distinct()
 
 
 def arrangement(polygons: DataFrame, keys: list[str], cell: float, covered: DataFrame | None = None) -> DataFrame:
@@ -119,7 +149,7 @@ def arrangement(polygons: DataFrame, keys: list[str], cell: float, covered: Data
     own, _ = written(own.groupBy(*keys, *PIECE, "poly", "role").agg(F.max("left").alias("left"), F.max("right").alias("right")), "pieces")
     middles = own.select(*keys, *PIECE).distinct().withColumn("x", (F.col("px") + F.col("qx")) / 2).withColumn("y", (F.col("py") + F.col("qy")) / 2)
     at = _open(middles.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)), covered)
-    met = at.join(_open(with_cells(_bounded(whole), cell), covered), [*keys, "cx", "cy"]).filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
+    met = at.join(_open_cells(_bounded(whole), cell, covered), [*keys, "cx", "cy"]).filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
     inside = met.filter(g.strictly_inside(point(F.col("x"), F.col("y")), F.col("polygon"))).select(*keys, *PIECE, "poly", "role", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"))
     if covered is not None:
         own = own.join(at.select(*keys, *PIECE), [*keys, *PIECE], "left_semi")
@@ -188,20 +218,22 @@ def polygons_of(rings: DataFrame, keys: list[str], cell: float) -> DataFrame:
     return shells.join(own, [*keys, "part"], "left").select(*keys, "part", F.concat(F.array("shell"), F.coalesce("holes", none)).alias("polygon"))
 
 
-def overlay(polygons: DataFrame, keys: list[str], inside: str, cell: float = 100_000.0, covered: DataFrame | None = None) -> DataFrame:
+def overlay(polygons: DataFrame, keys: list[str], inside: str, cell: float = 100_000.0, covered: DataFrame | None = None, wide: float | None = None) -> DataFrame:
     """(keys, part, polygon) of the union, difference or intersection of the polygons (keys, poly, role, polygon) of each group; roles are 0
     and 1, and a difference takes those of role 1 away. Null polygons and those with a null or a NaN coordinate are left out, of equal names in a
-    group one counts; rings without an area give nothing, and a group of nothing no row."""
-    return polygons_of(ring_rows(boundary(arrangement(polygons, keys, cell, covered), keys, inside), keys), keys, cell)
+    group one counts; rings without an area give nothing, and a group of nothing no row. `wide` is the width of the cells in which holes look for their
+    shells, where these are much larger than a cell."""
+    return polygons_of(ring_rows(boundary(arrangement(polygons, keys, cell, covered), keys, inside), keys), keys, wide or cell)
 
 
 def dissolved(obstacles: DataFrame, keys: list[str], cell: float = 100_000.0) -> DataFrame:
-    """(keys, part, polygon): the union of the obstacles (obstacle_id, polygon) of equal keys."""
-    return overlay(obstacles.select(*keys, F.col("obstacle_id").alias("poly"), F.lit(0).alias("role"), "polygon"), keys, "union", cell)
+    """(keys, part, polygon): the union of the obstacles (obstacle_id, polygon) of equal keys.
 
-
-#: Cells along a side of a cell, in which a difference looks for what its takers cover.
-FINE = 8
+    Cells that one obstacle covers are left out first, so that edges meet along the union's bounds and not inside of it."""
+    known = obstacles.select(*keys, F.col("obstacle_id").alias("poly"), F.lit(0).alias("role"), "polygon").dropDuplicates([*keys, "poly"])
+    known, _ = written(known, "obstacles")
+    fine = cell / FINE
+    return overlay(known, keys, "union", fine, covered_cells(known, keys, fine), cell)
 
 
 def difference(obstacles: DataFrame, takers: DataFrame, keys: list[str], cell: float = 100_000.0) -> DataFrame:
@@ -211,7 +243,7 @@ def difference(obstacles: DataFrame, takers: DataFrame, keys: list[str], cell: f
     Cells that one taker covers are found first, once for all obstacles of a key: obstacles go on with the other cells and with the takers there."""
     fine = cell / FINE
     covered = covered_cells(takers, keys, fine)
-    a, b = _open(with_cells(_bounded(obstacles), fine), covered), _open(with_cells(_bounded(takers).withColumnRenamed("polygon", "other"), fine), covered)
+    a, b = _open_cells(_bounded(obstacles), fine, covered), _open_cells(_bounded(takers).withColumnRenamed("polygon", "other"), fine, covered)
     b = b.select(*keys, "taker_id", "other", "cx", "cy", *[F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     meets = (F.col("xmin") <= F.col("_xmax")) & (F.col("xmax") >= F.col("_xmin")) & (F.col("ymin") <= F.col("_ymax")) & (F.col("ymax") >= F.col("_ymin"))
     near = a.join(b, [*keys, "cx", "cy"]).filter(meets).select(*keys, "obstacle_id", F.concat(F.lit("t"), F.col("taker_id").cast("string")).alias("poly"), F.lit(1).alias("role"), F.col("other").alias("polygon")).dropDuplicates([*keys, "obstacle_id", "poly"])

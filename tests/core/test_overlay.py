@@ -141,3 +141,18 @@ def test_a_difference_leaves_out_what_one_taker_covers(spark):
     assert set(got) == {(1, 1), (1, 3)}
     for _, k, p in (own[0], own[2]):
         assert got[1, k][0] == pytest.approx(area([p], [q for _, _, q in pile]), abs=1e-3)
+
+
+def test_union_makes_no_crossings_inside(spark, monkeypatch):
+    """Many boxes on one place: edges that run inside the union are left out before they meet."""
+    boxes = [(k, [[{"x": float(x), "y": float(y)} for x, y in ((a, b), (a + 100, b), (a + 100, b + 100), (a, b + 100))]]) for k, (a, b) in enumerate((13 * i % 57, 29 * i % 61) for i in range(120))]
+    rows = spark.createDataFrame([(1, k, p) for k, p in boxes], "t int, obstacle_id int, polygon array<array<struct<x:double,y:double>>>")
+    made = []
+    real = overlay.written
+    monkeypatch.setattr(overlay, "written", lambda df, name: (out := real(df, name), made.append((name, out[0].count())))[0])
+    got = overlay.measures(overlay.dissolved(rows, ["t"], cell=100.0), ["t"]).collect()
+    covered = {(x, y) for _, p in boxes for x in range(int(p[0][0]["x"]), int(p[0][2]["x"])) for y in range(int(p[0][0]["y"]), int(p[0][2]["y"]))}
+    outline = sum((x + dx, y + dy) not in covered for x, y in covered for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+    assert [(r["area"], r["perimeter"]) for r in got] == [(len(covered), outline)]
+    pieces = dict(made)["pieces"]
+    assert pieces < 120 * 4 * 8, made  # all crossings of all edges would make over 12,000
