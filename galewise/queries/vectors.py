@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galewise.functions import boxes as bx
-from galewise.functions import geometry as g
 from galewise.functions import text as tx
 from galewise.functions import vectors as v
-from galewise.operators import spatial as sp
+from galewise.operators import counting
 from galewise.queries.registry import registry, rounded
 from galewise.sources import tables as tb
 
@@ -140,11 +139,10 @@ def oriented_bbox(spark, sf_dir):
 @query(f"""{BOX}, g as (select seg_id, strategy, (p.x - ax) * ux + (p.y - ay) * uy as f1, (p.x - ax) * -uy + (p.y - ay) * ux as s1, l, w from u, st, points p)
 select seg_id, strategy, count(*) as n from g where f1 between 0 and 250000 and s1 between l * 250000 - w * 125000 and l * 250000 + w * 125000 group by all""")
 def points_in_box(spark, sf_dir):
-    boxes = _ahead(spark, sf_dir).withColumn("g", g.bounds(F.array(bx.oriented_box(F.col("p"), F.col("u"), F.col("strategy"), 250_000))))
-    boxes = sp.with_cells(boxes.select("seg_id", "strategy", "p", "u", "g.*"), 100_000.0)
-    pts = tb.points(spark, sf_dir).select(v.point(F.col("x"), F.col("y")).alias("q"), F.floor(F.col("x") / 100_000.0).alias("cx"), F.floor(F.col("y") / 100_000.0).alias("cy"))
-    met = boxes.join(pts, ["cx", "cy"]).filter(bx.in_oriented_box(F.col("q"), F.col("p"), F.col("u"), F.col("strategy"), 250_000))
-    return met.groupBy("seg_id", "strategy").agg(F.count("*").alias("n"))
+    """How many points are in each box ahead of a segment; boxes without any, and segments without a direction, have no row."""
+    d = v.distance(_a(), _b())
+    ahead = tb.segments(spark, sf_dir).filter(d > 0).select("seg_id", "ax", "ay", ((F.col("bx") - F.col("ax")) / d).alias("ux"), ((F.col("by") - F.col("ay")) / d).alias("uy"))
+    return counting.points_in_boxes(ahead, tb.points(spark, sf_dir), "seg_id", bx.STRATEGIES, 250_000)
 
 
 @query(f"""{BOX}, c as (select *, ax + ux * f * 250000 - uy * l * 250000 as cx, ay + uy * f * 250000 + ux * l * 250000 as cy, atan2(uy, ux) - pi() / 2 as r, 250000 / 256.0 as res from u, st)
