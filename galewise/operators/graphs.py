@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +56,7 @@ def all_window_edges(valid: DataFrame, n_keys: int, size: int) -> DataFrame:
 
 
 #: Nodes of a cell, and sources whose distances one task holds for a cell.
-CELL, BLOCK = 8_000, 128
+CELL, BLOCK = 1 << 17, 256
 
 
 def cells_of(points: DataFrame, size: int = CELL) -> DataFrame:
@@ -67,10 +70,10 @@ def cells_of(points: DataFrame, size: int = CELL) -> DataFrame:
     return placed.select(F.col("id").alias("node"), (F.col("_strip") * (1 << 32) + F.floor(F.col("_n") / cut)).alias("cell"))
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, cells: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
-    """(source, node, distance, before) over one graph too large for a task; before is the node that the distance comes from, null at the
+def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, cells: DataFrame | None = None, among: DataFrame | None = None, blocks: DataFrame | None = None, trace: bool = True) -> DataFrame:
+    """(source, node, distance, and with `trace` before) over one graph too large for a task; before is the node that the distance comes from, null at the
     source itself. Edges (i, j, w) go both ways, their weights are not below 0, endless ones are no way; sources without edges reach themselves.
-    `among` (node) keeps these nodes only.
+    `among` (node) keeps these nodes only. Sources are settled by `blocks` (node, cell), such as cells of BLOCK sources: those near each other go fast.
 
     Nodes lie in cells (node, cell), CELL nodes in the order of their names if none are given; any cells are right, and those with few arcs
     between them are fast. A task settles a cell for BLOCK sources. What falls at its border is offered to other cells, in as many rounds as
@@ -100,31 +103,34 @@ def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_0
     packed = marked.unionByName(inner).groupBy("cell").agg(F.collect_list(F.struct("i", "j", "w", "mark")).alias("a"))
     packed, _ = written(packed.select("cell", *[F.col(f"a.{c}").alias(c) for c in ("i", "j", "w", "mark")]), "packed")
 
-    blocks = numbered(own.join(at("source", "cell"), "source"), ["cell", "source"], "_n").withColumn("block", F.floor(F.col("_n") / BLOCK))
+    if blocks is None:
+        placed = numbered(own.join(at("source", "cell"), "source"), ["cell", "source"], "_n").withColumn("block", F.floor(F.col("_n") / BLOCK))
+    else:
+        placed = own.join(at("source", "cell"), "source").join(blocks.groupBy(F.col("node").alias("source")).agg(F.min("cell").alias("block")), "source", "left").withColumn("block", F.coalesce("block", F.lit(-1).cast("long")))
     key = ["cell", "block"]
-    offers, offers_path = written(blocks.select(*key, "source", F.col("source").cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.col("source").cast(kind).alias("before")), "offers")
+    offers, offers_path = written(placed.select(*key, "source", F.col("source").cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.col("source").cast(kind).alias("before")), "offers")
     result = f"source {named}, node {kind}, distance double, before {kind}"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def settled(rows, kernel, schema):
+    def settled(rows, schema):
         groups = rows.select(*key).distinct().join(packed, "cell").select(F.col("cell").alias("_c"), F.col("block").alias("_b"), "i", "j", "w", "mark")
 
         def run(name, own, arcs):
             if own.empty or arcs.empty:
                 return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
             a = arcs.iloc[0]
-            out = kernel(own, waves.Cell(a["i"], a["j"], a["w"], a["mark"]))
-            return out.assign(cell=name[0], block=name[1]) if kernel is waves.step else out
+            return waves.step(own, waves.Cell(a["i"], a["j"], a["w"], a["mark"])).assign(cell=name[0], block=name[1])
 
         return rows.repartition(tasks, *key).groupBy(*key).cogroup(groups.repartition(tasks, "_c", "_b").groupBy("_c", "_b")).applyInPandas(run, schema)
 
-    known, path = None, None
-    for _ in range(most_rounds):
+    borders = not over.isEmpty()  # without them nothing is offered from cell to cell
+    known, path = None if borders else offers.withColumn("start", F.lit(True)), None
+    for _ in range(most_rounds if borders else 0):
         active = offers.select(*key, "source").distinct()
         rows = offers.withColumn("start", F.lit(False)).withColumn("offer", F.lit(True))
         if known is not None:
             rows = rows.unionByName(known.join(active, [*key, "source"], "left_semi").drop("fell").withColumn("offer", F.lit(False)))
-        after = settled(rows, waves.step, f"{result}, start boolean, fell boolean, cell long, block long")
+        after = settled(rows, f"{result}, start boolean, fell boolean, cell long, block long")
         if known is not None:
             after = after.unionByName(known.join(active, [*key, "source"], "left_anti").withColumn("fell", F.lit(False)))
         now, new = written(after, "known")
@@ -139,11 +145,27 @@ def distances_from(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_0
         if not offers.head(1):
             break
     else:
-        raise RuntimeError(f"distances still fall after {most_rounds} rounds")
-    found = settled(known.filter("start").select(*key, "source", "node", "distance", "before"), waves.whole, result)
-    for old in (nodes_path, arcs_path, offers_path):
+        if borders:
+            raise RuntimeError(f"distances still fall after {most_rounds} rounds")
+    arrays = {c: dict(packed.dtypes)[c] for c in ("i", "j", "w", "mark")}
+    starts = known.filter("start").select(*key, "source", "node", "distance", "before", *[F.array().cast(t).alias(c) for c, t in arrays.items()])
+    graphs = starts.select(*key).distinct().join(packed, "cell").select(*key, F.lit(0).cast(named).alias("source"), F.lit(0).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(0).cast(kind).alias("before"), *arrays)
+
+    def finish(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, graph = [], None
+        for rows in batches:
+            own = rows["mark"].map(len) > 0
+            if own.any():
+                a = rows[own].iloc[0]
+                graph = waves.Cell(a["i"], a["j"], a["w"], a["mark"])
+            held.append(rows.loc[~own, ["source", "node", "distance", "before"]])
+        if graph is not None:
+            yield from waves.whole(pd.concat(held, ignore_index=True), graph, trace)
+
+    found = starts.unionByName(graphs).repartition(tasks, *key).groupBy(*key).applyInPandas(finish, result if trace else result.rpartition(",")[0])
+    for old in (nodes_path, arcs_path, *([offers_path] if borders else [])):
         drop_path(spark, old)
-    return found.withColumn("before", F.when(F.col("before") != F.col("node"), F.col("before")))
+    return found.withColumn("before", F.when(F.col("before") != F.col("node"), F.col("before"))) if trace else found
 
 
 #: Steps back that are joined in one job.

@@ -3,9 +3,11 @@
 import heapq
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from galewise.kernels import shapes
+from galewise.kernels import shapes, waves
 from galewise.operators import graphs
 
 
@@ -90,3 +92,38 @@ def test_cells_are_bounded_where_points_crowd(spark):
     points = spark.createDataFrame([(k, 5.0 if k < 80 else float(k), 5.0) for k in range(100)], "id long, x double, y double")
     sizes = [r["count"] for r in graphs.cells_of(points, 10).groupBy("cell").count().collect()]
     assert sum(sizes) == 100 and max(sizes) <= 10
+
+
+def _grid(seed, side):
+    rng = random.Random(seed)
+    return [(a, a + step, rng.choice([0.0, 0.1, 0.3, 1.7])) for x in range(side) for y in range(side) for a in [side * x + y] for step in (1, side) if (y < side - 1 if step == 1 else x < side - 1)]
+
+
+def test_sources_settle_side_by_side():
+    """A node's arcs are looked at for all sources at once, and not once for each source, as a queue for each would."""
+    edges = _grid(5, 12)
+    rows = [(i, j, w, 0) for a, b, w in edges for i, j in ((a, b), (b, a))] + [(k, k, 0.0, waves.NODE + waves.WANTED) for k in range(144)]
+    cell = waves.Cell(*map(np.array, zip(*rows, strict=True)))
+    calls, one = [], cell.one
+    cell.one = lambda *a: (calls.append(1), one(*a))[1]
+    starts = pd.DataFrame({"source": range(40), "node": range(40), "distance": 0.0, "before": range(40)})
+    found = pd.concat(waves.whole(starts, cell, trace=False))
+    assert len(calls) == 1
+    got = {s: dict(zip(g["node"], g["distance"], strict=True)) for s, g in found.groupby("source")}
+    assert got == {s: nearest_ways(edges, s) for s in range(40)}
+
+
+def test_pieces_are_bounded_and_lead_back(monkeypatch):
+    """Rows leave a task in pieces, and ways lead back to the source also over edges of no length."""
+    monkeypatch.setattr(waves, "ROWS", 100)
+    edges = _grid(6, 9)
+    rows = [(i, j, w, 0) for a, b, w in edges for i, j in ((a, b), (b, a))] + [(k, k, 0.0, waves.NODE + waves.WANTED) for k in range(81)]
+    pieces = list(waves.whole(pd.DataFrame({"source": range(7), "node": range(7), "distance": 0.0, "before": range(7)}), waves.Cell(*map(np.array, zip(*rows, strict=True)))))
+    assert len(pieces) > 3 and max(map(len, pieces)) <= 100
+    for source, own in pd.concat(pieces).groupby("source"):
+        before = dict(zip(own["node"], own["before"], strict=True))
+        for at in before:
+            steps = 0
+            while at != source:
+                at, steps = before[at], steps + 1
+                assert steps < 81
